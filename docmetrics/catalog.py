@@ -151,6 +151,10 @@ def _lit_or_null(v, dtype: str) -> Column:
 
 def catalog_array(catalog=ESG_CATALOG) -> Column:
     """Catalogue as a literal ARRAY<STRUCT>: explode it per row for a fan-out."""
+    return F.array(*catalog_structs(catalog))
+
+
+def catalog_structs(catalog=ESG_CATALOG) -> list[Column]:
     items = []
     for c, o, m in _ordinals(catalog):
         items.append(F.struct(
@@ -166,7 +170,7 @@ def catalog_array(catalog=ESG_CATALOG) -> Column:
             _lit_or_null(m.recommended_min, "double").alias("recommended_min"),
             _lit_or_null(m.trend, "string").alias("trend"),
         ))
-    return F.array(*items)
+    return items
 
 
 def catalog_literal_df(spark: SparkSession, catalog=ESG_CATALOG) -> DataFrame:

@@ -57,9 +57,12 @@ def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
         pat = candidate_pattern(kw, ualt, max_gap)
         per_kw.append(F.struct(
             F.lit(kw).alias("keyword"),
-            F.when(F.instr(text, kw) > 0, F.regexp_extract_all(text, F.lit(pat), 0))
+            F.when(F.instr(F.col("_t"), kw) > 0, F.regexp_extract_all(F.col("_t"), F.lit(pat), 0))
             .otherwise(F.array().cast("array<string>")).alias("ctx")))
-    found = chunks.select(*keys, *keep_cols, F.inline(F.array(*per_kw)))
+    # Every match holds a digit: chunks without one cannot match and skip the
+    # (backtracking) pattern scans entirely.
+    src = chunks.select(*keys, *keep_cols, text.alias("_t")).filter(F.col("_t").rlike("[0-9]"))
+    found = src.select(*keys, *keep_cols, F.inline(F.array(*per_kw)))
     found = found.select(*keys, *keep_cols, "keyword",
                          F.posexplode("ctx").alias("ordinal", "context"))
     # Re-split each match (anchored, same pattern shape) into its parts.

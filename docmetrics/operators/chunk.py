@@ -25,11 +25,44 @@ def _keys(key_cols) -> list[str]:
     return [key_cols] if isinstance(key_cols, str) else list(key_cols)
 
 
+def parallelism(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Round-robin the input when it has fewer partitions than the cluster has cores.
+
+    A large corpus arrives in many file splits and is left alone; a few big
+    row groups (one file per table in tests) would otherwise run the
+    per-document Python work on a handful of tasks.
+    """
+    if docs.isStreaming:
+        return docs
+    n = parallelism(docs.sparkSession)
+    if docs.rdd.getNumPartitions() < n:
+        return docs.repartition(n)
+    return docs
+
+
+def partition_chunks(chunks: DataFrame, key_cols=("document_id", "chunk_index")) -> DataFrame:
+    """Hash-partition chunk rows on their key with a fixed partition count.
+
+    Downstream token explosion, per-bucket counts, norms and per-chunk scores
+    are grouped on keys that contain this one, so they need no further
+    exchange; a long document's chunks spread over all partitions. The count
+    is explicit so adaptive execution does not merge these small-in-bytes but
+    CPU-heavy partitions; every branch that reads the result reuses the one
+    exchange.
+    """
+    return chunks.repartition(parallelism(chunks.sparkSession), *_keys(key_cols))
+
+
 def chunk_words(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",
                 limit: int = CHUNK_LIMIT, max_word: int | None = None) -> DataFrame:
     """TXT-1: whole text -> (keys, chunk_index INT, text)."""
     keys = _keys(key_cols)
-    return docs.select(
+    return spread(docs.select(*keys, text_col)).select(
         *keys,
         F.posexplode(word_chunks_col(F.array(F.col(text_col)), limit, max_word))
         .alias("chunk_index", "text"),
@@ -40,21 +73,22 @@ def chunk_lines(docs: DataFrame, key_cols=("document_id",), text_col: str = "tex
                 limit: int = CHUNK_LIMIT) -> DataFrame:
     """TXT-2: line packing with section heads as hard breaks."""
     keys = _keys(key_cols)
-    return docs.select(*keys, F.posexplode(line_chunks_col(F.col(text_col), limit))
+    return spread(docs.select(*keys, text_col)).select(
+        *keys, F.posexplode(line_chunks_col(F.col(text_col), limit))
                        .alias("chunk_index", "text"))
 
 
 def section_split(docs: DataFrame, key_cols=("document_id",), text_col: str = "text") -> DataFrame:
     """TXT-2 heads: every line with the number of section heads up to it."""
     keys = _keys(key_cols)
-    return docs.select(*keys, F.inline(sections_col(F.col(text_col))))
+    return spread(docs.select(*keys, text_col)).select(*keys, F.inline(sections_col(F.col(text_col))))
 
 
 # --- markdown elements and tables -----------------------------------------------------
 
 def with_elements(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``elements`` ARRAY<STRUCT<element_index, kind, text>> (TXT-3)."""
-    return docs.withColumn("elements", elements_col(F.col(text_col)))
+    return spread(docs).withColumn("elements", elements_col(F.col(text_col)))
 
 
 def markdown_elements(docs: DataFrame, key_cols=("document_id",), text_col: str = "text") -> DataFrame:
@@ -151,7 +185,7 @@ def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str =
     """
     keys = _keys(key_cols)
     keep = list(keep_cols)
-    el = with_elements(docs.select(*keys, *keep, text_col), text_col)
+    el = with_elements(docs.select(*keys, *keep, text_col), text_col)  # spread inside
     texts = F.transform(F.filter("elements", lambda e: e["kind"] == "text"), lambda e: e["text"])
     staged = el.select(
         *keys, *keep,

@@ -7,15 +7,19 @@ The bucket is the first 32 bits of the token's md5 modulo ``dim``; the same
 expression exists in DuckDB, which keeps the oracle exact.
 
 Plan shape: the chunk rows (not the much larger token rows) are hash
-partitioned on the chunk key once; tokenising, counting per bucket and the
-norm window then run inside those partitions without another exchange, and a
-long document's chunks spread over many tasks.
+partitioned on the chunk key once, so a long document's chunks spread over
+many tasks. Tokens and their buckets are computed by JVM expressions as one
+array per chunk (no row per token); counting buckets per chunk is a numpy
+step per Arrow batch, so the term table needs no aggregate or window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docmetrics.functions.sparse import term_rows
 
 # --- Fixed values ------------------------------------------------------------------
 DEFAULT_DIM = 4096
@@ -43,18 +47,57 @@ def bucket_col(token: Column, dim: int = DEFAULT_DIM) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
+def bucket_ids_col(text: Column, dim: int = DEFAULT_DIM, char_ngrams: bool = True) -> Column:
+    """ARRAY<BIGINT>: the bucket of every token of the text, in token order."""
+    return F.transform(tokens_col(text, char_ngrams), lambda t: bucket_col(t, dim))
+
+
+def chunk_buckets(chunks: DataFrame, key_cols=("document_id", "chunk_index"), text_col: str = "text",
+                  dim: int = DEFAULT_DIM, char_ngrams: bool = True,
+                  prepartitioned: bool = False) -> DataFrame:
+    """(keys, buckets ARRAY<BIGINT>) — the token stream of each chunk, hashed in the JVM."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    src = chunks.select(*keys, text_col)
+    if not prepartitioned:
+        from docmetrics.operators.chunk import partition_chunks
+        src = partition_chunks(src, keys)
+    return src.select(*keys, bucket_ids_col(F.col(text_col), dim, char_ngrams).alias("buckets"))
+
+
 def hash_embed(chunks: DataFrame, key_cols=("document_id", "chunk_index"), text_col: str = "text",
                dim: int = DEFAULT_DIM, char_ngrams: bool = True,
-               num_partitions: int | None = None) -> DataFrame:
+               prepartitioned: bool = False) -> DataFrame:
     """(keys, bucket BIGINT, tf BIGINT, norm2 BIGINT) — one row per non-zero bucket.
 
     Whitespace in chunk text is single blanks (chunks are words joined by one
-    blank); other text is split on blanks the same way.
+    blank); other text is split on blanks the same way. ``prepartitioned``:
+    the rows are already hash-partitioned on the keys (``partition_chunks``).
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    src = chunks.select(*keys, text_col)
-    src = (src.repartition(num_partitions, *keys) if num_partitions
-           else src.repartition(*keys))
+    src = chunk_buckets(chunks, keys, text_col, dim, char_ngrams, prepartitioned)
+    key_fields = [f for f in src.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + [T.StructField("bucket", T.LongType()),
+                                        T.StructField("tf", T.LongType()),
+                                        T.StructField("norm2", T.LongType())])
+
+    def count(batches):
+        for batch in batches:
+            yield term_rows(batch, keys, dim)
+
+    return src.mapInArrow(count, schema)
+
+
+def hash_embed_sql_form(chunks: DataFrame, key_cols=("document_id", "chunk_index"),
+                        text_col: str = "text", dim: int = DEFAULT_DIM,
+                        char_ngrams: bool = True) -> DataFrame:
+    """EMB-1 with DataFrame operators only (explode, count per bucket, norm window).
+
+    Same rows as ``hash_embed``; kept as the plain relational form and used by
+    tests to cross-check the numpy counting.
+    """
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    from docmetrics.operators.chunk import partition_chunks
+    src = partition_chunks(chunks.select(*keys, text_col), keys)
     terms = (src.select(*keys, F.explode(tokens_col(F.col(text_col), char_ngrams)).alias("tok"))
              .groupBy(*keys, bucket_col(F.col("tok"), dim).alias("bucket"))
              .agg(F.count(F.lit(1)).alias("tf")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmetrics.catalog import ESG_CATALOG, catalog_array
+from docmetrics.catalog import ESG_CATALOG, catalog_array, catalog_structs
 from docmetrics.operators.candidates import (
     BASE_UNITS,
     CATALOG_UNITS,
@@ -19,7 +19,7 @@ from docmetrics.operators.candidates import (
     normalized_unit,
     normalized_value,
 )
-from docmetrics.operators.embed import DEFAULT_DIM, hash_embed, query_texts_from_catalog, query_vectors
+from docmetrics.operators.embed import DEFAULT_DIM, chunk_buckets, query_texts_from_catalog, query_vectors
 from docmetrics.operators.knn import checked_broadcast, knn_sparse, top_k
 
 # --- Fixed values ------------------------------------------------------------------
@@ -37,9 +37,12 @@ REQUIRED_KEYS = ("value", "source", "confidence")
 
 
 def catalog_map(catalog=ESG_CATALOG) -> Column:
-    """Literal MAP<metric_id, STRUCT<...>> for attribute lookups (JN-4)."""
-    arr = catalog_array(catalog)
-    return F.map_from_arrays(F.transform(arr, lambda m: m["metric_id"]), arr)
+    """Literal MAP<metric_id, STRUCT<...>> for attribute lookups (JN-4).
+
+    Built from literals only, so the optimizer folds it into one constant.
+    """
+    pairs = zip((m.metric_id for m in catalog), catalog_structs(catalog))
+    return F.create_map(*[x for k, st in pairs for x in (F.lit(k), st)])
 
 
 def metric_fanout(docs: DataFrame, catalog=ESG_CATALOG, key_cols=("document_id",)) -> DataFrame:
@@ -117,15 +120,21 @@ def result_rows(parsed: DataFrame, catalog=ESG_CATALOG, ordered: bool = False,
 
 def retrieval_context(hits: DataFrame, chunks: DataFrame, key_cols=("document_id", "chunk_index"),
                       group_cols=("query_id",), text_col: str = "text",
-                      max_broadcast: int = 1_000_000) -> DataFrame:
+                      max_hits: int | None = None, max_broadcast: int = 1_000_000) -> DataFrame:
     """RAG-1: top-k chunk texts per query joined by newlines, best first.
 
     The hit list (k rows per query) is the broadcast side; the chunk table is
-    only scanned. Each group collects at most k texts.
+    only scanned. Each group collects at most k texts. ``max_hits`` is the
+    caller's bound on the hit count (k x number of queries); without it the
+    hits are counted first.
     """
     keys = list(key_cols)
     groups = list(group_cols)
-    h, _ = checked_broadcast(hits.select(*groups, *keys, "rank"), max_broadcast)
+    h = hits.select(*groups, *keys, "rank")
+    if max_hits is not None and max_hits <= max_broadcast:
+        h = F.broadcast(h)
+    else:
+        h, _ = checked_broadcast(h, max_broadcast)
     j = chunks.select(*keys, text_col).join(h, keys)
     return (j.groupBy(*groups)
             .agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_s"))
@@ -152,8 +161,7 @@ def _keyword_map(spark, catalog) -> DataFrame:
 
 
 def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int = DEFAULT_DIM,
-                    char_ngrams: bool = True, lowercase: bool = False,
-                    chunk_terms: DataFrame | None = None) -> DataFrame:
+                    char_ngrams: bool = True, lowercase: bool = False) -> DataFrame:
     """Rule extraction per (document, metric) over the document's top-k chunks.
 
     ``chunks``: (document_id, chunk_index, source_kind, text). A candidate is a
@@ -161,11 +169,13 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     metric's k nearest chunks of that document. The best candidate wins by unit
     match, shortest gap, chunk rank, chunk index, keyword and match ordinal.
     """
+    from docmetrics.operators.chunk import partition_chunks
     spark = chunks.sparkSession
     keys = ["document_id", "chunk_index"]
-    terms = chunk_terms if chunk_terms is not None else hash_embed(chunks, keys, "text", dim, char_ngrams)
+    chunks = partition_chunks(chunks, keys)
+    cb = chunk_buckets(chunks, keys, "text", dim, char_ngrams, prepartitioned=True)
     qv = query_vectors(query_texts_from_catalog(spark, catalog), dim=dim, char_ngrams=char_ngrams)
-    hits = knn_sparse(terms, qv, k, keys, scope="document") \
+    hits = knn_sparse(cb, qv, k, keys, scope="document", dim=dim) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")
     keywords = [kw for m in catalog for kw in m.keywords]
     units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)

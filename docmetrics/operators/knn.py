@@ -13,6 +13,9 @@ import logging
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docmetrics.functions.sparse import QueryMatrix, score_batch
 
 log = logging.getLogger(__name__)
 
@@ -37,26 +40,76 @@ def top_k(scored: DataFrame, partition_cols, order_cols, k: int, name: str = "ra
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
-def knn_sparse(chunk_terms: DataFrame, query_terms: DataFrame, k: int = 3,
+def knn_sparse(chunk_buckets: DataFrame, query_terms: DataFrame, k: int = 3,
                key_cols=("document_id", "chunk_index"), scope: str = "corpus",
-               max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """KNN-4: cosine over hashed term vectors.
+               dim: int | None = None, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """KNN-4: exact cosine over hashed term vectors.
+
+    ``chunk_buckets``: (keys, buckets ARRAY<BIGINT>) from ``chunk_buckets``;
+    ``query_terms``: (query_id, bucket, tf). ``scope='document'`` ranks per
+    (query, document_id), which must be the first key.
+
+    The query side is size-checked and broadcast as a sparse matrix; each task
+    scores its Arrow batches with numpy and keeps only its partial top-k per
+    query, so no (query, chunk) pair row is materialised and the only shuffle
+    is of at most k rows per query per task into the final ranking window.
+    Above ``max_broadcast`` query terms it falls back to ``knn_sparse_join``.
+    Output: query_id, keys, rank INT, dot, score, distance.
+    """
+    keys = list(key_cols)
+    dim = dim or 4096
+    rows = query_terms.select("query_id", "bucket", "tf").limit(max_broadcast + 1).collect()
+    if len(rows) > max_broadcast:
+        log.warning("query terms exceed %d rows; using the shuffle-join form", max_broadcast)
+        return knn_sparse_join(_terms_from_buckets(chunk_buckets, keys, dim), query_terms,
+                               k, keys, scope)
+    spark = chunk_buckets.sparkSession
+    payload = QueryMatrix.payload([r[0] for r in rows], [r[1] for r in rows],
+                                  [r[2] for r in rows], dim)
+    bc = spark.sparkContext.broadcast(payload)
+    per_doc = scope == "document"
+    key_fields = [chunk_buckets.schema[c] for c in keys]
+    schema = T.StructType([T.StructField("query_id", T.StringType())] + key_fields
+                          + [T.StructField("dot", T.DoubleType()),
+                             T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        qm = QueryMatrix.from_payload(bc.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield score_batch(batch, keys, qm, k, per_doc)
+
+    partial = chunk_buckets.select(*keys, "buckets").mapInArrow(score, schema)
+    part = ["query_id"] + (["document_id"] if per_doc else [])
+    order = [F.col("score").desc()] + [F.col(c) for c in keys]
+    return (top_k(partial, part, order, k)
+            .select("query_id", *keys, "rank", "dot", "score",
+                    (F.lit(1.0) - F.col("score")).alias("distance")))
+
+
+def _terms_from_buckets(chunk_buckets: DataFrame, keys, dim) -> DataFrame:
+    t = (chunk_buckets.select(*keys, F.explode("buckets").alias("bucket"))
+         .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("tf")))
+    return t.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))
+
+
+def knn_sparse_join(chunk_terms: DataFrame, query_terms: DataFrame, k: int = 3,
+                    key_cols=("document_id", "chunk_index"), scope: str = "corpus") -> DataFrame:
+    """KNN-4 as relational operators, for query sets too large to broadcast.
 
     ``chunk_terms``: (keys, bucket, tf, norm2); ``query_terms``: (query_id,
-    bucket, tf, norm2). The join is an equi-join on ``bucket`` with the query
-    side broadcast; partial sums per (query, chunk) stay in the chunk's
-    partition. ``scope='document'`` ranks per (query, document_id).
-    Output: query_id, keys, rank INT, dot, score, distance.
+    bucket, tf, norm2). Equi-join on ``bucket`` (a shuffle join: hot buckets
+    are split by adaptive skew handling), sums per (query, chunk), then top-k.
     """
     keys = list(key_cols)
     q = query_terms.select("query_id", "bucket", F.col("tf").alias("qtf"),
                            F.col("norm2").alias("qnorm2"))
-    q, _ = checked_broadcast(q, max_broadcast)
     scored = (chunk_terms.join(q, "bucket")
               .groupBy("query_id", *keys, "norm2", "qnorm2")
               .agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot")))
     score = F.col("dot") / (F.sqrt(F.col("qnorm2")) * F.sqrt(F.col("norm2")))
-    scored = scored.select("query_id", *keys, "dot", score.alias("score"))
+    scored = scored.select("query_id", *keys, F.col("dot").cast("double").alias("dot"),
+                           score.alias("score"))
     part = ["query_id"] + (["document_id"] if scope == "document" else [])
     order = [F.col("score").desc()] + [F.col(c) for c in keys]
     return (top_k(scored, part, order, k)

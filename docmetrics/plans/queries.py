@@ -61,6 +61,12 @@ def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return C.document_chunks(corpus(spark, sf), keep_cols=("source", "lang"))
 
 
+def partitioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks hash-partitioned on (document_id, chunk_index): one exchange that
+    every consumer (terms, candidates, text lookups) reuses."""
+    return C.partition_chunks(corpus_chunks(spark, sf))
+
+
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
     """EMB-2 query texts: the catalogue's search sentences plus every benchmark item."""
     cat = E.query_texts_from_catalog(spark, ALL_CATALOG)
@@ -111,7 +117,7 @@ def q_metric_fanout(spark, sf):
 
 
 def _candidates(spark, sf):
-    ch = corpus_chunks(spark, sf)
+    ch = partitioned_chunks(spark, sf)
     return metric_candidates(ch, CANDIDATE_KEYWORDS, lowercase=True)
 
 
@@ -124,7 +130,8 @@ def q_value_normalize(spark, sf):
 
 
 def _chunk_terms(spark, sf):
-    return E.hash_embed(corpus_chunks(spark, sf), ["document_id", "chunk_index"])
+    return E.hash_embed(partitioned_chunks(spark, sf), ["document_id", "chunk_index"],
+                        prepartitioned=True)
 
 
 def q_hash_embed(spark, sf):
@@ -136,7 +143,9 @@ def q_metric_query_vectors(spark, sf):
 
 
 def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT):
-    return K.knn_sparse(_chunk_terms(spark, sf), E.query_vectors(queries), k)
+    cb = E.chunk_buckets(partitioned_chunks(spark, sf), ["document_id", "chunk_index"],
+                         prepartitioned=True)
+    return K.knn_sparse(cb, E.query_vectors(queries), k)
 
 
 def q_knn_sparse(spark, sf):
@@ -145,18 +154,21 @@ def q_knn_sparse(spark, sf):
 
 
 def q_metric_context(spark, sf):
-    hits = _sparse_hits(spark, sf, benchmark_queries(spark, sf))
-    return X.retrieval_context(hits, corpus_chunks(spark, sf))
+    queries = benchmark_queries(spark, sf)
+    hits = _sparse_hits(spark, sf, queries)
+    return X.retrieval_context(hits, partitioned_chunks(spark, sf),
+                               max_hits=K_DEFAULT * queries.count())
 
 
 def q_metric_prompt(spark, sf):
     hits = _sparse_hits(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG))
-    ctx = X.retrieval_context(hits, corpus_chunks(spark, sf))
+    ctx = X.retrieval_context(hits, partitioned_chunks(spark, sf),
+                              max_hits=K_DEFAULT * len(ALL_CATALOG))
     return X.prompts(ctx, ALL_CATALOG)
 
 
 def _extracted(spark, sf):
-    return X.extract_metrics(corpus_chunks(spark, sf), ALL_CATALOG, k=K_DEFAULT, lowercase=True)
+    return X.extract_metrics(partitioned_chunks(spark, sf), ALL_CATALOG, k=K_DEFAULT, lowercase=True)
 
 
 def q_extract_metrics(spark, sf):
@@ -164,7 +176,7 @@ def q_extract_metrics(spark, sf):
 
 
 def q_doc_summary(spark, sf):
-    return R.doc_summary(corpus_chunks(spark, sf), _extracted(spark, sf))
+    return R.doc_summary(partitioned_chunks(spark, sf), _extracted(spark, sf))
 
 
 # --- vectors world -----------------------------------------------------------------------
@@ -414,7 +426,8 @@ DOCUMENT_SCHEMA = T.StructType([
 
 def q_stream_chunks(spark, sf):
     from docmetrics.streaming.intake import run_chunk_stream
-    out = run_chunk_stream(spark, f"{sf.rstrip('/')}/documents.parquet", DOCUMENT_SCHEMA,
+    # The file source watches a folder or a glob; here the glob names the one file.
+    out = run_chunk_stream(spark, f"{sf.rstrip('/')}/documents*.parquet", DOCUMENT_SCHEMA,
                            id_col="doc_id")
     return out.select("document_id", "chunk_index", "text")
 
