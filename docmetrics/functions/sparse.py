@@ -66,23 +66,44 @@ class QueryMatrix:
         return len(self.ids)
 
 
-def dot_products(r, b, tf, qm: QueryMatrix):
-    """Sparse x sparse: (row, query, dot) for every pair sharing a bucket."""
-    start = qm.qptr[b]
-    cnt = qm.qptr[b + 1] - start
+# Work bound per slice: (term, query) pairs expanded at once, and cells of the
+# dense (row x query) accumulator.
+MAX_PAIRS = 2_000_000
+MAX_CELLS = 4_000_000
+
+
+def row_slices(r, b, n_rows: int, qm: "QueryMatrix"):
+    """Split rows 0..n_rows-1 into consecutive slices whose pair expansion is bounded."""
+    cnt = qm.qptr[b + 1] - qm.qptr[b]
+    per_row = np.bincount(r, weights=cnt, minlength=n_rows)
+    max_rows = max(1, MAX_CELLS // max(qm.n, 1))
+    out = []
+    lo = 0
+    acc = 0.0
+    for i in range(n_rows):
+        if i > lo and (acc + per_row[i] > MAX_PAIRS or i - lo >= max_rows):
+            out.append((lo, i))
+            lo, acc = i, 0.0
+        acc += per_row[i]
+    if lo < n_rows:
+        out.append((lo, n_rows))
+    return out
+
+
+def dot_block(r, b, tf, lo: int, hi: int, qm: "QueryMatrix") -> np.ndarray:
+    """Dense (hi-lo) x n_queries block of exact integer dot products."""
+    i, j = np.searchsorted(r, lo), np.searchsorted(r, hi)   # r is sorted
+    rr, bb, tt = r[i:j] - lo, b[i:j], tf[i:j]
+    start = qm.qptr[bb]
+    cnt = qm.qptr[bb + 1] - start
     total = int(cnt.sum())
-    if total == 0:
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    rep = np.repeat(np.arange(len(b), dtype=np.int64), cnt)
-    first = np.repeat(np.cumsum(cnt) - cnt, cnt)
-    pos = start[rep] + (np.arange(total, dtype=np.int64) - first)
-    q = qm.qidx[pos]
-    w = (tf[rep] * qm.qval[pos]).astype(np.float64)
-    pair = r[rep] * qm.n + q
-    key, inv = np.unique(pair, return_inverse=True)
-    dot = np.bincount(inv, weights=w, minlength=len(key))
-    return key // qm.n, key % qm.n, dot
+    block = np.zeros((hi - lo) * qm.n, dtype=np.float64)
+    if total:
+        rep = np.repeat(np.arange(len(bb), dtype=np.int64), cnt)
+        pos = start[rep] + (np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+        w = (tt[rep] * qm.qval[pos]).astype(np.float64)
+        block += np.bincount(rr[rep] * qm.n + qm.qidx[pos], weights=w, minlength=len(block))
+    return block.reshape(hi - lo, qm.n)
 
 
 def sort_codes(column: pa.Array) -> np.ndarray:
@@ -114,26 +135,34 @@ def partial_top_k(group, score, key_codes, k: int) -> np.ndarray:
 
 
 def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_document: bool,
-                buckets_col: str = "buckets") -> pa.RecordBatch:
-    """Partial top-k of one batch of chunks against all queries.
+                buckets_col: str = "buckets"):
+    """Partial top-k of one batch of chunks against all queries (yields batches).
 
     Output columns: query_id, key columns, dot, score — at most k rows per
-    query (per query and document with ``per_document``).
+    query (per query and document with ``per_document``) for each slice.
     """
     r, b, tf, norm2 = bucket_counts(batch.column(buckets_col), qm.dim)
-    rows, qs, dot = dot_products(r, b, tf, qm)
-    score = dot / (np.sqrt(qm.qnorm2[qs]) * np.sqrt(norm2[rows].astype(np.float64)))
-    codes = [sort_codes(batch.column(c))[rows] for c in key_cols]
-    if per_document:
-        group = qs * (int(codes[0].max(initial=0)) + 1) + codes[0]
-    else:
-        group = qs
-    sel = partial_top_k(group, score, codes, k)
-    take = pa.array(rows[sel])
-    arrays = [pa.array([qm.ids[i] for i in qs[sel]], type=pa.string())]
-    arrays += [batch.column(c).take(take) for c in key_cols]
-    arrays += [pa.array(dot[sel], type=pa.float64()), pa.array(score[sel], type=pa.float64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "dot", "score"])
+    all_codes = [sort_codes(batch.column(c)) for c in key_cols]
+    qn = np.sqrt(qm.qnorm2)
+    for lo, hi in row_slices(r, b, batch.num_rows, qm):
+        block = dot_block(r, b, tf, lo, hi, qm)
+        rows, qs = np.nonzero(block)
+        if len(rows) == 0:
+            continue
+        dot = block[rows, qs]
+        rows = rows + lo
+        score = dot / (qn[qs] * np.sqrt(norm2[rows].astype(np.float64)))
+        codes = [c[rows] for c in all_codes]
+        if per_document:
+            group = qs * (int(all_codes[0].max(initial=0)) + 1) + codes[0]
+        else:
+            group = qs
+        sel = partial_top_k(group, score, codes, k)
+        take = pa.array(rows[sel])
+        arrays = [pa.array([qm.ids[i] for i in qs[sel]], type=pa.string())]
+        arrays += [batch.column(c).take(take) for c in key_cols]
+        arrays += [pa.array(dot[sel], type=pa.float64()), pa.array(score[sel], type=pa.float64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "dot", "score"])
 
 
 def term_rows(batch: pa.RecordBatch, key_cols, dim: int, buckets_col: str = "buckets") -> pa.RecordBatch:

@@ -27,20 +27,30 @@ QUERY_TEMPLATE = "尋找關於 %s 的資訊"   # metric name -> search text
 # ---------------------------------------------------------------------------------
 
 
+def _clean_words(text: Column) -> Column:
+    """Words of blank-separated text, lower-cased, letters and digits only.
+
+    Dropping everything but letters, digits and blanks from the whole text and
+    then splitting on blanks equals cleaning word by word, because words hold
+    no blanks.
+    """
+    cleaned = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N} ]+", ""))
+    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+
+
 def tokens_col(text: Column, char_ngrams: bool = True) -> Column:
-    """ARRAY<STRING> of tokens: 'w:'+word and 'b:'+bigram."""
-    words = F.filter(
-        F.transform(F.split(text, " "),
-                    lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+", ""))),
-        lambda w: w != "")
+    """ARRAY<STRING> of tokens: 'w:'+word and 'b:'+bigram (bigrams inside words)."""
+    words = F.transform(_clean_words(text), lambda w: F.concat(F.lit("w:"), w))
     if not char_ngrams:
-        return F.transform(words, lambda w: F.concat(F.lit("w:"), w))
-    return F.flatten(F.transform(words, lambda w: F.concat(
-        F.array(F.concat(F.lit("w:"), w)),
-        F.when(F.length(w) > 1,
-               F.transform(F.sequence(F.lit(1), F.length(w) - 1),
-                           lambda i: F.concat(F.lit("b:"), F.substring(w, i, 2))))
-        .otherwise(F.array().cast("array<string>")))))
+        return words
+    return F.concat(words, F.transform(_bigrams(text), lambda g: F.concat(F.lit("b:"), g)))
+
+
+def _bigrams(text: Column) -> Column:
+    # Every position followed by two non-blank characters starts a bigram: one
+    # linear scan of the cleaned text instead of a loop per word.
+    cleaned = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N} ]+", ""))
+    return F.regexp_extract_all(cleaned, F.lit("(?=([^ ]{2}))"), 1)
 
 
 def bucket_col(token: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -48,8 +58,12 @@ def bucket_col(token: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 def bucket_ids_col(text: Column, dim: int = DEFAULT_DIM, char_ngrams: bool = True) -> Column:
-    """ARRAY<BIGINT>: the bucket of every token of the text, in token order."""
-    return F.transform(tokens_col(text, char_ngrams), lambda t: bucket_col(t, dim))
+    """ARRAY<BIGINT>: the bucket of every token of the text (words, then bigrams)."""
+    words = F.transform(_clean_words(text), lambda w: bucket_col(F.concat(F.lit("w:"), w), dim))
+    if not char_ngrams:
+        return words
+    return F.concat(words, F.transform(_bigrams(text),
+                                       lambda g: bucket_col(F.concat(F.lit("b:"), g), dim)))
 
 
 def chunk_buckets(chunks: DataFrame, key_cols=("document_id", "chunk_index"), text_col: str = "text",

@@ -77,7 +77,7 @@ def knn_sparse(chunk_buckets: DataFrame, query_terms: DataFrame, k: int = 3,
         qm = QueryMatrix.from_payload(bc.value)
         for batch in batches:
             if batch.num_rows:
-                yield score_batch(batch, keys, qm, k, per_doc)
+                yield from score_batch(batch, keys, qm, k, per_doc)
 
     partial = chunk_buckets.select(*keys, "buckets").mapInArrow(score, schema)
     part = ["query_id"] + (["document_id"] if per_doc else [])

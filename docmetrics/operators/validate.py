@@ -21,44 +21,56 @@ def _m(catalog) -> Column:
     return F.element_at(catalog_map(catalog), F.col("metric_id"))
 
 
+def range_status(m: Column, v: Column) -> Column:
+    ok = (m["vmin"].isNull() | (v >= m["vmin"])) & (m["vmax"].isNull() | (v <= m["vmax"]))
+    return F.when(v.isNull(), "skip").when(ok, "pass").otherwise("fail")
+
+
+def recommended_severity(m: Column, v: Column) -> Column:
+    rec = m["recommended_min"]
+    return F.when(v.isNull() | rec.isNull(), "skip").when(v < rec, "warning").otherwise("ok")
+
+
+def type_status(m: Column, v: Column, unit: Column) -> Column:
+    t = m["type"]
+    ok = (F.when(t == "percentage", v.isNotNull() & (unit == "%"))
+          .when(t == "numerical", v.isNotNull())
+          .otherwise(F.lit(True)))
+    return F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
+
+
+def source_status(m: Column, kind: Column) -> Column:
+    ok = F.array_contains(m["possible_sources"], kind)
+    return F.when(kind.isNull(), "skip").when(ok, "pass").otherwise("fail")
+
+
 def validate_range(obs: DataFrame, catalog=ESG_CATALOG, value_col: str = "value") -> DataFrame:
     """VAL-1: min <= value <= max; a NULL bound passes, a NULL value is 'skip'."""
     m = _m(catalog)
-    v = F.col(value_col)
-    ok = (m["vmin"].isNull() | (v >= m["vmin"])) & (m["vmax"].isNull() | (v <= m["vmax"]))
     return obs.select("*", m["vmin"].alias("vmin"), m["vmax"].alias("vmax"),
-                      F.when(v.isNull(), "skip").when(ok, "pass").otherwise("fail").alias("status"))
+                      range_status(m, F.col(value_col)).alias("status"))
 
 
 def validate_recommended(obs: DataFrame, catalog=ESG_CATALOG, value_col: str = "value") -> DataFrame:
     """VAL-2: value below recommended_min is a warning, not an error."""
     m = _m(catalog)
-    v = F.col(value_col)
-    rec = m["recommended_min"]
-    sev = (F.when(v.isNull() | rec.isNull(), "skip")
-           .when(v < rec, "warning").otherwise("ok"))
-    return obs.select("*", rec.alias("recommended_min"), sev.alias("severity"))
+    return obs.select("*", m["recommended_min"].alias("recommended_min"),
+                      recommended_severity(m, F.col(value_col)).alias("severity"))
 
 
 def validate_type(obs: DataFrame, catalog=ESG_CATALOG, value_col: str = "value",
                   unit_col: str = "unit") -> DataFrame:
     """VAL-4: 'percentage' needs a % unit; 'numerical' needs a parsed number."""
     m = _m(catalog)
-    t = m["type"]
-    ok = (F.when(t == "percentage", F.col(value_col).isNotNull() & (F.col(unit_col) == "%"))
-          .when(t == "numerical", F.col(value_col).isNotNull())
-          .otherwise(F.lit(True)))
-    return obs.select("*", t.alias("type"),
-                      F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status"))
+    return obs.select("*", m["type"].alias("type"),
+                      type_status(m, F.col(value_col), F.col(unit_col)).alias("status"))
 
 
 def validate_source(obs: DataFrame, catalog=ESG_CATALOG, kind_col: str = "source_kind") -> DataFrame:
     """VAL-5: the evidence's source kind is one the metric allows."""
     m = _m(catalog)
-    ok = F.array_contains(m["possible_sources"], F.col(kind_col))
     return obs.select("*", F.array_join(m["possible_sources"], ",").alias("allowed"),
-                      F.when(F.col(kind_col).isNull(), "skip")
-                      .when(ok, "pass").otherwise("fail").alias("status"))
+                      source_status(m, F.col(kind_col)).alias("status"))
 
 
 def metric_trend(series: DataFrame, entity_cols=("entity",), metric_col: str = "metric_id",
@@ -89,31 +101,37 @@ def validate_trend(trends: DataFrame, catalog=ESG_CATALOG) -> DataFrame:
 
 
 def validation_report(obs: DataFrame, trends: DataFrame | None, id_col: str,
-                      catalog=ESG_CATALOG) -> DataFrame:
+                      catalog=ESG_CATALOG, value_col: str = "value", unit_col: str = "unit",
+                      kind_col: str = "source_kind") -> DataFrame:
     """VAL-6: one long frame of failures and warnings.
 
-    Columns: id, metric_id, rule, severity ('error'|'warning'), observed, expected.
+    Columns: id, metric_id, rule, severity ('error'|'warning'), observed,
+    expected. All four row rules are evaluated in one pass over ``obs`` (one
+    array of findings per row, exploded and filtered), not one scan per rule.
     """
     def fmt(c: Column) -> Column:
         return F.when(c.isNull(), F.lit("")).otherwise(F.format_string("%.4f", c))
 
-    base = [F.col(id_col).cast("string").alias("id"), "metric_id"]
-    r = validate_range(obs, catalog).filter(F.col("status") == "fail").select(
-        *base, F.lit("range").alias("rule"), F.lit("error").alias("severity"),
-        fmt(F.col("value")).alias("observed"),
-        F.concat(F.lit("["), fmt(F.col("vmin")), F.lit(", "), fmt(F.col("vmax")), F.lit("]"))
-        .alias("expected"))
-    rec = validate_recommended(obs, catalog).filter(F.col("severity") == "warning").select(
-        *base, F.lit("recommended").alias("rule"), F.lit("warning").alias("severity"),
-        fmt(F.col("value")).alias("observed"),
-        F.concat(F.lit(">= "), fmt(F.col("recommended_min"))).alias("expected"))
-    ty = validate_type(obs, catalog).filter(F.col("status") == "fail").select(
-        *base, F.lit("type").alias("rule"), F.lit("error").alias("severity"),
-        F.coalesce(F.col("unit"), F.lit("")).alias("observed"), F.col("type").alias("expected"))
-    src = validate_source(obs, catalog).filter(F.col("status") == "fail").select(
-        *base, F.lit("source").alias("rule"), F.lit("error").alias("severity"),
-        F.col("source_kind").alias("observed"), F.col("allowed").alias("expected"))
-    out = r.unionByName(rec).unionByName(ty).unionByName(src)
+    m = _m(catalog)
+    v = F.col(value_col)
+
+    def finding(rule, severity, observed, expected, hit):
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+                        observed.alias("observed"), expected.alias("expected"), hit.alias("hit"))
+
+    findings = F.array(
+        finding("range", "error", fmt(v),
+                F.concat(F.lit("["), fmt(m["vmin"]), F.lit(", "), fmt(m["vmax"]), F.lit("]")),
+                range_status(m, v) == "fail"),
+        finding("recommended", "warning", fmt(v), F.concat(F.lit(">= "), fmt(m["recommended_min"])),
+                recommended_severity(m, v) == "warning"),
+        finding("type", "error", F.coalesce(F.col(unit_col), F.lit("")), m["type"],
+                type_status(m, v, F.col(unit_col)) == "fail"),
+        finding("source", "error", F.col(kind_col), F.array_join(m["possible_sources"], ","),
+                source_status(m, F.col(kind_col)) == "fail"),
+    )
+    out = (obs.select(F.col(id_col).cast("string").alias("id"), "metric_id", F.inline(findings))
+           .filter(F.col("hit")).drop("hit"))
     if trends is not None:
         tr = validate_trend(trends, catalog).filter(F.col("status") == "fail").select(
             F.concat_ws("@", *[F.col(c).cast("string") for c in ("entity", "period")]).alias("id"),

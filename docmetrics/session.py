@@ -31,7 +31,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     for k, v in _LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "16g")
+    builder = builder.config("spark.driver.memory", "12g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
