@@ -12,16 +12,66 @@ operations in the same order as the SQL form, so results are bit-identical.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import regex
+
+# --- Fixed values -------------------------------------------------------------
+# Token cleaning: keep letters, digits and blanks (blanks separate words).
+_CLEAN = regex.compile(r"[^\p{L}\p{N} ]+")
+# ------------------------------------------------------------------------------
 
 
-def bucket_counts(buckets: pa.ListArray, dim: int):
-    """(row, bucket, tf) for the non-zero buckets of each list, plus norm2 per row."""
-    n = len(buckets)
-    offsets = buckets.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    vals = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+class TokenHasher:
+    """Text -> bucket ids of its tokens ('w:'+word, 'b:'+bigram inside a word).
+
+    Words are the blank-separated pieces of the text after dropping every
+    character that is not a letter, digit or blank, lower-cased. A bucket is
+    the first 32 bits of the token's md5 modulo ``dim``. Buckets are memoised
+    per task (vocabularies repeat heavily); the memo is bounded.
+    """
+
+    MAX_MEMO = 2_000_000
+
+    def __init__(self, dim: int, char_ngrams: bool = True):
+        self.dim = dim
+        self.char_ngrams = char_ngrams
+        self.memo: dict[str, int] = {}
+
+    def _bucket(self, tok: str) -> int:
+        v = self.memo.get(tok)
+        if v is None:
+            if len(self.memo) >= self.MAX_MEMO:
+                self.memo.clear()
+            v = int.from_bytes(hashlib.md5(tok.encode("utf-8")).digest()[:4], "big") % self.dim
+            self.memo[tok] = v
+        return v
+
+    def buckets(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        words = [w for w in _CLEAN.sub("", text).lower().split(" ") if w]
+        b = self._bucket
+        out = [b("w:" + w) for w in words]
+        if self.char_ngrams:
+            out += [b("b:" + w[i:i + 2]) for w in words for i in range(len(w) - 1)]
+        return out
+
+    def batch(self, texts: pa.Array):
+        """Flattened bucket ids of a text column: (offsets, values)."""
+        lists = [self.buckets(t) for t in texts.to_pylist()]
+        lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+        offsets = np.zeros(len(lists) + 1, dtype=np.int64)
+        np.cumsum(lens, out=offsets[1:])
+        vals = np.fromiter((v for x in lists for v in x), dtype=np.int64, count=int(offsets[-1]))
+        return offsets, vals
+
+
+def bucket_counts(offsets: np.ndarray, vals: np.ndarray, dim: int):
+    """(row, bucket, tf) for the non-zero buckets of each row, plus norm2 per row."""
+    n = len(offsets) - 1
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     key, tf = np.unique(rows * dim + vals, return_counts=True)
     r = key // dim
@@ -135,13 +185,13 @@ def partial_top_k(group, score, key_codes, k: int) -> np.ndarray:
 
 
 def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_document: bool,
-                buckets_col: str = "buckets"):
+                hasher: TokenHasher, text_col: str = "text"):
     """Partial top-k of one batch of chunks against all queries (yields batches).
 
     Output columns: query_id, key columns, dot, score — at most k rows per
     query (per query and document with ``per_document``) for each slice.
     """
-    r, b, tf, norm2 = bucket_counts(batch.column(buckets_col), qm.dim)
+    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), qm.dim)
     all_codes = [sort_codes(batch.column(c)) for c in key_cols]
     qn = np.sqrt(qm.qnorm2)
     for lo, hi in row_slices(r, b, batch.num_rows, qm):
@@ -165,9 +215,10 @@ def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_do
         yield pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "dot", "score"])
 
 
-def term_rows(batch: pa.RecordBatch, key_cols, dim: int, buckets_col: str = "buckets") -> pa.RecordBatch:
+def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
+              text_col: str = "text") -> pa.RecordBatch:
     """One row per (chunk, non-zero bucket): keys, bucket, tf, norm2."""
-    r, b, tf, norm2 = bucket_counts(batch.column(buckets_col), dim)
+    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), hasher.dim)
     take = pa.array(r)
     arrays = [batch.column(c).take(take) for c in key_cols]
     arrays += [pa.array(b, type=pa.int64()), pa.array(tf, type=pa.int64()),

@@ -19,7 +19,7 @@ from docmetrics.operators.candidates import (
     normalized_unit,
     normalized_value,
 )
-from docmetrics.operators.embed import DEFAULT_DIM, chunk_buckets, query_texts_from_catalog, query_vectors
+from docmetrics.operators.embed import DEFAULT_DIM, query_texts_from_catalog, query_vectors
 from docmetrics.operators.knn import checked_broadcast, knn_sparse, top_k
 
 # --- Fixed values ------------------------------------------------------------------
@@ -173,9 +173,8 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     spark = chunks.sparkSession
     keys = ["document_id", "chunk_index"]
     chunks = partition_chunks(chunks, keys)
-    cb = chunk_buckets(chunks, keys, "text", dim, char_ngrams, prepartitioned=True)
     qv = query_vectors(query_texts_from_catalog(spark, catalog), dim=dim, char_ngrams=char_ngrams)
-    hits = knn_sparse(cb, qv, k, keys, scope="document", dim=dim) \
+    hits = knn_sparse(chunks, qv, k, keys, scope="document", dim=dim, char_ngrams=char_ngrams) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")
     keywords = [kw for m in catalog for kw in m.keywords]
     units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)

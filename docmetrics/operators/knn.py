@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmetrics.functions.sparse import QueryMatrix, score_batch
+from docmetrics.functions.sparse import QueryMatrix, TokenHasher, score_batch
 
 log = logging.getLogger(__name__)
 
@@ -40,13 +40,15 @@ def top_k(scored: DataFrame, partition_cols, order_cols, k: int, name: str = "ra
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
-def knn_sparse(chunk_buckets: DataFrame, query_terms: DataFrame, k: int = 3,
+def knn_sparse(chunks: DataFrame, query_terms: DataFrame, k: int = 3,
                key_cols=("document_id", "chunk_index"), scope: str = "corpus",
-               dim: int | None = None, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
+               dim: int | None = None, text_col: str = "text", char_ngrams: bool = True,
+               max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """KNN-4: exact cosine over hashed term vectors.
 
-    ``chunk_buckets``: (keys, buckets ARRAY<BIGINT>) from ``chunk_buckets``;
-    ``query_terms``: (query_id, bucket, tf). ``scope='document'`` ranks per
+    ``chunks``: (keys, text), ideally hash-partitioned on the keys
+    (``partition_chunks``); ``query_terms``: (query_id, bucket, tf) from
+    ``query_vectors`` with the same ``dim``. ``scope='document'`` ranks per
     (query, document_id), which must be the first key.
 
     The query side is size-checked and broadcast as a sparse matrix; each task
@@ -61,25 +63,27 @@ def knn_sparse(chunk_buckets: DataFrame, query_terms: DataFrame, k: int = 3,
     rows = query_terms.select("query_id", "bucket", "tf").limit(max_broadcast + 1).collect()
     if len(rows) > max_broadcast:
         log.warning("query terms exceed %d rows; using the shuffle-join form", max_broadcast)
-        return knn_sparse_join(_terms_from_buckets(chunk_buckets, keys, dim), query_terms,
-                               k, keys, scope)
-    spark = chunk_buckets.sparkSession
+        from docmetrics.operators.embed import hash_embed
+        terms = hash_embed(chunks, keys, text_col, dim, char_ngrams, prepartitioned=True)
+        return knn_sparse_join(terms, query_terms, k, keys, scope)
+    spark = chunks.sparkSession
     payload = QueryMatrix.payload([r[0] for r in rows], [r[1] for r in rows],
                                   [r[2] for r in rows], dim)
     bc = spark.sparkContext.broadcast(payload)
     per_doc = scope == "document"
-    key_fields = [chunk_buckets.schema[c] for c in keys]
+    key_fields = [chunks.schema[c] for c in keys]
     schema = T.StructType([T.StructField("query_id", T.StringType())] + key_fields
                           + [T.StructField("dot", T.DoubleType()),
                              T.StructField("score", T.DoubleType())])
 
     def score(batches):
         qm = QueryMatrix.from_payload(bc.value)
+        hasher = TokenHasher(dim, char_ngrams)
         for batch in batches:
             if batch.num_rows:
-                yield from score_batch(batch, keys, qm, k, per_doc)
+                yield from score_batch(batch, keys, qm, k, per_doc, hasher, text_col)
 
-    partial = chunk_buckets.select(*keys, "buckets").mapInArrow(score, schema)
+    partial = chunks.select(*keys, text_col).mapInArrow(score, schema)
     part = ["query_id"] + (["document_id"] if per_doc else [])
     order = [F.col("score").desc()] + [F.col(c) for c in keys]
     return (top_k(partial, part, order, k)
@@ -87,12 +91,6 @@ def knn_sparse(chunk_buckets: DataFrame, query_terms: DataFrame, k: int = 3,
                     (F.lit(1.0) - F.col("score")).alias("distance")))
 
 
-def _terms_from_buckets(chunk_buckets: DataFrame, keys, dim) -> DataFrame:
-    t = (chunk_buckets.select(*keys, F.explode("buckets").alias("bucket"))
-         .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("tf")))
-    return t.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))
-
-
 def knn_sparse_join(chunk_terms: DataFrame, query_terms: DataFrame, k: int = 3,
                     key_cols=("document_id", "chunk_index"), scope: str = "corpus") -> DataFrame:
     """KNN-4 as relational operators, for query sets too large to broadcast.

@@ -145,9 +145,7 @@ def q_metric_query_vectors(spark, sf):
 
 
 def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT):
-    cb = E.chunk_buckets(partitioned_chunks(spark, sf), ["document_id", "chunk_index"],
-                         prepartitioned=True)
-    return K.knn_sparse(cb, E.query_vectors(queries), k)
+    return K.knn_sparse(partitioned_chunks(spark, sf), E.query_vectors(queries), k)
 
 
 def q_knn_sparse(spark, sf):
