@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 
@@ -49,24 +50,34 @@ class TokenHasher:
             self.memo[tok] = v
         return v
 
-    def buckets(self, text: str | None) -> list[int]:
+    def tokens(self, text: str | None) -> list[str]:
         if not text:
             return []
         words = [w for w in _CLEAN.sub("", text).lower().split(" ") if w]
-        b = self._bucket
-        out = [b("w:" + w) for w in words]
+        out = ["w:" + w for w in words]
         if self.char_ngrams:
-            out += [b("b:" + w[i:i + 2]) for w in words for i in range(len(w) - 1)]
+            out += ["b:" + w[i:i + 2] for w in words for i in range(len(w) - 1)]
         return out
 
+    def buckets(self, text: str | None) -> list[int]:
+        return [self._bucket(t) for t in self.tokens(text)]
+
     def batch(self, texts: pa.Array):
-        """Flattened bucket ids of a text column: (offsets, values)."""
-        lists = [self.buckets(t) for t in texts.to_pylist()]
+        """Flattened bucket ids of a text column: (offsets, values).
+
+        Tokens of the whole batch are factorised first, so md5 runs once per
+        distinct token of the batch (and not again for memoised ones).
+        """
+        lists = [self.tokens(t) for t in texts.to_pylist()]
         lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
         offsets = np.zeros(len(lists) + 1, dtype=np.int64)
         np.cumsum(lens, out=offsets[1:])
-        vals = np.fromiter((v for x in lists for v in x), dtype=np.int64, count=int(offsets[-1]))
-        return offsets, vals
+        flat = [t for x in lists for t in x]
+        if not flat:
+            return offsets, np.zeros(0, dtype=np.int64)
+        codes, uniques = pd.factorize(pd.Series(flat, dtype=object), sort=False)
+        ub = np.fromiter((self._bucket(u) for u in uniques), dtype=np.int64, count=len(uniques))
+        return offsets, ub[codes]
 
 
 def bucket_counts(offsets: np.ndarray, vals: np.ndarray, dim: int):
@@ -115,15 +126,31 @@ class QueryMatrix:
     def n(self) -> int:
         return len(self.ids)
 
+    def dense(self) -> np.ndarray | None:
+        """dim x n query matrix (float64, exact for integer counts), if small enough."""
+        if self.dim * self.n > DENSE_Q:
+            return None
+        if getattr(self, "_dense", None) is None:
+            q = np.zeros((self.dim, self.n), dtype=np.float64)
+            b = np.repeat(np.arange(self.dim), np.diff(self.qptr))
+            q[b, self.qidx] = self.qval
+            self._dense = q
+        return self._dense
+
 
 # Work bound per slice: (term, query) pairs expanded at once, and cells of the
-# dense (row x query) accumulator.
+# dense (row x query) accumulator. Query matrices up to DENSE_Q cells are used
+# densely (rows x dim times dim x queries); larger ones by sparse expansion.
 MAX_PAIRS = 2_000_000
 MAX_CELLS = 4_000_000
+DENSE_Q = 8_000_000
 
 
 def row_slices(r, b, n_rows: int, qm: "QueryMatrix"):
     """Split rows 0..n_rows-1 into consecutive slices whose pair expansion is bounded."""
+    if qm.dense() is not None:
+        step = max(1, MAX_CELLS // max(qm.dim, qm.n))
+        return [(lo, min(lo + step, n_rows)) for lo in range(0, n_rows, step)]
     cnt = qm.qptr[b + 1] - qm.qptr[b]
     per_row = np.bincount(r, weights=cnt, minlength=n_rows)
     max_rows = max(1, MAX_CELLS // max(qm.n, 1))
@@ -144,6 +171,11 @@ def dot_block(r, b, tf, lo: int, hi: int, qm: "QueryMatrix") -> np.ndarray:
     """Dense (hi-lo) x n_queries block of exact integer dot products."""
     i, j = np.searchsorted(r, lo), np.searchsorted(r, hi)   # r is sorted
     rr, bb, tt = r[i:j] - lo, b[i:j], tf[i:j]
+    qd = qm.dense()
+    if qd is not None:
+        m = np.zeros((hi - lo, qm.dim), dtype=np.float64)
+        m[rr, bb] = tt
+        return m @ qd
     start = qm.qptr[bb]
     cnt = qm.qptr[bb + 1] - start
     total = int(cnt.sum())
@@ -194,14 +226,22 @@ def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_do
     r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), qm.dim)
     all_codes = [sort_codes(batch.column(c)) for c in key_cols]
     qn = np.sqrt(qm.qnorm2)
+    cn_all = np.sqrt(norm2.astype(np.float64))
     for lo, hi in row_slices(r, b, batch.num_rows, qm):
         block = dot_block(r, b, tf, lo, hi, qm)
-        rows, qs = np.nonzero(block)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sblock = np.where(block > 0, block / (qn[None, :] * cn_all[lo:hi, None]), 0.0)
+        if not per_document and block.shape[0] > k:
+            # Only cells at or above each query's k-th best score can make its
+            # top k (ties kept); the exact order is settled below.
+            kth = -np.partition(-sblock, k - 1, axis=0)[k - 1]
+            sblock = np.where(sblock >= np.maximum(kth, 1e-300)[None, :], sblock, 0.0)
+        rows, qs = np.nonzero(sblock)
         if len(rows) == 0:
             continue
         dot = block[rows, qs]
+        score = sblock[rows, qs]
         rows = rows + lo
-        score = dot / (qn[qs] * np.sqrt(norm2[rows].astype(np.float64)))
         codes = [c[rows] for c in all_codes]
         if per_document:
             group = qs * (int(all_codes[0].max(initial=0)) + 1) + codes[0]
