@@ -262,7 +262,7 @@ def event_answers(spark, sf) -> DataFrame:
     e = _t(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
     units = {m.metric_id: m.unit for m in ESG_CATALOG}
     metric = _case(F.col("event_type"), EVENT_METRIC)
-    unit = _case(metric, units)
+    unit = _case(F.col("event_type"), {e: units[m] for e, m in EVENT_METRIC.items()})
     v = F.format_string("%.2f", F.col("value"))
     vtext = F.concat(v, unit)
     conf = F.format_string("%.4f", F.least(F.col("value") / F.lit(500.0), F.lit(1.0)))
