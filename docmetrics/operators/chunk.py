@@ -128,6 +128,14 @@ def verbalize_table(table_text: Column, table_no: Column) -> Column:
     )
 
 
+def verbalize_sheet(table_text: Column, sheet_name: Column) -> Column:
+    """TXT-6: '\n工作表: name\n' + header and body rows, cells blank-joined."""
+    lines = _lines(table_text)
+    rows = F.filter(lines, lambda l, i: i != 1)
+    body = F.array_join(F.transform(rows, lambda r: F.array_join(row_cells(r), " ")), "\n")
+    return F.concat(F.lit("\n工作表: "), sheet_name, F.lit("\n"), body, F.lit("\n"))
+
+
 def tables_text_col(elements: Column) -> Column:
     """All parsed tables of a document as one text, table numbers from 1 (WIN-2)."""
     tables = parsed_tables_col(elements)

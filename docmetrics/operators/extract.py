@@ -73,15 +73,16 @@ def parse_responses(responses: DataFrame, response_col: str = "response") -> Dat
     has_all = F.lit(True)
     for k in REQUIRED_KEYS:
         has_all = has_all & F.array_contains(keys, F.lit(k))
-    p = F.from_json(r, ANSWER_SCHEMA)
     reason = (F.when(keys.isNull(), F.lit("not an object"))
               .when(~has_all, F.lit("missing key")))
-    return responses.select(
-        "*",
-        p["value"].alias("value"), p["source"].alias("source"),
-        p["confidence"].try_cast("double").alias("confidence"),
-        F.coalesce(p["trend"], F.lit("")).alias("trend"),
-        reason.alias("reason"),
+    # One parse per answer: the struct is a column of its own, fields are read from it.
+    staged = responses.select("*", F.from_json(r, ANSWER_SCHEMA).alias("_p"), reason.alias("reason"))
+    return staged.select(
+        *[c for c in responses.columns],
+        F.col("_p.value").alias("value"), F.col("_p.source").alias("source"),
+        F.col("_p.confidence").try_cast("double").alias("confidence"),
+        F.coalesce(F.col("_p.trend"), F.lit("")).alias("trend"),
+        "reason",
     )
 
 

@@ -294,7 +294,12 @@ def event_answers(spark, sf) -> DataFrame:
 
 
 def _parsed(spark, sf):
-    return X.parse_responses(event_answers(spark, sf))
+    # The answers table stands in for stored model output: it is written once
+    # to the shared checkpoint folder, so parsing reads a materialised table
+    # (and its filters are not pushed back into the generator's single input task).
+    from docmetrics.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return X.parse_responses(event_answers(spark, sf).checkpoint(eager=True))
 
 
 def _results(spark, sf):
