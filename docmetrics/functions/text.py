@@ -9,6 +9,7 @@ truncates it.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -131,6 +132,7 @@ def markdown_elements(text: str | None) -> list[tuple[int, str, str]]:
 _STR_LIST = pa.list_(pa.string())
 
 
+@lru_cache(maxsize=None)
 def _chunks_of(limit, max_word):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunk_texts(texts: pa.Array) -> pa.Array:
@@ -154,6 +156,7 @@ def word_chunks_col(texts: Column, limit: int = CHUNK_LIMIT, max_word: int | Non
     return _chunks_of(limit, max_word)(texts)
 
 
+@lru_cache(maxsize=None)
 def _lines_of(limit):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunk_lines(texts: pa.Array) -> pa.Array:

@@ -55,7 +55,15 @@ def partition_chunks(chunks: DataFrame, key_cols=("document_id", "chunk_index"))
     CPU-heavy partitions; every branch that reads the result reuses the one
     exchange.
     """
-    return chunks.repartition(parallelism(chunks.sparkSession), *_keys(key_cols))
+    keys = _keys(key_cols)
+    # Chunk keys are never NULL; stating it before the exchange keeps joins from
+    # pushing an inferred not-null filter into one consumer only, which would
+    # make the branches differ and defeat exchange reuse.
+    not_null = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        not_null = c if not_null is None else not_null & c
+    return chunks.filter(not_null).repartition(parallelism(chunks.sparkSession), *keys)
 
 
 def chunk_words(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",

@@ -162,10 +162,13 @@ def _keyword_map(spark, catalog) -> DataFrame:
 
 
 def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int = DEFAULT_DIM,
-                    char_ngrams: bool = True, lowercase: bool = False) -> DataFrame:
+                    char_ngrams: bool = True, lowercase: bool = False,
+                    prepartitioned: bool = False) -> DataFrame:
     """Rule extraction per (document, metric) over the document's top-k chunks.
 
-    ``chunks``: (document_id, chunk_index, source_kind, text). A candidate is a
+    ``chunks``: (document_id, chunk_index, source_kind, text); read twice (for
+    vectors and for candidates), so pass a materialised table (``checkpoint``)
+    or accept that the chunks are computed twice. A candidate is a
     metric keyword (name or alias) with a number after it in one of the
     metric's k nearest chunks of that document. The best candidate wins by unit
     match, shortest gap, chunk rank, chunk index, keyword and match ordinal.
@@ -173,7 +176,8 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     from docmetrics.operators.chunk import partition_chunks
     spark = chunks.sparkSession
     keys = ["document_id", "chunk_index"]
-    chunks = partition_chunks(chunks, keys)
+    if not prepartitioned:
+        chunks = partition_chunks(chunks, keys)
     qv = query_vectors(query_texts_from_catalog(spark, catalog), dim=dim, char_ngrams=char_ngrams)
     hits = knn_sparse(chunks, qv, k, keys, scope="document", dim=dim, char_ngrams=char_ngrams) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")

@@ -54,8 +54,11 @@ def _r6(c) -> Column:
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang")
-    fx = spark.createDataFrame([(d, t, "fixture", "zh") for d, _, _, t in REPORTS],
-                               "document_id string, text string, source string, lang string")
+    # Fixture rows as literals: the same plan every time, so exchanges over it can be reused.
+    fx = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(d).alias("document_id"), F.lit(t).alias("text"),
+                 F.lit("fixture").alias("source"), F.lit("zh").alias("lang"))
+        for d, _, _, t in REPORTS])))
     return docs.unionByName(fx)
 
 
@@ -63,6 +66,20 @@ def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return C.document_chunks(corpus(spark, sf), keep_cols=("source", "lang"))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder and read it back.
+
+    For intermediate tables read by several branches of one plan: the work
+    runs once, and the lineage is cut (a lost executor re-reads the files
+    instead of recomputing from the documents).
+    """
+    from docmetrics.session import scratch_dir
+    spark = df.sparkSession
+    path = scratch_dir(spark, "tables")
+    df.write.parquet(path)       # one job; checkpoint() would run the plan twice
+    return spark.read.parquet(path)
+
+
 def partitioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks hash-partitioned on (document_id, chunk_index): one exchange that
     every consumer (terms, candidates, text lookups) reuses."""
@@ -144,8 +161,9 @@ def q_metric_query_vectors(spark, sf):
     return E.query_vectors(benchmark_queries(spark, sf))
 
 
-def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT):
-    return K.knn_sparse(partitioned_chunks(spark, sf), E.query_vectors(queries), k)
+def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT, chunks: DataFrame | None = None):
+    pc = chunks if chunks is not None else partitioned_chunks(spark, sf)
+    return K.knn_sparse(pc, E.query_vectors(queries), k)
 
 
 def q_knn_sparse(spark, sf):
@@ -155,20 +173,21 @@ def q_knn_sparse(spark, sf):
 
 def q_metric_context(spark, sf):
     queries = benchmark_queries(spark, sf)
-    hits = _sparse_hits(spark, sf, queries)
-    return X.retrieval_context(hits, partitioned_chunks(spark, sf),
-                               max_hits=K_DEFAULT * queries.count())
+    pc = partitioned_chunks(spark, sf)     # one exchange, read by both branches
+    hits = _sparse_hits(spark, sf, queries, chunks=pc)
+    return X.retrieval_context(hits, pc, max_hits=K_DEFAULT * queries.count())
 
 
 def q_metric_prompt(spark, sf):
-    hits = _sparse_hits(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG))
-    ctx = X.retrieval_context(hits, partitioned_chunks(spark, sf),
-                              max_hits=K_DEFAULT * len(ALL_CATALOG))
+    pc = partitioned_chunks(spark, sf)
+    hits = _sparse_hits(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG), chunks=pc)
+    ctx = X.retrieval_context(hits, pc, max_hits=K_DEFAULT * len(ALL_CATALOG))
     return X.prompts(ctx, ALL_CATALOG)
 
 
-def _extracted(spark, sf):
-    return X.extract_metrics(partitioned_chunks(spark, sf), ALL_CATALOG, k=K_DEFAULT, lowercase=True)
+def _extracted(spark, sf, chunks: DataFrame | None = None):
+    pc = chunks if chunks is not None else materialized(partitioned_chunks(spark, sf))
+    return X.extract_metrics(pc, ALL_CATALOG, k=K_DEFAULT, lowercase=True, prepartitioned=True)
 
 
 def q_extract_metrics(spark, sf):
@@ -176,7 +195,8 @@ def q_extract_metrics(spark, sf):
 
 
 def q_doc_summary(spark, sf):
-    return R.doc_summary(partitioned_chunks(spark, sf), _extracted(spark, sf))
+    pc = materialized(partitioned_chunks(spark, sf))
+    return R.doc_summary(pc, _extracted(spark, sf, pc))
 
 
 # --- vectors world -----------------------------------------------------------------------
@@ -297,9 +317,7 @@ def _parsed(spark, sf):
     # The answers table stands in for stored model output: it is written once
     # to the shared checkpoint folder, so parsing reads a materialised table
     # (and its filters are not pushed back into the generator's single input task).
-    from docmetrics.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return X.parse_responses(event_answers(spark, sf).checkpoint(eager=True))
+    return X.parse_responses(materialized(event_answers(spark, sf)))
 
 
 def _results(spark, sf):
