@@ -30,8 +30,9 @@ class TokenHasher:
 
     Words are the blank-separated pieces of the text after dropping every
     character that is not a letter, digit or blank, lower-cased. A bucket is
-    the first 32 bits of the token's md5 modulo ``dim``. Buckets are memoised
-    per task (vocabularies repeat heavily); the memo is bounded.
+    the first 32 bits of the token's md5 modulo ``dim``. Bigrams are found as
+    pairs of adjacent non-blank code points with numpy; md5 runs once per
+    distinct word or bigram and is memoised per task (the memo is bounded).
     """
 
     MAX_MEMO = 2_000_000
@@ -39,51 +40,56 @@ class TokenHasher:
     def __init__(self, dim: int, char_ngrams: bool = True):
         self.dim = dim
         self.char_ngrams = char_ngrams
-        self.memo: dict[str, int] = {}
-
-    def _bucket(self, tok: str) -> int:
-        v = self.memo.get(tok)
-        if v is None:
-            if len(self.memo) >= self.MAX_MEMO:
-                self.memo.clear()
-            v = int.from_bytes(hashlib.md5(tok.encode("utf-8")).digest()[:4], "big") % self.dim
-            self.memo[tok] = v
-        return v
-
-    def tokens(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        words = [w for w in _CLEAN.sub("", text).lower().split(" ") if w]
-        out = ["w:" + w for w in words]
-        if self.char_ngrams:
-            out += ["b:" + w[i:i + 2] for w in words for i in range(len(w) - 1)]
-        return out
+        self.words: dict[str, int] = {}
+        self.pairs: dict[int, int] = {}
+
+    def _md5_bucket(self, tok: str) -> int:
+        return int.from_bytes(hashlib.md5(tok.encode("utf-8")).digest()[:4], "big") % self.dim
 
     def buckets(self, text: str | None) -> list[int]:
-        return [self._bucket(t) for t in self.tokens(text)]
+        """Bucket ids of one text (words first, then bigrams)."""
+        rows, vals = self.batch(pa.array([text], type=pa.string()))
+        return vals.tolist()
 
     def batch(self, texts: pa.Array):
-        """Flattened bucket ids of a text column: (offsets, values).
-
-        Tokens of the whole batch are factorised first, so md5 runs once per
-        distinct token of the batch (and not again for memoised ones).
-        """
-        lists = [self.tokens(t) for t in texts.to_pylist()]
-        lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-        offsets = np.zeros(len(lists) + 1, dtype=np.int64)
-        np.cumsum(lens, out=offsets[1:])
-        flat = [t for x in lists for t in x]
-        if not flat:
-            return offsets, np.zeros(0, dtype=np.int64)
-        codes, uniques = pd.factorize(pd.Series(flat, dtype=object), sort=False)
-        ub = np.fromiter((self._bucket(u) for u in uniques), dtype=np.int64, count=len(uniques))
-        return offsets, ub[codes]
-
-
-def bucket_counts(offsets: np.ndarray, vals: np.ndarray, dim: int):
+        """(row, bucket) of every token of a text column, as two int64 arrays."""
+        cleaned = [_CLEAN.sub("", t).lower() if t else "" for t in texts.to_pylist()]
+        # words
+        words = [[w for w in c.split(" ") if w] for c in cleaned]
+        flat = [w for ws in words for w in ws]
+        if len(self.words) > self.MAX_MEMO:
+            self.words.clear()
+        for w in set(flat).difference(self.words):
+            self.words[w] = self._md5_bucket("w:" + w)
+        vals_w = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
+        rows_w = np.repeat(np.arange(len(words), dtype=np.int64),
+                           np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        if not self.char_ngrams:
+            return rows_w, vals_w
+        # bigrams: adjacent non-blank code points; texts joined by a blank never pair up
+        joined = " ".join(cleaned) + " "
+        cp = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        pos = np.flatnonzero((cp[:-1] != 32) & (cp[1:] != 32))
+        codes = (cp[pos] << 21) | cp[pos + 1]
+        lens = np.fromiter((len(c) + 1 for c in cleaned), dtype=np.int64, count=len(cleaned))
+        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        rows_b = np.searchsorted(starts, pos, side="right") - 1
+        inv, uniq = pd.factorize(codes, sort=False)   # hashing, not sorting
+        if len(self.pairs) > self.MAX_MEMO:
+            self.pairs.clear()
+        memo = self.pairs
+        ub = np.empty(len(uniq), dtype=np.int64)
+        for i, c in enumerate(uniq.tolist()):
+            v = memo.get(c)
+            if v is None:
+                v = self._md5_bucket("b:" + chr(c >> 21) + chr(c & 0x1FFFFF))
+                memo[c] = v
+            ub[i] = v
+        return np.concatenate((rows_w, rows_b)), np.concatenate((vals_w, ub[inv]))
+
+
+def bucket_counts(rows: np.ndarray, vals: np.ndarray, n: int, dim: int):
     """(row, bucket, tf) for the non-zero buckets of each row, plus norm2 per row."""
-    n = len(offsets) - 1
-    rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     key, tf = np.unique(rows * dim + vals, return_counts=True)
     r = key // dim
     b = key % dim
@@ -223,7 +229,7 @@ def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_do
     Output columns: query_id, key columns, dot, score — at most k rows per
     query (per query and document with ``per_document``) for each slice.
     """
-    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), qm.dim)
+    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, qm.dim)
     all_codes = [sort_codes(batch.column(c)) for c in key_cols]
     qn = np.sqrt(qm.qnorm2)
     cn_all = np.sqrt(norm2.astype(np.float64))
@@ -258,7 +264,7 @@ def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_do
 def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
               text_col: str = "text") -> pa.RecordBatch:
     """One row per (chunk, non-zero bucket): keys, bucket, tf, norm2."""
-    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), hasher.dim)
+    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, hasher.dim)
     take = pa.array(r)
     arrays = [batch.column(c).take(take) for c in key_cols]
     arrays += [pa.array(b, type=pa.int64()), pa.array(tf, type=pa.int64()),
