@@ -270,3 +270,68 @@ def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
     arrays += [pa.array(b, type=pa.int64()), pa.array(tf, type=pa.int64()),
                pa.array(norm2[r], type=pa.int64())]
     return pa.RecordBatch.from_arrays(arrays, names=[*key_cols, "bucket", "tf", "norm2"])
+
+
+def dense_matrix(column: pa.Array, width: int):
+    """ARRAY<FLOAT> column -> (rows x width float64 matrix, valid mask).
+
+    A row is valid when it is non-null, has exactly ``width`` elements and
+    none of them is null or NaN; invalid rows get zeros and are masked out.
+    """
+    n = len(column)
+    out = np.zeros((n, width), dtype=np.float64)
+    valid = np.zeros(n, dtype=bool)
+    if n == 0:
+        return out, valid
+    offsets = column.offsets.to_numpy()
+    values = column.flatten()
+    vals = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    if values.null_count:
+        vals[~values.is_valid().to_numpy(zero_copy_only=False)] = np.nan
+    lens = np.diff(offsets)
+    ok = (lens == width) & column.is_valid().to_numpy(zero_copy_only=False)
+    idx = np.flatnonzero(ok)
+    if len(idx):
+        starts = offsets[:-1][idx] - offsets[0]
+        block = vals[starts[:, None] + np.arange(width)[None, :]]
+        good = ~np.isnan(block).any(axis=1)
+        out[idx[good]] = block[good]
+        valid[idx[good]] = True
+    return out, valid
+
+
+def dense_score_batch(batch: pa.RecordBatch, key_cols, vec_col: str, qids, q: np.ndarray,
+                      k: int, metric: str):
+    """Partial top-k (smallest distance, then keys) per query for one batch.
+
+    Cosine distance is 1 - v.q / (|v| |q|) (zero norms excluded); L2 is the
+    square root of the summed squared differences.
+    """
+    v, valid = dense_matrix(batch.column(vec_col), q.shape[1])
+    rows = np.flatnonzero(valid)
+    if len(rows) == 0:
+        return None
+    v = v[rows]
+    if metric == "cosine":
+        vn = np.sqrt((v * v).sum(axis=1))
+        qn = np.sqrt((q * q).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - (v @ q.T) / (vn[:, None] * qn[None, :])
+        d[(vn[:, None] * qn[None, :]) == 0] = np.nan
+    else:
+        # Direct sums of squared differences (no |v|^2 + |q|^2 - 2 v.q
+        # cancellation), a few queries at a time to bound memory.
+        d = np.empty((len(rows), len(q)), dtype=np.float64)
+        step = max(1, MAX_CELLS // max(1, v.shape[0] * v.shape[1]))
+        for j in range(0, len(q), step):
+            diff = v[:, None, :] - q[None, j:j + step, :]
+            d[:, j:j + step] = np.sqrt((diff * diff).sum(axis=2))
+    r, qs = np.nonzero(~np.isnan(d))
+    dist = d[r, qs]
+    codes = [sort_codes(batch.column(c))[rows][r] for c in key_cols]
+    sel = partial_top_k(qs, -dist, codes, k)
+    take = pa.array(rows[r[sel]])
+    arrays = [pa.array([qids[i] for i in qs[sel]], type=pa.string())]
+    arrays += [batch.column(c).take(take) for c in key_cols]
+    arrays += [pa.array(dist[sel], type=pa.float64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "distance"])

@@ -1,21 +1,24 @@
-"""Exact k-nearest-neighbour joins (JN-2, JN-6, KNN-1..4, TOPK-1, PRJ-3).
+"""Exact k-nearest-neighbour search (JN-2, JN-6, KNN-1..4, TOPK-1, PRJ-3).
 
 The query side is small (metric questions, benchmark items, class centroids)
 and its row count is checked before it is broadcast; the chunk/vector side is
-streamed and never shuffled for scoring. Top-k runs as
-``row_number() <= k``, which Catalyst turns into a partial WindowGroupLimit
-before the exchange, so each task sends at most k rows per query onwards.
+streamed and never shuffled for scoring. Scoring runs per Arrow batch with
+numpy and keeps an exact partial top-k per query, so no (query, chunk) pair
+rows exist; the final ``row_number() <= k`` (Catalyst's WindowGroupLimit,
+partial and final) ranks at most k rows per query per task.
 """
 
 from __future__ import annotations
 
 import logging
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmetrics.functions.sparse import QueryMatrix, TokenHasher, score_batch
+from docmetrics.functions.sparse import QueryMatrix, TokenHasher, dense_score_batch, score_batch
 
 log = logging.getLogger(__name__)
 
@@ -141,26 +144,62 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
               max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """KNN-1 (cosine) / KNN-2 (L2) over ARRAY<FLOAT> vectors, exact and exhaustive.
 
-    ``scope_col`` (JN-6) restricts each query to vectors with the same value
-    of that column (an equi-join instead of a nested loop). Vectors whose
-    width differs from the query's, or with a zero norm under cosine, get a
-    NULL distance and drop out. Output: query_id, keys, rank, distance, score.
+    Without ``scope_col`` the query side (at most ``max_broadcast`` rows,
+    checked) is broadcast as one matrix and every task scores its Arrow batches
+    with numpy, keeping an exact partial top-k per query; no pair rows are
+    produced and no join is planned. With ``scope_col`` (JN-6) each query only
+    sees vectors with the same value of that column: an equi-join on it.
+    Vectors whose width differs from the queries', with NULL/NaN elements, or
+    with a zero norm under cosine get no distance and drop out.
+    Output: query_id, [scope_col], keys, rank, distance, score (= 1 - distance).
     """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
     keys = list(key_cols)
-    vcols = [*keys, vec_col] + ([scope_col] if scope_col else [])
-    v = vectors.select(*vcols)
-    qcols = ["query_id", query_vec_col] + ([scope_col] if scope_col else [])
-    q = queries.select(*qcols)
+    if scope_col:
+        return _knn_dense_scoped(vectors, queries, k, metric, keys, vec_col, query_vec_col,
+                                 scope_col, max_broadcast)
+    rows = queries.select("query_id", query_vec_col).limit(max_broadcast + 1).collect()
+    if len(rows) > max_broadcast:
+        raise ValueError(f"more than {max_broadcast} dense queries: split the query set "
+                         "or give a scope column")
+    rows = [r for r in rows if r[1] is not None]
+    widths = {len(r[1]) for r in rows}
+    if len(widths) > 1:
+        raise ValueError("query vectors differ in width")
+    spark = vectors.sparkSession
+    qids = [r[0] for r in rows]
+    qmat = np.array([[float("nan") if x is None else float(x) for x in r[1]] for r in rows],
+                    dtype=np.float64).reshape(len(rows), widths.pop() if widths else 0)
+    bc = spark.sparkContext.broadcast((qids, qmat))
+    key_fields = [vectors.schema[c] for c in keys]
+    schema = T.StructType([T.StructField("query_id", T.StringType())] + key_fields
+                          + [T.StructField("distance", T.DoubleType())])
+
+    def score(batches):
+        ids, q = bc.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                out = dense_score_batch(batch, keys, vec_col, ids, q, k, metric)
+                if out is not None:
+                    yield out
+
+    partial = vectors.select(*keys, vec_col).mapInArrow(score, schema)
+    order = [F.col("distance").asc()] + [F.col(c) for c in keys]
+    return (top_k(partial, ["query_id"], order, k)
+            .select("query_id", *keys, "rank", "distance",
+                    (F.lit(1.0) - F.col("distance")).alias("score")))
+
+
+def _knn_dense_scoped(vectors, queries, k, metric, keys, vec_col, query_vec_col, scope_col,
+                      max_broadcast):
+    v = vectors.select(*keys, vec_col, scope_col)
+    q = queries.select("query_id", query_vec_col, scope_col)
     if metric == "cosine":
         v = v.withColumn("_vn", norm_col(F.col(vec_col)))
         q = q.withColumn("_qn", norm_col(F.col(query_vec_col)))
-    elif metric != "l2":
-        raise ValueError(f"unknown metric {metric!r}")
     q, _ = checked_broadcast(q, max_broadcast)
-    if scope_col:
-        j = v.join(q, scope_col)
-    else:
-        j = v.crossJoin(q)
+    j = v.join(q, scope_col)
     same = F.size(F.col(vec_col)) == F.size(F.col(query_vec_col))
     if metric == "cosine":
         denom = F.col("_vn") * F.col("_qn")
@@ -168,11 +207,11 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
                       F.lit(1.0) - dot_col(F.col(vec_col), F.col(query_vec_col)) / denom)
     else:
         dist = F.when(same, l2_col(F.col(vec_col), F.col(query_vec_col)))
-    part = ["query_id"] + ([scope_col] if scope_col else [])
-    scored = j.select(*part, *[c for c in keys if c not in part], dist.alias("distance")) \
-        .filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
-    order = [F.col("distance").asc()] + [F.col(c) for c in keys]
+    part = ["query_id", scope_col]
     out_keys = [c for c in keys if c not in part]
+    scored = j.select(*part, *out_keys, dist.alias("distance")) \
+        .filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    order = [F.col("distance").asc()] + [F.col(c) for c in out_keys]
     return (top_k(scored, part, order, k)
             .select(*part, *out_keys, "rank", "distance",
                     (F.lit(1.0) - F.col("distance")).alias("score")))

@@ -65,7 +65,7 @@ def test_knn_dense_scoped_and_plan(spark):
     out = K.knn_dense(vdf, qdf, 1, "cosine", key_cols=("chunk_index",), scope_col="document_id")
     assert sorted((r.document_id, r.chunk_index) for r in out.collect()) == [(0, 1), (1, 1), (2, 1)]
     plan = K.knn_dense(vdf, qdf.drop("document_id"), 2).select("*")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+    assert "MapInArrow" in plan and "Join" not in plan and "CartesianProduct" not in plan
 
 
 def _texts():
