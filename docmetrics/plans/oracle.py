@@ -37,7 +37,7 @@ def q(s: str) -> str:
 
 
 def _num(v) -> str:
-    return "NULL" if v is None else repr(float(v))
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
 
 
 def catalog_values(catalog) -> str:
