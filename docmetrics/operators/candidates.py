@@ -42,32 +42,37 @@ def candidate_pattern(keyword: str, units: str, max_gap: int | None = None) -> s
 
 def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
                       key_cols=("document_id", "chunk_index"), text_col: str = "text",
-                      units=BASE_UNITS + CATALOG_UNITS, lowercase: bool = False,
+                      units=BASE_UNITS + CATALOG_UNITS, ignore_case: bool = False,
                       max_gap: int | None = None, keep_cols=()) -> DataFrame:
     """(keys, keyword, ordinal INT, context, gap INT, value_raw, unit).
 
     Matches of one keyword do not overlap; ``ordinal`` numbers them from 0 in
-    text order. ``unit`` is NULL when no unit follows.
+    text order. ``unit`` is NULL when no unit follows. ``ignore_case`` matches
+    keywords and units without regard to (ASCII) case; the context keeps the
+    text as written.
     """
     keys = list(key_cols)
     ualt = unit_alternation(units)
-    text = F.lower(F.col(text_col)) if lowercase else F.col(text_col)
+    flag = "(?i)" if ignore_case else ""
+    text = F.col("_t")
+    probe = F.lower(text) if ignore_case else text
     per_kw = []
     for kw in dict.fromkeys(keywords):
-        pat = candidate_pattern(kw, ualt, max_gap)
+        pat = flag + candidate_pattern(kw, ualt, max_gap)
+        needle = kw.lower() if ignore_case else kw
         per_kw.append(F.struct(
             F.lit(kw).alias("keyword"),
-            F.when(F.instr(F.col("_t"), kw) > 0, F.regexp_extract_all(F.col("_t"), F.lit(pat), 0))
+            F.when(F.instr(probe, needle) > 0, F.regexp_extract_all(text, F.lit(pat), 0))
             .otherwise(F.array().cast("array<string>")).alias("ctx")))
     # Every match holds a digit: chunks without one cannot match and skip the
     # (backtracking) pattern scans entirely.
-    src = chunks.select(*keys, *keep_cols, text.alias("_t")).filter(F.col("_t").rlike("[0-9]"))
+    src = chunks.select(*keys, *keep_cols, F.col(text_col).alias("_t")).filter(text.rlike("[0-9]"))
     found = src.select(*keys, *keep_cols, F.inline(F.array(*per_kw)))
     found = found.select(*keys, *keep_cols, "keyword",
                          F.posexplode("ctx").alias("ordinal", "context"))
     # Re-split each match (anchored, same pattern shape) into its parts.
     rest = F.substring(F.col("context"), F.length("keyword") + 1, 1 << 30)
-    parts = f"^({STOP_CLASS}*?)({NUMBER})[ \t]*({ualt})?$"
+    parts = f"{flag}^({STOP_CLASS}*?)({NUMBER})[ \t]*({ualt})?$"
     return found.select(
         *keys, *keep_cols, "keyword", "ordinal", "context",
         F.length(F.regexp_extract(rest, parts, 1)).alias("gap"),

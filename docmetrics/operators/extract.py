@@ -162,7 +162,7 @@ def _keyword_map(spark, catalog) -> DataFrame:
 
 
 def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int = DEFAULT_DIM,
-                    char_ngrams: bool = True, lowercase: bool = False,
+                    char_ngrams: bool = True, ignore_case: bool = False,
                     prepartitioned: bool = False) -> DataFrame:
     """Rule extraction per (document, metric) over the document's top-k chunks.
 
@@ -184,7 +184,7 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     keywords = [kw for m in catalog for kw in m.keywords]
     units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)
     cands = metric_candidates(chunks, keywords, keys, "text", units=units,
-                              lowercase=lowercase, keep_cols=("source_kind",))
+                              ignore_case=ignore_case, keep_cols=("source_kind",))
     kwmap = F.broadcast(_keyword_map(spark, catalog))
     j = cands.join(kwmap, "keyword").join(hits, ["metric_id", *keys])
     m = F.element_at(catalog_map(catalog), F.col("metric_id"))

@@ -137,7 +137,7 @@ def q_metric_fanout(spark, sf):
 
 def _candidates(spark, sf):
     ch = partitioned_chunks(spark, sf)
-    return metric_candidates(ch, CANDIDATE_KEYWORDS, lowercase=True)
+    return metric_candidates(ch, CANDIDATE_KEYWORDS, ignore_case=True)
 
 
 def q_metric_candidates(spark, sf):
@@ -187,7 +187,7 @@ def q_metric_prompt(spark, sf):
 
 def _extracted(spark, sf, chunks: DataFrame | None = None):
     pc = chunks if chunks is not None else materialized(partitioned_chunks(spark, sf))
-    return X.extract_metrics(pc, ALL_CATALOG, k=K_DEFAULT, lowercase=True, prepartitioned=True)
+    return X.extract_metrics(pc, ALL_CATALOG, k=K_DEFAULT, ignore_case=True, prepartitioned=True)
 
 
 def q_extract_metrics(spark, sf):
