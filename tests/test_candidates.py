@@ -53,3 +53,12 @@ def test_split_value_unit(spark):
     v, u = split_value_unit(F.col("v"))
     assert [(r.a, r.b) for r in df.select(v.alias("a"), u.alias("b")).collect()] == [
         (12345.0, "公噸CO2e"), (85.6, "%"), (None, None), (None, None), (0.5, "小時")]
+
+
+def test_ignore_case_keeps_text_as_written(spark):
+    df = spark.createDataFrame([("d", 0, "Apache License, Version 2.0"), ("d", 1, "排放量 12 公噸CO2e")],
+                               "document_id string, chunk_index int, text string")
+    got = sorted((r.keyword, r.context, r.value_raw, r.unit)
+                 for r in metric_candidates(df, ("version", "排放量"), ignore_case=True).collect())
+    assert got == [("version", "Version 2.0", "2.0", None), ("排放量", "排放量 12 公噸CO2e", "12", "公噸CO2e")]
+    assert metric_candidates(df, ("version",)).count() == 0
