@@ -20,6 +20,14 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).parquet(path))
 
 
+def write_vectors_table(vectors: DataFrame, name: str, mode: str = "append") -> None:
+    """SINK-2 for catalogued tables: reuse (append) or recreate (overwrite) ``name``."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be 'append' or 'overwrite'")
+    (vectors.sortWithinPartitions("document_id", "chunk_index")
+     .write.mode(mode).format("parquet").saveAsTable(name))
+
+
 def clear_vectors(spark: SparkSession, path: str, schema) -> None:
     """SINK-3: replace the table with an empty one of the same schema."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -95,3 +95,16 @@ def test_resent_document_replaces_chunks(spark, tmp_path):
     I.upsert_batches(spark, str(src), spark.read.parquet(str(src)).schema, table, ck).awaitTermination()
     got = sorted((r.document_id, r.text) for r in I.latest_chunks(spark, table).collect())
     assert got == [("1", "new text"), ("2", "keep")]
+
+
+def test_vector_table_lifecycle(spark):
+    name = "dm_test_vectors"
+    vec = spark.createDataFrame([("A", 0, [1.0])], "document_id string, chunk_index int, embedding array<float>")
+    S.drop_table(spark, name)
+    S.write_vectors_table(vec, name)
+    S.write_vectors_table(vec, name, mode="append")
+    assert spark.table(name).count() == 2
+    S.write_vectors_table(vec, name, mode="overwrite")
+    assert spark.table(name).count() == 1
+    S.drop_table(spark, name)
+    assert not spark.catalog.tableExists(name)
