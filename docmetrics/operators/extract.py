@@ -19,8 +19,8 @@ from docmetrics.operators.candidates import (
     normalized_unit,
     normalized_value,
 )
-from docmetrics.operators.embed import DEFAULT_DIM, query_texts_from_catalog, query_vectors
-from docmetrics.operators.knn import checked_broadcast, knn_sparse, top_k
+from docmetrics.operators.embed import DEFAULT_DIM, query_texts_from_catalog
+from docmetrics.operators.knn import checked_broadcast, knn_sparse_text, top_k
 
 # --- Fixed values ------------------------------------------------------------------
 # Confidence bands: high >= 0.8, mid in [0.5, 0.8), low < 0.5.
@@ -178,8 +178,8 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     keys = ["document_id", "chunk_index"]
     if not prepartitioned:
         chunks = partition_chunks(chunks, keys)
-    qv = query_vectors(query_texts_from_catalog(spark, catalog), dim=dim, char_ngrams=char_ngrams)
-    hits = knn_sparse(chunks, qv, k, keys, scope="document", dim=dim, char_ngrams=char_ngrams) \
+    hits = knn_sparse_text(chunks, query_texts_from_catalog(spark, catalog), k, keys,
+                           scope="document", dim=dim, char_ngrams=char_ngrams) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")
     keywords = [kw for m in catalog for kw in m.keywords]
     units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)

@@ -69,9 +69,45 @@ def knn_sparse(chunks: DataFrame, query_terms: DataFrame, k: int = 3,
         from docmetrics.operators.embed import hash_embed
         terms = hash_embed(chunks, keys, text_col, dim, char_ngrams, prepartitioned=True)
         return knn_sparse_join(terms, query_terms, k, keys, scope)
-    spark = chunks.sparkSession
     payload = QueryMatrix.payload([r[0] for r in rows], [r[1] for r in rows],
                                   [r[2] for r in rows], dim)
+    return _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams)
+
+
+def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
+                    key_cols=("document_id", "chunk_index"), scope: str = "corpus",
+                    dim: int | None = None, text_col: str = "text", char_ngrams: bool = True,
+                    max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """KNN-4 from query texts ``(query_id, text)``, same results as ``knn_sparse``.
+
+    The query side is collected anyway for the broadcast (after its size
+    check), so its few texts are hashed right there with the same tokeniser
+    instead of in a separate Spark job. Above ``max_queries`` the query
+    vectors are built by Spark and ``knn_sparse`` decides.
+    """
+    import re
+
+    import pyarrow as pa
+
+    from docmetrics.functions.sparse import bucket_counts
+
+    dim = dim or 4096
+    rows = queries.select("query_id", "text").limit(max_queries + 1).collect()
+    if len(rows) > max_queries:
+        from docmetrics.operators.embed import query_vectors
+        return knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
+                          key_cols, scope, dim, text_col, char_ngrams)
+    ws = re.compile(r"[ \t\n\x0b\f\r]+")
+    texts = [None if t is None else ws.sub(" ", t) for _, t in rows]
+    hasher = TokenHasher(dim, char_ngrams)
+    r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
+    ids = [rows[i][0] for i in r.tolist()]
+    payload = QueryMatrix.payload(ids, b, tf, dim)
+    return _knn_sparse_scored(chunks, payload, k, list(key_cols), scope, dim, text_col, char_ngrams)
+
+
+def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams):
+    spark = chunks.sparkSession
     bc = spark.sparkContext.broadcast(payload)
     per_doc = scope == "document"
     key_fields = [chunks.schema[c] for c in keys]

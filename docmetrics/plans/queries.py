@@ -163,7 +163,7 @@ def q_metric_query_vectors(spark, sf):
 
 def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT, chunks: DataFrame | None = None):
     pc = chunks if chunks is not None else partitioned_chunks(spark, sf)
-    return K.knn_sparse(pc, E.query_vectors(queries), k)
+    return K.knn_sparse_text(pc, queries, k)
 
 
 def q_knn_sparse(spark, sf):

@@ -130,3 +130,14 @@ def test_centroids(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 5.0])], "label int, embedding array<float>")
     got = {r.label: r.qvec for r in K.centroids(df, "label").collect()}
     assert got == {0: [2.0, 3.0], 1: [5.0, 5.0]}
+
+
+def test_knn_sparse_text_equals_vector_form(spark):
+    df = spark.createDataFrame([(f"d{i % 5}", i, t) for i, t in enumerate(_texts()[:200])],
+                               "document_id string, chunk_index int, text string")
+    q = spark.createDataFrame([("q1", "溫室氣體  排放量\n員工"), ("q2", "Water, energy!")], "query_id string, text string")
+    pc = C.partition_chunks(df)
+    for scope in ("corpus", "document"):
+        a = sorted(map(tuple, K.knn_sparse_text(pc, q, 3, scope=scope).collect()))
+        b = sorted(map(tuple, K.knn_sparse(pc, E.query_vectors(q), 3, scope=scope).collect()))
+        assert a == b
