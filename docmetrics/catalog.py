@@ -145,32 +145,44 @@ def catalog_df(spark: SparkSession, catalog=ESG_CATALOG) -> DataFrame:
     return spark.createDataFrame(catalog_rows(catalog), CATALOG_SCHEMA)
 
 
-def _lit_or_null(v, dtype: str) -> Column:
-    return F.lit(v).cast(dtype) if v is not None else F.lit(None).cast(dtype)
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_num(v) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def struct_sql(cat_ord: int, metric_ord: int, m: Metric) -> str:
+    """One catalogue row as a Spark SQL ``named_struct`` literal."""
+    arr = lambda xs: "array(" + ", ".join(sql_str(x) for x in xs) + ")"
+    trend = sql_str(m.trend) if m.trend else "CAST(NULL AS STRING)"
+    return (f"named_struct('cat_ord', {cat_ord}, 'metric_ord', {metric_ord}, "
+            f"'category', {sql_str(m.category)}, 'metric_id', {sql_str(m.metric_id)}, "
+            f"'name', {sql_str(m.name)}, 'keywords', {arr(m.keywords)}, 'code', {sql_str(m.code)}, "
+            f"'unit', {sql_str(m.unit)}, 'type', {sql_str(m.type)}, "
+            f"'possible_sources', {arr(m.possible_sources)}, 'vmin', {_sql_num(m.vmin)}, "
+            f"'vmax', {_sql_num(m.vmax)}, 'recommended_min', {_sql_num(m.recommended_min)}, "
+            f"'trend', {trend})")
 
 
 def catalog_array(catalog=ESG_CATALOG) -> Column:
-    """Catalogue as a literal ARRAY<STRUCT>: explode it per row for a fan-out."""
-    return F.array(*catalog_structs(catalog))
+    """Catalogue as a literal ARRAY<STRUCT>: explode it per row for a fan-out.
+
+    Built from one SQL expression (one parse), not from hundreds of ``lit`` calls.
+    """
+    return F.expr("array(" + ", ".join(struct_sql(c, o, m) for c, o, m in _ordinals(catalog)) + ")")
+
+
+def catalog_map_col(catalog=ESG_CATALOG) -> Column:
+    """Literal MAP<metric_id, STRUCT> (folded to one constant by the optimizer)."""
+    return F.expr("map(" + ", ".join(f"{sql_str(m.metric_id)}, {struct_sql(c, o, m)}"
+                                     for c, o, m in _ordinals(catalog)) + ")")
 
 
 def catalog_structs(catalog=ESG_CATALOG) -> list[Column]:
-    items = []
-    for c, o, m in _ordinals(catalog):
-        items.append(F.struct(
-            F.lit(c).alias("cat_ord"), F.lit(o).alias("metric_ord"),
-            F.lit(m.category).alias("category"), F.lit(m.metric_id).alias("metric_id"),
-            F.lit(m.name).alias("name"),
-            F.array(*[F.lit(k) for k in m.keywords]).alias("keywords"),
-            F.lit(m.code).alias("code"), F.lit(m.unit).alias("unit"),
-            F.lit(m.type).alias("type"),
-            F.array(*[F.lit(s) for s in m.possible_sources]).alias("possible_sources"),
-            _lit_or_null(m.vmin, "double").alias("vmin"),
-            _lit_or_null(m.vmax, "double").alias("vmax"),
-            _lit_or_null(m.recommended_min, "double").alias("recommended_min"),
-            _lit_or_null(m.trend, "string").alias("trend"),
-        ))
-    return items
+    return [F.expr(struct_sql(c, o, m)) for c, o, m in _ordinals(catalog)]
 
 
 def catalog_literal_df(spark: SparkSession, catalog=ESG_CATALOG) -> DataFrame:

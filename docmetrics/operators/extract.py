@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmetrics.catalog import ESG_CATALOG, catalog_array, catalog_structs
+from docmetrics.catalog import ESG_CATALOG, catalog_array, catalog_map_col
 from docmetrics.operators.candidates import (
     BASE_UNITS,
     CATALOG_UNITS,
@@ -41,8 +41,7 @@ def catalog_map(catalog=ESG_CATALOG) -> Column:
 
     Built from literals only, so the optimizer folds it into one constant.
     """
-    pairs = zip((m.metric_id for m in catalog), catalog_structs(catalog))
-    return F.create_map(*[x for k, st in pairs for x in (F.lit(k), st)])
+    return catalog_map_col(catalog)
 
 
 def metric_fanout(docs: DataFrame, catalog=ESG_CATALOG, key_cols=("document_id",)) -> DataFrame:
