@@ -223,7 +223,7 @@ def partial_top_k(group, score, key_codes, k: int) -> np.ndarray:
 
 
 def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_document: bool,
-                hasher: TokenHasher, text_col: str = "text"):
+                hasher: TokenHasher, text_col: str = "text", carry_cols=()):
     """Partial top-k of one batch of chunks against all queries (yields batches).
 
     Output columns: query_id, key columns, dot, score — at most k rows per
@@ -256,9 +256,9 @@ def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_do
         sel = partial_top_k(group, score, codes, k)
         take = pa.array(rows[sel])
         arrays = [pa.array([qm.ids[i] for i in qs[sel]], type=pa.string())]
-        arrays += [batch.column(c).take(take) for c in key_cols]
+        arrays += [batch.column(c).take(take) for c in (*key_cols, *carry_cols)]
         arrays += [pa.array(dot[sel], type=pa.float64()), pa.array(score[sel], type=pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "dot", "score"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, *carry_cols, "dot", "score"])
 
 
 def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,

@@ -62,11 +62,14 @@ def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
         needle = kw.lower() if ignore_case else kw
         per_kw.append(F.struct(
             F.lit(kw).alias("keyword"),
-            F.when(F.instr(probe, needle) > 0, F.regexp_extract_all(text, F.lit(pat), 0))
+            F.when(F.col("_d") & (F.instr(probe, needle) > 0),
+                   F.regexp_extract_all(text, F.lit(pat), 0))
             .otherwise(F.array().cast("array<string>")).alias("ctx")))
-    # Every match holds a digit: chunks without one cannot match and skip the
-    # (backtracking) pattern scans entirely.
-    src = chunks.select(*keys, *keep_cols, F.col(text_col).alias("_t")).filter(text.rlike("[0-9]"))
+    # Every match holds a digit: chunks without one skip the (backtracking)
+    # pattern scans. This is a condition, not a filter, so it is not pushed
+    # below the chunk exchange (other readers of the exchange can reuse it).
+    src = chunks.select(*keys, *keep_cols, F.col(text_col).alias("_t"),
+                        F.col(text_col).rlike("[0-9]").alias("_d"))
     found = src.select(*keys, *keep_cols, F.inline(F.array(*per_kw)))
     found = found.select(*keys, *keep_cols, "keyword",
                          F.posexplode("ctx").alias("ordinal", "context"))

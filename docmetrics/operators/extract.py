@@ -165,9 +165,9 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
                     prepartitioned: bool = False) -> DataFrame:
     """Rule extraction per (document, metric) over the document's top-k chunks.
 
-    ``chunks``: (document_id, chunk_index, source_kind, text); read twice (for
-    vectors and for candidates), so pass a materialised table (``checkpoint``)
-    or accept that the chunks are computed twice. A candidate is a
+    ``chunks``: (document_id, chunk_index, source_kind, text), read by two
+    branches (vectors, candidates) with the same columns, so one chunk
+    exchange serves both (``ReusedExchange``). A candidate is a
     metric keyword (name or alias) with a number after it in one of the
     metric's k nearest chunks of that document. The best candidate wins by unit
     match, shortest gap, chunk rank, chunk index, keyword and match ordinal.
@@ -178,7 +178,8 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     if not prepartitioned:
         chunks = partition_chunks(chunks, keys)
     hits = knn_sparse_text(chunks, query_texts_from_catalog(spark, catalog), k, keys,
-                           scope="document", dim=dim, char_ngrams=char_ngrams) \
+                           scope="document", dim=dim, char_ngrams=char_ngrams,
+                           carry_cols=("source_kind",)) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")
     keywords = [kw for m in catalog for kw in m.keywords]
     units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)

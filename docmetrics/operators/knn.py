@@ -77,13 +77,15 @@ def knn_sparse(chunks: DataFrame, query_terms: DataFrame, k: int = 3,
 def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
                     key_cols=("document_id", "chunk_index"), scope: str = "corpus",
                     dim: int | None = None, text_col: str = "text", char_ngrams: bool = True,
-                    max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                    max_queries: int = MAX_BROADCAST_QUERIES, carry_cols=()) -> DataFrame:
     """KNN-4 from query texts ``(query_id, text)``, same results as ``knn_sparse``.
 
     The query side is collected anyway for the broadcast (after its size
     check), so its few texts are hashed right there with the same tokeniser
     instead of in a separate Spark job. Above ``max_queries`` the query
-    vectors are built by Spark and ``knn_sparse`` decides.
+    vectors are built by Spark and ``knn_sparse`` decides. ``carry_cols`` are
+    passed through to the hits (so that other readers of the same chunk
+    exchange need the same columns and Spark reuses it).
     """
     import re
 
@@ -95,22 +97,26 @@ def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
     rows = queries.select("query_id", "text").limit(max_queries + 1).collect()
     if len(rows) > max_queries:
         from docmetrics.operators.embed import query_vectors
-        return knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
+        hits = knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
                           key_cols, scope, dim, text_col, char_ngrams)
+        if carry_cols:
+            hits = hits.join(chunks.select(*key_cols, *carry_cols), list(key_cols))
+        return hits
     ws = re.compile(r"[ \t\n\x0b\f\r]+")
     texts = [None if t is None else ws.sub(" ", t) for _, t in rows]
     hasher = TokenHasher(dim, char_ngrams)
     r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
     ids = [rows[i][0] for i in r.tolist()]
     payload = QueryMatrix.payload(ids, b, tf, dim)
-    return _knn_sparse_scored(chunks, payload, k, list(key_cols), scope, dim, text_col, char_ngrams)
+    return _knn_sparse_scored(chunks, payload, k, list(key_cols), scope, dim, text_col, char_ngrams,
+                              tuple(carry_cols))
 
 
-def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams):
+def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams, carry=()):
     spark = chunks.sparkSession
     bc = spark.sparkContext.broadcast(payload)
     per_doc = scope == "document"
-    key_fields = [chunks.schema[c] for c in keys]
+    key_fields = [chunks.schema[c] for c in (*keys, *carry)]
     schema = T.StructType([T.StructField("query_id", T.StringType())] + key_fields
                           + [T.StructField("dot", T.DoubleType()),
                              T.StructField("score", T.DoubleType())])
@@ -120,13 +126,13 @@ def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngra
         hasher = TokenHasher(dim, char_ngrams)
         for batch in batches:
             if batch.num_rows:
-                yield from score_batch(batch, keys, qm, k, per_doc, hasher, text_col)
+                yield from score_batch(batch, keys, qm, k, per_doc, hasher, text_col, carry)
 
-    partial = chunks.select(*keys, text_col).mapInArrow(score, schema)
+    partial = chunks.select(*keys, *carry, text_col).mapInArrow(score, schema)
     part = ["query_id"] + (["document_id"] if per_doc else [])
     order = [F.col("score").desc()] + [F.col(c) for c in keys]
     return (top_k(partial, part, order, k)
-            .select("query_id", *keys, "rank", "dot", "score",
+            .select("query_id", *keys, *carry, "rank", "dot", "score",
                     (F.lit(1.0) - F.col("score")).alias("distance")))
 
 
