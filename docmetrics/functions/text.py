@@ -207,3 +207,35 @@ def _elements(texts: pa.Array) -> pa.Array:
 
 def elements_col(text: Column) -> Column:
     return _elements(text)
+
+
+_DOC_TYPE = T.StructType([
+    T.StructField("elements", ELEMENT_TYPE),
+    T.StructField("text_chunks", T.ArrayType(T.StringType())),
+])
+_DOC_PA = pa.struct([("elements", _ELEMENT_PA), ("text_chunks", _STR_LIST)])
+
+
+@lru_cache(maxsize=None)
+def _doc_of(limit, max_word):
+    @F.arrow_udf(_DOC_TYPE)
+    def elements_and_chunks(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            el = markdown_elements(t)
+            chunks: list[str] = []
+            for _, kind, body in el:
+                if kind == "text":
+                    chunks.extend(greedy_word_chunks(body, limit, max_word))
+            rows.append({"elements": [{"element_index": i, "kind": k, "text": b} for i, k, b in el],
+                         "text_chunks": chunks})
+        return pa.array(rows, type=_DOC_PA)
+
+    return elements_and_chunks
+
+
+def elements_and_chunks_col(text: Column, limit: int = CHUNK_LIMIT,
+                            max_word: int | None = None) -> Column:
+    """STRUCT<elements, text_chunks>: one Python pass gives the elements and the
+    chunks of every text element (in element order)."""
+    return _doc_of(limit, max_word)(text)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docmetrics.functions.text import (
     CHUNK_LIMIT,
     TABLE_SEPARATOR,
+    elements_and_chunks_col,
     elements_col,
     line_chunks_col,
     sections_col,
@@ -201,14 +202,17 @@ def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str =
     """
     keys = _keys(key_cols)
     keep = list(keep_cols)
-    el = with_elements(docs.select(*keys, *keep, text_col), text_col)  # spread inside
-    texts = F.transform(F.filter("elements", lambda e: e["kind"] == "text"), lambda e: e["text"])
+    # One Python pass: elements and the chunks of the text elements. Tables are
+    # verbalised in the JVM from the elements; only that (usually empty) text
+    # goes back to Python for chunking.
+    el = spread(docs.select(*keys, *keep, text_col)).select(
+        *keys, *keep, elements_and_chunks_col(F.col(text_col), limit, max_word).alias("_d"))
+    elements = F.col("_d.elements")
     staged = el.select(
         *keys, *keep,
-        word_chunks_col(texts, limit, max_word).alias("text_chunks"),
-        word_chunks_col(F.array(tables_text_col(F.col("elements"))), limit, max_word)
-        .alias("table_chunks"),
-        F.size(parsed_tables_col(F.col("elements"))).alias("tables_found"),
+        F.col("_d.text_chunks").alias("text_chunks"),
+        word_chunks_col(F.array(tables_text_col(elements)), limit, max_word).alias("table_chunks"),
+        F.size(parsed_tables_col(elements)).alias("tables_found"),
     )
     allc = F.concat("text_chunks", "table_chunks")
     return staged.select(
