@@ -40,6 +40,11 @@ def spread(docs: DataFrame) -> DataFrame:
     """
     if docs.isStreaming:
         return docs
+    # An input that already shuffles has its parallelism set; asking such a
+    # plan for its partition count would run its shuffle stages (adaptive
+    # execution plans them eagerly), so only plain scans are counted.
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        return docs
     n = parallelism(docs.sparkSession)
     if docs.rdd.getNumPartitions() < n:
         return docs.repartition(n)
