@@ -231,3 +231,13 @@ def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str =
         .otherwise(F.lit("table")).alias("source_kind"),
         "text", "total_chunks", "tables_found", *keep,
     )
+
+
+def chunk_metadata_map(chunks: DataFrame, doc_cols=("total_chunks", "tables_found"),
+                       key_cols=("document_id", "chunk_index")) -> DataFrame:
+    """PRJ-2: a MAP<STRING,STRING> per chunk: the document's metadata, then
+    ``chunk_index`` and ``document_id`` — later keys win, as in a dict merge."""
+    keys = _keys(key_cols)
+    doc = F.create_map(*[x for c in doc_cols for x in (F.lit(c), F.col(c).cast("string"))])
+    own = F.create_map(*[x for c in reversed(keys) for x in (F.lit(c), F.col(c).cast("string"))])
+    return chunks.withColumn("metadata", F.map_concat(doc, own))

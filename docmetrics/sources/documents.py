@@ -42,8 +42,18 @@ def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
 
     ``fmt='text'``: each .md/.txt file is one document (whole text).
     ``fmt='parquet'``: rows already hold document_id and text.
-    Returns (document_id, file_name, file_type, process_time, text).
+    ``fmt='binary'``: any files (PDF, Word, ...) as bytes with size and
+    modification time, for the manifest and the format gate; their text must
+    come from a parser upstream, so ``text`` is NULL.
+    Returns (document_id, file_name, file_type, process_time, [modified,] text).
     """
+    if fmt == "binary":
+        df = spark.read.format("binaryFile").load(path).select(
+            F.col("path").alias("_p"), F.col("modificationTime").alias("modified"),
+            F.col("length").alias("n_bytes"))
+        df = manifest(df, "_p", process_time)
+        return df.select(F.col("_p").alias("document_id"), "file_name", "file_type", "process_time",
+                         "modified", "n_bytes", F.lit(None).cast("string").alias("text"))
     if fmt == "parquet":
         df = spark.read.parquet(path).select("document_id", "text", F.col("_metadata.file_path").alias("_p"))
         df = manifest(df, "_p", process_time)

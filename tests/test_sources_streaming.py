@@ -108,3 +108,24 @@ def test_vector_table_lifecycle(spark):
     assert spark.table(name).count() == 1
     S.drop_table(spark, name)
     assert not spark.catalog.tableExists(name)
+
+
+def test_binary_scan_manifest(spark, tmp_path):
+    (tmp_path / "r.PDF").write_bytes(b"%PDF-1.4 fake")
+    (tmp_path / "s.docx").write_bytes(b"PK fake")
+    rows = {r.file_name: r for r in D.scan_documents(spark, str(tmp_path), "binary").collect()}
+    assert rows["r.PDF"].file_type == ".pdf" and rows["r.PDF"].n_bytes == 13
+    assert {r.status for r in D.format_gate(D.scan_documents(spark, str(tmp_path), "binary")).collect()} == {"accepted"}
+
+
+def test_dedup_latest(spark):
+    df = spark.createDataFrame([("A", 0, 1, "old"), ("A", 0, 2, "new"), ("B", 0, 1, "b")],
+                               "document_id string, chunk_index int, ingest_time int, text string")
+    got = sorted((r.document_id, r.text) for r in S.dedup_latest(df).collect())
+    assert got == [("A", "new"), ("B", "b")]
+
+
+def test_chunk_metadata_map_later_keys_win(spark):
+    df = spark.createDataFrame([("A", 3, 8, 1)], "document_id string, chunk_index int, total_chunks int, tables_found int")
+    m = C.chunk_metadata_map(df, doc_cols=("total_chunks", "tables_found", "chunk_index")).first().metadata
+    assert m == {"total_chunks": "8", "tables_found": "1", "chunk_index": "3", "document_id": "A"}
