@@ -35,9 +35,11 @@ def unit_alternation(units=BASE_UNITS + CATALOG_UNITS) -> str:
     return "|".join(re.escape(u) for u in ordered)
 
 
-def candidate_pattern(keyword: str, units: str, max_gap: int | None = None) -> str:
+def candidate_pattern(keyword: str, units: str, max_gap: int | None = None,
+                      ignore_case: bool = False) -> str:
     gap = f"{STOP_CLASS}*?" if max_gap is None else f"{STOP_CLASS}{{0,{max_gap}}}?"
-    return f"{re.escape(keyword)}({gap})({NUMBER})[ \t]*({units})?"
+    kw = f"(?i:{re.escape(keyword)})" if ignore_case else re.escape(keyword)
+    return f"{kw}({gap})({NUMBER})[ \t]*({units})?"
 
 
 def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
@@ -48,17 +50,16 @@ def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
 
     Matches of one keyword do not overlap; ``ordinal`` numbers them from 0 in
     text order. ``unit`` is NULL when no unit follows. ``ignore_case`` matches
-    keywords and units without regard to (ASCII) case; the context keeps the
-    text as written.
+    the keywords without regard to (ASCII) case; units match as written, and
+    the context keeps the text as written.
     """
     keys = list(key_cols)
     ualt = unit_alternation(units)
-    flag = "(?i)" if ignore_case else ""
     text = F.col("_t")
     probe = F.lower(text) if ignore_case else text
     per_kw = []
     for kw in dict.fromkeys(keywords):
-        pat = flag + candidate_pattern(kw, ualt, max_gap)
+        pat = candidate_pattern(kw, ualt, max_gap, ignore_case)
         needle = kw.lower() if ignore_case else kw
         per_kw.append(F.struct(
             F.lit(kw).alias("keyword"),
@@ -75,7 +76,7 @@ def metric_candidates(chunks: DataFrame, keywords=DEFAULT_KEYWORDS,
                          F.posexplode("ctx").alias("ordinal", "context"))
     # Re-split each match (anchored, same pattern shape) into its parts.
     rest = F.substring(F.col("context"), F.length("keyword") + 1, 1 << 30)
-    parts = f"{flag}^({STOP_CLASS}*?)({NUMBER})[ \t]*({ualt})?$"
+    parts = f"^({STOP_CLASS}*?)({NUMBER})[ \t]*({ualt})?$"
     return found.select(
         *keys, *keep_cols, "keyword", "ordinal", "context",
         F.length(F.regexp_extract(rest, parts, 1)).alias("gap"),

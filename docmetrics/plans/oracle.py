@@ -385,9 +385,9 @@ FROM (SELECT *, unnest(range(1, greatest(len(header), len(cells)) + 1)) AS col_n
                           f"FROM corpus d CROSS JOIN {ESG} c")
 
     # candidates
-    kw_rows = ", ".join(f"({q(kw)}, {q('(?i)' + candidate_pattern(kw, ualt))})"
+    kw_rows = ", ".join(f"({q(kw)}, {q(candidate_pattern(kw, ualt, ignore_case=True))})"
                         for kw in dict.fromkeys(CANDIDATE_KEYWORDS))
-    parts = f"(?i)^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt})?$"
+    parts = f"^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt})?$"
     cand = f"""
 cands0 AS (
   SELECT c.document_id, c.chunk_index, k.keyword,
@@ -430,10 +430,10 @@ ctx AS (SELECT h.query_id, string_agg(c.text, chr(10) ORDER BY h.rank) AS contex
     units_all = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in ALL_CATALOG if m.unit)
     ualt2 = unit_alternation(units_all)
     kws = [(m.metric_id, kw) for m in ALL_CATALOG for kw in m.keywords]
-    kw_rows2 = ", ".join(f"({q(kw)}, {q('(?i)' + candidate_pattern(kw, ualt2))})"
+    kw_rows2 = ", ".join(f"({q(kw)}, {q(candidate_pattern(kw, ualt2, ignore_case=True))})"
                          for kw in dict.fromkeys(k for _, k in kws))
     kwmap = ", ".join(f"({q(a)}, {q(b)})" for a, b in kws)
-    parts2 = f"(?i)^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt2})?$"
+    parts2 = f"^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt2})?$"
     mhits = sparse_hits("mh", "ct", "qt", 3, True)
     extract = f"""
 {CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},
