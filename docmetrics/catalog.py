@@ -179,12 +179,3 @@ def catalog_map_col(catalog=ESG_CATALOG) -> Column:
     """Literal MAP<metric_id, STRUCT> (folded to one constant by the optimizer)."""
     return F.expr("map(" + ", ".join(f"{sql_str(m.metric_id)}, {struct_sql(c, o, m)}"
                                      for c, o, m in _ordinals(catalog)) + ")")
-
-
-def catalog_structs(catalog=ESG_CATALOG) -> list[Column]:
-    return [F.expr(struct_sql(c, o, m)) for c, o, m in _ordinals(catalog)]
-
-
-def catalog_literal_df(spark: SparkSession, catalog=ESG_CATALOG) -> DataFrame:
-    """Catalogue as a one-partition local relation built from literals."""
-    return spark.range(1).select(F.inline(catalog_array(catalog)))

@@ -8,7 +8,6 @@ are rendered from the same constants the library uses.
 
 from __future__ import annotations
 
-import re
 
 from docmetrics.catalog import CATEGORY_LABELS, CORPUS_CATALOG, ESG_CATALOG
 from docmetrics.functions.text import CHUNK_LIMIT, SECTION_HEAD, TABLE_LINE, TABLE_SEPARATOR

@@ -1,7 +1,5 @@
 """Sources, sinks, catalogue loading and streaming intake (SRC-*, SINK-*, STR-*)."""
 
-import os
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
