@@ -189,7 +189,8 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     Without ``scope_col`` the query side (at most ``max_broadcast`` rows,
     checked) is broadcast as one matrix and every task scores its Arrow batches
     with numpy, keeping an exact partial top-k per query; no pair rows are
-    produced and no join is planned. With ``scope_col`` (JN-6) each query only
+    produced and no join is planned. Larger query sets are split into hashed
+    blocks, each broadcast on its own. With ``scope_col`` (JN-6) each query only
     sees vectors with the same value of that column: an equi-join on it.
     Vectors whose width differs from the queries', with NULL/NaN elements, or
     with a zero norm under cosine get no distance and drop out.
@@ -203,8 +204,8 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
                                  scope_col, max_broadcast)
     rows = queries.select("query_id", query_vec_col).limit(max_broadcast + 1).collect()
     if len(rows) > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} dense queries: split the query set "
-                         "or give a scope column")
+        return _knn_dense_blocks(vectors, queries, k, metric, keys, vec_col, query_vec_col,
+                                 max_broadcast)
     rows = [r for r in rows if r[1] is not None]
     widths = {len(r[1]) for r in rows}
     if len(widths) > 1:
@@ -233,6 +234,22 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
                     (F.lit(1.0) - F.col("distance")).alias("score")))
 
 
+def _knn_dense_blocks(vectors, queries, k, metric, keys, vec_col, query_vec_col, max_broadcast):
+    """More queries than one broadcast may hold: hash the queries into blocks of
+    about half the bound, score each block as its own broadcast (each with its
+    own size check), and union the results. A query lives in exactly one block,
+    so each block's top k is final. The vectors are scanned once per block."""
+    n = queries.count()
+    blocks = max(2, -(-2 * n // max_broadcast))
+    q = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = [knn_dense(vectors, q.filter(F.col("_blk") == b).drop("_blk"), k, metric, keys,
+                       vec_col, query_vec_col, None, max_broadcast) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _knn_dense_scoped(vectors, queries, k, metric, keys, vec_col, query_vec_col, scope_col,
                       max_broadcast):
     v = vectors.select(*keys, vec_col, scope_col)

@@ -141,3 +141,16 @@ def test_knn_sparse_text_equals_vector_form(spark):
         a = sorted(map(tuple, K.knn_sparse_text(pc, q, 3, scope=scope).collect()))
         b = sorted(map(tuple, K.knn_sparse(pc, E.query_vectors(q), 3, scope=scope).collect()))
         assert a == b
+
+
+def test_knn_dense_blocks_equal_single_broadcast(spark):
+    rng = np.random.default_rng(11)
+    vdf = spark.createDataFrame([(0, i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(120)],
+                                "document_id int, chunk_index int, embedding array<float>")
+    qdf = spark.createDataFrame([(f"q{j}", rng.normal(size=8).tolist()) for j in range(9)],
+                                "query_id string, qvec array<double>")
+    def rows(df):   # BLAS may differ in the last bit between matrix shapes
+        return sorted((r.query_id, r.chunk_index, r.rank, round(r.distance, 12)) for r in df.collect())
+
+    for metric in ("cosine", "l2"):
+        assert rows(K.knn_dense(vdf, qdf, 3, metric)) == rows(K.knn_dense(vdf, qdf, 3, metric, max_broadcast=4))
