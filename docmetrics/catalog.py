@@ -37,7 +37,7 @@ class Metric:
         return tuple(out)
 
 
-# --- Fixed values: the sustainability metric catalogue -----------------------
+# --- Fixed values: the ESG metric catalogue ---------------------------------
 # Six rows, in catalogue order: category, metric_id, name, code, unit, type,
 # possible sources, validation (min, max, recommended_min, trend).
 # Aliases are ours (documents write the shorter names).
