@@ -61,7 +61,12 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def dedup_latest(df: DataFrame, key_cols=("document_id", "chunk_index"),
                  order_col: str = "ingest_time") -> DataFrame:
-    """STR-2 on read: keep the newest copy of each chunk of a re-sent document."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*key_cols).orderBy(F.col(order_col).desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """STR-2 on read: keep the newest copy of each chunk of a re-sent document.
+
+    ``max_by`` aggregates partially before the shuffle, so a chunk sent a
+    million times costs one row per task, not one group of a million rows.
+    """
+    keys = list(key_cols)
+    rest = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.col(order_col)).alias("_n")
+    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest])
