@@ -36,7 +36,9 @@ def _norm(v):
 
 
 @pytest.mark.parametrize("name", ["chunk_union", "knn_sparse", "extract_metrics", "result_rows",
-                                  "validation_report", "knn_cosine", "table_cells", "chunk_lines"])
+                                  "validation_report", "knn_cosine", "table_cells", "chunk_lines",
+                                  "hash_embed", "metric_context", "doc_summary", "response_rejects",
+                                  "metric_trend", "table_verbalize", "knn_l2", "report_rollup"])
 def test_matches_oracle_small(spark, name):
     con = duckdb.connect()
     for t in ("documents", "events", "embeddings", "benchmark", "pages"):

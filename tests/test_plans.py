@@ -43,3 +43,20 @@ def test_scans_prune_columns(spark):
     df = entry.queries()["chunk_words"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_spread_runs_no_job_on_shuffling_input(spark):
+    from docmetrics.operators.chunk import spread
+    df = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    out = spread(df)
+    assert set(tracker.getJobIdsForGroup(None)) == before     # nothing executed
+    assert out is df
+
+
+def test_spread_spreads_a_single_split_scan(spark):
+    from docmetrics.operators.chunk import parallelism, spread
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert df.rdd.getNumPartitions() == 1
+    assert spread(df).rdd.getNumPartitions() == parallelism(spark)
