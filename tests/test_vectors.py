@@ -154,3 +154,21 @@ def test_knn_dense_blocks_equal_single_broadcast(spark):
 
     for metric in ("cosine", "l2"):
         assert rows(K.knn_dense(vdf, qdf, 3, metric)) == rows(K.knn_dense(vdf, qdf, 3, metric, max_broadcast=4))
+
+
+def test_knn_sparse_expansion_path_equals_join_form(spark, monkeypatch):
+    # Force the sparse (term x query expansion) kernel that large query sets use.
+    from docmetrics.functions import sparse
+    monkeypatch.setattr(sparse, "DENSE_Q", 0)
+    monkeypatch.setattr(sparse, "MAX_PAIRS", 500)      # many small slices
+    df = spark.createDataFrame([(f"d{i % 7}", i, t) for i, t in enumerate(_texts()[:300])],
+                               "document_id string, chunk_index int, text string")
+    q = spark.createDataFrame([("q1", "溫室氣體 排放量"), ("q2", "water energy beta"), ("q3", "員工 培訓 alpha")],
+                              "query_id string, text string")
+    qv = E.query_vectors(q)
+    for scope in ("corpus", "document"):
+        fast = sorted((r.query_id, r.document_id, r.chunk_index, r.rank, r.score)
+                      for r in K.knn_sparse(C.partition_chunks(df), qv, 3, scope=scope).collect())
+        slow = sorted((r.query_id, r.document_id, r.chunk_index, r.rank, r.score)
+                      for r in K.knn_sparse_join(E.hash_embed(df), qv, 3, scope=scope).collect())
+        assert fast == slow
