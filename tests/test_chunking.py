@@ -85,3 +85,29 @@ def test_document_chunks_order_and_metadata(spark, reports):
     assert [r.source_kind for r in a] == ["text"] * 7 + ["table"]
     assert {r.total_chunks for r in a} == {8} and {r.tables_found for r in a} == {1}
     assert a[7].text.startswith("表格 1: 欄位: 指標, 數值")
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+_word = st.text(alphabet=st.characters(blacklist_categories=("Zs", "Zl", "Zp", "Cc", "Cs")),
+                min_size=1, max_size=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(_word, max_size=200), st.integers(min_value=5, max_value=120))
+def test_word_chunker_properties(words, limit):
+    text = " ".join(words)
+    words = text.split()
+    chunks = greedy_word_chunks(text, limit)
+    # every word kept, in order, nothing added
+    assert [w for c in chunks for w in c.split(" ")] == words
+    for i, c in enumerate(chunks):
+        parts = c.split(" ")
+        # a chunk fits (the first one pays one extra), unless it is a single oversize word
+        budget = limit - 1 if i == 0 else limit
+        assert len(c) <= budget or len(parts) == 1
+        # greedy: the next chunk's first word would not have fitted
+        if i + 1 < len(chunks):
+            nxt = chunks[i + 1].split(" ")[0]
+            assert len(c) + 1 + len(nxt) + (1 if i == 0 else 0) > limit
