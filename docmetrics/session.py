@@ -8,6 +8,7 @@ set only when the session has none (local tests).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,12 +39,21 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (a temporary folder is then shared)."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a temporary one only if unset."""
+    """The session's checkpoint folder. Where it is unset, a temporary one is set if the master is
+    local; elsewhere executors would each write to their own disk, so it raises."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all "
+                               "executors share")
         cur = tempfile.mkdtemp(prefix="docmetrics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
         spark.sparkContext.setCheckpointDir(cur)
