@@ -72,7 +72,7 @@ class Slice:
     ``word_doc`` numbers texts from 0 within the slice; ``first`` is the batch row of text 0.
     """
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, cut_before: bytes = b""):
         self.first, self.n = first, len(offsets) - 1
         off = offsets - offsets[0]
         self.raw, self.offsets = data[offsets[0]:offsets[-1]], off
@@ -86,6 +86,10 @@ class Slice:
         edges = edges[(edges > 0) & (edges < len(raw))]  # a word never runs into the next text
         head[edges] = inside[edges]
         tail[edges - 1] = inside[edges - 1]
+        if cut_before:  # words also end where one of these bytes follows a letter a-z
+            cut = np.isin(self.bytes[1:], np.frombuffer(cut_before, np.uint8)) & (self.bytes[:-1] >= 97) & (self.bytes[:-1] <= 122)
+            head[1:] |= cut
+            tail[:-1] |= cut
         self.start = np.flatnonzero(head)
         self.end = np.flatnonzero(tail) + 1
         self.word_doc = np.searchsorted(off, self.start, side="right") - 1
@@ -124,7 +128,7 @@ class Slice:
         return h, np.searchsorted(doc, np.arange(self.n + 1))
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, cut_before: bytes = b"") -> Iterator[Slice]:
     """The texts of an Arrow column (null: empty) in slices of about ``limit`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -138,7 +142,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         to = min(to, len(col))
-        yield Slice(at, data, off[at:to + 1])
+        yield Slice(at, data, off[at:to + 1], cut_before)
         at = to
 
 

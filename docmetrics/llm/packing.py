@@ -24,6 +24,7 @@ other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmetrics.llm.common import materialize
+from docmetrics.llm.common import materialize, text_slices
 
 SIZE = 2048
 END_ID = 0
-WORD_MEMO = 400_000  # distinct words whose ids a task keeps; beyond that it starts anew
-TEXTS = 256  # texts encoded at once
+WORD_MEMO = 300_000  # distinct words whose ids a worker keeps; beyond that it forgets those met once
+WORDS = 500  # words encoded in one call
+SLICE = 1 << 20  # bytes of text taken at once
+CUT = b".,!|"  # a sign that always begins a new pre-token after a letter
 PART_ROWS = 50_000  # pieces of one length numbered in one part, about
 
 
@@ -53,61 +56,104 @@ def tokenizer_text(spark: SparkSession, path: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts, encoding each distinct blank-separated word once."""
+    """Ids of whole texts; each distinct word is encoded once, many words in one call with a special token
+    between them, which keeps them apart before anything else looks at the text."""
 
     def __init__(self, definition: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(definition)
-        self.tok.encode_special_tokens = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.n = np.zeros(0, np.int64)
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.memo) > WORD_MEMO:
-            self.reset()
-        words = [t.encode().split() for t in texts]
-        memo = self.memo
-        fresh = {w for own in words for w in own if w not in memo}
-        if fresh:
-            new = list(fresh)
-            base = len(memo)
-            memo.update(zip(new, range(base, base + len(new))))
-            got = [e.ids for e in self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            self.n = np.concatenate([self.n, np.array([len(x) for x in got], np.int64)])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-            self.at = np.concatenate([[0], np.cumsum(self.n)])
-        for own in words:
-            word = np.fromiter((memo[w] for w in own), np.int64, len(own))
+        self.tok, self.plain, self.new = Tokenizer.from_str(definition), None, lambda: Tokenizer.from_str(definition)
+        added = self.tok.get_added_tokens_decoder()
+        self.special = [t.content.lower() for t in added.values()]
+        between = [i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.between = between[0] if between else None
+        # Word hash -> number; per number its hash, uses, and its ids' place.
+        self.memo: dict[int, int] = {}
+        self.hashes, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n, self.ids, self.at = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that were met again and again (or, if those fill the memo, none)."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > WORD_MEMO // 2:
+            keep = keep[:0]
+        n = self.n[keep]
+        at = np.concatenate([[0], np.cumsum(n)])
+        self.ids = self.ids[np.repeat(self.at[keep] - at[:-1], n) + np.arange(at[-1])]
+        self.hashes, self.n, self.at, self.uses = self.hashes[keep], n, at, np.zeros(len(keep), np.int64)
+        self.memo = dict(zip(self.hashes.tolist(), range(len(keep))))
+
+    def _ids_of(self, words: list[str]) -> Iterator[np.ndarray]:
+        if self.between is None or any(t in w for w in words for t in self.special):
+            if self.plain is None:
+                self.plain = self.new()
+                self.plain.encode_special_tokens = True
+            for e in self.plain.encode_batch_fast(words, add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+            return
+        sep = self.tok.id_to_token(self.between)
+        ids = np.array(self.tok.encode(sep.join(words), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(ids == self.between)
+        for a, b in zip([0, *(cut + 1)], [*cut, len(ids)]):
+            yield ids[a:b]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of the column, in order."""
+        for s in text_slices(column, SLICE, CUT):
+            if len(self.memo) > WORD_MEMO:
+                self._forget()
+            own, first, slot, uses = np.unique(s.word_hashes(), return_index=True, return_inverse=True, return_counts=True)
+            number = np.array([self.memo.get(h, -1) for h in own.tolist()], np.int64)
+            fresh = np.flatnonzero(number < 0)
+            if len(fresh):
+                text = s.bytes.tobytes()
+                words = [text[a:b].decode() for a, b in zip(s.start[first[fresh]], s.end[first[fresh]])]
+                got = [ids for at in range(0, len(words), WORDS) for ids in self._ids_of(words[at:at + WORDS])]
+                number[fresh] = np.arange(len(self.memo), len(self.memo) + len(fresh))
+                self.memo.update(zip(own[fresh].tolist(), number[fresh].tolist()))
+                self.hashes = np.concatenate([self.hashes, own[fresh]])
+                self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+                self.n = np.concatenate([self.n, np.array([len(x) for x in got], np.int64)])
+                self.ids = np.concatenate([self.ids, *got])
+                self.at = np.concatenate([[0], np.cumsum(self.n)])
+            self.uses[number] += uses
+            word = number[slot]
             n = self.n[word]
             to = np.cumsum(n)
-            total = int(to[-1]) if len(to) else 0
-            yield self.ids[np.repeat(self.at[word] - (to - n), n) + np.arange(total)]
+            ids = self.ids[np.repeat(self.at[word] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+            ends = np.concatenate([[0], to])[s.bounds]
+            for a, b in zip(ends[:-1], ends[1:]):
+                yield ids[a:b]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(definition: str) -> WordTokenizer:
+    """One per worker process: its memo serves the tasks that follow."""
+    if definition not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[definition] = WordTokenizer(definition)
+    return _tokenizers[definition]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
-    """(doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32, tie (orders equals)."""
+    """(doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32."""
+    definition = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def pieces(batches):
-        tok = WordTokenizer(tokenizer)
+        tok = word_tokenizer(definition.value)
         end = np.array([END_ID], np.uint32)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, len(ids), TEXTS):
-                rows = []
-                own = [x or "" for x in texts.slice(at, TEXTS).to_pylist()]
-                for doc, seq in zip(ids.slice(at, TEXTS).to_pylist(), tok.encode(own)):
-                    seq = np.concatenate([seq, end]).astype("<u4")
-                    for piece, start in enumerate(range(0, len(seq), size)):
-                        part = seq[start:start + size]
-                        rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
-                cols = list(zip(*rows))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+            rows = []
+            for doc, seq in zip(batch.column("doc_id").to_pylist(), tok.encode(batch.column("text"))):
+                seq = np.concatenate([seq, end]).astype("<u4")
+                for piece, start in enumerate(range(0, len(seq), size)):
+                    part = seq[start:start + size]
+                    rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+            for at in range(0, len(rows), 10_000):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 10_000]), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                                       names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
