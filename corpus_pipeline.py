@@ -21,12 +21,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in several documents stay in the first one only; the others' texts and lengths change."""
+    """Lines found in several documents stay in the first one only; the others' texts and lengths change. Null text becomes empty."""
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("doc.text")),
+    new = {"text": F.col("kept"),
            "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars"))}
-    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*((new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

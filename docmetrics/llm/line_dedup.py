@@ -210,8 +210,9 @@ def _probe(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
-    """-> doc (the input row as a struct), id, kept (the text that stays), n_lines, n_dropped."""
-    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """-> doc (the input row but for the text, as a struct), id, kept (the text that stays), n_lines, n_dropped."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # the text is carried once
+    whole = docs.select(F.struct(*others).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = materialize(_line_rows(whole.select("id", "text").where("id IS NOT NULL"), least).distinct(), "lines")
     repeated = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("id").alias("keep")).where("docs > 1"), "lines_repeated")
     shards = max(1, -(-repeated.count() // SHARD_KEYS))

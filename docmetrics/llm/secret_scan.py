@@ -19,7 +19,7 @@ Spark splits; findings are one row per blob with its span list.
 Defined results: null text is the empty text; it is a blob like others. Null paths or versions are carried.
 Repeated rows are returned each for itself. Overlapping findings of different kinds all stay, by start and
 then in the rules' order. An empty table gives an empty result. Further columns are returned untouched
-inside the struct ``doc``.
+inside the struct ``doc``, which needs one column besides the text.
 """
 
 from __future__ import annotations
@@ -91,12 +91,13 @@ def _ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
-    """-> doc (the input row as a struct), blob, found (all findings of the active rules: rule, kind, start,
+    """-> doc (the input row but for the text, as a struct), blob, found (all findings of the active rules: rule, kind, start,
     end, in order). ``ledger`` is a folder that lasts between runs; without one the run has an empty one of its own."""
     spark = docs.sparkSession
     ledger = ledger or scratch_dir(spark, "secret_ledger")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    versions = docs.select(F.struct("*").alias("doc"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # texts are not carried to the join
+    versions = docs.select(F.struct(*others).alias("doc"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
     # Blobs that lack some active rule, each once, with the rules that they lack.
     done = _ledger(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
