@@ -7,7 +7,7 @@ responses the payload digest, are computed and compared. A damaged or cut record
 reported with status ``damaged``.
 
 Writer: each task writes archives under the given shared folder (by pyarrow's file systems, so a URI of
-any of them), starts a new one after ``ARCHIVE_BYTES``, and returns what it wrote; that list is stored, and
+any of them), starts a new one after ``archive_bytes``, and returns what it wrote; that list is stored, and
 only listed archives are read, so what a lost or repeated task attempt left behind is never read. Of equal
 payloads of at least ``least`` bytes only the page with the largest id is written in full; the others are
 revisit records that name it. The choice is an aggregation on the payload's SHA-256; payloads are shuffled
@@ -163,7 +163,7 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return facts.join(keep, "key").where("page_id < refers_to").select("page_id", "key", "refers_to").distinct()
 
 
-def write_warc(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(page_id, url, html) -> the stored list of archives (file, records, bytes)."""
     rows = (pages.withColumn("key", F.sha2("html", 256)).join(revisits(pages, least), ["page_id", "key"], "left")
             .select("page_id", "url", F.encode("html", "UTF-8").alias("payload"), "refers_to"))
@@ -181,7 +181,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> Dat
                 member = gzip_member(record(page_id, url, payload or b"", refers))
                 out.write(member)
                 records, size = records + 1, size + len(member)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     out.close()
                     done.append((name, records, size))
                     out = None
@@ -218,8 +218,9 @@ def read_warc(archives: DataFrame, folder: str) -> DataFrame:
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string, file string")
 
 
-def warc_round_trip(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
+def warc_round_trip(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None,
+                    archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the pages to archives under ``folder`` (a fresh shared one by default) and read them back."""
     folder = folder or scratch_dir(pages.sparkSession, "warc")
     pages = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return read_warc(write_warc(pages, folder), folder)
+    return read_warc(write_warc(pages, folder, archive_bytes=archive_bytes), folder)
