@@ -9,15 +9,16 @@ sets' counts over hash ranges), and is verified once, on the whole sets.
 Groups of copies never become all pairs:
 
 * equal sets are one class, represented by the smallest document id;
-* of every prefix shingle's documents, all are first verified against one pivot of about their length
-  (a star). Documents tied to the pivot are then known to be connected, and only pairs that lie in
-  *different* components so far are still compared: each shingle's documents outside its largest
+* every prefix shingle's documents of about one length have a pivot, the one with the fewest rarer shingles
+  (of a group of near copies, the one nearest to their common text); each document is first verified
+  against the pivots of its largest and its smallest shingle groups (stars). Documents tied to a pivot are
+  then known to be connected, and only pairs that lie in *different* components so far are still compared: each shingle's documents outside its largest
   component meet all of that shingle's documents. No link between two components is lost, so the
   components are those of all links.
 
 The frequency order needs only to be the same for all documents to be right; its quality decides the
 number of candidates. Every shingle is counted per task; those that a task sees often are summed over all
-tasks and the most frequent ``ORDER_SIZE`` (fixed bound, 1 MB) are broadcast with their ranks. All other
+tasks and the most frequent ``ORDER_SIZE`` (fixed bound, 3 MB) are broadcast with their ranks. All other
 shingles count as rare and are ordered by hash.
 
 Defined results: null or empty text, or no words, gives an empty set, linked with nothing; a text of
@@ -30,8 +31,8 @@ the input are not looked at. Sets are of 64-bit shingle hashes.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,13 @@ from pyspark.sql import functions as F
 from docmetrics.llm.common import materialize, mix64, signed, text_slices
 from docmetrics.llm.components import components
 
-ORDER_SIZE = 65_536  # frequent shingles in the broadcast order
-LOCAL_LEAST = 4  # a task reports shingles that it saw in so many documents
+ORDER_SIZE = 262_144  # frequent shingles in the broadcast order
+LOCAL_LEAST = 2  # a task reports shingles that it saw in so many documents
+PIVOTS = 2  # pivots that a document is verified against first: of its largest shingle groups, and of its smallest
+BROADCAST_IDS = 500_000  # ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle
 LOCAL_BLOCK = 2_000_000  # shingles counted at once in a task
-SUFFIX_CELLS = 64
+SUFFIX_CELLS = 64  # hash ranges whose counts are compared before a pair's texts are fetched
+PARITY = ("p0", "p1", "p2", "p3")  # 256 parities of counts over hash ranges, compared where postings meet
 SALT_ROWS = 2_000  # members verified against one copy of a pivot's set
 
 
@@ -93,7 +97,7 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def describe(batches):
         token, rank = order.value
         for batch in batches:
-            size, digest, prefix, cells = [], [], [], []
+            size, digest, prefix, cells, parity = [], [], [], [], []
             for _, u in _doc_sets(batch, k):
                 n = len(u)
                 r = np.zeros(n, dtype=np.int32)
@@ -105,11 +109,13 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 digest.append(np.array([u.sum(dtype=np.uint64), mix64(u).sum(dtype=np.uint64)], dtype=np.uint64).tobytes())
                 prefix.append(u[first].tobytes())
                 cells.append(np.minimum(np.bincount(u >> np.uint64(58), minlength=SUFFIX_CELLS), 255).astype(np.uint8).tobytes())
+                parity.append(np.packbits(np.bincount(u >> np.uint64(56), minlength=256).astype(np.uint8) & 1).tobytes())
+            odd = np.frombuffer(b"".join(parity), np.int64).reshape(-1, len(PARITY))
             yield pa.record_batch([batch.column("doc_id"), batch.column("stamp"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                                   pa.array(prefix, pa.binary()), pa.array(cells, pa.binary())],
-                                  names=["doc_id", "stamp", "n", "digest", "prefix", "cells"])
+                                   pa.array(prefix, pa.binary()), pa.array(cells, pa.binary()), *(pa.array(odd[:, i].copy()) for i in range(len(PARITY)))],
+                                  names=["doc_id", "stamp", "n", "digest", "prefix", "cells", *PARITY])
 
-    return docs.withColumn("stamp", F.xxhash64("text")).mapInArrow(describe, "doc_id long, stamp long, n long, digest binary, prefix binary, cells binary")
+    return docs.withColumn("stamp", F.xxhash64("text")).mapInArrow(describe, "doc_id long, stamp long, n long, digest binary, prefix binary, cells binary, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -130,10 +136,12 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _may_link(num: int, den: int):
-    """Length and positional filter of two postings (n, pos) and (n2, pos2) of one shingle."""
-    shared = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-    return ((den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
-            & ((num + den) * shared >= num * (F.col("n") + F.col("n2"))))
+    """Length, positional and parity filter of two postings (n, pos, ..) and (n2, pos2, ..) of one shingle."""
+    both = F.col("n") + F.col("n2")
+    shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(p).bitwiseXOR(F.col(p + "_2"))) for p in PARITY))
+    return ((den * F.least("n", "n2") >= num * F.greatest("n", "n2")) & ((num + den) * shared >= num * both)
+            & ((num + den) * differ <= (den - num) * both))  # both - 2 * (num * both / (num + den))
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -196,26 +204,34 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeated := not again.isEmpty():
         sets = materialize(sets.join(again, "doc_id", "left").where("lo IS NULL OR stamp = lo").drop("lo").dropDuplicates(["doc_id"]), "ngram_sets")
     classes = materialize(sets.where("n > 0").groupBy("n", "digest").agg(
-        F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("cells", "doc_id").alias("cells")), "ngram_classes")
+        F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("cells", "doc_id").alias("cells"),
+        *(F.first(p).alias(p) for p in PARITY)), "ngram_classes")
 
     # Prefix shingles of two classes or more, with each one's length bucket: linked sets are at most one bucket apart.
     step = math.log(den / num) + 1e-9 if num < den else 1.0
     postings = _postings(classes)
     shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    postings = materialize(postings.join(shared, "token").withColumn("bucket", F.floor(F.log("n") / step).cast("int"))
+    postings = materialize(postings.join(shared, "token").join(classes.select("rep", *PARITY), "rep").withColumn("bucket", F.floor(F.log("n") / step).cast("int"))
                            .withColumn("half", F.floor(F.log("n") / step + 0.5).cast("int")), "ngram_postings")
-    texts = materialize(docs.join(postings.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "ngram_texts")
-    if repeated:
-        texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    def star(bucket: str) -> DataFrame:
-        pivots = (postings.groupBy("token", bucket).agg(F.min(F.struct("n", "rep", "pos")).alias("p"), F.count("*").alias("k"))
-                  .where("k > 1").select("token", bucket, F.col("p.n").alias("n2"), F.col("p.rep").alias("a"), F.col("p.pos").alias("pos2")))
-        return postings.join(pivots, ["token", bucket]).where((F.col("rep") != F.col("a")) & _may_link(num, den)).select("a", F.col("rep").alias("b"))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram_ids")
+        few = ids.count() <= BROADCAST_IDS
+        texts = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "ngram_texts")
+        return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if repeated else texts
 
-    pairs = star("bucket").unionAll(star("half")).distinct()
+    def star(bucket: str) -> DataFrame:
+        pivots = (postings.groupBy("token", bucket).agg(F.min(F.struct("pos", "n", "rep", *PARITY)).alias("p"), F.count("*").alias("k"))
+                  .where("k > 1").select("token", bucket, "k", F.col("p.n").alias("n2"), F.col("p.rep").alias("a"), F.col("p.pos").alias("pos2"),
+                          *(F.col(f"p.{p}").alias(p + "_2") for p in PARITY)))
+        return postings.join(pivots, ["token", bucket]).where((F.col("rep") != F.col("a")) & _may_link(num, den)).select("a", F.col("rep").alias("b"), "k")
+
+    stars = (star("bucket").unionAll(star("half")).groupBy("a", "b").agg(F.max("k").alias("k"))
+             .withColumn("large", F.expr("row_number() OVER (PARTITION BY b ORDER BY k DESC, a)"))
+             .withColumn("small", F.expr("row_number() OVER (PARTITION BY b ORDER BY k, a)")))
+    pairs = stars.where((F.col("large") <= PIVOTS) | (F.col("small") <= PIVOTS)).select("a", "b")
     tried = materialize(_suffix_filter(pairs, classes, num, den), "ngram_pairs")
-    links = materialize(_verify(tried, texts, k, num, den), "ngram_links")
+    links = materialize(_verify(tried, texts_of(tried), k, num, den), "ngram_links")
     comps = components(links)
 
     # What is left: pairs of one shingle that are not in one component yet.
@@ -224,12 +240,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main"))
     tagged = materialize(tagged.join(main, "token"), "ngram_rest")
     minor = (tagged.where("comp != main").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-             .select("token", "bucket", F.col("rep").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2")))
+             .select("token", "bucket", F.col("rep").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *(F.col(p).alias(p + "_2") for p in PARITY)))
     rest = (tagged.join(minor, ["token", "bucket"]).where((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("rep"))))
             .where(_may_link(num, den)).select("a", F.col("rep").alias("b")).distinct())
     known = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = materialize(_suffix_filter(rest.join(known, ["a", "b"], "left_anti"), classes, num, den), "ngram_rest_pairs")
-    links = links.unionAll(_verify(rest, texts, k, num, den))
+    links = links.unionAll(_verify(rest, texts_of(rest), k, num, den))
 
     comps = components(links).withColumnRenamed("id", "rep")
     out = sets.select("doc_id", "n", "digest").join(classes.select("n", "digest", "rep"), ["n", "digest"], "left").join(comps, "rep", "left")
