@@ -117,8 +117,11 @@ class QueryMatrix:
         pos = {q: i for i, q in enumerate(ids)}
         qi = np.array([pos[q] for q in query_ids], dtype=np.int64)
         b = np.asarray(buckets, dtype=np.int64)
-        tf = np.asarray(tfs, dtype=np.int64)
-        order = np.lexsort((qi, b))
+        # A query id given in several rows is one query: its counts of a bucket add up.
+        pair, at = np.unique(b * max(len(ids), 1) + qi, return_inverse=True)
+        tf = np.bincount(at, weights=np.asarray(tfs, dtype=np.int64), minlength=len(pair)).astype(np.int64)
+        b, qi = pair // max(len(ids), 1), pair % max(len(ids), 1)
+        order = np.arange(len(pair))  # by bucket, then query
         self.ids = ids
         self.dim = dim
         self.qidx = qi[order]

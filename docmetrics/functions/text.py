@@ -9,7 +9,9 @@ truncates it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -45,19 +47,14 @@ def greedy_word_chunks(text: str | None, limit: int = CHUNK_LIMIT,
     words = text.split()
     if max_word:
         words = [w[i:i + max_word] for w in words for i in range(0, len(w), max_word)]
-    out: list[str] = []
-    start = 0
-    used = 0
-    for i, w in enumerate(words):
-        n = len(w)
-        if used + n + 1 > limit:
-            if i > start:
-                out.append(" ".join(words[start:i]))
-            start, used = i, n
-        else:
-            used += n + 1
-    if start < len(words):
-        out.append(" ".join(words[start:]))
+    # cost[i]: size of the first i words, each with its blank
+    cost = list(accumulate((len(w) + 1 for w in words), initial=0))
+    at, to, out = 0, bisect_right(cost, limit) - 1, []
+    while at < len(words):
+        if to <= at:  # the later chunks' last blank is free; a word over the limit stands alone
+            to = max(at + 1, bisect_right(cost, cost[at] + limit + 1) - 1)
+        out.append(" ".join(words[at:to]))
+        at = to
     return out
 
 
@@ -70,21 +67,16 @@ def line_chunks(text: str | None, limit: int = CHUNK_LIMIT) -> list[str]:
     """
     if text is None:
         return []
-    out: list[str] = []
-    cur = ""
-    for line in text.split("\n"):
-        if cur and _SECTION_RE.match(line):
-            out.append(cur.strip())
-            cur = line
-        elif len(cur) + len(line) > limit:
-            if cur:
-                out.append(cur.strip())
-            cur = line
+    lines = text.split("\n")
+    starts, size = [0], 0
+    for i, n in enumerate(map(len, lines)):
+        if size + n > limit or size and _SECTION_RE.match(lines[i]):
+            starts.append(i)
+            size = n
         else:
-            cur = cur + "\n" + line
-    if cur:
-        out.append(cur.strip())
-    return [c for c in out if c]
+            size += n + 1
+    whole = ("\n".join(lines[a:b]).strip() for a, b in pairwise([*starts, len(lines)]))
+    return [c for c in whole if c]
 
 
 def section_numbers(text: str | None) -> list[tuple[int, int, str]]:

@@ -112,11 +112,15 @@ def value_normalize(cands: DataFrame) -> DataFrame:
         .withColumn("unit_norm", normalized_unit(F.col("unit")))
 
 
-_VALUE_WITH_UNIT = rf"^[ \t]*({NUMBER}|[0-9]*\.[0-9]+)[ \t]*(.*?)[ \t]*$"
+# about-sign, sign or opening bracket, number, scale word, unit
+_VALUE_WITH_UNIT = (rf"^[ \t]*約?[ \t]*([(（]?[-−－+]?)[ \t]*({NUMBER}|[0-9]*\.[0-9]+)[)）]?[ \t]*"
+                    rf"({'|'.join(SCALE)})?[ \t]*(.*?)[ \t]*$")
 
 
 def split_value_unit(raw: Column) -> tuple[Column, Column]:
-    """Free-text value ('12,345 公噸CO2e', '85.6%') -> (DOUBLE, normalised unit)."""
-    num = F.regexp_extract(raw, _VALUE_WITH_UNIT, 1)
-    unit = F.nullif(F.regexp_extract(raw, _VALUE_WITH_UNIT, 2), F.lit(""))
-    return normalized_value(F.nullif(num, F.lit("")), unit), normalized_unit(unit)
+    """Free-text value -> (DOUBLE, normalised unit): '12,345 公噸CO2e', '-20%', '(5) 小時' (negative),
+    '1.2萬公噸CO2e' (the scale word is read apart from the unit)."""
+    part = lambda i: F.regexp_extract(raw, _VALUE_WITH_UNIT, i)
+    size = normalized_value(F.nullif(part(2), F.lit("")), part(3))
+    value = F.when(part(1).rlike("[(（−－-]"), -size).otherwise(size)
+    return value, normalized_unit(F.nullif(part(4), F.lit("")))

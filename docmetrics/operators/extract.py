@@ -190,7 +190,7 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
     m = F.element_at(catalog_map(catalog), F.col("metric_id"))
     unit_norm = normalized_unit(F.col("unit"))
     cat_unit = normalized_unit(m["unit"])
-    unit_match = (F.when(F.col("unit").isNull(), F.lit(0.5))
+    unit_match = (F.when(unit_norm.isNull(), F.lit(0.5))
                   .when(unit_norm == cat_unit, F.lit(1.0)).otherwise(F.lit(0.0)))
     j = j.withColumn("unit_match", unit_match)
     best = top_k(j, ["document_id", "metric_id"],

@@ -65,8 +65,8 @@ def metric_stats(results: DataFrame, value_col: str = "value_num") -> DataFrame:
         F.avg(v).alias("avg_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"))
 
 
-def doc_summary(chunks: DataFrame, results: DataFrame) -> DataFrame:
-    """AGG-4: chunks, tables and results per document; zero counts kept.
+def doc_summary(documents: DataFrame, chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """AGG-4: chunks, tables and results per document; a document without any has zero counts.
 
     ``chunks`` carries total_chunks / tables_found per row (from the chunker),
     so the per-document numbers need no count over chunks; results are counted
@@ -76,6 +76,6 @@ def doc_summary(chunks: DataFrame, results: DataFrame) -> DataFrame:
         F.max("total_chunks").alias("n_chunks"), F.max("tables_found").alias("n_tables"),
         F.count_if(F.col("source_kind") == "table").alias("n_table_chunks"))
     res = results.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_results"))
-    return per_doc.join(res, "document_id", "left").select(
-        "document_id", "n_chunks", "n_tables", "n_table_chunks",
-        F.coalesce("n_results", F.lit(0)).alias("n_results"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return (documents.select("document_id").distinct().join(per_doc, "document_id", "left").join(res, "document_id", "left")
+            .select("document_id", none("n_chunks"), none("n_tables"), none("n_table_chunks"), none("n_results")))

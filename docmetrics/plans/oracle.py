@@ -220,6 +220,10 @@ def _case(expr: str, mapping: dict) -> str:
 
 
 _UNITS = {m.metric_id: m.unit for m in ESG_CATALOG}
+# Written from the rule: about-sign, sign or opening bracket, number, scale word, unit.
+VALUE_TEXT = ("^[ \\t]*約?[ \\t]*([(（]?[-−－+]?)[ \\t]*([0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?|[0-9]*\\.[0-9]+)"
+              "[)）]?[ \\t]*(萬|億)?[ \\t]*(.*?)[ \\t]*$")
+
 ANSWERS = f"""
 ev AS (
   SELECT event_id, user_id, value, {_case('event_type', EVENT_METRIC)} AS metric_id,
@@ -264,12 +268,12 @@ kept AS (SELECT * FROM parsed WHERE reason IS NULL),
 res0 AS (
   SELECT k.document_id, k.response_id, c.name AS item, k.value, k.source, c.category, k.metric_id,
          k.confidence, k.trend,
-         nullif(regexp_extract(k.value, '^[ \\t]*({NUMBER}|[0-9]*\\.[0-9]+)[ \\t]*(.*?)[ \\t]*$', 1), '') AS num_raw,
-         nullif(regexp_extract(k.value, '^[ \\t]*({NUMBER}|[0-9]*\\.[0-9]+)[ \\t]*(.*?)[ \\t]*$', 2), '') AS unit_raw,
+         regexp_extract(k.value, '{VALUE_TEXT}', 1) AS sign_raw, nullif(regexp_extract(k.value, '{VALUE_TEXT}', 2), '') AS num_raw,
+         regexp_extract(k.value, '{VALUE_TEXT}', 3) AS scale_raw, nullif(regexp_extract(k.value, '{VALUE_TEXT}', 4), '') AS unit_raw,
          nullif(regexp_extract(k.source, '^([a-z]+):', 1), '') AS source_kind
   FROM kept k JOIN {ESG} c USING (metric_id)),
 results AS (
-  SELECT *, {value_norm('num_raw', 'unit_raw')} AS value_num, {unit_norm('unit_raw')} AS unit FROM res0),
+  SELECT *, {value_norm('num_raw', 'scale_raw')} * CASE WHEN regexp_matches(sign_raw, '[(（−－-]') THEN -1 ELSE 1 END AS value_num, {unit_norm('unit_raw')} AS unit FROM res0),
 obs AS (
   SELECT r.*, c.vmin, c.vmax, c.recommended_min, c.type, c.possible_sources
   FROM results r JOIN {ESG} c USING (metric_id))"""
@@ -451,7 +455,7 @@ xc AS (
   FROM xc1),
 xj AS (
   SELECT x.*, km.metric_id, h.rank AS chunk_rank, h.score, c.category, c.name, c.unit AS cat_unit,
-         CASE WHEN x.unit IS NULL THEN 0.5 WHEN {unit_norm('x.unit')} = {unit_norm('c.unit')} THEN 1.0 ELSE 0.0 END AS unit_match
+         CASE WHEN {unit_norm('x.unit')} IS NULL THEN 0.5 WHEN {unit_norm('x.unit')} = {unit_norm('c.unit')} THEN 1.0 ELSE 0.0 END AS unit_match
   FROM xc x JOIN (VALUES {kwmap}) km(metric_id, keyword) USING (keyword)
        JOIN mh h ON h.query_id = km.metric_id AND h.document_id = x.document_id AND h.chunk_index = x.chunk_index
        JOIN {ALLCAT} c ON c.metric_id = km.metric_id),
@@ -472,8 +476,9 @@ extracted AS (
 per_doc AS (SELECT document_id, max(total_chunks) AS n_chunks, max(tables_found) AS n_tables,
                    count(*) FILTER (WHERE source_kind = 'table') AS n_table_chunks FROM chunks GROUP BY document_id),
 nres AS (SELECT document_id, count(*) AS n FROM extracted GROUP BY document_id)
-SELECT p.document_id, p.n_chunks, p.n_tables, p.n_table_chunks, coalesce(nres.n, 0) AS n_results
-FROM per_doc p LEFT JOIN nres USING (document_id)"""
+SELECT d.document_id, coalesce(p.n_chunks, 0) AS n_chunks, coalesce(p.n_tables, 0) AS n_tables,
+       coalesce(p.n_table_chunks, 0) AS n_table_chunks, coalesce(nres.n, 0) AS n_results
+FROM (SELECT DISTINCT document_id FROM corpus) d LEFT JOIN per_doc p USING (document_id) LEFT JOIN nres USING (document_id)"""
 
     # dense vectors
     cent = """

@@ -196,7 +196,7 @@ def q_extract_metrics(spark, sf):
 
 def q_doc_summary(spark, sf):
     pc = materialized(partitioned_chunks(spark, sf))
-    return R.doc_summary(pc, _extracted(spark, sf, pc))
+    return R.doc_summary(corpus(spark, sf), pc, _extracted(spark, sf, pc))
 
 
 # --- vectors world -----------------------------------------------------------------------
