@@ -225,43 +225,88 @@ def partial_top_k(group, score, key_codes, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def score_batch(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, per_document: bool,
-                hasher: TokenHasher, text_col: str = "text", carry_cols=()):
-    """Partial top-k of one batch of chunks against all queries (yields batches).
+class RunningTopK:
+    """The best k rows of every query that a task has seen (score descending, then keys ascending).
 
-    Output columns: query_id, key columns, dot, score — at most k rows per
-    query (per query and document with ``per_document``) for each slice.
+    Rows wait until there are about twice as many as may stay, then all but each query's best k go; so a
+    task holds O(queries x k) rows, and gives out at most k rows per query once, at its end.
     """
+
+    def __init__(self, ids, k: int, key_cols):
+        self.ids, self.k, self.key_cols = pa.array(ids, type=pa.string()), k, list(key_cols)
+        self.limit = 2 * k * len(ids) + 65_536
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+        self.kth = np.full(len(ids), -np.inf)  # a row that scores less is not among its query's best
+
+    def add(self, query: np.ndarray, score: np.ndarray, columns: dict[str, pa.Array]) -> None:
+        if len(query):
+            self.parts.append(pa.table({"_q": pa.array(query), "_s": pa.array(score), **columns}))
+            self.rows += len(query)
+            if self.rows > self.limit:
+                self._settle()
+
+    def _settle(self) -> None:
+        t = pa.concat_tables(self.parts).combine_chunks()
+        query, score = t["_q"].to_numpy(), t["_s"].to_numpy()
+        best = partial_top_k(query, score, [sort_codes(t[c].combine_chunks()) for c in self.key_cols], self.k)
+        kept = query[best]
+        last = np.flatnonzero(np.r_[kept[1:] != kept[:-1], True]) if len(kept) else np.zeros(0, dtype=np.int64)
+        full = last[np.bincount(kept, minlength=len(self.kth))[kept[last]] == self.k]
+        self.kth[kept[full]] = score[best[full]]
+        self.parts, self.rows = [t.take(pa.array(best))], len(best)
+
+    def batches(self, columns, score_name: str, score=lambda s: s):
+        """The kept rows: query_id, ``columns``, and the score under its name, in that order."""
+        if self.parts:
+            self._settle()
+            t = self.parts[0]
+            out = pa.table([self.ids.take(t["_q"].combine_chunks()), *(t[c] for c in columns),
+                            pa.array(score(t["_s"].to_numpy()))], names=["query_id", *columns, score_name])
+            yield from out.to_batches(max_chunksize=65_536)
+
+
+def sparse_slices(batch: pa.RecordBatch, qm: QueryMatrix, hasher: TokenHasher, text_col: str, k: int,
+                  floor: np.ndarray | None = None):
+    """(rows, queries, dot, score) of the positive scores of a batch, in bounded slices. With ``floor``
+    (the queries' k-th scores so far, changed by the caller), only those that can be among the best k."""
     r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, qm.dim)
-    all_codes = [sort_codes(batch.column(c)) for c in key_cols]
     qn = np.sqrt(qm.qnorm2)
-    cn_all = np.sqrt(norm2.astype(np.float64))
+    cn = np.sqrt(norm2.astype(np.float64))
     for lo, hi in row_slices(r, b, batch.num_rows, qm):
         block = dot_block(r, b, tf, lo, hi, qm)
         with np.errstate(divide="ignore", invalid="ignore"):
-            sblock = np.where(block > 0, block / (qn[None, :] * cn_all[lo:hi, None]), 0.0)
-        if not per_document and block.shape[0] > k:
-            # Only cells at or above each query's k-th best score can make its
-            # top k (ties kept); the exact order is settled below.
-            kth = -np.partition(-sblock, k - 1, axis=0)[k - 1]
-            sblock = np.where(sblock >= np.maximum(kth, 1e-300)[None, :], sblock, 0.0)
-        rows, qs = np.nonzero(sblock)
-        if len(rows) == 0:
-            continue
-        dot = block[rows, qs]
-        score = sblock[rows, qs]
-        rows = rows + lo
-        codes = [c[rows] for c in all_codes]
-        if per_document:
-            group = qs * (int(all_codes[0].max(initial=0)) + 1) + codes[0]
-        else:
-            group = qs
-        sel = partial_top_k(group, score, codes, k)
-        take = pa.array(rows[sel])
-        arrays = [pa.array([qm.ids[i] for i in qs[sel]], type=pa.string())]
-        arrays += [batch.column(c).take(take) for c in (*key_cols, *carry_cols)]
-        arrays += [pa.array(dot[sel], type=pa.float64()), pa.array(score[sel], type=pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, *carry_cols, "dot", "score"])
+            score = np.where(block > 0, block / (qn[None, :] * cn[lo:hi, None]), 0.0)
+        keep = score > 0
+        if floor is not None:
+            keep &= score >= floor[None, :]
+            if len(score) > k:  # ties of the slice's k-th score stay: keys decide later
+                keep &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k][None, :]
+        rows, queries = np.nonzero(keep)
+        yield rows + lo, queries, block[rows, queries], score[rows, queries]
+
+
+def score_batch(batch: pa.RecordBatch, qm: QueryMatrix, top: RunningTopK, hasher: TokenHasher,
+                text_col: str = "text", carry_cols=()) -> None:
+    """Offer a batch of chunks to the task's running top k."""
+    for rows, queries, dot, score in sparse_slices(batch, qm, hasher, text_col, top.k, top.kth):
+        take = pa.array(rows)
+        top.add(queries, score, {c: batch.column(c).take(take) for c in (*top.key_cols, *carry_cols)}
+                | {"dot": pa.array(dot)})
+
+
+def score_batch_per_document(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, hasher: TokenHasher,
+                             text_col: str = "text", carry_cols=()):
+    """Partial top k per query and document (the first key) of each slice: at most one row per chunk and query."""
+    codes = [sort_codes(batch.column(c)) for c in key_cols]
+    for rows, queries, dot, score in sparse_slices(batch, qm, hasher, text_col, k):
+        group = queries * (int(codes[0].max(initial=0)) + 1) + codes[0][rows]
+        best = partial_top_k(group, score, [c[rows] for c in codes], k)
+        take = pa.array(rows[best])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([qm.ids[i] for i in queries[best]], type=pa.string()),
+             *(batch.column(c).take(take) for c in (*key_cols, *carry_cols)), pa.array(dot[best]), pa.array(score[best])],
+            names=["query_id", *key_cols, *carry_cols, "dot", "score"])
 
 
 def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
@@ -303,38 +348,64 @@ def dense_matrix(column: pa.Array, width: int):
     return out, valid
 
 
-def dense_score_batch(batch: pa.RecordBatch, key_cols, vec_col: str, qids, q: np.ndarray,
-                      k: int, metric: str):
-    """Partial top-k (smallest distance, then keys) per query for one batch.
+# Cells of the (rows x queries) arrays that the dense kernel holds at once; a matrix product may differ
+# from the row-by-row sum by far less than SLACK, so it only picks the pairs whose distance is taken.
+DENSE_CELLS = 1_000_000
+SLACK = 1e-9
+
 
-    Cosine distance is 1 - v.q / (|v| |q|) (zero norms excluded); L2 is the
-    square root of the summed squared differences.
+def dense_slices(v: np.ndarray, q: np.ndarray, metric: str, k: int, floor):
+    """(rows, queries, distance) of the pairs that can be among a query's k nearest, in slices of rows.
+
+    ``floor()`` gives minus the distance of the k-th row known for each query. Distances are summed in a
+    fixed order from the two vectors alone, so equal vectors get equal distances in any batch.
     """
+    step = max(1, DENSE_CELLS // max(q.shape[0], q.shape[1], 1))
+    qn = np.sqrt((q * q).sum(axis=1))
+    for lo in range(0, len(v), step):
+        part = v[lo:lo + step]
+        least = floor()
+        if metric == "cosine":
+            norms = np.sqrt((part * part).sum(axis=1))[:, None] * qn[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.where(norms > 0, (part @ q.T) / norms, np.nan) - 1.0
+            least = least - SLACK
+        else:
+            near = np.empty((len(part), len(q)))
+            width = max(1, DENSE_CELLS // max(1, part.size))
+            for j in range(0, len(q), width):
+                diff = part[:, None, :] - q[None, j:j + width, :]
+                near[:, j:j + width] = -np.sqrt((diff * diff).sum(axis=2))
+        keep = ~np.isnan(near)
+        if len(part) > k:
+            near[~keep] = -np.inf
+            kth = np.partition(near, len(part) - k, axis=0)[len(part) - k]
+            least = np.maximum(least, kth - SLACK if metric == "cosine" else kth)
+        rows, queries = np.nonzero(keep & (near >= least[None, :]))
+        if metric == "cosine":
+            dist = np.empty(len(rows))
+            width = max(1, DENSE_CELLS // max(1, q.shape[1]))
+            for i in range(0, len(rows), width):
+                r, j = rows[i:i + width], queries[i:i + width]
+                dist[i:i + width] = 1.0 - (part[r] * q[j]).sum(axis=1) / norms[r, j]
+        else:
+            dist = -near[rows, queries]
+        yield rows + lo, queries, dist
+
+
+def dense_score_batch(batch: pa.RecordBatch, vec_col: str, q: np.ndarray, metric: str, top: RunningTopK,
+                      columns, scope_col: str | None = None, scopes: dict | None = None) -> None:
+    """Offer a batch of vectors to the task's running top k (score = minus the distance). With ``scopes``
+    (scope value -> numbers of its queries), a vector meets the queries of its own scope only."""
     v, valid = dense_matrix(batch.column(vec_col), q.shape[1])
-    rows = np.flatnonzero(valid)
-    if len(rows) == 0:
-        return None
-    v = v[rows]
-    if metric == "cosine":
-        vn = np.sqrt((v * v).sum(axis=1))
-        qn = np.sqrt((q * q).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1.0 - (v @ q.T) / (vn[:, None] * qn[None, :])
-        d[(vn[:, None] * qn[None, :]) == 0] = np.nan
+    if scope_col is None:
+        groups = [(np.flatnonzero(valid), np.arange(len(q)))]
     else:
-        # Direct sums of squared differences (no |v|^2 + |q|^2 - 2 v.q
-        # cancellation), a few queries at a time to bound memory.
-        d = np.empty((len(rows), len(q)), dtype=np.float64)
-        step = max(1, MAX_CELLS // max(1, v.shape[0] * v.shape[1]))
-        for j in range(0, len(q), step):
-            diff = v[:, None, :] - q[None, j:j + step, :]
-            d[:, j:j + step] = np.sqrt((diff * diff).sum(axis=2))
-    r, qs = np.nonzero(~np.isnan(d))
-    dist = d[r, qs]
-    codes = [sort_codes(batch.column(c))[rows][r] for c in key_cols]
-    sel = partial_top_k(qs, -dist, codes, k)
-    take = pa.array(rows[r[sel]])
-    arrays = [pa.array([qids[i] for i in qs[sel]], type=pa.string())]
-    arrays += [batch.column(c).take(take) for c in key_cols]
-    arrays += [pa.array(dist[sel], type=pa.float64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["query_id", *key_cols, "distance"])
+        coded = batch.column(scope_col).dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        groups = [(np.flatnonzero(valid & (code == i)), scopes[value])
+                  for i, value in enumerate(coded.dictionary.to_pylist()) if value in scopes]
+    for rows, of in groups:
+        for r, j, dist in dense_slices(v[rows], q[of], metric, top.k, lambda of=of: top.kth[of]):
+            take = pa.array(rows[r])
+            top.add(of[j], -dist, {c: batch.column(c).take(take) for c in columns})

@@ -8,6 +8,8 @@ over the ordered chunk array instead of a window over the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,15 @@ def partition_chunks(chunks: DataFrame, key_cols=("document_id", "chunk_index"))
     exchange.
     """
     keys = _keys(key_cols)
-    # Chunk keys are never NULL; stating it before the exchange keeps joins from
-    # pushing an inferred not-null filter into one consumer only, which would
-    # make the branches differ and defeat exchange reuse.
-    not_null = None
-    for k in keys:
-        c = F.col(k).isNotNull()
-        not_null = c if not_null is None else not_null & c
-    return chunks.filter(not_null).repartition(parallelism(chunks.sparkSession), *keys)
+    # A NULL key raises (``identified`` sorts such rows out at the source). Stating then that keys are not
+    # NULL keeps joins from pushing an inferred filter into one consumer only, which would make the
+    # branches differ and defeat exchange reuse.
+    types = {f.name: f.dataType for f in chunks.schema.fields}
+    checked = chunks.select(*(
+        F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} of a chunk is null")).cast(types[c])).alias(c) if c in keys else F.col(c)
+        for c in chunks.columns))
+    not_null = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    return checked.filter(not_null).repartition(parallelism(chunks.sparkSession), *keys)
 
 
 def chunk_words(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",

@@ -20,21 +20,22 @@ from docmetrics.operators.candidates import (
     normalized_value,
 )
 from docmetrics.operators.embed import DEFAULT_DIM, query_texts_from_catalog
-from docmetrics.operators.knn import checked_broadcast, knn_sparse_text, top_k
+from docmetrics.operators.knn import knn_sparse_text, top_k
 
 # --- Fixed values ------------------------------------------------------------------
 # Confidence bands: high >= 0.8, mid in [0.5, 0.8), low < 0.5.
 HIGH = 0.8
 MID = 0.5
-# Prompt sent with the retrieved context (the model hook answers it in JSON).
-PROMPT_TEMPLATE = (
-    '請從提供的文本中找出關於 "%s" 的資訊：數值和單位、資料來源、歷史數據。'
-    '以 JSON 回答，鍵為 value, source, confidence, trend（trend 可省略）。'
-)
 ANSWER_SCHEMA = "value STRING, source STRING, confidence STRING, trend STRING"
 REQUIRED_KEYS = ("value", "source", "confidence")
 # -----------------------------------------------------------------------------------
 
+# Prompt sent with the retrieved context; the keys are those that ``parse_responses`` reads.
+PROMPT_TEMPLATE = (
+    "指標：%s\n只看下列段落，輸出一個 JSON 物件：value 寫數字連同單位，source 寫出處，"
+    "confidence 寫 0 到 1 的把握，trend 寫歷年升降（段落沒提就不寫）。"
+)
+
 
 def catalog_map(catalog=ESG_CATALOG) -> Column:
     """Literal MAP<metric_id, STRUCT<...>> for attribute lookups (JN-4).
@@ -121,20 +122,18 @@ def result_rows(parsed: DataFrame, catalog=ESG_CATALOG, ordered: bool = False,
 def retrieval_context(hits: DataFrame, chunks: DataFrame, key_cols=("document_id", "chunk_index"),
                       group_cols=("query_id",), text_col: str = "text",
                       max_hits: int | None = None, max_broadcast: int = 1_000_000) -> DataFrame:
-    """RAG-1: top-k chunk texts per query joined by newlines, best first.
+    """RAG-1: top-k chunk texts per group joined by newlines, best first.
 
-    The hit list (k rows per query) is the broadcast side; the chunk table is
-    only scanned. Each group collects at most k texts. ``max_hits`` is the
-    caller's bound on the hit count (k x number of queries); without it the
-    hits are counted first.
+    The hit list (k rows per group) joins the chunk table on its key; adaptive execution broadcasts the
+    hits if they turn out small. ``max_hits``, a bound that the caller can prove (k x number of queries),
+    asks for the broadcast up front. Each group collects at most k texts. For one context per document,
+    group by ("document_id", "query_id").
     """
     keys = list(key_cols)
     groups = list(group_cols)
-    h = hits.select(*groups, *keys, "rank")
+    h = hits.select(*dict.fromkeys([*groups, *keys]), "rank")
     if max_hits is not None and max_hits <= max_broadcast:
         h = F.broadcast(h)
-    else:
-        h, _ = checked_broadcast(h, max_broadcast)
     j = chunks.select(*keys, text_col).join(h, keys)
     return (j.groupBy(*groups)
             .agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_s"))
@@ -142,11 +141,12 @@ def retrieval_context(hits: DataFrame, chunks: DataFrame, key_cols=("document_id
                     F.array_join(F.transform("_s", lambda e: e[text_col]), "\n").alias("context")))
 
 
-def prompts(contexts: DataFrame, catalog=ESG_CATALOG, id_col: str = "query_id") -> DataFrame:
-    """RAG-2: prompt text per metric = instruction + retrieved context."""
+def prompts(contexts: DataFrame, catalog=ESG_CATALOG, id_col: str = "query_id", keep_cols=()) -> DataFrame:
+    """RAG-2: (keep_cols, metric_id, prompt) = instruction + retrieved context. ``keep_cols``, such as
+    document_id, are the rest of the context's group, which the answers are filed under."""
     m = F.element_at(catalog_map(catalog), F.col(id_col))
     return contexts.withColumn("_m", m).filter(F.col("_m").isNotNull()).select(
-        F.col(id_col).alias("metric_id"),
+        *keep_cols, F.col(id_col).alias("metric_id"),
         F.concat(F.format_string(PROMPT_TEMPLATE, F.col("_m.name")), F.lit("\n\n"),
                  F.col("context")).alias("prompt"))
 

@@ -1,40 +1,39 @@
 """Exact k-nearest-neighbour search (JN-2, JN-6, KNN-1..4, TOPK-1, PRJ-3).
 
-The query side is small (metric questions, benchmark items, class centroids)
-and its row count is checked before it is broadcast; the chunk/vector side is
-streamed and never shuffled for scoring. Scoring runs per Arrow batch with
-numpy and keeps an exact partial top-k per query, so no (query, chunk) pair
-rows exist; the final ``row_number() <= k`` (Catalyst's WindowGroupLimit,
-partial and final) ranks at most k rows per query per task.
+One plan at every size: the query side (metric questions, benchmark items, class centroids) is read in
+blocks of bounded size, almost always one; each block is broadcast, and the chunk/vector side is streamed
+past it and never shuffled for scoring. A task scores its Arrow batches with numpy and keeps a running
+top k per query, given out once at its end, so no (query, chunk) pair rows exist; the final
+``row_number() <= k`` (Catalyst's WindowGroupLimit, partial and final) ranks at most k rows per query
+and task.
 """
 
 from __future__ import annotations
 
-import logging
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmetrics.functions.sparse import QueryMatrix, TokenHasher, dense_score_batch, score_batch
+from docmetrics.functions.sparse import (
+    QueryMatrix,
+    RunningTopK,
+    TokenHasher,
+    dense_score_batch,
+    score_batch,
+    score_batch_per_document,
+)
 
-log = logging.getLogger(__name__)
-
-# Queries above this count are not broadcast (a plain join is planned instead).
-MAX_BROADCAST_QUERIES = 100_000
-# Same bound for the sparse form, counted in (query, bucket) rows.
-MAX_BROADCAST_TERMS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    log.warning("query side has more than %d rows; not broadcasting", max_rows)
-    return df, False
+# Query vectors (or query texts) in one broadcast block: 50 MB at 1,536 wide.
+MAX_BROADCAST_QUERIES = 4_096
+# The same for the sparse form, in (query, bucket) rows.
+MAX_BROADCAST_TERMS = 500_000
+# Longer query texts are hashed by Spark, not on the driver.
+MAX_QUERY_TEXT = 16_384
 
 
 def top_k(scored: DataFrame, partition_cols, order_cols, k: int, name: str = "rank") -> DataFrame:
@@ -43,35 +42,38 @@ def top_k(scored: DataFrame, partition_cols, order_cols, k: int, name: str = "ra
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
+def _term_blocks(terms: DataFrame, bound: int):
+    """(query_id, bucket, tf) rows in blocks of about ``bound``; a query's rows are in one block."""
+    rows = terms.limit(bound + 1).collect()
+    if len(rows) <= bound:
+        yield rows
+        return
+    block = []
+    for row in (terms.groupBy("query_id", "bucket").agg(F.sum("tf").alias("tf")).orderBy("query_id").toLocalIterator()):
+        if len(block) >= bound and block[-1][0] != row[0]:
+            yield block
+            block = []
+        block.append(row)
+    yield block
+
+
 def knn_sparse(chunks: DataFrame, query_terms: DataFrame, k: int = 3,
                key_cols=("document_id", "chunk_index"), scope: str = "corpus",
                dim: int | None = None, text_col: str = "text", char_ngrams: bool = True,
-               max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
+               max_broadcast: int = MAX_BROADCAST_TERMS, carry_cols=()) -> DataFrame:
     """KNN-4: exact cosine over hashed term vectors.
 
-    ``chunks``: (keys, text), ideally hash-partitioned on the keys
-    (``partition_chunks``); ``query_terms``: (query_id, bucket, tf) from
-    ``query_vectors`` with the same ``dim``. ``scope='document'`` ranks per
-    (query, document_id), which must be the first key.
-
-    The query side is size-checked and broadcast as a sparse matrix; each task
-    scores its Arrow batches with numpy and keeps only its partial top-k per
-    query, so no (query, chunk) pair row is materialised and the only shuffle
-    is of at most k rows per query per task into the final ranking window.
-    Above ``max_broadcast`` query terms it falls back to ``knn_sparse_join``.
-    Output: query_id, keys, rank INT, dot, score, distance.
+    ``chunks``: (keys, text); ``query_terms``: (query_id, bucket, tf) from ``query_vectors`` with the same
+    ``dim``; rows of one query and bucket add up. ``scope='document'`` ranks per (query, document_id),
+    which must be the first key. Query terms beyond ``max_broadcast`` rows are scored in several blocks,
+    one scan of the chunks each. ``carry_cols`` are passed through to the hits.
+    Output: query_id, keys, [carry], rank INT, dot, score, distance.
     """
-    keys = list(key_cols)
     dim = dim or 4096
-    rows = query_terms.select("query_id", "bucket", "tf").limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        log.warning("query terms exceed %d rows; using the shuffle-join form", max_broadcast)
-        from docmetrics.operators.embed import hash_embed
-        terms = hash_embed(chunks, keys, text_col, dim, char_ngrams, prepartitioned=True)
-        return knn_sparse_join(terms, query_terms, k, keys, scope)
-    payload = QueryMatrix.payload([r[0] for r in rows], [r[1] for r in rows],
-                                  [r[2] for r in rows], dim)
-    return _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams)
+    parts = [_knn_sparse_scored(chunks, QueryMatrix.payload([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], dim),
+                                k, list(key_cols), scope, dim, text_col, char_ngrams, tuple(carry_cols))
+             for rows in _term_blocks(query_terms.select("query_id", "bucket", "tf"), max_broadcast)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
@@ -80,12 +82,9 @@ def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
                     max_queries: int = MAX_BROADCAST_QUERIES, carry_cols=()) -> DataFrame:
     """KNN-4 from query texts ``(query_id, text)``, same results as ``knn_sparse``.
 
-    The query side is collected anyway for the broadcast (after its size
-    check), so its few texts are hashed right there with the same tokeniser
-    instead of in a separate Spark job. Above ``max_queries`` the query
-    vectors are built by Spark and ``knn_sparse`` decides. ``carry_cols`` are
-    passed through to the hits (so that other readers of the same chunk
-    exchange need the same columns and Spark reuses it).
+    A few short texts are collected and hashed on the driver with the same tokeniser, instead of in a
+    Spark job of their own; more than ``max_queries``, or one over ``MAX_QUERY_TEXT`` characters, become
+    term rows in Spark.
     """
     import re
 
@@ -94,16 +93,14 @@ def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
     from docmetrics.functions.sparse import bucket_counts
 
     dim = dim or 4096
-    rows = queries.select("query_id", "text").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
+    long = F.coalesce(F.length("text") > MAX_QUERY_TEXT, F.lit(False))
+    rows = queries.select("query_id", F.when(~long, F.col("text")).alias("text"), long).limit(max_queries + 1).collect()
+    if len(rows) > max_queries or any(r[2] for r in rows):
         from docmetrics.operators.embed import query_vectors
-        hits = knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
-                          key_cols, scope, dim, text_col, char_ngrams)
-        if carry_cols:
-            hits = hits.join(chunks.select(*key_cols, *carry_cols), list(key_cols))
-        return hits
+        return knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
+                          key_cols, scope, dim, text_col, char_ngrams, carry_cols=carry_cols)
     ws = re.compile(r"[ \t\n\x0b\f\r]+")
-    texts = [None if t is None else ws.sub(" ", t) for _, t in rows]
+    texts = [None if t is None else ws.sub(" ", t) for _, t, _ in rows]
     hasher = TokenHasher(dim, char_ngrams)
     r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
     ids = [rows[i][0] for i in r.tolist()]
@@ -124,9 +121,15 @@ def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngra
     def score(batches):
         qm = QueryMatrix.from_payload(bc.value)
         hasher = TokenHasher(dim, char_ngrams)
+        top = RunningTopK(qm.ids, k, keys)
         for batch in batches:
-            if batch.num_rows:
-                yield from score_batch(batch, keys, qm, k, per_doc, hasher, text_col, carry)
+            if not batch.num_rows or not qm.n:
+                continue
+            if per_doc:
+                yield from score_batch_per_document(batch, keys, qm, k, hasher, text_col, carry)
+            else:
+                score_batch(batch, qm, top, hasher, text_col, carry)
+        yield from top.batches((*keys, *carry, "dot"), "score")
 
     partial = chunks.select(*keys, *carry, text_col).mapInArrow(score, schema)
     part = ["query_id"] + (["document_id"] if per_doc else [])
@@ -138,15 +141,14 @@ def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngra
 
 def knn_sparse_join(chunk_terms: DataFrame, query_terms: DataFrame, k: int = 3,
                     key_cols=("document_id", "chunk_index"), scope: str = "corpus") -> DataFrame:
-    """KNN-4 as relational operators, for query sets too large to broadcast.
+    """KNN-4 as relational operators: the plain form that tests hold ``knn_sparse`` against.
 
-    ``chunk_terms``: (keys, bucket, tf, norm2); ``query_terms``: (query_id,
-    bucket, tf, norm2). Equi-join on ``bucket`` (a shuffle join: hot buckets
-    are split by adaptive skew handling), sums per (query, chunk), then top-k.
+    ``chunk_terms``: (keys, bucket, tf, norm2); ``query_terms``: (query_id, bucket, tf), where rows of one
+    query and bucket add up. Equi-join on ``bucket``, sums per (query, chunk), then top-k.
     """
     keys = list(key_cols)
-    q = query_terms.select("query_id", "bucket", F.col("tf").alias("qtf"),
-                           F.col("norm2").alias("qnorm2"))
+    q = query_terms.groupBy("query_id", "bucket").agg(F.sum("tf").alias("qtf"))
+    q = q.join(q.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf")).alias("qnorm2")), "query_id")
     scored = (chunk_terms.join(q, "bucket")
               .groupBy("query_id", *keys, "norm2", "qnorm2")
               .agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot")))
@@ -160,24 +162,29 @@ def knn_sparse_join(chunk_terms: DataFrame, query_terms: DataFrame, k: int = 3,
                     (F.lit(1.0) - F.col("score")).alias("distance")))
 
 
-def _as_double(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double"))
-
-
-def dot_col(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_as_double(a), _as_double(b), lambda x, y: x * y),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm_col(a: Column) -> Column:
-    return F.sqrt(F.aggregate(F.transform(_as_double(a), lambda x: x * x),
-                              F.lit(0.0), lambda acc, x: acc + x))
-
-
-def l2_col(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(
-        F.zip_with(_as_double(a), _as_double(b), lambda x, y: (x - y) * (x - y)),
-        F.lit(0.0), lambda acc, x: acc + x))
+def _dense_blocks(queries: DataFrame, bound: int, n_ids: int):
+    """The query rows (ids..., vector) in blocks of at most ``bound``, in the order in which they are read.
+    Equal rows are one query; different vectors of one id raise."""
+    as_array = lambda r: (*r[:n_ids], None if r[n_ids] is None else
+                          np.array([np.nan if x is None else x for x in r[n_ids]], dtype=np.float64))
+    rows = queries.limit(bound + 1).collect()
+    many = len(rows) > bound
+    if many:
+        queries = queries.dropDuplicates()
+        repeated = not queries.groupBy(*queries.columns[:n_ids]).count().where("count > 1").isEmpty()
+    else:
+        first: dict = {}
+        for r in map(as_array, rows):
+            first.setdefault((r[:n_ids], None if r[n_ids] is None else r[n_ids].tobytes()), r)
+        repeated = len({ids for ids, _ in first}) < len(first)
+    if repeated:
+        raise ValueError("a query id is given with several vectors")
+    if not many:
+        yield list(first.values())
+        return
+    rows = queries.toLocalIterator()
+    while block := [as_array(r) for r in islice(rows, bound)]:
+        yield block
 
 
 def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine",
@@ -186,94 +193,53 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
               max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """KNN-1 (cosine) / KNN-2 (L2) over ARRAY<FLOAT> vectors, exact and exhaustive.
 
-    Without ``scope_col`` the query side (at most ``max_broadcast`` rows,
-    checked) is broadcast as one matrix and every task scores its Arrow batches
-    with numpy, keeping an exact partial top-k per query; no pair rows are
-    produced and no join is planned. Larger query sets are split into hashed
-    blocks, each broadcast on its own. With ``scope_col`` (JN-6) each query only
-    sees vectors with the same value of that column: an equi-join on it.
-    Vectors whose width differs from the queries', with NULL/NaN elements, or
-    with a zero norm under cosine get no distance and drop out.
+    With ``scope_col`` (JN-6) each query only sees vectors with the same value of that column: the kernel
+    scores a scope's rows against that scope's queries. Equal rows of a query id (with its scope)
+    are one query; different vectors of one id raise. Queries beyond ``max_broadcast`` are scored in several blocks, one scan
+    of the vectors each. Vectors whose width differs from the queries', with NULL/NaN elements, or
+    with a zero norm under cosine get no distance and drop out. Equal vectors have equal distances, so
+    ties go by key.
     Output: query_id, [scope_col], keys, rank, distance, score (= 1 - distance).
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    keys = list(key_cols)
-    if scope_col:
-        return _knn_dense_scoped(vectors, queries, k, metric, keys, vec_col, query_vec_col,
-                                 scope_col, max_broadcast)
-    rows = queries.select("query_id", query_vec_col).limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        return _knn_dense_blocks(vectors, queries, k, metric, keys, vec_col, query_vec_col,
-                                 max_broadcast)
-    rows = [r for r in rows if r[1] is not None]
-    widths = {len(r[1]) for r in rows}
+    ids = ["query_id"] + ([scope_col] if scope_col else [])
+    parts = [_knn_dense_block(vectors, rows, k, metric, [c for c in key_cols if c not in ids], vec_col, scope_col)
+             for rows in _dense_blocks(queries.select(*ids, query_vec_col), max_broadcast, len(ids))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _knn_dense_block(vectors, rows, k, metric, keys, vec_col, scope_col):
+    rows = [r for r in rows if r[-1] is not None]
+    widths = {len(r[-1]) for r in rows}
     if len(widths) > 1:
         raise ValueError("query vectors differ in width")
-    spark = vectors.sparkSession
-    qids = [r[0] for r in rows]
-    qmat = np.array([[float("nan") if x is None else float(x) for x in r[1]] for r in rows],
-                    dtype=np.float64).reshape(len(rows), widths.pop() if widths else 0)
-    bc = spark.sparkContext.broadcast((qids, qmat))
-    key_fields = [vectors.schema[c] for c in keys]
-    schema = T.StructType([T.StructField("query_id", T.StringType())] + key_fields
-                          + [T.StructField("distance", T.DoubleType())])
+    scopes: dict | None = None
+    if scope_col:
+        scopes = {}
+        for i, r in enumerate(rows):
+            if r[1] is not None:
+                scopes.setdefault(r[1], []).append(i)
+        scopes = {s: np.array(of) for s, of in scopes.items()}
+    matrix = np.array([r[-1] for r in rows], dtype=np.float64).reshape(len(rows), widths.pop() if widths else 0)
+    bc = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix, scopes))
+    columns = [*([scope_col] if scope_col else []), *keys]
+    schema = T.StructType([T.StructField("query_id", T.StringType()), *(vectors.schema[c] for c in columns),
+                           T.StructField("distance", T.DoubleType())])
 
     def score(batches):
-        ids, q = bc.value
+        names, q, of = bc.value
+        top = RunningTopK(names, k, keys)
         for batch in batches:
-            if batch.num_rows and len(ids):
-                out = dense_score_batch(batch, keys, vec_col, ids, q, k, metric)
-                if out is not None:
-                    yield out
+            if batch.num_rows and len(names):
+                dense_score_batch(batch, vec_col, q, metric, top, columns, scope_col, of)
+        yield from top.batches(columns, "distance", np.negative)
 
-    partial = vectors.select(*keys, vec_col).mapInArrow(score, schema)
+    partial = vectors.select(*columns, vec_col).mapInArrow(score, schema)
+    part = ["query_id", *([scope_col] if scope_col else [])]
     order = [F.col("distance").asc()] + [F.col(c) for c in keys]
-    return (top_k(partial, ["query_id"], order, k)
-            .select("query_id", *keys, "rank", "distance",
-                    (F.lit(1.0) - F.col("distance")).alias("score")))
-
-
-def _knn_dense_blocks(vectors, queries, k, metric, keys, vec_col, query_vec_col, max_broadcast):
-    """More queries than one broadcast may hold: hash the queries into blocks of
-    about half the bound, score each block as its own broadcast (each with its
-    own size check), and union the results. A query lives in exactly one block,
-    so each block's top k is final. The vectors are scanned once per block."""
-    n = queries.count()
-    blocks = max(2, -(-2 * n // max_broadcast))
-    q = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [knn_dense(vectors, q.filter(F.col("_blk") == b).drop("_blk"), k, metric, keys,
-                       vec_col, query_vec_col, None, max_broadcast) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _knn_dense_scoped(vectors, queries, k, metric, keys, vec_col, query_vec_col, scope_col,
-                      max_broadcast):
-    v = vectors.select(*keys, vec_col, scope_col)
-    q = queries.select("query_id", query_vec_col, scope_col)
-    if metric == "cosine":
-        v = v.withColumn("_vn", norm_col(F.col(vec_col)))
-        q = q.withColumn("_qn", norm_col(F.col(query_vec_col)))
-    q, _ = checked_broadcast(q, max_broadcast)
-    j = v.join(q, scope_col)
-    same = F.size(F.col(vec_col)) == F.size(F.col(query_vec_col))
-    if metric == "cosine":
-        denom = F.col("_vn") * F.col("_qn")
-        dist = F.when(same & (denom > 0),
-                      F.lit(1.0) - dot_col(F.col(vec_col), F.col(query_vec_col)) / denom)
-    else:
-        dist = F.when(same, l2_col(F.col(vec_col), F.col(query_vec_col)))
-    part = ["query_id", scope_col]
-    out_keys = [c for c in keys if c not in part]
-    scored = j.select(*part, *out_keys, dist.alias("distance")) \
-        .filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
-    order = [F.col("distance").asc()] + [F.col(c) for c in out_keys]
-    return (top_k(scored, part, order, k)
-            .select(*part, *out_keys, "rank", "distance",
-                    (F.lit(1.0) - F.col("distance")).alias("score")))
+    return (top_k(partial, part, order, k)
+            .select(*part, *keys, "rank", "distance", (F.lit(1.0) - F.col("distance")).alias("score")))
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding",

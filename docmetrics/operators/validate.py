@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from docmetrics.catalog import ESG_CATALOG
 from docmetrics.operators.extract import catalog_map
-from docmetrics.operators.knn import norm_col
 
 
 def _m(catalog) -> Column:
@@ -143,6 +142,10 @@ def validation_report(obs: DataFrame, trends: DataFrame | None, id_col: str,
 
 # --- vector and batch checks -------------------------------------------------------------
 
+def norm_col(a: Column) -> Column:
+    return F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda acc, x: acc + x))
+
+
 def vector_validate(vectors: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
     """FLT-4: width, NULL and NaN elements, zero norm -> status and reason."""
     v = F.col(vec_col)

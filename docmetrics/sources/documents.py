@@ -17,20 +17,26 @@ TEXT_FORMATS = (".md", ".txt")
 # ---------------------------------------------------------------------------------
 
 
-def file_name_col(path: Column) -> Column:
-    """Last path segment; query string and fragment of a URL are dropped first."""
-    p = F.regexp_replace(path, r"[?#].*$", "")
+def file_name_col(path: Column, url: bool = True) -> Column:
+    """Last path segment. Of a URL, query string and fragment are dropped first; in a plain path
+    (``url=False``) ``?`` and ``#`` are letters like others."""
+    p = F.regexp_replace(path, r"[?#].*$", "") if url else path
     return F.regexp_extract(p, r"([^/]*)$", 1)
 
 
+def scanned_path() -> Column:
+    """Plain path of a scanned row's file: the scan gives it as a URI, with %-escapes (but a bare ``+``)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def file_type_col(name: Column) -> Column:
     """Lower-cased suffix with its dot ('' if none; a leading dot is not a suffix)."""
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
-def manifest(df: DataFrame, path_col: str, process_time: Column | None = None) -> DataFrame:
-    """SRC-1: adds file_name, file_type and process_time to rows that carry a path."""
-    name = file_name_col(F.col(path_col))
+def manifest(df: DataFrame, path_col: str, process_time: Column | None = None, url: bool = True) -> DataFrame:
+    """SRC-1: adds file_name, file_type and process_time to rows that carry a URL or (``url=False``) a path."""
+    name = file_name_col(F.col(path_col), url)
     out = df.withColumn("file_name", name).withColumn("file_type", file_type_col(F.col("file_name")))
     return out.withColumn("process_time",
                           process_time if process_time is not None else F.current_timestamp())
@@ -49,21 +55,21 @@ def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
     """
     if fmt == "binary":
         df = spark.read.format("binaryFile").load(path).select(
-            F.col("path").alias("_p"), F.col("modificationTime").alias("modified"),
+            scanned_path().alias("_p"), F.col("modificationTime").alias("modified"),
             F.col("length").alias("n_bytes"))
-        df = manifest(df, "_p", process_time)
+        df = manifest(df, "_p", process_time, url=False)
         return df.select(F.col("_p").alias("document_id"), "file_name", "file_type", "process_time",
                          "modified", "n_bytes", F.lit(None).cast("string").alias("text"))
     if fmt == "parquet":
-        df = spark.read.parquet(path).select("document_id", "text", F.col("_metadata.file_path").alias("_p"))
-        df = manifest(df, "_p", process_time)
+        df = spark.read.parquet(path).select("document_id", "text", scanned_path().alias("_p"))
+        df = manifest(df, "_p", process_time, url=False)
         return df.select("document_id", "file_name", "file_type", "process_time", "text")
     if fmt != "text":
         raise ValueError(f"unsupported format {fmt!r}")
     df = spark.read.option("wholetext", True).text(path) \
-        .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_p"),
+        .select(F.col("value").alias("text"), scanned_path().alias("_p"),
                 F.col("_metadata.file_modification_time").alias("modified"))
-    df = manifest(df, "_p", process_time)
+    df = manifest(df, "_p", process_time, url=False)
     return df.select(F.col("_p").alias("document_id"), "file_name", "file_type",
                      "process_time", "modified", "text")
 
@@ -77,3 +83,10 @@ def format_gate(df: DataFrame, allowed=SERVICE_FORMATS + TEXT_FORMATS,
         .withColumn("reason", F.when(ok, F.lit(None).cast("string"))
                     .when(t == "", F.lit("no file type"))
                     .otherwise(F.concat(F.lit("unsupported file type "), t)))
+
+
+def identified(df: DataFrame, id_col: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """(documents with an id, rejected rows with a ``reason``): a row without an id cannot be chunked, and
+    ``partition_chunks`` raises on one."""
+    missing = F.col(id_col).isNull()
+    return df.where(~missing), df.where(missing).withColumn("reason", F.lit(f"{id_col} is null"))
