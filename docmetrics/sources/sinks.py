@@ -8,6 +8,8 @@ partitioned by document (far too many folders).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +62,17 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def dedup_latest(df: DataFrame, key_cols=("document_id", "chunk_index"),
-                 order_col: str = "ingest_time") -> DataFrame:
-    """STR-2 on read: keep the newest copy of each chunk of a re-sent document.
+                 order_col: str = "ingest_time", entity_cols=("document_id",)) -> DataFrame:
+    """STR-2 on read: the chunks of each document's newest copy (largest ``order_col``), one row per chunk.
 
-    ``max_by`` aggregates partially before the shuffle, so a chunk sent a
-    million times costs one row per task, not one group of a million rows.
+    The newest copy is decided per document, so a copy with fewer chunks leaves none of an older one
+    behind. Both steps aggregate partially before the shuffle; a chunk sent a million times costs one row
+    per task.
     """
     keys = list(key_cols)
+    newest = df.groupBy(*(F.col(c).alias(f"_{c}") for c in entity_cols)).agg(F.max(order_col).alias("_newest"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in entity_cols))
+    rows = df.join(newest, same & F.col(order_col).eqNullSafe(F.col("_newest"))).select(*df.columns)
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(order_col)).alias("_n")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order_col))).alias("_n")) \
+        .select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest])

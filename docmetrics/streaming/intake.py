@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmetrics.functions.text import word_chunks_col
 from docmetrics.operators.chunk import chunk_words, document_chunks
 from docmetrics.session import scratch_dir
 
@@ -46,28 +47,35 @@ def run_chunk_stream(spark: SparkSession, source_path: str, schema, **kw) -> Dat
 
 
 def upsert_batches(spark: SparkSession, source_path: str, schema, table_path: str,
-                   checkpoint: str, id_col: str = "document_id", text_col: str = "text"):
+                   checkpoint: str, id_col: str = "document_id", text_col: str = "text",
+                   version_col: str | None = None):
     """STR-2: a re-sent document replaces its earlier chunks.
 
-    Each micro-batch keeps the last copy of every document it holds and writes
-    its chunks with the batch id; readers take the newest batch per document
-    (``latest_chunks``). No row of an older copy is deleted in place, so a lost
-    executor or a replayed batch cannot leave a document half replaced.
+    Of the copies of a document in one micro-batch the one with the largest ``version_col`` counts
+    (default: modification time of its file; ties go by the text's hash). Its chunks are written with
+    version and batch id; a copy without chunks leaves one row without a chunk, so that it replaces too.
+    A batch overwrites its own folder only, so a replayed one writes the same rows again. Readers take
+    the newest copy per document (``latest_chunks``); write those to a new table to drop old copies.
     """
+    version = F.col(version_col) if version_col else F.col("_metadata.file_modification_time")
+    docs = spark.readStream.schema(schema).parquet(source_path).select(
+        F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("text"), version.alias("version"))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select(F.col(id_col).cast("string").alias("document_id"),
-                            F.col(text_col).alias("text"))
-        docs = docs.dropDuplicates(["document_id"])
-        chunks = chunk_words(docs).withColumn("batch_id", F.lit(batch_id))
-        chunks.write.mode("append").partitionBy("batch_id").parquet(table_path)
+        newest = batch.groupBy("document_id").agg(
+            F.max_by("text", F.struct("version", F.xxhash64("text"))).alias("text"), F.max("version").alias("version"))
+        chunks = newest.select("document_id", "version", F.posexplode_outer(
+            word_chunks_col(F.array("text"))).alias("chunk_index", "text"))
+        chunks.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
-    return (spark.readStream.schema(schema).parquet(source_path).writeStream
-            .foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def latest_chunks(spark: SparkSession, table_path: str) -> DataFrame:
-    """Chunks of each document's newest batch only."""
+    """Chunks of each document's newest copy: largest version, then latest batch."""
     t = spark.read.parquet(table_path)
-    newest = t.groupBy("document_id").agg(F.max("batch_id").alias("batch_id"))
-    return t.join(newest, ["document_id", "batch_id"])
+    newest = t.groupBy("document_id").agg(F.max(F.struct("version", "batch_id")).alias("n")).select(
+        F.col("document_id").alias("_d"), F.col("n.version").alias("_v"), F.col("n.batch_id").alias("_b"))
+    same = (F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("batch_id") == F.col("_b")))
+    return t.join(newest, same).where(F.col("chunk_index").isNotNull()).select(*t.columns)

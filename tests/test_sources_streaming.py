@@ -127,3 +127,42 @@ def test_chunk_metadata_map_later_keys_win(spark):
     df = spark.createDataFrame([("A", 3, 8, 1)], "document_id string, chunk_index int, total_chunks int, tables_found int")
     m = C.chunk_metadata_map(df, doc_cols=("total_chunks", "tables_found", "chunk_index")).first().metadata
     assert m == {"total_chunks": "8", "tables_found": "1", "chunk_index": "3", "document_id": "A"}
+
+
+def test_dedup_latest_is_per_document(spark):
+    rows = [("A", i, 1, f"old {i}") for i in range(3)] + [("A", 0, 2, "new"), ("A", 0, 2, "new"), ("B", 0, 1, "b"), (None, 0, 1, "n")]
+    df = spark.createDataFrame(rows, "document_id string, chunk_index int, ingest_time int, text string")
+    assert sorted(r.text for r in S.dedup_latest(df).collect()) == ["b", "n", "new"]
+
+
+def test_resent_documents_shrink_empty_and_repeat(spark, tmp_path):
+    src, table, ck = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "ck")
+    schema = "doc long, body string, v int"
+
+    def send(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        I.upsert_batches(spark, str(src), spark.createDataFrame([], schema).schema, table, ck, "doc", "body", "v").awaitTermination()
+        return {d: [r.text for r in sorted(g, key=lambda r: r.chunk_index)] for d, g in _by_document(I.latest_chunks(spark, table))}
+
+    got = send((1, "one " * 500, 1), (2, "two", 1), (3, "three", 1))
+    assert len(got["1"]) == 3 and got["2"] == ["two"]
+    got = send((1, "short", 3), (1, "late older copy", 2), (2, "", 2), (3, None, 2))   # twice in a batch, emptied
+    assert got == {"1": ["short"]}
+    assert send((1, "an older copy", 1), (2, "back", 3)) == {"1": ["short"], "2": ["back"]}
+
+
+def _by_document(chunks):
+    groups = {}
+    for r in chunks.collect():
+        groups.setdefault(r.document_id, []).append(r)
+    return groups.items()
+
+
+def test_names_of_scanned_files(spark, tmp_path):
+    names = ["my report.md", "what?.md", "Q1#2.txt", "a+b.md", "100%25.md", "報告.md"]
+    for n in names:
+        (tmp_path / n).write_text("x", encoding="utf-8")
+    text, binary = (D.scan_documents(spark, str(tmp_path), f) for f in ("text", "binary"))
+    assert sorted(r.file_name for r in text.collect()) == sorted(names)
+    assert {r.document_id for r in text.collect()} == {r.document_id for r in binary.collect()}
+    assert {r.status for r in D.format_gate(binary).collect()} == {"accepted"}
