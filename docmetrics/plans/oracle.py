@@ -234,7 +234,7 @@ ev AS (
            || ':e' || CAST(event_id AS VARCHAR) AS src,
          CASE WHEN value < 100 THEN 'down' ELSE 'up' END AS trend
   FROM events),
-ev2 AS (SELECT *, v || {_case('metric_id', _UNITS)} AS vtext FROM ev),
+ev2 AS (SELECT *, CASE event_id % 10 WHEN 8 THEN '-' || v WHEN 9 THEN v || '萬' ELSE v END || {_case('metric_id', _UNITS)} AS vtext FROM ev),
 ev3 AS (SELECT *, '{{"value":"' || vtext || '","source":"' || src || '","confidence":' || conf || '}}' AS plain FROM ev2),
 answers AS (
   SELECT 'u' || CAST(user_id AS VARCHAR) AS document_id, event_id AS response_id, metric_id,
@@ -325,6 +325,9 @@ def _sql() -> dict[str, str]:
     s["chunk_words"] = ("WITH RECURSIVE " + chunk_ctes("cw", "(SELECT doc_id, text FROM documents)", ["doc_id"])
                         + " SELECT doc_id, CAST(ci AS INTEGER) AS chunk_index, text FROM cw")
 
+    s["stream_chunks"] = ("WITH RECURSIVE " + chunk_ctes("cw", "(SELECT doc_id, text FROM documents)", ["doc_id"])
+                          + " SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(ci AS INTEGER) AS chunk_index, text FROM cw")
+
     # line chunker: heads break, overflow test len(cur) + len(line) > limit.
     lim = CHUNK_LIMIT
     s["chunk_lines"] = f"""
@@ -438,6 +441,13 @@ ctx AS (SELECT h.query_id, string_agg(c.text, chr(10) ORDER BY h.rank) AS contex
     kwmap = ", ".join(f"({q(a)}, {q(b)})" for a, b in kws)
     parts2 = f"^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt2})?$"
     mhits = sparse_hits("mh", "ct", "qt", 3, True)
+    s["document_answers"] = f"""
+{CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},
+dctx AS (SELECT h.document_id, h.query_id, string_agg(c.text, {NL} ORDER BY h.rank) AS context
+         FROM mh h JOIN chunks c USING (document_id, chunk_index) GROUP BY h.document_id, h.query_id)
+SELECT d.document_id, c.name AS item, regexp_extract(d.context, '[0-9]+') AS value, 'context' AS source, c.category,
+       c.metric_id, round(CAST(least(length(d.context), 2400) AS DOUBLE) / 2400, 6) AS confidence, '' AS trend
+FROM dctx d JOIN {ALLCAT} c ON c.metric_id = d.query_id"""
     extract = f"""
 {CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},
 xc0 AS (

@@ -15,6 +15,9 @@ the SQL oracle can compare them.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,7 @@ from docmetrics.operators import extract as X
 from docmetrics.operators import knn as K
 from docmetrics.operators import report as R
 from docmetrics.operators import validate as V
+from docmetrics.operators.hooks import complete_with
 from docmetrics.operators.candidates import metric_candidates, split_value_unit, value_normalize
 from docmetrics.sources.documents import format_gate, manifest
 from docmetrics.sources.fixtures import REPORTS
@@ -136,8 +140,8 @@ def q_metric_fanout(spark, sf):
 
 
 def _candidates(spark, sf):
-    ch = partitioned_chunks(spark, sf)
-    return metric_candidates(ch, CANDIDATE_KEYWORDS, ignore_case=True)
+    # Per chunk, so it runs in the chunking stage: no exchange of chunk texts.
+    return metric_candidates(corpus_chunks(spark, sf), CANDIDATE_KEYWORDS, ignore_case=True)
 
 
 def q_metric_candidates(spark, sf):
@@ -149,8 +153,7 @@ def q_value_normalize(spark, sf):
 
 
 def _chunk_terms(spark, sf):
-    return E.hash_embed(partitioned_chunks(spark, sf), ["document_id", "chunk_index"],
-                        prepartitioned=True)
+    return E.hash_embed(corpus_chunks(spark, sf), ["document_id", "chunk_index"], prepartitioned=True)
 
 
 def q_hash_embed(spark, sf):
@@ -162,8 +165,7 @@ def q_metric_query_vectors(spark, sf):
 
 
 def _sparse_hits(spark, sf, queries: DataFrame, k: int = K_DEFAULT, chunks: DataFrame | None = None):
-    pc = chunks if chunks is not None else partitioned_chunks(spark, sf)
-    return K.knn_sparse_text(pc, queries, k)
+    return K.knn_sparse_text(chunks if chunks is not None else corpus_chunks(spark, sf), queries, k)
 
 
 def q_knn_sparse(spark, sf):
@@ -175,7 +177,7 @@ def q_metric_context(spark, sf):
     queries = benchmark_queries(spark, sf)
     pc = partitioned_chunks(spark, sf)     # one exchange, read by both branches
     hits = _sparse_hits(spark, sf, queries, chunks=pc)
-    return X.retrieval_context(hits, pc, max_hits=K_DEFAULT * queries.count())
+    return X.retrieval_context(hits, pc)
 
 
 def q_metric_prompt(spark, sf):
@@ -185,6 +187,23 @@ def q_metric_prompt(spark, sf):
     return X.prompts(ctx, ALL_CATALOG)
 
 
+def _first_number(prompts: list[str]) -> list[str]:
+    """Stands in for a model: answers with the first number of the context, surer the longer the context."""
+    contexts = [p.split("\n\n", 1)[1] for p in prompts]
+    return [json.dumps({"value": m[0] if (m := re.search("[0-9]+", c)) else "", "source": "context",
+                        "confidence": min(len(c), 2400) / 2400}) for c in contexts]
+
+
+def q_document_answers(spark, sf):
+    """Per document: retrieval, one prompt per metric, a completer, parsing, result rows."""
+    pc = partitioned_chunks(spark, sf)
+    hits = K.knn_sparse_text(pc, E.query_texts_from_catalog(spark, ALL_CATALOG), K_DEFAULT, scope="document")
+    ctx = X.retrieval_context(hits, pc, group_cols=("document_id", "query_id"))
+    answers = complete_with(X.prompts(ctx, ALL_CATALOG, keep_cols=("document_id",)), _first_number)
+    return X.result_rows(X.parse_responses(answers), ALL_CATALOG).select(
+        "document_id", "item", "value", "source", "category", "metric_id", _r6("confidence").alias("confidence"), "trend")
+
+
 def _extracted(spark, sf, chunks: DataFrame | None = None):
     pc = chunks if chunks is not None else partitioned_chunks(spark, sf)
     return X.extract_metrics(pc, ALL_CATALOG, k=K_DEFAULT, ignore_case=True, prepartitioned=True)
@@ -277,14 +296,16 @@ def event_answers(spark, sf) -> DataFrame:
 
     Kinds by event_id mod 10: 0 not JSON, 1 missing keys, 2 value null,
     3 confidence as text with a trend, 4 fenced JSON, 5 literal null,
-    6 empty value, 7 confidence 'high', others plain.
+    6 empty value, 7 confidence 'high', 8 negative value, 9 value with a scale word.
     """
     e = _t(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
     units = {m.metric_id: m.unit for m in ESG_CATALOG}
     metric = _case(F.col("event_type"), EVENT_METRIC)
     unit = _case(F.col("event_type"), {e: units[m] for e, m in EVENT_METRIC.items()})
     v = F.format_string("%.2f", F.col("value"))
-    vtext = F.concat(v, unit)
+    kind_no = F.col("event_id") % 10
+    vtext = (F.when(kind_no == 8, F.concat(F.lit("-"), v, unit))
+             .when(kind_no == 9, F.concat(v, F.lit("萬"), unit)).otherwise(F.concat(v, unit)))
     conf = F.format_string("%.4f", F.least(F.col("value") / F.lit(500.0), F.lit(1.0)))
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(k < 34, "table").when(k < 67, "text").otherwise("chart")
@@ -293,7 +314,6 @@ def event_answers(spark, sf) -> DataFrame:
     q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
     plain = F.concat(F.lit('{"value":'), q(vtext), F.lit(',"source":'), q(src),
                      F.lit(',"confidence":'), conf, F.lit("}"))
-    kind_no = F.col("event_id") % 10
     resp = (F.when(kind_no == 0, F.concat(F.lit("not json: "), v))
             .when(kind_no == 1, F.concat(F.lit('{"value":'), q(vtext), F.lit("}")))
             .when(kind_no == 2, F.concat(F.lit('{"value":null,"source":'), q(src),
@@ -493,6 +513,7 @@ QUERIES = {
     "metric_context": q_metric_context,
     "metric_prompt": q_metric_prompt,
     "extract_metrics": q_extract_metrics,
+    "document_answers": q_document_answers,
     "response_parse": q_response_parse,
     "validate_range": q_validate_range,
     "validate_recommended": q_validate_recommended,

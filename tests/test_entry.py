@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docmetrics.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -18,11 +19,11 @@ def test_entry_runs(spark):
     assert "confidence" in df.columns
 
 
-def test_every_query_has_an_oracle_except_streaming():
+def test_every_query_has_an_oracle():
     q, o = set(entry.queries()), set(entry.oracle_sql())
-    assert o <= q
-    assert q - o == {"stream_chunks"}
-    assert len(q) == 45
+    assert o <= q and set(QUERIES) <= q
+    assert set(QUERIES) <= o
+    assert len(QUERIES) == 46
 
 
 def _norm(v):
@@ -38,7 +39,8 @@ def _norm(v):
 @pytest.mark.parametrize("name", ["chunk_union", "knn_sparse", "extract_metrics", "result_rows",
                                   "validation_report", "knn_cosine", "table_cells", "chunk_lines",
                                   "hash_embed", "metric_context", "doc_summary", "response_rejects",
-                                  "metric_trend", "table_verbalize", "knn_l2", "report_rollup"])
+                                  "metric_trend", "table_verbalize", "knn_l2", "report_rollup",
+                                  "knn_per_document", "document_answers", "stream_chunks", "validate_range"])
 def test_matches_oracle_small(spark, name):
     con = duckdb.connect()
     for t in ("documents", "events", "embeddings", "benchmark", "pages"):

@@ -60,3 +60,9 @@ def test_spread_spreads_a_single_split_scan(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert df.rdd.getNumPartitions() == 1
     assert spread(df).rdd.getNumPartitions() == parallelism(spark)
+
+
+def test_map_only_work_does_not_shuffle_chunks(spark):
+    for name in ("metric_candidates", "value_normalize", "hash_embed"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan, name
