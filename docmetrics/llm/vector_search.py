@@ -5,11 +5,17 @@ hierarchical k-means (a cluster that is too large is split again, and assignment
 a bounded sample; their number follows the number of vectors, up to ``MAX_LISTS``. A vector on the boundary
 is replicated to further lists: those at most ``1 + REPLICA`` times as far as its nearest one, skipping a
 centroid that is nearer to a chosen centroid than to the vector. Centroids are searched in memory by a
-neighbour graph (best-first, a beam of ``BEAM``). A query reads the lists of its nearest centroids up to
-``1 + PROBE`` times the nearest one's distance. Vectors and queries of a list meet as matrices in blocks.
+neighbour graph (best-first, a beam of ``BEAM`` or as many as are asked for; where such a beam would meet
+all centroids anyway they are ranked outright). A query reads the lists of its nearest centroids up to
+``1 + PROBE`` times the nearest one's distance, and as many as the table itself needs: ``TRIAL`` of its queries,
+the first by a hash, are compared with brute force, and the number of lists grows from ``LEAST_MOST`` by a quarter
+at a time until their recall, less two standard errors, is at least ``RECALL`` (and if the ratio alone
+prevents that, the ratio is dropped; with all lists read the recall is 1). Vectors and queries of a list meet as
+matrices in blocks.
 
 Scale: fitting sees ``SAMPLE`` vectors at most (and at most ``SAMPLE_BYTES``); the centroids and graph are
-broadcast (``MAX_LISTS`` x dimension, at most a few MB). Lists longer than ``BLOCK_ROWS`` are cut into blocks by hash, and so are a list's
+broadcast (``MAX_LISTS`` x dimension, at most a few MB). The comparison with brute force is one pass over the
+vectors for ``TRIAL`` queries, each task keeping their nearest k + 1. Lists longer than ``BLOCK_ROWS`` are cut into blocks by hash, and so are a list's
 queries, so a task holds one block of each however large a list becomes. Equal vectors are one class,
 listed once with its k + 1 smallest ids (more cannot be among the nearest, as ties go to smaller ids), and equal
 query vectors are searched once, so a vector that a third of all rows share costs one entry.
@@ -37,7 +43,8 @@ SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 LIST_ROWS, MAX_LISTS = 256, 4_096
 BLOCK_ROWS = 2_048
 REPLICA, MAX_REPLICAS = 0.10, 4
-PROBE, MAX_PROBES, LEAST_PROBES = 0.35, 48, 8
+PROBE, LEAST_MOST, LEAST_PROBES = 0.35, 48, 8
+TRIAL, RECALL = 256, 0.9
 NEIGHBOURS, BEAM, ENTRIES = 24, 64, 32
 
 
@@ -65,6 +72,10 @@ class Centroids:
         """(centroids, cosines) per query, nearest first; -1 where there are fewer. Best-first over the graph, all queries at once."""
         n, rows = len(self.points), np.arange(len(q))
         beam = min(max(BEAM, top), n)
+        if beam * NEIGHBOURS >= n and top > BEAM:  # such a beam meets all of them
+            sims = q @ self.points.T
+            ids = np.argsort(-sims, axis=1, kind="stable")[:, :top]
+            return ids, np.take_along_axis(sims, ids, axis=1)
         seen = np.zeros((len(q), n), bool)
         seen[:, self.entries] = True
         ids = np.full((len(q), beam), -1, np.int64)
@@ -153,18 +164,53 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _placed(rows: DataFrame, model, dim: int, kind: str) -> DataFrame:
+def _probed(cent: Centroids, u: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, which of them are read) of every query: at most ``most``, up to ``1 + ratio`` times the nearest one's distance."""
+    ids, sims = cent.search(u, most)
+    far = np.sqrt(np.maximum(2 - 2 * sims, 0))
+    take = far <= far[:, :1] * (1 + ratio) + 1e-12
+    take[:, :LEAST_PROBES] = True
+    return ids, take & (ids >= 0)
+
+
+def _enough(cent: Centroids, u: np.ndarray, truth: np.ndarray) -> tuple[int, float]:
+    """(most, ratio) for ``_probed`` that find the true neighbours of the trial queries ``u``: rows of ``truth`` are
+    (query, neighbour's number, a list that holds it)."""
+    n = len(cent.points)
+    pairs, slot = np.unique(truth[:, :2], axis=0, return_inverse=True)
+    each = np.maximum(np.bincount(pairs[:, 0], minlength=len(u)), 1)
+    asked = np.bincount(pairs[:, 0], minlength=len(u)) > 0
+    for ratio in (PROBE, np.inf):
+        most = min(LEAST_MOST, n)
+        while True:
+            ids, take = _probed(cent, u, most, ratio)
+            read = np.zeros((len(u), n), bool)
+            row, at = np.nonzero(take)
+            read[row, ids[row, at]] = True
+            hit = np.zeros(len(pairs), bool)
+            hit[slot[read[truth[:, 0], truth[:, 2]]]] = True
+            recall = (np.bincount(pairs[:, 0], hit, minlength=len(u)) / each)[asked]
+            if not len(recall) or recall.mean() - 2 * recall.std() / np.sqrt(len(recall)) >= RECALL:
+                return most, ratio
+            if most == n:
+                break
+            most = min(n, max(most + 1, most * 5 // 4))
+    return n, np.inf
+
+
+def _placed(rows: DataFrame, model, dim: int, kind: str, most: int = 0, ratio: float = 0.0) -> DataFrame:
     """(rep, vec) -> a row per list: where a vector is stored (``store``) or a query looks (``probe``)."""
+    step = 1024 if kind == "store" else max(1, 1024 * LEAST_MOST // max(most, LEAST_MOST))  # rows of one output batch are bounded
 
     def place(batches):
         cent: Centroids = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 u = _unit(_matrix(part.column("vec"), dim))
-                ids, sims = cent.search(u, MAX_REPLICAS * 2 if kind == "store" else MAX_PROBES)
-                far = np.sqrt(np.maximum(2 - 2 * sims, 0))
                 if kind == "store":
+                    ids, sims = cent.search(u, MAX_REPLICAS * 2)
+                    far = np.sqrt(np.maximum(2 - 2 * sims, 0))
                     near = far <= far[:, :1] * (1 + REPLICA) + 1e-12
                     take = np.zeros(ids.shape, bool)
                     take[:, 0] = True
@@ -175,9 +221,7 @@ def _placed(rows: DataFrame, model, dim: int, kind: str) -> DataFrame:
                             ok &= ~(take[:, i] & (between > sims[:, j]))
                         take[:, j] = ok
                 else:
-                    take = far <= far[:, :1] * (1 + PROBE) + 1e-12
-                    take[:, :LEAST_PROBES] = True
-                    take &= ids >= 0
+                    ids, take = _probed(cent, u, most, ratio)
                 row, slot = np.nonzero(take)
                 pick = part.take(pa.array(row))
                 yield pa.record_batch([pa.array(ids[row, slot].astype(np.int32)), pick.column("rep"), pick.column("vec")], names=["list", "rep", "vec"])
@@ -214,6 +258,43 @@ def _nearest(left: pa.Table, right: pa.Table, dim: int, keep: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate(c)) for c in (found_q, found_r, found_s)], names=names)
 
 
+def _trial(classes: DataFrame, stored: DataFrame, queries: DataFrame, cent: Centroids, dim: int, k: int) -> tuple[int, float]:
+    """How many lists a query must read, and up to which ratio, measured on some of the queries."""
+    if len(cent.points) <= LEAST_PROBES:
+        return len(cent.points), PROBE
+    own = [r["vec"] for r in queries.orderBy(F.xxhash64("rep", "vec"), "vec").limit(TRIAL).select("vec").collect()]
+    if not own:
+        return min(LEAST_MOST, len(cent.points)), PROBE
+    spark = classes.sparkSession
+    sent = spark.sparkContext.broadcast(own)
+
+    def nearest(batches):
+        right = pa.table([pa.array(range(len(sent.value)), pa.int64()), pa.array(sent.value, pa.binary())], names=["rep", "vec"])
+        number = {v: i for i, v in enumerate(sent.value)}
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                found = _nearest(part, right, dim, k + 1)
+                # the query's own vector is no neighbour of it
+                self_rep = {number[v]: r for v, r in zip(part.column("vec").to_pylist(), part.column("rep").to_pylist()) if v in number}
+                alone = np.array([self_rep.get(q) != r for q, r in zip(found.column("query").to_pylist(), found.column("rep").to_pylist())], bool)
+                found = found.filter(pa.array(alone))
+                best = found if best is None else pa.concat_tables([best, found])
+                q, r, s = (best.column(c).to_numpy() for c in ("query", "rep", "score"))
+                order = np.lexsort((r, -s, q))
+                nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                best = best.take(pa.array(order[nth < k]))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    near = classes.select("rep", "vec").mapInArrow(nearest, "query long, rep long, score double")
+    near = near.withColumn("nth", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, rep)")).where(F.col("nth") <= k)
+    near = materialize(near.select("query", "rep"), "vector_trial")  # at most TRIAL * k rows
+    truth = stored.select("rep", "list").join(F.broadcast(near), "rep").select("query", "rep", "list").collect()
+    return _enough(cent, _unit(np.frombuffer(b"".join(own), np.float64).reshape(-1, dim)), np.array([tuple(r) for r in truth], np.int64).reshape(-1, 3))
+
+
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5) -> DataFrame:
     """The rows where ``is_query`` holds (an expression on the column ``id``) are searched in all rows
     -> query_id, rank, vec_id, score."""
@@ -239,6 +320,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     cent = fit_centroids(_unit(np.frombuffer(b"".join(r["vec"] for r in sample), np.float64).reshape(-1, dim)), lists)
     model = spark.sparkContext.broadcast(cent)
     stored = materialize(_placed(classes, model, dim, "store"), "vector_lists")
+    most, ratio = _trial(classes, stored, queries, cent, dim, k)
 
     def meet(probes: DataFrame) -> DataFrame:
         """Blocks of a list's vectors times blocks of its queries."""
@@ -258,7 +340,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         pairs = ids.join(members, "query").where("query_id != vec_id").groupBy("query", "query_id", "vec_id").agg(F.max("score").alias("score"))
         return pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k)
 
-    found = materialize(answers(_placed(queries, model, dim, "probe")), "vector_found")
+    found = materialize(answers(_placed(queries, model, dim, "probe", most, ratio)), "vector_found")
     # Queries that found too few, though there are enough rows, look into all lists.
     least = min(k, rows.select("id").distinct().count() - 1)
     poor = queries.join(found.groupBy("query", "query_id").agg(F.count("*").alias("n")).groupBy("query").agg(F.min("n").alias("n")), queries["rep"] == F.col("query"), "left")

@@ -199,6 +199,25 @@ def test_vector_search_in_many_lists_reaches_the_recall(spark, monkeypatch):
     assert len(by) == 60 and hits >= 0.9 * 300
 
 
+def test_vector_search_of_flat_vectors_reads_as_many_lists_as_the_recall_needs(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "LIST_ROWS", 16)
+    n, lists = 6400, []
+    fit = vector_search.fit_centroids
+    monkeypatch.setattr(vector_search, "fit_centroids", lambda sample, count: lists.append(count) or fit(sample, count))
+    x = np.random.default_rng(3).normal(0, 1, (n, 64))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    by = {}
+    for r in vector_search.search(df, F.col("id") % 50 == 0).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q, found in by.items():
+        sim = u @ u[q]
+        sim[q] = -9
+        hits += len(found & set(np.argsort(-sim)[:5].tolist()))
+    assert lists == [400] and len(by) == 128 and hits >= 0.9 * 5 * 128
+
+
 URLS = ["https://a.com/x", "https://A.COM?x", "https://sub.example.com/en/1", "https://www.example.com/en/2", "https://x.www.example.com/en/2",
         "https://example.com/de/1", "http://n.net/es/1", "http://n.net/fr/", "http://n.net/en/", "http://x.org/es/1?a=1&b=2#f", "no scheme", None, "", "://h/p", "http://xcom/", "http://net/es/x",
         "http://u.org/" + "9" * 50_000]
