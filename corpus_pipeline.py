@@ -15,8 +15,11 @@ from docmetrics.llm.common import materialize, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; all of them if there is no label of class 0 to learn from
+    (no usable label at all, or class 1 only). With labels of class 0 only no document is accepted."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    if isinstance(machine, float) and machine >= 0.5:  # a constant: 0.5 without labels, more with class 1 only
+        return docs
     return quality.score(docs, machine).where(F.col("score") >= quality.THRESHOLD).select("doc.*")
 
 

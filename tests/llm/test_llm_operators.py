@@ -491,3 +491,13 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     lost = {b for b in sets for a in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert ids[3] == ids[2] - lost
     assert ids[4] == ids[3] - {300} == ids[5]
+
+
+@pytest.mark.parametrize("labels,kept", [([], 8), ([(2, 1)], 8), ([(i, 1) for i in range(8)], 8), ([(900, 0)], 8), ([(i, 0) for i in range(8)], 0)])
+def test_pipeline_without_both_classes_of_labels(spark, tmp_path, labels, kept):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"some plain text {i}", "en", "s", 17) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    assert out.dtypes == docs.dtypes and out.count() == kept
