@@ -2,13 +2,14 @@
 
 Method: size-partitioned MinHash containment search. A MinHash of a whole long document says next to
 nothing about a short item inside it, so sets are compared only with sets of their size class: items are
-partitioned by shingle count (up to 8, 16, 32, ...), and for each class with upper size u every document is
+partitioned by shingle count (1, 2, up to 4, 8, 16, ...), and for each class with upper size u every document is
 taken as overlapping windows of 2u shingles, starting every u, so that u consecutive shingles always lie
 whole in some window and the containment threshold becomes a Jaccard similarity of at least
 ``threshold / 2`` or so. Windows and items are compared on ``HASHES`` MinHash values with one row per band:
-an equal value is a candidate (a window that holds 0.8 of an item whose class bound is twice its size is
-missed with a probability of about 0.8**64, under 1e-6). Window minima are minima of two neighbouring
-blocks, and a class's blocks are pairs of the smaller class's. A candidate is verified by exact containment of
+an equal value is a candidate. At worst an item of just over u/2 shingles has 0.8 of them in a window of 2u:
+a Jaccard similarity of 0.4u / 2.1u = 0.19, missed with a probability of 0.81**64, about 1.4e-6. An item of one
+shingle is looked up among the document's shingles, which misses none. Window minima are minima of two neighbouring
+blocks, and a class's blocks are pairs of the smaller class's, from the smallest class that has items. A candidate is verified by exact containment of
 the item's shingles in the whole document's.
 
 Scale: one pass over the documents, without a shuffle; each document is searched where it is read. The
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from docmetrics.llm.common import Slice, mix64, seeds, text_slices
 
 HASHES = 64
-LEAST_CLASS = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 20_000
 RUN = 1 << 16  # shingles hashed at once
@@ -60,7 +60,7 @@ class Index:
             for d in range(s.n):
                 u = np.unique(h[bounds[d]:bounds[d + 1]])
                 if len(u):
-                    width = max(LEAST_CLASS, 1 << (len(u) - 1).bit_length())
+                    width = 1 << (len(u) - 1).bit_length()
                     classes[width].append(len(self.sets))
                     self.sets.append(u)
                     self.ids.append(items[s.first + d][0])
@@ -68,7 +68,7 @@ class Index:
         # (class, hash function) -> sorted values and the items that have them; a bitmap on 16 bits first
         self.tables = {}
         for width, own in classes.items():
-            for j in range(HASHES):
+            for j in range(HASHES if width > 1 else 1):
                 v = np.array([_values(self.sets[i], j).min() for i in own], np.uint32)
                 order = np.argsort(v)
                 seen = np.zeros(1 << 16, bool)
@@ -81,28 +81,37 @@ class Index:
         n = np.diff(bounds)
         if not self.widths or not len(h):
             return out
-        # Blocks of LEAST_CLASS shingles, counted from each text's start; the last block of a text is shorter.
-        per = -(-n // LEAST_CLASS)
+
+        def meet(width: int, j: int, text: np.ndarray, window: np.ndarray) -> None:
+            v, item, seen = self.tables[width, j]
+            some = np.flatnonzero(seen[window >> np.uint32(16)])
+            if len(some):
+                lo, hi = np.searchsorted(v, window[some]), np.searchsorted(v, window[some], side="right")
+                for w, a, b in zip(some[hi > lo], lo[hi > lo], hi[hi > lo]):
+                    out.update((int(text[w]), int(i)) for i in item[a:b])
+
+        if self.widths[0] == 1:
+            meet(1, 0, np.repeat(np.arange(s.n), n), _values(h, 0))
+        widths = [w for w in self.widths if w > 1]
+        if not widths:
+            return out
+        # Blocks of the smallest class's size, counted from each text's start; the last block of a text is shorter.
+        per = -(-n // widths[0])
         first = np.concatenate([[0], np.cumsum(per)])
         text_of = np.repeat(np.arange(s.n), per)
         nth = np.arange(first[-1]) - first[text_of]
-        starts = bounds[text_of] + nth * LEAST_CLASS
+        starts = bounds[text_of] + nth * widths[0]
         for j in range(HASHES):
             low = np.minimum.reduceat(_values(h, j), starts)
-            text, pos, width = text_of, nth, LEAST_CLASS
+            text, pos, width = text_of, nth, widths[0]
             while True:
-                if width in self.widths:
+                if width in widths:
                     last = np.empty(len(low), bool)
                     last[-1], last[:-1] = True, text[1:] != text[:-1]
                     window = low.copy()
                     window[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
-                    v, item, seen = self.tables[width, j]
-                    some = np.flatnonzero(seen[window >> np.uint32(16)])
-                    if len(some):
-                        lo, hi = np.searchsorted(v, window[some]), np.searchsorted(v, window[some], side="right")
-                        for w, a, b in zip(some[hi > lo], lo[hi > lo], hi[hi > lo]):
-                            out.update((int(text[w]), int(i)) for i in item[a:b])
-                if width >= self.widths[-1]:
+                    meet(width, j, text, window)
+                if width >= widths[-1]:
                     break
                 pair = pos % 2 == 0  # a block of twice the width: this one and, in the same text, the next
                 at = np.flatnonzero(pair)

@@ -374,6 +374,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_the_shortest_items(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"z{rng.randrange(5000)}" for _ in range(n))
+    items = [" ".join(f"s{n}x{j}" for j in range(n)) for n in (5, 6, 7, 8)]
+    rows = [(1000 * i + j, item + " " + filler(40) if j % 2 else filler(j % 9 + 30) + " " + item + " " + filler(40)) for i, item in enumerate(items) for j in range(1000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for some in (bench, bench.where("item_id = 0"), bench.where("item_id = 2")):
+        ids = [r.item_id for r in some.collect()]
+        found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), some)
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, d // 1000) for d, _ in rows if d // 1000 in ids]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     bench = spark.createDataFrame([(i, " ".join(f"k{i}x{j}" for j in range(12))) for i in range(10)], "item_id long, text string")
