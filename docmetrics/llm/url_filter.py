@@ -1,14 +1,16 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for the rest.
 
 Method: URLs that a rule decides are the labelled ones. Trees (``pyspark.ml`` GBTClassifier) are fitted on
-a bounded sample of them, at most ``SAMPLE_ROWS``, the first by a hash of the URL, and judge the URLs that no
-rule fits. Features: lengths of URL, host and path, path depth, longest segment, digit ratio, entropy of
+a bounded sample of them and judge the URLs that no rule fits. The sample holds every URL once, however many
+rows it has (with its row count as a weight a hot URL would outweigh all others): the first ``SAMPLE_ROWS``
+distinct URLs by a hash, and the first ``VERDICT_ROWS`` of each verdict. Features: lengths of URL, host and path, path depth, longest segment, digit ratio, entropy of
 the characters, counts of parameters, hyphens, signs and host labels, scheme, and suffix statistics:
 for the host's last label, its last two labels and the first path segment, the smoothed share of blocked
 URLs among all labelled URLs that have it, and their number. Everything is DataFrame expressions and
 spark.ml; no Python runs on the executors.
 
-Scale: one projection over the URLs, plus aggregations (partial, so a hot host is reduced before its
+Scale: the sample is taken among the URLs whose hash is below a bound, set by an approximate count of
+distinct URLs so that about twice the sample is left to tell apart. One projection over the URLs, plus aggregations (partial, so a hot host is reduced before its
 shuffle) and equi-joins for the statistics; the joined tables hold only keys with labelled URLs, and Spark
 broadcasts them only if they are small, or else splits a hot key.
 
@@ -37,7 +39,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, VERDICT_ROWS = 20_000, 1_000
 TREES, DEPTH, STEP = 12, 4, 0.3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STAT_KEYS = ("suffix1", "suffix2", "segment")
@@ -83,6 +85,16 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
+def _fitting_sample(decided: DataFrame, distinct: dict[str, int]) -> DataFrame:
+    """Every URL once: the first ``SAMPLE_ROWS`` by hash, and the first ``VERDICT_ROWS`` of each verdict."""
+    place, size = F.xxhash64("url"), max(SAMPLE_ROWS, VERDICT_ROWS)
+    below = {v: -(1 << 63) + (min(1 << 64, (1 << 65) * size // max(n, 1)) - 1) for v, n in distinct.items()}
+    near = reduce(lambda a, b: a | b, ((F.col("ruled") == v) & (place <= F.lit(bound)) for v, bound in below.items()))
+    urls = materialize(decided.where(near).select("url", "host", "path", *STAT_KEYS, "ruled").distinct(), "url_candidates")
+    first = lambda df, n: df.orderBy(place, "url").limit(n)
+    return reduce(DataFrame.unionByName, (first(urls.where(F.col("ruled") == v), VERDICT_ROWS) for v in distinct), first(urls, SAMPLE_ROWS)).distinct()
+
+
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """-> page (the input row as a struct), host, path, rule, verdict, allow_score (the trees'; null if a rule decides)."""
     rows = pages.select(F.struct("*").alias("page"), F.col(url_col).cast("string").alias("url"))
@@ -94,7 +106,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
              .withColumn("segment", F.regexp_extract("path", "^/([^/]*)", 1)))
     blocked = (F.col("ruled") == "block").cast("int")
     decided = keyed.where("ruled IS NOT NULL")
-    totals = decided.agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked")).first()
+    of = lambda v: F.approx_count_distinct(F.when(F.col("ruled") == v, F.col("url"))).alias(v)
+    totals = decided.agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked"), of("allow"), of("block")).first()
     if not totals["n"] or totals["blocked"] in (0, totals["n"]):
         rest = "block" if totals["n"] and totals["blocked"] else "allow"
         return rows.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("allow_score"))
@@ -110,7 +123,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
         df = reduce(lambda d, kt: d.join(kt[1], kt[0], "left"), zip(STAT_KEYS, tables), df)
         return df.fillna(prior, [f"{k}_blocked" for k in STAT_KEYS]).fillna(0.0, [f"{k}_seen" for k in STAT_KEYS])
 
-    sample = decided.orderBy(F.xxhash64("url"), "url").limit(SAMPLE_ROWS).select("url", "host", "path", *STAT_KEYS, (1 - blocked).alias("label"))
+    sample = _fitting_sample(decided, {v: totals[v] for v in ("allow", "block")}).select("url", "host", "path", *STAT_KEYS, (1 - blocked).alias("label"))
     sample = materialize(featured(sample).select(*names, "label"), "url_sample")
     both = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(both.transform(sample))
