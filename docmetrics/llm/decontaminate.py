@@ -19,7 +19,8 @@ number of items.
 
 Defined results: words are as in ``common``; an item of fewer than k words has its whole sequence as its
 one shingle, which equals the shingle of a document only if that is the same short sequence; items or
-documents that are null, empty or without words match nothing; null ids are carried as null; repeated
+documents that are null, empty or without words match nothing; null ids are carried as null, and such rows are told apart by their
+text where leaks are dropped; repeated
 documents are returned each for itself; repeated items (equal texts) are all reported; an empty table on
 either side gives an empty result. Sets are of 64-bit shingle hashes.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.llm.common import Slice, mix64, seeds, text_slices
@@ -126,7 +127,7 @@ def _search(docs: DataFrame, index, threshold: tuple[int, int]) -> DataFrame:
     def search(batches) -> Iterator[pa.RecordBatch]:
         items: Index = index.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, digests = batch.column("doc_id"), batch.column("digest")
             out: list[tuple] = []
             for s in text_slices(batch.column("text")):
                 h, bounds = s.shingles(items.k)
@@ -139,17 +140,22 @@ def _search(docs: DataFrame, index, threshold: tuple[int, int]) -> DataFrame:
                         u = items.sets[item]
                         shared = len(np.intersect1d(own, u, assume_unique=True))
                         if den * shared >= num * len(u):
-                            out.append((ids[s.first + text].as_py(), items.ids[item], shared, len(u)))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shared", "n_item"])
+                            out.append((ids[s.first + text].as_py(), digests[s.first + text].as_py(), items.ids[item], shared, len(u)))
+            cols = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "digest", "item_id", "n_shared", "n_item"])
 
-    return docs.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long")
+    return docs.mapInArrow(search, "doc_id long, digest string, item_id long, n_shared long, n_item long")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-               item_text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """-> a row per document and item found in it: doc_id, item_id, n_shared, n_item, containment."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _digest(id_col: Column, text_col: Column) -> Column:
+    """What tells a row without an id: its text's digest. Null for rows with an id."""
+    return F.when(id_col.cast("long").isNull(), F.sha2(text_col.cast("binary"), 256))
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, k: int,
+           threshold: tuple[int, int]) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(F.col(id_col), F.col(text_col)).alias("digest"))
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["b"] or 0) // BLOCK_BYTES))
@@ -159,10 +165,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         index = Index([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], k)
         part = _search(docs, spark.sparkContext.broadcast(index), threshold)
         found = part if found is None else found.unionAll(part)
+    return found
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+               item_text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """-> a row per document and item found in it: doc_id, item_id, n_shared, n_item, containment."""
+    found = _found(docs, items, id_col, text_col, item_id_col, item_text_col, k, threshold).drop("digest")
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns kept. Rows with a null id stay."""
-    hit = find_leaks(docs, items, id_col=id_col, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, docs[id_col].cast("long") == hit[id_col], "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+               item_text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns kept. Rows with an id go by it, rows without one by
+    their text."""
+    hit = _found(docs, items, id_col, text_col, item_id_col, item_text_col, k, threshold)
+    hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct()
+    same_id = docs[id_col].cast("long").eqNullSafe(hit["_hit_id"])
+    return docs.join(hit, same_id & _digest(docs[id_col], docs[text_col]).eqNullSafe(hit["_hit_digest"]), "left_anti")

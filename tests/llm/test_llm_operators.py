@@ -403,6 +403,14 @@ def test_decontamination_finds_the_shortest_items(spark):
         assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, d // 1000) for d, _ in rows if d // 1000 in ids]
 
 
+def test_leaks_go_without_an_id_too(spark):
+    item = " ".join(f"q{j}" for j in range(20))
+    rows = [(None, "a b " + item, "x"), (None, item + " c d", "y"), (None, "nothing of it", "z"), (None, None, "n"), (None, "", "e"), (1, item, "i"), (2, "nothing of it", "k")]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, digest string")
+    kept = decontaminate.drop_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.digest for r in kept.collect()) == ["e", "k", "n", "z", "z"]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     bench = spark.createDataFrame([(i, " ".join(f"k{i}x{j}" for j in range(12))) for i in range(10)], "item_id long, text string")
