@@ -16,6 +16,10 @@ Groups of copies never become all pairs:
   component meet all of that shingle's documents. No link between two components is lost, so the
   components are those of all links.
 
+The result is the join's components and classes, not its links: pairs inside one component are not all verified,
+so neither the links nor their number are known. The op1 contract asks for the shingle counts and components only,
+and those are exact.
+
 The frequency order needs only to be the same for all documents to be right; its quality decides the
 number of candidates. Every shingle is counted per task; those that a task sees often are summed over all
 tasks and the most frequent ``ORDER_SIZE`` (fixed bound, 3 MB) are broadcast with their ranks. All other
