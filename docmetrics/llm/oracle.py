@@ -85,4 +85,30 @@ SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN
        CASE WHEN home <> page_id THEN home END AS refers_to, 'ok' AS status
 FROM chosen"""
 
-ORACLE_SQL = {"op2_line_dedup": _LINES, "op5_secret_scan": _SECRETS, "op7_chat_perspectives": _CHAT, "op8_decontamination": _LEAKS, "op9_warc": _WARC}
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    """Rounds over (vec_id, i, x) and (c, i, y); a floored mean is the exact quotient after the remainder is taken off."""
+    steps, at = [], "c0"
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT vec_id, c, d FROM (
+  SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place FROM (
+    SELECT vec_id, c, sum((x - y) * (x - y))::BIGINT AS d FROM comps JOIN {at} USING (i) GROUP BY vec_id, c)) WHERE place = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{r} JOIN comps USING (vec_id) GROUP BY c, i),
+c{r + 1} AS (SELECT o.c, o.i, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM {at} o LEFT JOIN m{r} m USING (c, i))""")
+            at = f"c{r + 1}"
+    return f"""
+WITH kept AS (SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+comps AS (SELECT vec_id, unnest(range(64)) AS i, floor(64 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept ORDER BY c LIMIT {k}),
+c0 AS (SELECT c, i, x AS y FROM firsts JOIN comps USING (vec_id)),{",".join(steps)},
+named AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS sha FROM {at} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM a{rounds} JOIN named USING (c)"""
+
+
+ORACLE_SQL = {"op2_line_dedup": _LINES, "op5_secret_scan": _SECRETS, "op7_chat_perspectives": _CHAT, "op8_decontamination": _LEAKS, "op9_warc": _WARC,
+              "op12_centroid_clustering": _clusters()}

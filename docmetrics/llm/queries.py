@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmetrics.llm import chat, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, url_filter, vector_search, warc
+from docmetrics.llm import chat, clustering, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, spelling, url_filter, vector_search, warc
 from docmetrics.llm.common import table
 
 
@@ -61,6 +61,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_line_dedup, op3_vector_search, op4_url_filter, op5_secret_scan, op6_quality_classifier,
-    op7_chat_perspectives, op8_decontamination, op9_warc, op10_best_fit_packing)}
+    op7_chat_perspectives, op8_decontamination, op9_warc, op10_best_fit_packing,
+    op11_spelling_variants, op12_centroid_clustering)}
