@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmetrics.llm import chat, clustering, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, spelling, url_filter, vector_search, warc
+from docmetrics.llm import attention_lm, chat, clustering, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, spelling, url_filter, vector_search, warc
 from docmetrics.llm.common import table
 
 
@@ -69,7 +69,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_line_dedup, op3_vector_search, op4_url_filter, op5_secret_scan, op6_quality_classifier,
     op7_chat_perspectives, op8_decontamination, op9_warc, op10_best_fit_packing,
-    op11_spelling_variants, op12_centroid_clustering)}
+    op11_spelling_variants, op12_centroid_clustering, op13_lm_score)}
