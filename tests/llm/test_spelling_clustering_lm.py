@@ -236,14 +236,23 @@ def test_lm_probabilities_sum_to_one_and_windows_score_each_token_once(words):
         assert own[own >= 0].tolist() == [*ids[bounds[d]:bounds[d + 1]].tolist(), words.size]
     model = attention_lm.Attention()
     rng = np.random.default_rng(1)
-    for name in ("out", "bias", "b"):
+    for name in ("group", "group_bias", "member", "member_bias", "b"):
         model.p[name] = rng.normal(0, 0.3, model.p[name].shape).astype(np.float32)
     model.fold()
     every = np.arange(words.size + 1)
-    h = model.attend(x[:1])[4]
-    scores = model.class_scores(h)[0].astype(float)
-    p = np.exp(scores[classes.of[every]]) / np.exp(scores).sum() * share
-    assert abs(p.sum() - 1) < 1e-4
+    h = np.repeat(model.attend(x[:1])[4][:, :1], len(every), axis=0)
+    ln = model.outcome(h, classes.of[every], classes)[0]
+    assert abs((np.exp(ln.astype(float)) * share).sum() - 1) < 1e-4
+
+
+def test_lm_classes_of_small_and_one_sided_vocabularies():
+    """Classes without a subword get no probability, so it still sums to one."""
+    for size, starts in ((5, np.zeros(5, bool)), (700, np.ones(700, bool)), (3, np.array([True, False, True]))):
+        classes = attention_lm.Classes(np.arange(size), starts)
+        model = attention_lm.Attention()
+        every = np.arange(size + 1)
+        ln = model.outcome(np.ones((len(every), 1, attention_lm.HIDDEN), np.float32), classes.of[every], classes)[0]
+        assert abs((np.exp(ln.astype(float)) * 10**classes.share).sum() - 1) < 1e-4
 
 
 def test_lm_attention_is_causal_and_equals_a_plain_loop(words):
@@ -268,8 +277,10 @@ def test_lm_attention_is_causal_and_equals_a_plain_loop(words):
         q = (e[-1] + pos[-1]) @ p["q"] / attention_lm.KEY**0.5
         a = np.exp((e + pos) @ p["k"] @ q)
         h = np.maximum((a / a.sum()) @ (e @ p["v"]) + (e[-1] + pos[-1]) @ p["r"] + p["b"], 0)
-        out = h @ p["out"] + p["bias"]
-        total += (out[classes.of[aim]] - np.log(np.exp(out).sum())) / np.log(10) + classes.share[aim]
+        group, member = divmod(int(classes.of[aim]), attention_lm.MEMBERS)
+        for out, hit in ((h @ p["group"] + p["group_bias"], group), (h @ p["member"][group] + p["member_bias"][group], member)):
+            total += (out[hit] - np.log(np.exp(out).sum())) / np.log(10)
+        total += classes.share[aim]
     assert abs(got - total) < 1e-2
     changed = ids.copy()
     changed[40:] = 7
@@ -289,10 +300,8 @@ def test_lm_gradients_equal_differences(words, monkeypatch):
 
     def loss():
         model.fold()
-        out = model.class_scores(model.attend(x)[4])
         aim = target.ravel()
-        real = aim >= 0
-        return (np.log(np.exp(out).sum(axis=1)) - out[np.arange(len(aim)), classes.of[aim]])[real].mean()
+        return -model.outcome(model.attend(x)[4], classes.of[aim], classes)[0][aim >= 0].mean()
     g = model.gradients(x, target, classes)
     for n, w in model.p.items():
         for _ in range(4):
