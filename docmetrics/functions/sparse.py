@@ -324,7 +324,7 @@ def dense_matrix(column: pa.Array, width: int):
     """ARRAY<FLOAT> column -> (rows x width float64 matrix, valid mask).
 
     A row is valid when it is non-null, has exactly ``width`` elements and
-    none of them is null or NaN; invalid rows get zeros and are masked out.
+    none of them is null, NaN or infinite; invalid rows get zeros and are masked out.
     """
     n = len(column)
     out = np.zeros((n, width), dtype=np.float64)
@@ -342,62 +342,67 @@ def dense_matrix(column: pa.Array, width: int):
     if len(idx):
         starts = offsets[:-1][idx] - offsets[0]
         block = vals[starts[:, None] + np.arange(width)[None, :]]
-        good = ~np.isnan(block).any(axis=1)
+        good = np.isfinite(block).all(axis=1)
         out[idx[good]] = block[good]
         valid[idx[good]] = True
     return out, valid
 
 
 # Cells of the (rows x queries) arrays that the dense kernel holds at once; a matrix product may differ
-# from the row-by-row sum by far less than SLACK, so it only picks the pairs whose distance is taken.
+# from the row-by-row sum by far less than SLACK (for squared distances: SLACK times the squared norms), so
+# it only picks the pairs whose distance is taken.
 DENSE_CELLS = 1_000_000
 SLACK = 1e-9
 
 
-def dense_slices(v: np.ndarray, q: np.ndarray, metric: str, k: int, floor):
+def dense_slices(v: np.ndarray, q: np.ndarray, metric: str, k: int, floor, norms: np.ndarray | None = None):
     """(rows, queries, distance) of the pairs that can be among a query's k nearest, in slices of rows.
 
-    ``floor()`` gives minus the distance of the k-th row known for each query. Distances are summed in a
-    fixed order from the two vectors alone, so equal vectors get equal distances in any batch.
+    ``floor()`` gives minus the distance of the k-th row known for each query; ``norms`` are the rows' norms, if
+    known. A matrix product picks the pairs; their distance is summed in a fixed order from the two vectors
+    alone, so equal vectors get equal distances in any batch.
     """
     step = max(1, DENSE_CELLS // max(q.shape[0], q.shape[1], 1))
-    qn = np.sqrt((q * q).sum(axis=1))
+    q2 = (q * q).sum(axis=1)
+    qn = np.sqrt(q2)
     for lo in range(0, len(v), step):
         part = v[lo:lo + step]
         least = floor()
         if metric == "cosine":
-            norms = np.sqrt((part * part).sum(axis=1))[:, None] * qn[None, :]
+            own = np.sqrt((part * part).sum(axis=1)) if norms is None else norms[lo:lo + step]
+            both = own[:, None] * qn[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
-                near = np.where(norms > 0, (part @ q.T) / norms, np.nan) - 1.0
-            least = least - SLACK
-        else:
-            near = np.empty((len(part), len(q)))
-            width = max(1, DENSE_CELLS // max(1, part.size))
-            for j in range(0, len(q), width):
-                diff = part[:, None, :] - q[None, j:j + width, :]
-                near[:, j:j + width] = -np.sqrt((diff * diff).sum(axis=2))
+                near = np.where(both > 0, (part @ q.T) / both, np.nan) - 1.0
+            slack = SLACK
+        else:  # minus the squared distance, which sorts alike
+            v2 = (part * part).sum(axis=1)
+            near = 2.0 * (part @ q.T) - v2[:, None] - q2[None, :]
+            slack = SLACK * (v2.max(initial=0.0) + q2 + 1e-300)
+            least = -(least * least)
         keep = ~np.isnan(near)
         if len(part) > k:
             near[~keep] = -np.inf
             kth = np.partition(near, len(part) - k, axis=0)[len(part) - k]
-            least = np.maximum(least, kth - SLACK if metric == "cosine" else kth)
-        rows, queries = np.nonzero(keep & (near >= least[None, :]))
-        if metric == "cosine":
-            dist = np.empty(len(rows))
-            width = max(1, DENSE_CELLS // max(1, q.shape[1]))
-            for i in range(0, len(rows), width):
-                r, j = rows[i:i + width], queries[i:i + width]
-                dist[i:i + width] = 1.0 - (part[r] * q[j]).sum(axis=1) / norms[r, j]
-        else:
-            dist = -near[rows, queries]
+            least = np.maximum(least, kth)
+        rows, queries = np.nonzero(keep & (near >= (least - slack)[None, :]))
+        dist = np.empty(len(rows))
+        width = max(1, DENSE_CELLS // max(1, q.shape[1]))
+        for i in range(0, len(rows), width):
+            r, j = rows[i:i + width], queries[i:i + width]
+            if metric == "cosine":
+                dist[i:i + width] = 1.0 - (part[r] * q[j]).sum(axis=1) / both[r, j]
+            else:
+                diff = part[r] - q[j]
+                dist[i:i + width] = np.sqrt((diff * diff).sum(axis=1))
         yield rows + lo, queries, dist
 
 
 def dense_score_batch(batch: pa.RecordBatch, vec_col: str, q: np.ndarray, metric: str, top: RunningTopK,
-                      columns, scope_col: str | None = None, scopes: dict | None = None) -> None:
+                      columns, scope_col: str | None = None, scopes: dict | None = None, norm_col: str | None = None) -> None:
     """Offer a batch of vectors to the task's running top k (score = minus the distance). With ``scopes``
     (scope value -> numbers of its queries), a vector meets the queries of its own scope only."""
     v, valid = dense_matrix(batch.column(vec_col), q.shape[1])
+    norms = batch.column(norm_col).to_numpy(zero_copy_only=False) if norm_col else None
     if scope_col is None:
         groups = [(np.flatnonzero(valid), np.arange(len(q)))]
     else:
@@ -406,6 +411,6 @@ def dense_score_batch(batch: pa.RecordBatch, vec_col: str, q: np.ndarray, metric
         groups = [(np.flatnonzero(valid & (code == i)), scopes[value])
                   for i, value in enumerate(coded.dictionary.to_pylist()) if value in scopes]
     for rows, of in groups:
-        for r, j, dist in dense_slices(v[rows], q[of], metric, top.k, lambda of=of: top.kth[of]):
+        for r, j, dist in dense_slices(v[rows], q[of], metric, top.k, lambda of=of: top.kth[of], None if norms is None else norms[rows]):
             take = pa.array(rows[r])
             top.add(of[j], -dist, {c: batch.column(c).take(take) for c in columns})

@@ -131,7 +131,7 @@ def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngra
                 score_batch(batch, qm, top, hasher, text_col, carry)
         yield from top.batches((*keys, *carry, "dot"), "score")
 
-    partial = chunks.select(*keys, *carry, text_col).mapInArrow(score, schema)
+    partial = chunks.select(*dict.fromkeys((*keys, *carry, text_col))).mapInArrow(score, schema)
     part = ["query_id"] + (["document_id"] if per_doc else [])
     order = [F.col("score").desc()] + [F.col(c) for c in keys]
     return (top_k(partial, part, order, k)
@@ -190,7 +190,7 @@ def _dense_blocks(queries: DataFrame, bound: int, n_ids: int):
 def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine",
               key_cols=("document_id", "chunk_index"), vec_col: str = "embedding",
               query_vec_col: str = "qvec", scope_col: str | None = None,
-              max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+              max_broadcast: int = MAX_BROADCAST_QUERIES, norm_col: str | None = None) -> DataFrame:
     """KNN-1 (cosine) / KNN-2 (L2) over ARRAY<FLOAT> vectors, exact and exhaustive.
 
     With ``scope_col`` (JN-6) each query only sees vectors with the same value of that column: the kernel
@@ -198,18 +198,18 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     are one query; different vectors of one id raise. Queries beyond ``max_broadcast`` are scored in several blocks, one scan
     of the vectors each. Vectors whose width differs from the queries', with NULL/NaN elements, or
     with a zero norm under cosine get no distance and drop out. Equal vectors have equal distances, so
-    ties go by key.
+    ties go by key. ``norm_col`` names a column that holds the vectors' norms, which are then not computed.
     Output: query_id, [scope_col], keys, rank, distance, score (= 1 - distance).
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     ids = ["query_id"] + ([scope_col] if scope_col else [])
-    parts = [_knn_dense_block(vectors, rows, k, metric, [c for c in key_cols if c not in ids], vec_col, scope_col)
+    parts = [_knn_dense_block(vectors, rows, k, metric, [c for c in key_cols if c not in ids], vec_col, scope_col, norm_col)
              for rows in _dense_blocks(queries.select(*ids, query_vec_col), max_broadcast, len(ids))]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _knn_dense_block(vectors, rows, k, metric, keys, vec_col, scope_col):
+def _knn_dense_block(vectors, rows, k, metric, keys, vec_col, scope_col, norm_col=None):
     rows = [r for r in rows if r[-1] is not None]
     widths = {len(r[-1]) for r in rows}
     if len(widths) > 1:
@@ -232,10 +232,10 @@ def _knn_dense_block(vectors, rows, k, metric, keys, vec_col, scope_col):
         top = RunningTopK(names, k, keys)
         for batch in batches:
             if batch.num_rows and len(names):
-                dense_score_batch(batch, vec_col, q, metric, top, columns, scope_col, of)
+                dense_score_batch(batch, vec_col, q, metric, top, columns, scope_col, of, norm_col)
         yield from top.batches(columns, "distance", np.negative)
 
-    partial = vectors.select(*columns, vec_col).mapInArrow(score, schema)
+    partial = vectors.select(*columns, vec_col, *([norm_col] if norm_col else [])).mapInArrow(score, schema)
     part = ["query_id", *([scope_col] if scope_col else [])]
     order = [F.col("distance").asc()] + [F.col(c) for c in keys]
     return (top_k(partial, part, order, k)

@@ -147,12 +147,14 @@ def norm_col(a: Column) -> Column:
 
 
 def vector_validate(vectors: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
-    """FLT-4: width, NULL and NaN elements, zero norm -> status and reason."""
-    v = F.col(vec_col)
+    """FLT-4: width, NULL, NaN and infinite elements, zero norm -> status and reason. Elements are judged as
+    the single-precision numbers that are stored, so one beyond their range is infinite."""
+    v = F.col(vec_col).cast("array<float>")
     reason = (F.when(v.isNull(), "null vector")
               .when(F.size(v) != dim, "wrong width")
               .when(F.exists(v, lambda x: x.isNull()), "null element")
               .when(F.exists(v, lambda x: F.isnan(x)), "nan element")
+              .when(F.exists(v, lambda x: F.abs(x) == float("inf")), "infinite element")
               .when(norm_col(v) == 0, "zero norm"))
     return vectors.select("*", F.size(v).alias("n_dims"), reason.alias("reason")) \
         .withColumn("status", F.when(F.col("reason").isNull(), "valid").otherwise("rejected"))
