@@ -17,7 +17,7 @@ VALUES = [("-5 小時", -5.0, "小時"), ("-20%", -20.0, "%"), ("(5) 小時", -5
 
 def test_values_keep_sign_and_scale(spark):
     num, unit = split_value_unit(F.col("raw"))
-    got = {r.raw: (r.v, r.u) for r in spark.createDataFrame([(v,) for v, _, _ in VALUES], "raw string").select("raw", num.alias("v"), unit.alias("u")).collect()}
+    got = {r.raw: (None if r.v is None else float(r.v), r.u) for r in spark.createDataFrame([(v,) for v, _, _ in VALUES], "raw string").select("raw", num.alias("v"), unit.alias("u")).collect()}
     assert got == {raw: (v, u) for raw, v, u in VALUES}
 
 
