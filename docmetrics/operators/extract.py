@@ -8,7 +8,7 @@ schema; a bad answer becomes a reject row with a reason and never fails a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmetrics.catalog import ESG_CATALOG, catalog_array, catalog_map_col
@@ -20,7 +20,9 @@ from docmetrics.operators.candidates import (
     normalized_value,
 )
 from docmetrics.operators.embed import DEFAULT_DIM, query_texts_from_catalog
+from docmetrics.operators.idfilter import id_filter, may_be_in
 from docmetrics.operators.knn import knn_sparse_text, top_k
+from docmetrics.session import materialized
 
 # --- Fixed values ------------------------------------------------------------------
 # Confidence bands: high >= 0.8, mid in [0.5, 0.8), low < 0.5.
@@ -35,6 +37,8 @@ PROMPT_TEMPLATE = (
     "指標：%s\n只看下列段落，輸出一個 JSON 物件：value 寫數字連同單位，source 寫出處，"
     "confidence 寫 0 到 1 的把握，trend 寫歷年升降（段落沒提就不寫）。"
 )
+# The shorter question, without history: its answers hold no trend.
+PLAIN_TEMPLATE = "指標：%s\n讀下列段落，回答一個 JSON 物件，只有三項：value（數值）、source（出處）、confidence（0 到 1）。"
 
 
 def catalog_map(catalog=ESG_CATALOG) -> Column:
@@ -102,8 +106,9 @@ def result_rows(parsed: DataFrame, catalog=ESG_CATALOG, ordered: bool = False,
                 keep_cols=()) -> DataFrame:
     """PRJ-1: document_id, item, value, source, category, metric_id, confidence, trend.
 
-    ``metric_id`` is the catalogue key (not the code). ``ordered`` sorts by
-    document and catalogue order (ORD-1) — for final output only.
+    ``metric_id`` is the catalogue key (not the code). ``ordered`` (ORD-1, for final output) sorts by document and
+    catalogue order, then by ``keep_cols``, and adds ``position``, from 1 within the document, which keeps the
+    order where a later step does not.
     """
     m = F.element_at(catalog_map(catalog), F.col("metric_id"))
     out = (kept_answers(parsed)
@@ -113,7 +118,8 @@ def result_rows(parsed: DataFrame, catalog=ESG_CATALOG, ordered: bool = False,
                    F.col("_m.cat_ord").alias("cat_ord"), F.col("_m.metric_ord").alias("metric_ord"),
                    *keep_cols))
     if ordered:
-        out = out.orderBy("document_id", "cat_ord", "metric_ord")
+        w = Window.partitionBy("document_id").orderBy("cat_ord", "metric_ord", *keep_cols)
+        out = out.withColumn("position", F.row_number().over(w)).orderBy("document_id", "position")
     return out
 
 
@@ -141,13 +147,22 @@ def retrieval_context(hits: DataFrame, chunks: DataFrame, key_cols=("document_id
                     F.array_join(F.transform("_s", lambda e: e[text_col]), "\n").alias("context")))
 
 
-def prompts(contexts: DataFrame, catalog=ESG_CATALOG, id_col: str = "query_id", keep_cols=()) -> DataFrame:
+def context_of_hits(hits: DataFrame, group_cols=("query_id",), text_col: str = "text") -> DataFrame:
+    """RAG-1 from hits that carry their text (``carry_cols`` of the search): at most k texts per group, best first.
+    The chunk table is neither exchanged nor read again."""
+    groups = list(group_cols)
+    return (hits.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_s"))
+            .select(*groups, F.array_join(F.transform("_s", lambda e: e[text_col]), "\n").alias("context")))
+
+
+def prompts(contexts: DataFrame, catalog=ESG_CATALOG, id_col: str = "query_id", keep_cols=(), template: str = PROMPT_TEMPLATE) -> DataFrame:
     """RAG-2: (keep_cols, metric_id, prompt) = instruction + retrieved context. ``keep_cols``, such as
-    document_id, are the rest of the context's group, which the answers are filed under."""
+    document_id, are the rest of the context's group, which the answers are filed under. ``template``, with one place
+    for the metric's name, is PROMPT_TEMPLATE or PLAIN_TEMPLATE (no trend asked for)."""
     m = F.element_at(catalog_map(catalog), F.col(id_col))
     return contexts.withColumn("_m", m).filter(F.col("_m").isNotNull()).select(
         *keep_cols, F.col(id_col).alias("metric_id"),
-        F.concat(F.format_string(PROMPT_TEMPLATE, F.col("_m.name")), F.lit("\n\n"),
+        F.concat(F.format_string(template, F.col("_m.name")), F.lit("\n\n"),
                  F.col("context")).alias("prompt"))
 
 
@@ -160,33 +175,52 @@ def _keyword_map(spark, catalog) -> DataFrame:
     return spark.range(1).select(F.inline(arr))
 
 
+def catalog_candidates(chunks: DataFrame, catalog=ESG_CATALOG, ignore_case: bool = False) -> DataFrame:
+    """Candidates of all keywords of the catalogue, with the metric they belong to: one pass over the chunks, no
+    exchange of texts. ``chunks``: (document_id, chunk_index, source_kind, text)."""
+    keywords = [kw for m in catalog for kw in m.keywords]
+    units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)
+    cands = metric_candidates(chunks, keywords, ["document_id", "chunk_index"], "text", units=units,
+                              ignore_case=ignore_case, keep_cols=("source_kind",))
+    return cands.join(F.broadcast(_keyword_map(chunks.sparkSession, catalog)), "keyword")
+
+
 def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int = DEFAULT_DIM,
-                    char_ngrams: bool = True, ignore_case: bool = False,
-                    prepartitioned: bool = False) -> DataFrame:
+                    char_ngrams: bool = True, ignore_case: bool = False) -> DataFrame:
     """Rule extraction per (document, metric) over the document's top-k chunks.
 
-    ``chunks``: (document_id, chunk_index, source_kind, text), read by two
-    branches (vectors, candidates) with the same columns, so one chunk
-    exchange serves both (``ReusedExchange``). A candidate is a
-    metric keyword (name or alias) with a number after it in one of the
-    metric's k nearest chunks of that document. The best candidate wins by unit
-    match, shortest gap, chunk rank, chunk index, keyword and match ordinal.
+    ``chunks``: (document_id, chunk_index, source_kind, text). A candidate is a metric keyword (name or alias)
+    with a number after it in one of the metric's k nearest chunks of that document. The best candidate wins
+    by unit match, shortest gap, chunk rank, chunk index, keyword and match ordinal.
+
+    Candidates come first: they are found in one pass and written (small: a row per match), and only the chunks
+    of documents that hold one are tokenised and scored (``idfilter``). Only candidates, hits and the
+    filter are exchanged. ``extract_document_metrics`` also chunks those documents only.
     """
-    from docmetrics.operators.chunk import partition_chunks
-    spark = chunks.sparkSession
+    cands = materialized(catalog_candidates(chunks, catalog, ignore_case), "candidates")
+    some = may_be_in(chunks, id_filter(cands, ["document_id"]), ["document_id"])
+    return _best_candidates(cands, some, catalog, k, dim, char_ngrams)
+
+
+def extract_document_metrics(docs: DataFrame, chunker, catalog=ESG_CATALOG, k: int = 3, dim: int = DEFAULT_DIM,
+                             char_ngrams: bool = True, ignore_case: bool = False) -> DataFrame:
+    """``extract_metrics`` from documents (document_id, ...): ``chunker(docs)`` gives their chunks. All documents are
+    chunked for the candidates, and those with a candidate again for the scores, so chunk texts are never exchanged."""
+    cands = materialized(catalog_candidates(chunker(docs), catalog, ignore_case), "candidates")
+    return _best_candidates(cands, chunker(documents_with_candidates(docs, cands)), catalog, k, dim, char_ngrams)
+
+
+def documents_with_candidates(docs: DataFrame, cands: DataFrame) -> DataFrame:
+    """The documents that hold a candidate, and a few others (``idfilter``), whose scores then meet no candidate."""
+    return may_be_in(docs, id_filter(cands, ["document_id"]), ["document_id"])
+
+
+def _best_candidates(cands: DataFrame, chunks: DataFrame, catalog, k: int, dim: int, char_ngrams: bool) -> DataFrame:
     keys = ["document_id", "chunk_index"]
-    if not prepartitioned:
-        chunks = partition_chunks(chunks, keys)
-    hits = knn_sparse_text(chunks, query_texts_from_catalog(spark, catalog), k, keys,
-                           scope="document", dim=dim, char_ngrams=char_ngrams,
-                           carry_cols=("source_kind",)) \
+    hits = knn_sparse_text(chunks, query_texts_from_catalog(chunks.sparkSession, catalog), k, keys,
+                           scope="document", dim=dim, char_ngrams=char_ngrams) \
         .select(F.col("query_id").alias("metric_id"), *keys, F.col("rank").alias("chunk_rank"), "score")
-    keywords = [kw for m in catalog for kw in m.keywords]
-    units = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in catalog if m.unit)
-    cands = metric_candidates(chunks, keywords, keys, "text", units=units,
-                              ignore_case=ignore_case, keep_cols=("source_kind",))
-    kwmap = F.broadcast(_keyword_map(spark, catalog))
-    j = cands.join(kwmap, "keyword").join(hits, ["metric_id", *keys])
+    j = cands.join(hits, ["metric_id", *keys])
     m = F.element_at(catalog_map(catalog), F.col("metric_id"))
     unit_norm = normalized_unit(F.col("unit"))
     cat_unit = normalized_unit(m["unit"])
@@ -201,7 +235,7 @@ def extract_metrics(chunks: DataFrame, catalog=ESG_CATALOG, k: int = 3, dim: int
                    + F.lit(0.2) * F.greatest(F.col("score"), F.lit(0.0)), 4)
     return best.select(
         "document_id", "metric_id", m["category"].alias("category"), m["name"].alias("item"),
-        "keyword", "value_raw", normalized_value(F.col("value_raw"), F.col("unit")).alias("value"),
+        "keyword", "value_raw", normalized_value(F.col("value_raw"), F.col("scale"), F.col("negative")).alias("value"),
         unit_norm.alias("unit"), "chunk_index", F.col("chunk_rank").alias("rank"), "source_kind",
         F.concat_ws("#", F.col("document_id"), F.col("chunk_index").cast("string")).alias("source"),
         "gap", "score", conf.alias("confidence"),

@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -66,3 +66,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/docmetrics/{name}/{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str = "tables") -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder (a job of its own) and read it back.
+
+    For intermediate tables read by several branches of one plan: the work runs once, and the lineage is cut
+    (a lost executor re-reads the files instead of recomputing from the documents)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)  # one job; checkpoint() would run the plan twice
+    return df.sparkSession.read.schema(df.schema).parquet(path)

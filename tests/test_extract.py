@@ -1,5 +1,7 @@
 """End-to-end rule extraction and retrieval on the fixture reports (RAG-1..3, KNN-4)."""
 
+from decimal import Decimal
+
 from docmetrics.catalog import ESG_CATALOG
 from docmetrics.operators import chunk as C
 from docmetrics.operators import embed as E
@@ -12,9 +14,9 @@ def test_report_a_metrics(spark, reports):
     res = {r.metric_id: r for r in X.extract_metrics(chunks, ESG_CATALOG, k=3).collect()}
     assert (res["greenhouse_gas"].value, res["greenhouse_gas"].unit) == (12345.0, "公噸CO2e")
     assert (res["water_usage"].value, res["water_usage"].unit) == (45678.0, "立方米")
-    assert (res["employee_training"].value, res["employee_training"].unit) == (42.5, "小時")
+    assert (res["employee_training"].value, res["employee_training"].unit) == (Decimal("42.5"), "小時")
     assert res["employee_training"].keyword == "員工培訓時數"
-    assert (res["compensation"].value, res["compensation"].unit) == (85.6, "%")
+    assert (res["compensation"].value, res["compensation"].unit) == (Decimal("85.6"), "%")
     assert res["compensation"].keyword == "整體薪酬水準"
     for r in res.values():
         assert 0 <= r.confidence <= 1 and r.source == f"A#{r.chunk_index}"
