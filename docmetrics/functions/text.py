@@ -93,29 +93,25 @@ def section_numbers(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def markdown_elements(text: str | None) -> list[tuple[int, str, str]]:
-    """Split markdown into (element_index, kind, text).
+    """Split markdown into blocks (element_index, kind, text): runs of lines of equal kind, joined by newlines.
 
-    Every non-blank text line is one element; a run of adjacent table lines is
-    one table element (lines joined by newlines). Blank lines end a table.
+    A block is a run of table lines or of other lines. Blank lines are dropped; they end a table, but not a
+    text, so paragraphs that follow one another are one block.
     """
     if text is None:
         return []
     out: list[tuple[int, str, str]] = []
-    run: list[str] = []
-
-    def close_run():
-        if run:
-            out.append((len(out), "table", "\n".join(run)))
-            run.clear()
-
+    kind, run = "", []
     for line in text.split("\n"):
-        if _TABLE_LINE_RE.match(line):
-            run.append(line)
+        own = "table" if _TABLE_LINE_RE.match(line) else "text" if line.strip() else ""
+        if own == kind or not own and kind == "text":
+            run += [line] if own else []
             continue
-        close_run()
-        if line.strip():
-            out.append((len(out), "text", line))
-    close_run()
+        if kind:
+            out.append((len(out), kind, "\n".join(run)))
+        kind, run = own, [line]
+    if kind:
+        out.append((len(out), kind, "\n".join(run)))
     return out
 
 

@@ -6,7 +6,7 @@ window (shares) runs over the already aggregated three rows per group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmetrics.catalog import CATEGORY_LABELS
@@ -79,3 +79,23 @@ def doc_summary(documents: DataFrame, chunks: DataFrame, results: DataFrame) ->
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (documents.select("document_id").distinct().join(per_doc, "document_id", "left").join(res, "document_id", "left")
             .select("document_id", none("n_chunks"), none("n_tables"), none("n_table_chunks"), none("n_results")))
+
+
+def report_text(documents: DataFrame, chunks: DataFrame, results: DataFrame, finished: Column, name_col: str = "document_id",
+                text_col: str = "text") -> DataFrame:
+    """D14: (document_id, report): name, size, chunks, tables, metrics found, confidence bands, categories and time of finishing of
+    every document, as markdown. Counts are made per document before the join; a document without any has zeros."""
+    per_doc = chunks.groupBy("document_id").agg(F.max("total_chunks").alias("n_chunks"), F.max("tables_found").alias("n_tables"))
+    c = F.col("confidence")
+    found = results.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c >= HIGH).alias("hi"), F.count_if((c >= MID) & (c < HIGH)).alias("mid"), F.count_if(c < MID).alias("lo"),
+        *(F.count_if(F.col("category") == k).alias(f"c_{k}") for k in CATEGORY_LABELS))
+    n = lambda col: F.coalesce(F.col(col), F.lit(0)).cast("string")
+    size = F.format_string("%.2f", F.coalesce(F.octet_length(text_col), F.lit(0)) / 1048576.0)
+    lines = [F.concat(F.lit("# "), F.col(name_col)), F.concat(F.lit("- 大小："), size, F.lit(" MB")),
+             F.concat(F.lit("- 文字段："), n("n_chunks")), F.concat(F.lit("- 表格："), n("n_tables")), F.concat(F.lit("- 指標："), n("n")),
+             F.concat(F.lit("- 把握高／中／低："), n("hi"), F.lit("／"), n("mid"), F.lit("／"), n("lo")),
+             *(F.concat(F.lit(f"- {label}："), n(f"c_{k}")) for k, label in CATEGORY_LABELS.items()),
+             F.concat(F.lit("- 完成："), F.date_format(finished, "yyyy-MM-dd HH:mm:ss"))]
+    joined = documents.join(per_doc, "document_id", "left").join(found, "document_id", "left")
+    return joined.select("document_id", F.concat_ws("\n", *lines).alias("report"))

@@ -43,8 +43,8 @@ def manifest(df: DataFrame, path_col: str, process_time: Column | None = None, u
 
 
 def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
-                   process_time: Column | None = None) -> DataFrame:
-    """Read parsed documents from files.
+                   process_time: Column | None = None, recursive: bool = False) -> DataFrame:
+    """Read parsed documents from files (of folders below too, with ``recursive``).
 
     ``fmt='text'``: each .md/.txt file is one document (whole text).
     ``fmt='parquet'``: rows already hold document_id and text.
@@ -54,7 +54,7 @@ def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
     Returns (document_id, file_name, file_type, process_time, [modified,] text).
     """
     if fmt == "binary":
-        df = spark.read.format("binaryFile").load(path).select(
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(
             scanned_path().alias("_p"), F.col("modificationTime").alias("modified"),
             F.col("length").alias("n_bytes"))
         df = manifest(df, "_p", process_time, url=False)
@@ -66,7 +66,7 @@ def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
         return df.select("document_id", "file_name", "file_type", "process_time", "text")
     if fmt != "text":
         raise ValueError(f"unsupported format {fmt!r}")
-    df = spark.read.option("wholetext", True).text(path) \
+    df = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path) \
         .select(F.col("value").alias("text"), scanned_path().alias("_p"),
                 F.col("_metadata.file_modification_time").alias("modified"))
     df = manifest(df, "_p", process_time, url=False)
@@ -74,6 +74,16 @@ def scan_documents(spark: SparkSession, path: str, fmt: str = "text",
                      "process_time", "modified", "text")
 
 
+def scan_parquet_files(spark: SparkSession, path: str, process_time: Column | None = None) -> DataFrame:
+    """SRC-1 over a folder of parquet files of any schemas, folders below included: document_id (the file's path),
+    file_name, file_type, process_time, modified, n_bytes, n_rows. The rows are counted by scanning the files without a column
+    of theirs, so only their footers are read."""
+    files = scan_documents(spark, path, "binary", process_time, recursive=True).where("file_type = '.parquet'").drop("text")
+    rows = spark.read.schema("_none int").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    counts = rows.groupBy(scanned_path().alias("document_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return files.join(counts, "document_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
 def format_gate(df: DataFrame, allowed=SERVICE_FORMATS + TEXT_FORMATS,
                 type_col: str = "file_type") -> DataFrame:
     """SRC-2: status 'accepted' / 'rejected' with a reason, no exception per row."""

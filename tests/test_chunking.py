@@ -48,9 +48,17 @@ def test_line_chunker_heads_and_limit():
 def test_markdown_elements_report_a():
     from docmetrics.sources.fixtures import REPORT_A
     el = markdown_elements(REPORT_A)
-    assert [k for _, k, _ in el] == ["text"] * 7 + ["table"]
-    assert el[0][2] == "# 永續報告書 2023"
-    assert el[7][2].splitlines()[0] == "| 指標 | 數值 |"
+    assert [k for _, k, _ in el] == ["text", "table"]
+    assert el[0][2].splitlines()[0] == "# 永續報告書 2023" and len(el[0][2].splitlines()) == 7  # blank lines are dropped
+    assert el[1][2].splitlines()[0] == "| 指標 | 數值 |"
+
+
+def test_blocks_are_runs_of_equal_kind():
+    kinds = lambda text: [(k, t) for _, k, t in markdown_elements(text)]
+    assert kinds("a\n\n\nb\n|x|\n|y|\n\n|z|\nc") == [("text", "a\nb"), ("table", "|x|\n|y|"), ("table", "|z|"), ("text", "c")]
+    assert kinds("\n \n|x|\n\n") == [("table", "|x|")]
+    assert kinds("") == kinds(" \n\t") == kinds(None) == []
+    assert kinds("|x|\na\n \n|y|") == [("table", "|x|"), ("text", "a"), ("table", "|y|")]
 
 
 def test_table_cells_and_verbalize(spark, reports):
@@ -81,10 +89,10 @@ def test_table_without_separator_is_not_parsed(spark):
 def test_document_chunks_order_and_metadata(spark, reports):
     rows = sorted(C.document_chunks(reports).collect(), key=lambda r: (r.document_id, r.chunk_index))
     a = [r for r in rows if r.document_id == "A"]
-    assert [r.chunk_index for r in a] == list(range(8))
-    assert [r.source_kind for r in a] == ["text"] * 7 + ["table"]
-    assert {r.total_chunks for r in a} == {8} and {r.tables_found for r in a} == {1}
-    assert a[7].text.startswith("表格 1: 欄位: 指標, 數值")
+    assert [(r.chunk_index, r.source_kind) for r in a] == [(0, "text"), (1, "table")]
+    assert {r.total_chunks for r in a} == {2} and {r.tables_found for r in a} == {1}
+    assert a[0].text.startswith("# 永續報告書 2023 ## 環境指標 溫室氣體排放量：12,345 公噸CO2e 用水量")
+    assert a[1].text.startswith("表格 1: 欄位: 指標, 數值")
 
 
 from hypothesis import given, settings
