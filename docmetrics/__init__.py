@@ -2,7 +2,7 @@
 
 Documents -> elements -> chunks -> hashed vectors -> k-nearest chunks per
 metric query -> rule extraction -> validation -> reports. Every operator
-takes DataFrames and returns a lazy DataFrame; nothing is collected.
+takes DataFrames and returns a DataFrame; a few write an intermediate table or collect a bounded one on the way.
 """
 
 import sys

@@ -8,19 +8,12 @@ are rendered from the same constants the library uses.
 
 from __future__ import annotations
 
+import re
 
 from docmetrics.catalog import CATEGORY_LABELS, CORPUS_CATALOG, ESG_CATALOG
 from docmetrics.functions.text import CHUNK_LIMIT, SECTION_HEAD, TABLE_LINE, TABLE_SEPARATOR
-from docmetrics.operators.candidates import (
-    BASE_UNITS,
-    CATALOG_UNITS,
-    NUMBER,
-    STOP_CLASS,
-    candidate_pattern,
-    unit_alternation,
-)
 from docmetrics.operators.embed import DEFAULT_DIM, QUERY_TEMPLATE
-from docmetrics.operators.extract import PROMPT_TEMPLATE
+from docmetrics.operators.extract import PLAIN_TEMPLATE, PROMPT_TEMPLATE
 from docmetrics.plans.queries import CANDIDATE_KEYWORDS, EVENT_METRIC
 from docmetrics.sources.documents import SERVICE_FORMATS, TEXT_FORMATS
 from docmetrics.sources.fixtures import REPORTS
@@ -58,14 +51,47 @@ ESG = catalog_values(ESG_CATALOG)
 ALLCAT = catalog_values(ALL_CATALOG)
 
 
+# The value grammar, written from its rule: sign inside brackets, bracketed number, plain number, upper end of a range,
+# scale word; then the unit. Brackets mean a negative value (unless they hold a plus), and so does a dash that
+# stands right before the number and not after a letter, digit or dash.
+NUM = "[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?"
+UNITS = "公噸CO2e|立方米|百分比|小時|分鐘|%|％|個|人|元"
+
+
+def quantity(num: str) -> str:
+    return f"(?:[(（][ \\t]*([-−－+]?)[ \\t]*({num})[ \\t]*[)）]|({num}))(?:[ \\t]*[~～〜–至][ \\t]*({num}))?[ \\t]*(萬|億)?"
+
+
 def unit_norm(u: str) -> str:
-    return (f"(CASE WHEN {u} IN ('％', '百分比') THEN '%' WHEN {u} IN ('萬', '億') THEN NULL "
-            f"ELSE {u} END)")
+    return f"(CASE WHEN {u} IN ('％', '百分比') THEN '%' ELSE {u} END)"
+
 
+def value_norm(raw: str, scale: str, negative: str) -> str:
+    return (f"CAST(TRY_CAST(replace({raw}, ',', '') AS DECIMAL(28,6)) * CAST((CASE {scale} WHEN '萬' THEN 10000 WHEN '億' THEN 100000000 ELSE 1 END) "
+            f"* (CASE WHEN {negative} THEN -1 ELSE 1 END) AS DECIMAL(10,0)) AS DECIMAL(38,6))")
 
-def value_norm(raw: str, u: str) -> str:
-    v = f"TRY_CAST(replace({raw}, ',', '') AS DOUBLE)"
-    return f"(CASE WHEN {u} = '萬' THEN {v} * 10000.0 WHEN {u} = '億' THEN {v} * 100000000.0 ELSE {v} END)"
+
+def candidates(name: str, keywords) -> str:
+    """``{name}``: the candidates of the keywords in ``chunks``."""
+    rows = ", ".join(f"({q(kw)}, {q('(?i:' + re.escape(kw) + ')[^。' + chr(10) + ']*?' + quantity(NUM) + '[ \\t]*(?:' + UNITS + ')?')})"
+                     for kw in dict.fromkeys(keywords))
+    parts = f"^([^。\n]*?){quantity(NUM)}[ \\t]*({UNITS})?$"
+    part = lambda i: f"regexp_extract(rest, {q(parts)}, {i})"
+    return f"""
+{name}0 AS (
+  SELECT c.document_id, c.chunk_index, c.source_kind, k.keyword,
+         CASE WHEN contains(lower(c.text), lower(k.keyword)) THEN regexp_extract_all(c.text, k.pat, 0) ELSE [] END AS ctx
+  FROM chunks c CROSS JOIN (VALUES {rows}) k(keyword, pat)),
+{name}1 AS (
+  SELECT document_id, chunk_index, source_kind, keyword, CAST(generate_subscripts(ctx, 1) - 1 AS INTEGER) AS ordinal,
+         unnest(ctx) AS context FROM {name}0),
+{name}2 AS (SELECT *, substr(context, length(keyword) + 1) AS rest FROM {name}1),
+{name}3 AS (SELECT *, {part(1)} AS before, {part(2)} AS inner_sign, {part(3)} AS bracketed, {part(4)} AS plain,
+                   nullif({part(5)}, '') AS high_raw, nullif({part(6)}, '') AS scale, nullif({part(7)}, '') AS unit FROM {name}2),
+{name}4 AS (SELECT *, bracketed = '' AND regexp_matches(before, '[^\\p{{L}}\\p{{N}}\\-−－][-−－]$') AS dash FROM {name}3),
+{name} AS (
+  SELECT document_id, chunk_index, source_kind, keyword, ordinal, context, CAST(length(before) - CAST(dash AS INTEGER) AS INTEGER) AS gap,
+         bracketed || plain AS value_raw, dash OR (bracketed <> '' AND inner_sign <> '+') AS negative, high_raw, scale, unit FROM {name}4)"""
 
 
 # --- corpus, elements, tables --------------------------------------------------------------
@@ -83,12 +109,12 @@ c_lines AS (
   FROM (SELECT document_id, unnest(string_split(text, {NL})) AS line,
                generate_subscripts(string_split(text, {NL}), 1) AS line_no FROM corpus)),
 c_starts AS (
-  SELECT *, CASE WHEN kind = 'text' THEN 1
-                 WHEN kind = 'table' AND coalesce(lag(kind) OVER (PARTITION BY document_id ORDER BY line_no), '') <> 'table'
-                 THEN 1 ELSE 0 END AS s
-  FROM c_lines),
+  SELECT *, CASE WHEN kind = 'table' THEN before <> 'table' ELSE coalesce(last_kind, '') <> 'text' END AS s
+  FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY document_id ORDER BY line_no), '') AS before,
+               last_value(nullif(kind, 'blank') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_kind FROM c_lines)),
 c_numbered AS (
-  SELECT *, sum(s) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - 1 AS element_index
+  SELECT *, sum(CAST(s AS INTEGER)) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - 1 AS element_index
   FROM c_starts WHERE kind <> 'blank'),
 elements AS (
   SELECT document_id, CAST(element_index AS INTEGER) AS element_index, any_value(kind) AS kind,
@@ -167,6 +193,13 @@ chunks AS (
          CAST(coalesce(nt.n, 0) AS INTEGER) AS tables_found, d.source, d.lang
   FROM chunks0 c LEFT JOIN n_tables nt USING (document_id) JOIN corpus d USING (document_id))""")
 
+# One report per user and block of 5,000 event ids: a heading and a pipe table of the events.
+EVENT_REPORTS = f"""
+corpus AS (SELECT 'u' || user_id || '-' || (event_id // 5000) AS document_id,
+                  '# user ' || user_id || {NL} || {NL} || '| event | type | value |' || {NL} || '| --- | --- | --- |' || {NL}
+                  || string_agg('| ' || event_id || ' | ' || event_type || ' | ' || printf('%.2f', value) || ' |', {NL} ORDER BY event_id) AS text,
+                  'events' AS source, 'en' AS lang
+           FROM events GROUP BY user_id, event_id // 5000)"""
 CORPUS_CHUNKS = f"WITH RECURSIVE {CORPUS}, {ELEMENTS}, {TABLES}, {CHUNKS}"
 
 
@@ -220,9 +253,8 @@ def _case(expr: str, mapping: dict) -> str:
 
 
 _UNITS = {m.metric_id: m.unit for m in ESG_CATALOG}
-# Written from the rule: about-sign, sign or opening bracket, number, scale word, unit.
-VALUE_TEXT = ("^[ \\t]*約?[ \\t]*([(（]?[-−－+]?)[ \\t]*([0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?|[0-9]*\\.[0-9]+)"
-              "[)）]?[ \\t]*(萬|億)?[ \\t]*(.*?)[ \\t]*$")
+# A value that stands alone: about-sign, sign, quantity (a bare fraction counts too), unit.
+VALUE_TEXT = "^[ \\t]*約?[ \\t]*([-−－+]?)[ \\t]*" + quantity(NUM + "|[0-9]*[.][0-9]+") + "[ \\t]*(.*?)[ \\t]*$"
 
 ANSWERS = f"""
 ev AS (
@@ -268,12 +300,14 @@ kept AS (SELECT * FROM parsed WHERE reason IS NULL),
 res0 AS (
   SELECT k.document_id, k.response_id, c.name AS item, k.value, k.source, c.category, k.metric_id,
          k.confidence, k.trend,
-         regexp_extract(k.value, '{VALUE_TEXT}', 1) AS sign_raw, nullif(regexp_extract(k.value, '{VALUE_TEXT}', 2), '') AS num_raw,
-         regexp_extract(k.value, '{VALUE_TEXT}', 3) AS scale_raw, nullif(regexp_extract(k.value, '{VALUE_TEXT}', 4), '') AS unit_raw,
+         regexp_extract(k.value, '{VALUE_TEXT}', 1) AS sign_raw, regexp_extract(k.value, '{VALUE_TEXT}', 2) AS inner_sign,
+         regexp_extract(k.value, '{VALUE_TEXT}', 3) AS bracketed, regexp_extract(k.value, '{VALUE_TEXT}', 4) AS plain,
+         regexp_extract(k.value, '{VALUE_TEXT}', 6) AS scale_raw, nullif(regexp_extract(k.value, '{VALUE_TEXT}', 7), '') AS unit_raw,
          nullif(regexp_extract(k.source, '^([a-z]+):', 1), '') AS source_kind
   FROM kept k JOIN {ESG} c USING (metric_id)),
 results AS (
-  SELECT *, {value_norm('num_raw', 'scale_raw')} * CASE WHEN regexp_matches(sign_raw, '[(（−－-]') THEN -1 ELSE 1 END AS value_num, {unit_norm('unit_raw')} AS unit FROM res0),
+  SELECT *, CAST({value_norm('(bracketed || plain)', 'scale_raw', "(sign_raw IN ('-', '−', '－') OR (bracketed <> '' AND inner_sign <> '+'))")} AS DOUBLE) AS value_num,
+         {unit_norm('unit_raw')} AS unit FROM res0),
 obs AS (
   SELECT r.*, c.vmin, c.vmax, c.recommended_min, c.type, c.possible_sources
   FROM results r JOIN {ESG} c USING (metric_id))"""
@@ -320,14 +354,20 @@ v_trend AS (
 
 def _sql() -> dict[str, str]:
     s: dict[str, str] = {}
-    ualt = unit_alternation(BASE_UNITS + CATALOG_UNITS)
 
     s["chunk_words"] = ("WITH RECURSIVE " + chunk_ctes("cw", "(SELECT doc_id, text FROM documents)", ["doc_id"])
                         + " SELECT doc_id, CAST(ci AS INTEGER) AS chunk_index, text FROM cw")
 
+    s["chunk_words_blocks"] = s["chunk_words"]
+
     s["stream_chunks"] = ("WITH RECURSIVE " + chunk_ctes("cw", "(SELECT doc_id, text FROM documents)", ["doc_id"])
                           + " SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(ci AS INTEGER) AS chunk_index, text FROM cw")
 
+    # Re-sent: every document once as it is, the German ones again with a word more, the French ones emptied.
+    s["resent_chunks"] = ("WITH RECURSIVE " + chunk_ctes(
+        "cw", "(SELECT doc_id, CASE lang WHEN 'de' THEN 'again ' || text WHEN 'fr' THEN '' ELSE text END AS text FROM documents)", ["doc_id"])
+        + " SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(ci AS INTEGER) AS chunk_index, text FROM cw")
+
     # line chunker: heads break, overflow test len(cur) + len(line) > limit.
     lim = CHUNK_LIMIT
     s["chunk_lines"] = f"""
@@ -367,8 +407,9 @@ FROM (SELECT doc_id, unnest(string_split(text, {NL})) AS line,
 
     s["markdown_elements"] = f"WITH {CORPUS}, {ELEMENTS} SELECT document_id, element_index, kind, text FROM elements"
 
+    both = f"{CORPUS.replace('corpus AS', 'corpus1 AS', 1)}, {EVENT_REPORTS.replace('corpus AS', 'corpus2 AS', 1)}, corpus AS (FROM corpus1 UNION ALL FROM corpus2)"
     s["table_cells"] = f"""
-WITH {CORPUS}, {ELEMENTS}, {TABLES},
+WITH {both}, {ELEMENTS}, {TABLES},
 rws AS (
   SELECT document_id, table_no, {cells('lines[1]')} AS header,
          unnest(lines) AS line, generate_subscripts(lines, 1) AS lp
@@ -380,7 +421,9 @@ SELECT document_id, table_no, row_no, CAST(col_no AS INTEGER) AS col_no, header[
        cells[col_no] AS value
 FROM (SELECT *, unnest(range(1, greatest(len(header), len(cells)) + 1)) AS col_no FROM body)"""
 
-    s["table_verbalize"] = f"WITH {CORPUS}, {ELEMENTS}, {TABLES} SELECT document_id, table_no, text FROM v_tables"
+    s["table_verbalize"] = f"WITH {both}, {ELEMENTS}, {TABLES} SELECT document_id, table_no, text FROM v_tables"
+    s["table_chunks"] = (f"WITH RECURSIVE {EVENT_REPORTS}, {ELEMENTS}, {TABLES}, {CHUNKS} "
+                         f"SELECT document_id, chunk_index, source_kind, text, total_chunks, tables_found FROM chunks")
 
     s["chunk_union"] = f"{CORPUS_CHUNKS} SELECT document_id, chunk_index, source_kind, text FROM chunks"
 
@@ -391,27 +434,10 @@ FROM (SELECT *, unnest(range(1, greatest(len(header), len(cells)) + 1)) AS col_n
                           f"FROM corpus d CROSS JOIN {ESG} c")
 
     # candidates
-    kw_rows = ", ".join(f"({q(kw)}, {q(candidate_pattern(kw, ualt, ignore_case=True))})"
-                        for kw in dict.fromkeys(CANDIDATE_KEYWORDS))
-    parts = f"^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt})?$"
-    cand = f"""
-cands0 AS (
-  SELECT c.document_id, c.chunk_index, k.keyword,
-         CASE WHEN contains(lower(c.text), lower(k.keyword)) THEN regexp_extract_all(c.text, k.pat, 0)
-              ELSE [] END AS ctx
-  FROM chunks c CROSS JOIN (VALUES {kw_rows}) k(keyword, pat)),
-cands1 AS (
-  SELECT document_id, chunk_index, keyword, CAST(generate_subscripts(ctx, 1) - 1 AS INTEGER) AS ordinal,
-         unnest(ctx) AS context FROM cands0),
-cands AS (
-  SELECT document_id, chunk_index, keyword, ordinal, context,
-         CAST(length(regexp_extract(substr(context, length(keyword) + 1), {q(parts)}, 1)) AS INTEGER) AS gap,
-         regexp_extract(substr(context, length(keyword) + 1), {q(parts)}, 2) AS value_raw,
-         nullif(regexp_extract(substr(context, length(keyword) + 1), {q(parts)}, 3), '') AS unit
-  FROM cands1)"""
-    s["metric_candidates"] = f"{CORPUS_CHUNKS}, {cand} SELECT * FROM cands"
-    s["value_normalize"] = (f"{CORPUS_CHUNKS}, {cand} SELECT *, round({value_norm('value_raw', 'unit')}, 6) AS value, "
-                            f"{unit_norm('unit')} AS unit_norm FROM cands")
+    cand = candidates("cands", CANDIDATE_KEYWORDS)
+    s["metric_candidates"] = f"{CORPUS_CHUNKS}, {cand} SELECT * EXCLUDE (source_kind) FROM cands"
+    s["value_normalize"] = (f"{CORPUS_CHUNKS}, {cand} SELECT * EXCLUDE (source_kind), {value_norm('value_raw', 'scale', 'negative')} AS value, "
+                            f"{value_norm('high_raw', 'scale', 'negative')} AS value_high, {unit_norm('unit')} AS unit_norm FROM cands")
 
     # vectors
     cterms = terms_cte("ct", "chunks", ["document_id", "chunk_index"])
@@ -432,14 +458,15 @@ ctx AS (SELECT h.query_id, string_agg(c.text, chr(10) ORDER BY h.rank) AS contex
                           f"SELECT p.metric_id, p.head || {NL} || {NL} || ctx.context AS prompt "
                           f"FROM ctx JOIN ({prompt_rows}) p ON p.metric_id = ctx.query_id")
 
+    plain_rows = " UNION ALL ".join(
+        f"SELECT {q(m.metric_id)} AS metric_id, {q(PLAIN_TEMPLATE % m.name)} AS head" for m in ALL_CATALOG)
+    s["metric_prompt_plain"] = (f"{CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {hits}, {ctx} "
+                                f"SELECT p.metric_id, p.head || {NL} || {NL} || ctx.context AS prompt "
+                                f"FROM ctx JOIN ({plain_rows}) p ON p.metric_id = ctx.query_id")
+
     # rule extraction
-    units_all = BASE_UNITS + CATALOG_UNITS + tuple(m.unit for m in ALL_CATALOG if m.unit)
-    ualt2 = unit_alternation(units_all)
     kws = [(m.metric_id, kw) for m in ALL_CATALOG for kw in m.keywords]
-    kw_rows2 = ", ".join(f"({q(kw)}, {q(candidate_pattern(kw, ualt2, ignore_case=True))})"
-                         for kw in dict.fromkeys(k for _, k in kws))
     kwmap = ", ".join(f"({q(a)}, {q(b)})" for a, b in kws)
-    parts2 = f"^({STOP_CLASS}*?)({NUMBER})[ \\t]*({ualt2})?$"
     mhits = sparse_hits("mh", "ct", "qt", 3, True)
     s["document_answers"] = f"""
 {CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},
@@ -449,20 +476,7 @@ SELECT d.document_id, c.name AS item, regexp_extract(d.context, '[0-9]+') AS val
        c.metric_id, round(CAST(least(length(d.context), 2400) AS DOUBLE) / 2400, 6) AS confidence, '' AS trend
 FROM dctx d JOIN {ALLCAT} c ON c.metric_id = d.query_id"""
     extract = f"""
-{CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},
-xc0 AS (
-  SELECT c.document_id, c.chunk_index, c.source_kind, k.keyword,
-         CASE WHEN contains(lower(c.text), lower(k.keyword)) THEN regexp_extract_all(c.text, k.pat, 0)
-              ELSE [] END AS ctx
-  FROM chunks c CROSS JOIN (VALUES {kw_rows2}) k(keyword, pat)),
-xc1 AS (
-  SELECT document_id, chunk_index, source_kind, keyword, generate_subscripts(ctx, 1) - 1 AS ordinal,
-         unnest(ctx) AS context FROM xc0),
-xc AS (
-  SELECT *, CAST(length(regexp_extract(substr(context, length(keyword) + 1), {q(parts2)}, 1)) AS INTEGER) AS gap,
-         regexp_extract(substr(context, length(keyword) + 1), {q(parts2)}, 2) AS value_raw,
-         nullif(regexp_extract(substr(context, length(keyword) + 1), {q(parts2)}, 3), '') AS unit
-  FROM xc1),
+{CORPUS_CHUNKS}, {cterms}, {query_texts(ALL_CATALOG, False)}, {qterms}, {mhits},{candidates("xc", [kw for _, kw in kws])},
 xj AS (
   SELECT x.*, km.metric_id, h.rank AS chunk_rank, h.score, c.category, c.name, c.unit AS cat_unit,
          CASE WHEN {unit_norm('x.unit')} IS NULL THEN 0.5 WHEN {unit_norm('x.unit')} = {unit_norm('c.unit')} THEN 1.0 ELSE 0.0 END AS unit_match
@@ -475,12 +489,12 @@ best AS (
   WHERE rn = 1),
 extracted AS (
   SELECT document_id, metric_id, category, name AS item, keyword, value_raw,
-         {value_norm('value_raw', 'unit')} AS value, {unit_norm('unit')} AS unit, chunk_index,
+         {value_norm('value_raw', 'scale', 'negative')} AS value, {unit_norm('unit')} AS unit, chunk_index,
          chunk_rank AS rank, source_kind, document_id || '#' || CAST(chunk_index AS VARCHAR) AS source, gap, score,
          round(0.5 * unit_match + 0.3 / (1.0 + gap / 10.0) + 0.2 * greatest(score, 0.0), 4) AS confidence
   FROM best)"""
     s["extract_metrics"] = (f"{extract} SELECT document_id, metric_id, category, item, keyword, value_raw, "
-                            f"round(value, 6) AS value, unit, chunk_index, rank, source_kind, source, gap, "
+                            f"value, unit, chunk_index, rank, source_kind, source, gap, "
                             f"round(score, 6) AS score, confidence FROM extracted")
     s["doc_summary"] = f"""{extract},
 per_doc AS (SELECT document_id, max(total_chunks) AS n_chunks, max(tables_found) AS n_tables,
@@ -490,6 +504,19 @@ SELECT d.document_id, coalesce(p.n_chunks, 0) AS n_chunks, coalesce(p.n_tables,
        coalesce(p.n_table_chunks, 0) AS n_table_chunks, coalesce(nres.n, 0) AS n_results
 FROM (SELECT DISTINCT document_id FROM corpus) d LEFT JOIN per_doc p USING (document_id) LEFT JOIN nres USING (document_id)"""
 
+    n_of = lambda cond: f"count(*) FILTER (WHERE {cond})"
+    cats = ", ".join(f"{n_of('category = ' + q(a))} AS c_{a}" for a in CATEGORY_LABELS)
+    cat_lines = " || ".join(f"{NL} || {q('- ' + b + '：')} || coalesce(c_{a}, 0)" for a, b in CATEGORY_LABELS.items())
+    s["report_text"] = f"""{extract},
+per_doc AS (SELECT document_id, max(total_chunks) AS n_chunks, max(tables_found) AS n_tables FROM chunks GROUP BY document_id),
+nres AS (SELECT document_id, count(*) AS n, {n_of('confidence >= 0.8')} AS hi, {n_of('confidence >= 0.5 AND confidence < 0.8')} AS mid,
+                {n_of('confidence < 0.5')} AS lo, {cats} FROM extracted GROUP BY document_id)
+SELECT d.document_id, '# ' || d.document_id || {NL} || '- 大小：' || printf('%.2f', strlen(coalesce(d.text, '')) / 1048576.0) || ' MB' || {NL}
+       || '- 文字段：' || coalesce(n_chunks, 0) || {NL} || '- 表格：' || coalesce(n_tables, 0) || {NL} || '- 指標：' || coalesce(n, 0) || {NL}
+       || '- 把握高／中／低：' || coalesce(hi, 0) || '／' || coalesce(mid, 0) || '／' || coalesce(lo, 0) || {cat_lines} || {NL}
+       || '- 完成：2024-01-31 12:00:00' AS report
+FROM corpus d LEFT JOIN per_doc USING (document_id) LEFT JOIN nres USING (document_id)"""
+
     # dense vectors
     cent = """
 cent0 AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
@@ -532,23 +559,61 @@ FROM (SELECT *, CASE WHEN embedding IS NULL THEN 'null vector'
                      WHEN len(embedding) <> 64 THEN 'wrong width'
                      WHEN list_count(embedding) < len(embedding) THEN 'null element'
                      WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'nan element'
+                     WHEN list_bool_or(list_transform(embedding, lambda x: isinf(CAST(x AS FLOAT)))) THEN 'infinite element'
                      WHEN list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) = 0
                        THEN 'zero norm' END AS reason
       FROM embeddings)"""
 
-    s["batch_alignment"] = """
-SELECT coalesce(t.key, v.key) AS key,
-       CAST(t.key IS NOT NULL AS INTEGER) AS has_text, CAST(v.key IS NOT NULL AS INTEGER) AS has_vector,
-       CASE WHEN t.key IS NOT NULL AND v.key IS NOT NULL THEN 'aligned'
-            WHEN t.key IS NOT NULL THEN 'text_only' ELSE 'vector_only' END AS status
-FROM (SELECT item_id AS key FROM benchmark) t FULL OUTER JOIN (SELECT vec_id AS key FROM embeddings) v
-  ON t.key = v.key"""
+    # stored vectors: hashed counts of 512 buckets, optionally weighted; distances as 1 - cosine
+    vterms = terms_cte("vt", "chunks", ["document_id", "chunk_index"], 512)
+    vqterms = terms_cte("vq", "qtext", ["query_id"], 512)
+    weights = """
+wn AS (SELECT count(*) AS n FROM chunks),
+wdf AS (SELECT bucket, count(*) AS df FROM vt GROUP BY bucket),
+weights AS (SELECT b.bucket, coalesce(df, 0) AS df, CAST(round(1000 * (1 + ln((1 + n) / (1 + coalesce(df, 0)))), 0) AS BIGINT) AS weight
+            FROM (SELECT unnest(range(512)) AS bucket) b LEFT JOIN wdf USING (bucket) CROSS JOIN wn)"""
+    s["bucket_weights"] = f"{CORPUS_CHUNKS}, {vterms}, {weights} SELECT bucket, df, weight FROM weights"
+
+    def weighted(name: str, src: str, keys: str) -> str:
+        return f"""
+{name} AS (SELECT *, sum(tf * tf) OVER (PARTITION BY {keys}) AS norm2 FROM (SELECT {keys}, bucket, CAST(tf * weight AS DOUBLE) AS tf FROM {src} JOIN weights USING (bucket)))"""
 
-    s["chunk_vector_join"] = """
-SELECT b.item_id AS key, CAST(length(b.text) AS BIGINT) AS n_chars, CAST(len(e.embedding) AS BIGINT) AS n_dims, e.label
-FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"""
+    def vector_hits(chunk_terms: str, query_terms: str, scope: str = "") -> str:
+        part = "query_id, document_id" if scope else "query_id"
+        return f"""
+vpairs AS (SELECT * FROM (SELECT document_id, chunk_index, any_value(norm2) AS cn FROM {chunk_terms} c {scope} GROUP BY document_id, chunk_index)
+           CROSS JOIN (SELECT query_id, any_value(norm2) AS qn FROM {query_terms} GROUP BY query_id)),
+vdots AS (SELECT q.query_id, c.document_id, c.chunk_index, CAST(sum(c.tf * q.tf) AS DOUBLE) AS dot
+          FROM {chunk_terms} c JOIN {query_terms} q USING (bucket) {scope} GROUP BY q.query_id, c.document_id, c.chunk_index),
+vs AS (SELECT query_id, document_id, chunk_index, 1.0::DOUBLE - coalesce(dot, 0) / (sqrt(cn) * sqrt(qn)) AS distance
+       FROM vpairs LEFT JOIN vdots USING (query_id, document_id, chunk_index)),
+vh AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY distance, document_id, chunk_index) AS INTEGER) AS rank FROM vs)
+       WHERE rank <= 3)
+SELECT query_id, document_id, chunk_index, rank, round(distance, 6) AS distance, round(1.0 - distance, 6) AS score, text, source, lang,
+       CAST(total_chunks AS VARCHAR) AS total_chunks
+FROM vh JOIN chunks USING (document_id, chunk_index)"""
+
+    qt = query_texts(ALL_CATALOG, True)
+    s["vector_search"] = f"{CORPUS_CHUNKS}, {vterms}, {qt}, {vqterms}, {vector_hits('vt', 'vq')}"
+    s["vector_search_idf"] = (f"{CORPUS_CHUNKS}, {vterms}, {weights}, {qt}, {vqterms}, {weighted('wt', 'vt', 'document_id, chunk_index')}, "
+                              f"{weighted('wq', 'vq', 'query_id')}, {vector_hits('wt', 'wq')}")
+    toxic = "WHERE c.document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"
+    s["vector_search_document"] = (f"{CORPUS_CHUNKS}, {vterms}, {query_texts(ALL_CATALOG, False)}, {vqterms}, "
+                                   f"{vector_hits('vt', 'vq', toxic)}")
+    held = "held AS (SELECT document_id, chunk_index, sqrt(any_value(norm2)) AS norm FROM vt GROUP BY document_id, chunk_index)"
+    s["batch_alignment"] = f"""{CORPUS_CHUNKS}, {vterms}, {held}
+SELECT document_id, chunk_index, 1 AS has_text, CAST(h.norm IS NOT NULL AS INTEGER) AS has_vector,
+       CASE WHEN h.norm IS NOT NULL THEN 'aligned' ELSE 'text_only' END AS status
+FROM chunks LEFT JOIN held h USING (document_id, chunk_index)"""
+
+    s["chunk_vector_join"] = f"""{CORPUS_CHUNKS}, {vterms}, {held}
+SELECT document_id, chunk_index, CAST(length(text) AS BIGINT) AS n_chars, CAST(512 AS BIGINT) AS n_dims, round(norm, 6) AS norm
+FROM chunks JOIN held USING (document_id, chunk_index)"""
 
     # files
+    names = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+    s["file_scan"] = " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, '.parquet' AS file_type, count(*) AS n_rows, true AS sized, true AS dated FROM {t}"
+                                        for t in names)
     manifest = """
 man AS (SELECT page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS file_name,
                length(html) AS n FROM pages)"""
@@ -574,6 +639,10 @@ FROM ft"""
                                f"WHERE value IS NOT NULL AND value <> ''")
     s["result_rows"] = (f"{ANSWERS_WITH} SELECT document_id, response_id, item, value, source, category, "
                         f"metric_id, round(confidence, 6) AS confidence, trend FROM results")
+    s["ordered_results"] = f"""{ANSWERS_WITH}
+SELECT r.document_id, CAST(row_number() OVER (PARTITION BY r.document_id ORDER BY c.cat_ord, c.metric_ord, r.response_id) AS INTEGER) AS position,
+       r.response_id, r.item, r.value, r.category, r.metric_id
+FROM results r JOIN {ESG} c USING (metric_id) ORDER BY r.document_id, position"""
     s["confidence_buckets"] = f"""{ANSWERS_WITH}
 SELECT document_id, count(*) FILTER (WHERE confidence >= 0.8) AS n_high,
        count(*) FILTER (WHERE confidence >= 0.5 AND confidence < 0.8) AS n_mid,

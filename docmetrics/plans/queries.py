@@ -29,10 +29,13 @@ from docmetrics.operators import extract as X
 from docmetrics.operators import knn as K
 from docmetrics.operators import report as R
 from docmetrics.operators import validate as V
+from docmetrics.operators import vector_store as VS
 from docmetrics.operators.hooks import complete_with
+from docmetrics.operators.long_text import chunk_long_words
 from docmetrics.operators.candidates import metric_candidates, split_value_unit, value_normalize
-from docmetrics.sources.documents import format_gate, manifest
+from docmetrics.sources.documents import format_gate, identified, manifest, scan_parquet_files
 from docmetrics.sources.fixtures import REPORTS
+from docmetrics.session import materialized, scratch_dir
 
 ALL_CATALOG = ESG_CATALOG + CORPUS_CATALOG
 K_DEFAULT = 3
@@ -56,8 +59,9 @@ def _r6(c) -> Column:
 # --- corpus world ----------------------------------------------------------------------
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang")
+    """Documents with an id, and the two reports; rows without one are in ``corpus_rejects``."""
+    docs, _ = identified(_t(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang"))
     # Fixture rows as literals: the same plan every time, so exchanges over it can be reused.
     fx = spark.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(d).alias("document_id"), F.lit(t).alias("text"),
@@ -66,22 +70,13 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return docs.unionByName(fx)
 
 
-def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.document_chunks(corpus(spark, sf), keep_cols=("source", "lang"))
-
+def corpus_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of documents that cannot be chunked, with the reason."""
+    return identified(_t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", "lang"))[1]
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's checkpoint folder and read it back.
 
-    For intermediate tables read by several branches of one plan: the work
-    runs once, and the lineage is cut (a lost executor re-reads the files
-    instead of recomputing from the documents).
-    """
-    from docmetrics.session import scratch_dir
-    spark = df.sparkSession
-    path = scratch_dir(spark, "tables")
-    df.write.parquet(path)       # one job; checkpoint() would run the plan twice
-    return spark.read.parquet(path)
+def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return C.document_chunks(corpus(spark, sf), keep_cols=("source", "lang"))
 
 
 def partitioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +98,11 @@ def q_chunk_words(spark, sf):
     return C.chunk_words(docs, ["doc_id"])
 
 
+def q_chunk_words_blocks(spark, sf):
+    """The same rows by blocks of 8,192 characters: a longer document is packed by several tasks."""
+    return chunk_long_words(_t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], block_chars=8_192)
+
+
 def q_chunk_lines(spark, sf):
     return C.chunk_lines(_t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
 
@@ -115,12 +115,33 @@ def q_markdown_elements(spark, sf):
     return C.markdown_elements(corpus(spark, sf).select("document_id", "text"))
 
 
+def event_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in documents with tables: one report per user and block of 5,000 event ids (so no group is larger
+    than that), a heading and a pipe table of the events."""
+    e = _t(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    line = F.format_string("| %d | %s | %.2f |", "event_id", "event_type", "value")
+    block = F.expr("event_id div 5000")
+    rows = e.groupBy("user_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
+    text = F.concat(F.format_string("# user %d\n\n| event | type | value |\n| --- | --- | --- |\n", "user_id"),
+                    F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    return rows.select(F.format_string("u%d-%d", "user_id", "block").alias("document_id"), text.alias("text"))
+
+
+def _with_event_reports(spark, sf):
+    return corpus(spark, sf).select("document_id", "text").unionByName(event_reports(spark, sf))
+
+
 def q_table_cells(spark, sf):
-    return C.table_cells(corpus(spark, sf).select("document_id", "text"))
+    return C.table_cells(_with_event_reports(spark, sf))
 
 
 def q_table_verbalize(spark, sf):
-    return C.table_verbalize(corpus(spark, sf).select("document_id", "text"))
+    return C.table_verbalize(_with_event_reports(spark, sf))
+
+
+def q_table_chunks(spark, sf):
+    """Text blocks, then all tables of a document as one text, chunked and numbered on."""
+    return C.document_chunks(event_reports(spark, sf))
 
 
 def q_chunk_union(spark, sf):
@@ -149,7 +170,7 @@ def q_metric_candidates(spark, sf):
 
 
 def q_value_normalize(spark, sf):
-    return value_normalize(_candidates(spark, sf)).withColumn("value", _r6("value"))
+    return value_normalize(_candidates(spark, sf))
 
 
 def _chunk_terms(spark, sf):
@@ -173,18 +194,23 @@ def q_knn_sparse(spark, sf):
     return hits.select("query_id", "document_id", "chunk_index", "rank", _r6("score").alias("score"))
 
 
+def _hits_with_text(spark, sf, queries: DataFrame) -> DataFrame:
+    """Hits that carry their chunk's text from the scoring stage: k texts per query and task travel, no others."""
+    return K.knn_sparse_text(corpus_chunks(spark, sf), queries, K_DEFAULT, carry_cols=("text",))
+
+
 def q_metric_context(spark, sf):
-    queries = benchmark_queries(spark, sf)
-    pc = partitioned_chunks(spark, sf)     # one exchange, read by both branches
-    hits = _sparse_hits(spark, sf, queries, chunks=pc)
-    return X.retrieval_context(hits, pc)
+    return X.context_of_hits(_hits_with_text(spark, sf, benchmark_queries(spark, sf)))
 
 
 def q_metric_prompt(spark, sf):
-    pc = partitioned_chunks(spark, sf)
-    hits = _sparse_hits(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG), chunks=pc)
-    ctx = X.retrieval_context(hits, pc, max_hits=K_DEFAULT * len(ALL_CATALOG))
-    return X.prompts(ctx, ALL_CATALOG)
+    hits = _hits_with_text(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG))
+    return X.prompts(X.context_of_hits(hits), ALL_CATALOG)
+
+
+def q_metric_prompt_plain(spark, sf):
+    hits = _hits_with_text(spark, sf, E.query_texts_from_catalog(spark, ALL_CATALOG))
+    return X.prompts(X.context_of_hits(hits), ALL_CATALOG, template=X.PLAIN_TEMPLATE)
 
 
 def _first_number(prompts: list[str]) -> list[str]:
@@ -204,18 +230,64 @@ def q_document_answers(spark, sf):
         "document_id", "item", "value", "source", "category", "metric_id", _r6("confidence").alias("confidence"), "trend")
 
 
-def _extracted(spark, sf, chunks: DataFrame | None = None):
-    pc = chunks if chunks is not None else partitioned_chunks(spark, sf)
-    return X.extract_metrics(pc, ALL_CATALOG, k=K_DEFAULT, ignore_case=True, prepartitioned=True)
+def _extracted(spark, sf):
+    docs = corpus(spark, sf).select("document_id", "text")
+    return X.extract_document_metrics(docs, C.document_chunks, ALL_CATALOG, k=K_DEFAULT, ignore_case=True)
 
 
 def q_extract_metrics(spark, sf):
-    return _extracted(spark, sf).withColumn("value", _r6("value")).withColumn("score", _r6("score"))
+    return _extracted(spark, sf).withColumn("score", _r6("score"))
 
 
 def q_doc_summary(spark, sf):
-    pc = materialized(partitioned_chunks(spark, sf))
-    return R.doc_summary(corpus(spark, sf), pc, _extracted(spark, sf, pc))
+    return R.doc_summary(corpus(spark, sf), corpus_chunks(spark, sf), _extracted(spark, sf))
+
+
+def q_report_text(spark, sf):
+    finished = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    return R.report_text(corpus(spark, sf), corpus_chunks(spark, sf), _extracted(spark, sf), finished)
+
+
+# --- stored vectors -------------------------------------------------------------------
+
+def _stored_vectors(spark, sf, idf: bool = False):
+    """(path of a vector table written from all chunks, bucket weights or None)."""
+    chunks = C.chunk_metadata_map(corpus_chunks(spark, sf), ("source", "lang", "total_chunks", "tables_found"))
+    chunks = chunks.select("document_id", "chunk_index", "text", "metadata")
+    weights = VS.weight_array(VS.bucket_weights(chunks)) if idf else None
+    path = scratch_dir(spark, "vectors")
+    VS.store_vectors(VS.dense_vectors(chunks, weights=weights), path)
+    return path, weights
+
+
+def _hits_out(hits: DataFrame) -> DataFrame:
+    facts = [F.col("metadata")[c].alias(c) for c in ("source", "lang", "total_chunks")]
+    return hits.select("query_id", "document_id", "chunk_index", "rank", _r6("distance").alias("distance"),
+                       _r6("score").alias("score"), "text", *facts)
+
+
+def q_vector_search(spark, sf):
+    """Documents -> chunks -> dense hashed vectors -> stored table -> read again -> nearest chunks with text and metadata."""
+    path, _ = _stored_vectors(spark, sf)
+    return _hits_out(VS.search_vectors(spark, path, VS.query_embeddings(benchmark_queries(spark, sf)), K_DEFAULT))
+
+
+def q_vector_search_idf(spark, sf):
+    """The same with counts weighted by inverse document frequency, on both sides."""
+    path, weights = _stored_vectors(spark, sf, idf=True)
+    return _hits_out(VS.search_vectors(spark, path, VS.query_embeddings(benchmark_queries(spark, sf), weights=weights), K_DEFAULT))
+
+
+def q_vector_search_document(spark, sf):
+    """In every document labelled toxic, its nearest chunks to the catalogue's sentences: only their folders are read."""
+    path, _ = _stored_vectors(spark, sf)
+    toxic = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    queries = VS.query_embeddings(E.query_texts_from_catalog(spark, ALL_CATALOG))
+    return _hits_out(VS.search_vectors(spark, path, toxic.crossJoin(F.broadcast(queries)), K_DEFAULT, scope="document"))
+
+
+def q_bucket_weights(spark, sf):
+    return VS.bucket_weights(corpus_chunks(spark, sf))
 
 
 # --- vectors world -----------------------------------------------------------------------
@@ -256,21 +328,26 @@ def q_vector_validate(spark, sf):
 
 
 def q_batch_alignment(spark, sf):
-    texts = _t(spark, sf, "benchmark").select(F.col("item_id").alias("key"))
-    vecs = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("key"))
-    return V.batch_alignment(texts, vecs, ["key"])
+    """Chunks against the stored vectors: a text without tokens has no vector."""
+    path, _ = _stored_vectors(spark, sf)
+    return V.batch_alignment(corpus_chunks(spark, sf), VS.open_vectors(spark, path), VS.KEYS)
 
 
 def q_chunk_vector_join(spark, sf):
-    texts = _t(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
-    vecs = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
-    return texts.join(vecs, "key").select(
-        "key", F.length("text").cast("bigint").alias("n_chars"),
-        F.size("embedding").cast("bigint").alias("n_dims"), "label")
+    path, _ = _stored_vectors(spark, sf)
+    texts = corpus_chunks(spark, sf).select(*VS.KEYS, F.length("text").cast("bigint").alias("n_chars"))
+    vecs = VS.open_vectors(spark, path).select(*VS.KEYS, F.size("embedding").cast("bigint").alias("n_dims"), "norm")
+    return texts.join(vecs, VS.KEYS).select(*VS.KEYS, "n_chars", "n_dims", _r6("norm").alias("norm"))
 
 
 # --- files ------------------------------------------------------------------------------
 
+def q_file_scan(spark, sf):
+    """The files under the folder of the given tables, as the scan finds them."""
+    files = scan_parquet_files(spark, sf)
+    return files.select("file_name", "file_type", "n_rows", (F.col("n_bytes") > 0).alias("sized"), F.col("modified").isNotNull().alias("dated"))
+
+
 def q_doc_manifest(spark, sf):
     p = _t(spark, sf, "pages").select("page_id", "url", "html")
     return manifest(p, "url", F.lit(None).cast("timestamp")).select(
@@ -345,7 +422,7 @@ def _results(spark, sf):
     p = X.kept_answers(_parsed(spark, sf))
     rr = X.result_rows(p, ESG_CATALOG, keep_cols=("response_id",))
     num, unit = split_value_unit(F.col("value"))
-    return rr.select("*", num.alias("value_num"), unit.alias("unit"),
+    return rr.select("*", num.cast("double").alias("value_num"), unit.alias("unit"),
                      F.nullif(F.regexp_extract("source", r"^([a-z]+):", 1), F.lit("")).alias("source_kind"))
 
 
@@ -372,6 +449,12 @@ def q_result_rows(spark, sf):
         _r6("confidence").alias("confidence"), "trend")
 
 
+def q_ordered_results(spark, sf):
+    """ORD-1: documents in order, in each the catalogue's order, by Spark's sort."""
+    rows = X.result_rows(_parsed(spark, sf), ESG_CATALOG, ordered=True, keep_cols=("response_id",))
+    return rows.select("document_id", "position", "response_id", "item", "value", "category", "metric_id")
+
+
 def q_confidence_buckets(spark, sf):
     return R.bucket_counts(_results(spark, sf))
 
@@ -475,7 +558,28 @@ def q_stream_chunks(spark, sf):
     return out.select("document_id", "chunk_index", "text")
 
 
+def q_resent_chunks(spark, sf):
+    """Documents streamed into the chunk table, a part of them re-sent (German ones with a word more, French ones empty), then compacted."""
+    from docmetrics.streaming import table
+    base = scratch_dir(spark, "resent")
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text", "lang")
+    again = docs.where("lang IN ('de', 'fr')").withColumn("text", F.when(F.col("lang") == "de", F.concat(F.lit("again "), "text")).otherwise(""))
+    for i, part in enumerate((docs, again)):
+        part.select("doc_id", "text", F.lit(f"2024-01-0{i + 1}").cast("timestamp").alias("version")).write.parquet(f"{base}/in/{i}")
+        table.start_upserts(spark, f"{base}/in/*", "doc_id long, text string, version timestamp", f"{base}/table", f"{base}/checkpoint",
+                            id_col="doc_id", version_col="version").awaitTermination()
+    table.compact(spark, f"{base}/table")
+    return table.newest_chunks(spark, f"{base}/table").select("document_id", "chunk_index", "text")
+
+
 QUERIES = {
+    "file_scan": q_file_scan,
+    "table_chunks": q_table_chunks,
+    "chunk_words_blocks": q_chunk_words_blocks,
+    "metric_prompt_plain": q_metric_prompt_plain,
+    "report_text": q_report_text,
+    "ordered_results": q_ordered_results,
+    "resent_chunks": q_resent_chunks,
     "doc_manifest": q_doc_manifest,
     "format_gate": q_format_gate,
     "result_rows": q_result_rows,
@@ -492,6 +596,10 @@ QUERIES = {
     "chunk_vector_join": q_chunk_vector_join,
     "metric_coverage_gap": q_metric_coverage_gap,
     "knn_per_document": q_knn_per_document,
+    "bucket_weights": q_bucket_weights,
+    "vector_search": q_vector_search,
+    "vector_search_idf": q_vector_search_idf,
+    "vector_search_document": q_vector_search_document,
     "confidence_share": q_confidence_share,
     "category_counts": q_category_counts,
     "doc_summary": q_doc_summary,

@@ -15,15 +15,42 @@ def _final_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_context_reuses_the_chunk_exchange(spark):
-    plan = _final_plan(entry.queries()["metric_context"](spark, SF))
-    assert "ReusedExchange" in plan
-    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+def _shuffled_chunk_texts(plan: str) -> list[str]:
+    """Exchanges by chunk key, which would carry chunk texts."""
+    return [line for line in plan.split("\n") if "hashpartitioning(document_id" in line and "REPARTITION_BY_NUM" in line]
 
 
-def test_extraction_reuses_the_chunk_exchange(spark):
-    plan = _final_plan(entry.queries()["extract_metrics"](spark, SF))
-    assert "ReusedExchange [document_id" in plan
+def test_context_and_extraction_exchange_no_chunk_texts(spark):
+    for name in ("metric_context", "metric_prompt", "extract_metrics", "doc_summary"):
+        plan = _final_plan(entry.queries()[name](spark, SF))
+        assert not _shuffled_chunk_texts(plan), name
+        assert "CartesianProduct" not in plan, name
+
+
+def test_only_documents_with_candidates_are_scored(spark):
+    from docmetrics.operators import extract as X
+    from docmetrics.operators import chunk as C
+    from docmetrics.plans import queries as Q
+    docs = Q.corpus(spark, SF).select("document_id", "text")
+    cands = Q.materialized(X.catalog_candidates(C.document_chunks(docs), Q.ALL_CATALOG, ignore_case=True), "t")
+    want = {r[0] for r in cands.select("document_id").distinct().collect()}
+    scored = {r[0] for r in X.documents_with_candidates(docs, cands).select("document_id").collect()}
+    assert want <= scored and len(scored - want) <= 1
+    assert 0 < len(scored) < docs.count() / 2
+
+
+def test_id_filter_holds_every_id_and_few_others(spark):
+    from pyspark.sql import functions as F
+    from docmetrics.operators.idfilter import id_filter, may_be_in
+    ids = spark.range(0, 3000, 7).select(F.col("id").cast("string").alias("d")).unionByName(spark.createDataFrame([(None,)], "d string"))
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("d"), F.lit("x").alias("_x")).unionByName(spark.createDataFrame([(None, "y")], "d string, _x string"))
+    for bits, more in ((26, 0), (12, 3000)):
+        kept = may_be_in(rows, id_filter(ids, ["d"], bits), ["d"], bits)
+        got = {r[0] for r in kept.select("d").collect()}
+        assert kept.columns == ["d", "_x"]
+        assert {r[0] for r in ids.collect()} <= got and len(got) <= 430 + more
+    assert may_be_in(rows, id_filter(ids.where("false"), ["d"]), ["d"]).count() == 0
+    assert id_filter(ids, ["d"], 20).count() <= 32
 
 
 def test_sparse_knn_partial_and_final_topk_without_join(spark):
