@@ -14,8 +14,8 @@ finds its sequence in the broadcast steps, whose number is bounded by the histog
 lengths adds at most three ranges), not by the corpus.
 
 Word-wise tokenising is right for tokenizers whose pre-tokenizer always splits at the ASCII blanks
-``[\\x20\\x09-\\x0D]`` and drops them, as the default one does. Strings that look like special tokens are
-ordinary text.
+``[\\x20\\x09-\\x0D]`` and drops them, as the default one does. The string of a special token in a text is that
+token, as in the library's plain call; with ``ordinary`` it is text like any other.
 
 Defined results: null or empty text is the end token alone (one piece of length 1); equal documents
 (repeated rows) are packed each for itself; a null id stays null; an empty table gives an empty result;
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,67 +57,100 @@ def tokenizer_text(spark: SparkSession, path: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts; each distinct word is encoded once, many words in one call with a special token
-    between them, which keeps them apart before anything else looks at the text."""
+    """Ids of whole texts, as the library's plain call gives them; each distinct word is encoded once.
 
-    def __init__(self, definition: str):
+    Words of a-z alone go straight to the vocabulary; of the others many go in one call with a special token
+    between them, which keeps them apart before anything else looks at the text. A text that holds a special
+    token's string is encoded as a whole. With ``ordinary`` such strings are text like any other."""
+
+    def __init__(self, definition: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
-        self.tok, self.plain, self.new = Tokenizer.from_str(definition), None, lambda: Tokenizer.from_str(definition)
+        self.tok, self.text_only, self.ordinary = Tokenizer.from_str(definition), Tokenizer.from_str(definition), ordinary
+        self.text_only.encode_special_tokens = True
         added = self.tok.get_added_tokens_decoder()
-        self.special = [t.content.lower() for t in added.values()]
+        self.special = [t.content for t in added.values()]
+        self.lower = [t.lower() for t in self.special]
         between = [i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.between = between[0] if between else None
-        # Word hash -> number; per number its hash, uses, and its ids' place.
-        self.memo: dict[int, int] = {}
-        self.hashes, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.n, self.ids, self.at = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _forget(self) -> None:
-        """Keep the words that were met again and again (or, if those fill the memo, none)."""
-        keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > WORD_MEMO // 2:
-            keep = keep[:0]
-        n = self.n[keep]
-        at = np.concatenate([[0], np.cumsum(n)])
-        self.ids = self.ids[np.repeat(self.at[keep] - at[:-1], n) + np.arange(at[-1])]
-        self.hashes, self.n, self.at, self.uses = self.hashes[keep], n, at, np.zeros(len(keep), np.int64)
-        self.memo = dict(zip(self.hashes.tolist(), range(len(keep))))
-
-    def _ids_of(self, words: list[str]) -> Iterator[np.ndarray]:
-        if self.between is None or any(t in w for w in words for t in self.special):
-            if self.plain is None:
-                self.plain = self.new()
-                self.plain.encode_special_tokens = True
-            for e in self.plain.encode_batch_fast(words, add_special_tokens=False):
-                yield np.array(e.ids, np.uint32)
+        probe = [w for w in ("a", "the", "zq", "information", "xkjqwvzzz") if not any(t in w for t in self.lower)]
+        self.direct = all([t.id for t in self.tok.model.tokenize(w)] == self.text_only.encode(w, add_special_tokens=False).ids for w in probe)
+        self._keep(np.zeros(0, np.int64))
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forget all words but these."""
+        if not len(numbers):
+            self.hashes, self.place, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.n, self.at, self.ids = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
             return
-        sep = self.tok.id_to_token(self.between)
-        ids = np.array(self.tok.encode(sep.join(words), add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(ids == self.between)
-        for a, b in zip([0, *(cut + 1)], [*cut, len(ids)]):
-            yield ids[a:b]
+        new = np.full(len(self.n), -1)
+        new[numbers] = np.arange(len(numbers))
+        left = new[self.place] >= 0
+        n = self.n[numbers]
+        to = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.at[numbers] - (to - n), n) + np.arange(to[-1])]
+        self.hashes, self.place = self.hashes[left], new[self.place[left]]
+        self.n, self.at, self.uses = n, np.concatenate([[0], to]), np.zeros(len(numbers), np.int64)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, how many each has)."""
+        flat: list = [None] * len(words)
+        model, rest = self.tok.model.tokenize, []
+        for i, w in enumerate(words):
+            if self.direct and w.isascii() and w.isalpha():
+                flat[i] = [t.id for t in model(w)]
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), WORDS):
+            own = rest[at:at + WORDS]
+            if self.between is None or any(t in words[i] for i in own for t in self.lower):
+                got = [e.ids for e in self.text_only.encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
+            else:
+                sep = self.tok.id_to_token(self.between)
+                ids = self.tok.encode_batch_fast([sep.join([words[i] for i in own])], add_special_tokens=False)[0].ids
+                cut = [-1, *(j for j, x in enumerate(ids) if x == self.between), len(ids)]
+                got = [ids[a + 1:b] for a, b in zip(cut, cut[1:])]
+            for i, ids in zip(own, got):
+                flat[i] = ids
+        return np.array([x for ids in flat for x in ids], np.uint32), np.array([len(ids) for ids in flat], np.int64)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of the column, in order."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        whole: dict[int, np.ndarray] = {}
+        if not self.ordinary and len(column):
+            marked = np.zeros(len(column), bool)
+            for t in self.special:
+                marked |= pc.fill_null(pc.match_substring(column, t), False).to_numpy(zero_copy_only=False)
+            if marked.any():
+                whole = {i: np.array(self.tok.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(marked).tolist()}
+                column = pc.if_else(pa.array(marked), pa.scalar("", column.type), column)
+        for i, ids in enumerate(self._encode(column)):
+            yield whole.get(i, ids)
+
+    def _encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         for s in text_slices(column, SLICE, CUT):
-            if len(self.memo) > WORD_MEMO:
-                self._forget()
+            if len(self.n) > WORD_MEMO:
+                keep = np.flatnonzero(self.uses > 1)  # words that were met again and again (or, if those fill the memo, none)
+                self._keep(keep if len(keep) <= WORD_MEMO // 2 else keep[:0])
             own, first, slot, uses = np.unique(s.word_hashes(), return_index=True, return_inverse=True, return_counts=True)
-            number = np.array([self.memo.get(h, -1) for h in own.tolist()], np.int64)
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+                number = np.where(self.hashes[at] == own, self.place[at], -1)
+            else:
+                number = np.full(len(own), -1)
             fresh = np.flatnonzero(number < 0)
             if len(fresh):
                 text = s.bytes.tobytes()
-                words = [text[a:b].decode() for a, b in zip(s.start[first[fresh]], s.end[first[fresh]])]
-                got = [ids for at in range(0, len(words), WORDS) for ids in self._ids_of(words[at:at + WORDS])]
-                number[fresh] = np.arange(len(self.memo), len(self.memo) + len(fresh))
-                self.memo.update(zip(own[fresh].tolist(), number[fresh].tolist()))
-                self.hashes = np.concatenate([self.hashes, own[fresh]])
+                ids, sizes = self._ids_of([text[a:b].decode() for a, b in zip(s.start[first[fresh]].tolist(), s.end[first[fresh]].tolist())])
+                number[fresh] = np.arange(len(self.n), len(self.n) + len(fresh))
+                self.n, self.ids = np.concatenate([self.n, sizes]), np.concatenate([self.ids, ids])
+                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
                 self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
-                self.n = np.concatenate([self.n, np.array([len(x) for x in got], np.int64)])
-                self.ids = np.concatenate([self.ids, *got])
-                self.at = np.concatenate([[0], np.cumsum(self.n)])
+                to = np.searchsorted(self.hashes, own[fresh])  # both are sorted
+                self.hashes, self.place = np.insert(self.hashes, to, own[fresh]), np.insert(self.place, to, number[fresh])
             self.uses[number] += uses
             word = number[slot]
             n = self.n[word]
@@ -127,23 +161,23 @@ class WordTokenizer:
                 yield ids[a:b]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def word_tokenizer(definition: str) -> WordTokenizer:
+def word_tokenizer(definition: str, ordinary: bool = False) -> WordTokenizer:
     """One per worker process: its memo serves the tasks that follow."""
-    if definition not in _tokenizers:
+    if (definition, ordinary) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[definition] = WordTokenizer(definition)
-    return _tokenizers[definition]
+        _tokenizers[definition, ordinary] = WordTokenizer(definition, ordinary)
+    return _tokenizers[definition, ordinary]
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int, ordinary: bool = False) -> DataFrame:
     """(doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32."""
     definition = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def pieces(batches):
-        tok = word_tokenizer(definition.value)
+        tok = word_tokenizer(definition.value, ordinary)
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             rows = []
@@ -227,12 +261,13 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> tuple[list[tupl
 
 
 def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                  tokenizer_path: str | None = None) -> DataFrame:
-    """-> a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+                  tokenizer_path: str | None = None, ordinary: bool = False) -> DataFrame:
+    """-> a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``ordinary``: strings of special
+    tokens are ordinary text."""
     spark = docs.sparkSession
     tokenizer = tokenizer_text(spark, tokenizer_path or default_tokenizer())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(tokenized_pieces(rows, tokenizer, size), "pieces")
+    pieces = materialize(tokenized_pieces(rows, tokenizer, size, ordinary), "pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `size` rows
     steps, _ = best_fit_decreasing({r["length"]: r["n"] for r in counts}, size)
 
