@@ -19,7 +19,7 @@ HEADLINE = (
     "chunk_words", "markdown_elements", "chunk_union", "hash_embed", "knn_sparse", "metric_context",
     "metric_candidates", "extract_metrics", "doc_summary", "knn_cosine", "knn_l2", "knn_per_document",
     "response_parse", "result_rows", "report_rollup", "metric_trend", "validation_report",
-    "stream_chunks",
+    "stream_chunks", "document_answers", "vector_search", "chunk_words_blocks",
 )
 
 
