@@ -309,6 +309,33 @@ def score_batch_per_document(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k
             names=["query_id", *key_cols, *carry_cols, "dot", "score"])
 
 
+# Chunks scored at once when they come as lists, one per document.
+LIST_ROWS = 10_000
+
+
+def contexts_of_lists(lists: pa.ListArray, qm: QueryMatrix, k: int, hasher: TokenHasher):
+    """(rows, queries, contexts): per row and query the k best of the row's texts (score, then position), joined by
+    newlines; yielded once, after all texts were scored in bounded pieces."""
+    if not len(lists) or not qm.n:
+        return
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    kept = [np.zeros((3, 0))]
+    for at in range(0, len(flat), LIST_ROWS):
+        piece = pa.record_batch([flat.slice(at, LIST_ROWS)], names=["text"])
+        for r, j, _, score in sparse_slices(piece, qm, hasher, "text", k):
+            best = partial_top_k(row[at + r] * qm.n + j, score, [r], k)
+            kept.append(np.stack([(at + r)[best], j[best], score[best]]))
+    chunk, query, score = np.concatenate(kept, axis=1)
+    chunk, query = chunk.astype(np.int64), query.astype(np.int64)
+    group = row[chunk] * qm.n + query
+    best = partial_top_k(group, score, [chunk], k)
+    group, texts = group[best], flat.take(pa.array(chunk[best])).to_pylist()
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    to = np.r_[cut[1:], len(group)]
+    yield group[cut] // qm.n, group[cut] % qm.n, ["\n".join(texts[a:b]) for a, b in zip(cut, to)]
+
+
 def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
               text_col: str = "text") -> pa.RecordBatch:
     """One row per (chunk, non-zero bucket): keys, bucket, tf, norm2."""

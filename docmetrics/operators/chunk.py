@@ -200,14 +200,10 @@ def table_cells(docs: DataFrame, key_cols=("document_id",), text_col: str = "tex
     )
 
 
-def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",
-                    limit: int = CHUNK_LIMIT, max_word: int | None = None,
-                    keep_cols=()) -> DataFrame:
-    """WIN-1 + SET-1: text elements chunked one by one, then all tables chunked as one text.
-
-    Output (keys, chunk_index INT from 0, source_kind 'text'|'table', text,
-    total_chunks INT, tables_found INT, *keep_cols).
-    """
+def chunk_lists(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",
+                limit: int = CHUNK_LIMIT, max_word: int | None = None, keep_cols=()) -> DataFrame:
+    """WIN-1 + SET-1 with a document's chunks in its row: (keys, *keep_cols, tables_found INT, n_text INT, chunks ARRAY<STRING>),
+    where the first ``n_text`` chunks are text and the others table chunks."""
     keys = _keys(key_cols)
     keep = list(keep_cols)
     # One Python pass: elements and the chunks of the text elements. Tables are
@@ -222,15 +218,28 @@ def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str =
         word_chunks_col(F.array(tables_text_col(elements)), limit, max_word).alias("table_chunks"),
         F.size(parsed_tables_col(elements)).alias("tables_found"),
     )
-    allc = F.concat("text_chunks", "table_chunks")
-    return staged.select(
-        *keys, *keep, "tables_found",
-        F.size("text_chunks").alias("_n_text"),
-        F.size(allc).alias("total_chunks"),
-        F.posexplode(allc).alias("chunk_index", "text"),
+    return staged.select(*keys, *keep, "tables_found", F.size("text_chunks").alias("n_text"),
+                         F.concat("text_chunks", "table_chunks").alias("chunks"))
+
+
+def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",
+                    limit: int = CHUNK_LIMIT, max_word: int | None = None,
+                    keep_cols=()) -> DataFrame:
+    """WIN-1 + SET-1: text elements chunked one by one, then all tables chunked as one text.
+
+    Output (keys, chunk_index INT from 0, source_kind 'text'|'table', text,
+    total_chunks INT, tables_found INT, *keep_cols).
+    """
+    keys = _keys(key_cols)
+    keep = list(keep_cols)
+    lists = chunk_lists(docs, keys, text_col, limit, max_word, keep)
+    return lists.select(
+        *keys, *keep, "tables_found", "n_text",
+        F.size("chunks").alias("total_chunks"),
+        F.posexplode("chunks").alias("chunk_index", "text"),
     ).select(
         *keys, "chunk_index",
-        F.when(F.col("chunk_index") < F.col("_n_text"), F.lit("text"))
+        F.when(F.col("chunk_index") < F.col("n_text"), F.lit("text"))
         .otherwise(F.lit("table")).alias("source_kind"),
         "text", "total_chunks", "tables_found", *keep,
     )

@@ -10,11 +10,12 @@ and task.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import islice
 
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from docmetrics.functions.sparse import (
     QueryMatrix,
     RunningTopK,
     TokenHasher,
+    bucket_counts,
+    contexts_of_lists,
     dense_score_batch,
     score_batch,
     score_batch_per_document,
@@ -76,6 +79,22 @@ def knn_sparse(chunks: DataFrame, query_terms: DataFrame, k: int = 3,
     return reduce(DataFrame.unionByName, parts)
 
 
+def _short_texts(queries: DataFrame, max_queries: int) -> list | None:
+    """(query_id, text) rows on the driver, or None if they are too many, or one is too long."""
+    long = F.coalesce(F.length("text") > MAX_QUERY_TEXT, F.lit(False))
+    rows = queries.select("query_id", F.when(~long, F.col("text")).alias("text"), long).limit(max_queries + 1).collect()
+    return None if len(rows) > max_queries or any(r[2] for r in rows) else rows
+
+
+def _hashed_texts(rows: list, dim: int, char_ngrams: bool):
+    """Query texts hashed on the driver with the tokeniser of the chunks."""
+    ws = re.compile(r"[ \t\n\x0b\f\r]+")
+    texts = [None if r[1] is None else ws.sub(" ", r[1]) for r in rows]
+    hasher = TokenHasher(dim, char_ngrams)
+    r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
+    return QueryMatrix.payload([rows[i][0] for i in r.tolist()], b, tf, dim)
+
+
 def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
                     key_cols=("document_id", "chunk_index"), scope: str = "corpus",
                     dim: int | None = None, text_col: str = "text", char_ngrams: bool = True,
@@ -86,27 +105,47 @@ def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
     Spark job of their own; more than ``max_queries``, or one over ``MAX_QUERY_TEXT`` characters, become
     term rows in Spark.
     """
-    import re
-
-    import pyarrow as pa
-
-    from docmetrics.functions.sparse import bucket_counts
-
     dim = dim or 4096
-    long = F.coalesce(F.length("text") > MAX_QUERY_TEXT, F.lit(False))
-    rows = queries.select("query_id", F.when(~long, F.col("text")).alias("text"), long).limit(max_queries + 1).collect()
-    if len(rows) > max_queries or any(r[2] for r in rows):
+    rows = _short_texts(queries, max_queries)
+    if rows is None:
         from docmetrics.operators.embed import query_vectors
         return knn_sparse(chunks, query_vectors(queries, dim=dim, char_ngrams=char_ngrams), k,
                           key_cols, scope, dim, text_col, char_ngrams, carry_cols=carry_cols)
-    ws = re.compile(r"[ \t\n\x0b\f\r]+")
-    texts = [None if t is None else ws.sub(" ", t) for _, t, _ in rows]
-    hasher = TokenHasher(dim, char_ngrams)
-    r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
-    ids = [rows[i][0] for i in r.tolist()]
-    payload = QueryMatrix.payload(ids, b, tf, dim)
-    return _knn_sparse_scored(chunks, payload, k, list(key_cols), scope, dim, text_col, char_ngrams,
-                              tuple(carry_cols))
+    return _knn_sparse_scored(chunks, _hashed_texts(rows, dim, char_ngrams), k, list(key_cols), scope, dim, text_col,
+                              char_ngrams, tuple(carry_cols))
+
+
+def document_contexts(lists: DataFrame, queries: DataFrame, k: int = 3, key_cols=("document_id",), dim: int | None = None,
+                      char_ngrams: bool = True) -> DataFrame:
+    """JN-6 + RAG-1: (keys, query_id, context), the texts of every document's k nearest chunks to each query, best first,
+    joined by newlines; a query that shares no term with any chunk of the document has none.
+
+    ``lists``: (keys, chunks ARRAY<STRING>) from ``chunk_lists``: a document's chunks are in its row, so its search and its
+    contexts need no exchange at all. Queries are taken in blocks of ``MAX_BROADCAST_TERMS`` term rows."""
+    from docmetrics.operators.embed import query_vectors
+
+    dim = dim or 4096
+    rows = _short_texts(queries, MAX_BROADCAST_QUERIES)
+    payloads = [_hashed_texts(rows, dim, char_ngrams)] if rows is not None else [
+        QueryMatrix.payload([r[0] for r in part], [r[1] for r in part], [r[2] for r in part], dim)
+        for part in _term_blocks(query_vectors(queries, dim=dim, char_ngrams=char_ngrams).select("query_id", "bucket", "tf"), MAX_BROADCAST_TERMS)]
+    keys = list(key_cols)
+    schema = T.StructType([*(lists.schema[c] for c in keys), T.StructField("query_id", T.StringType()), T.StructField("context", T.StringType())])
+
+    def part(payload) -> DataFrame:
+        bc = lists.sparkSession.sparkContext.broadcast(payload)
+
+        def contexts(batches):
+            qm, hasher = QueryMatrix.from_payload(bc.value), TokenHasher(dim, char_ngrams)
+            for batch in batches:
+                for rows, of, text in contexts_of_lists(batch.column("chunks"), qm, k, hasher):
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keys), pa.array([qm.ids[i] for i in of], pa.string()),
+                                                      pa.array(text, pa.string())], names=[f.name for f in schema])
+
+        return lists.select(*keys, "chunks").mapInArrow(contexts, schema)
+
+    return reduce(DataFrame.unionByName, map(part, payloads))
 
 
 def _knn_sparse_scored(chunks, payload, k, keys, scope, dim, text_col, char_ngrams, carry=()):

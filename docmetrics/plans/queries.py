@@ -79,12 +79,6 @@ def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return C.document_chunks(corpus(spark, sf), keep_cols=("source", "lang"))
 
 
-def partitioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks hash-partitioned on (document_id, chunk_index): one exchange that
-    every consumer (terms, candidates, text lookups) reuses."""
-    return C.partition_chunks(corpus_chunks(spark, sf))
-
-
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
     """EMB-2 query texts: the catalogue's search sentences plus every benchmark item."""
     cat = E.query_texts_from_catalog(spark, ALL_CATALOG)
@@ -222,9 +216,8 @@ def _first_number(prompts: list[str]) -> list[str]:
 
 def q_document_answers(spark, sf):
     """Per document: retrieval, one prompt per metric, a completer, parsing, result rows."""
-    pc = partitioned_chunks(spark, sf)
-    hits = K.knn_sparse_text(pc, E.query_texts_from_catalog(spark, ALL_CATALOG), K_DEFAULT, scope="document")
-    ctx = X.retrieval_context(hits, pc, group_cols=("document_id", "query_id"))
+    lists = C.chunk_lists(corpus(spark, sf).select("document_id", "text"))
+    ctx = K.document_contexts(lists, E.query_texts_from_catalog(spark, ALL_CATALOG), K_DEFAULT)
     answers = complete_with(X.prompts(ctx, ALL_CATALOG, keep_cols=("document_id",)), _first_number)
     return X.result_rows(X.parse_responses(answers), ALL_CATALOG).select(
         "document_id", "item", "value", "source", "category", "metric_id", _r6("confidence").alias("confidence"), "trend")

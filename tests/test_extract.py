@@ -51,3 +51,24 @@ def test_prompt_contains_context(spark, reports):
     pr = {r.metric_id: r.prompt for r in X.prompts(X.retrieval_context(hits, chunks)).collect()}
     assert set(pr) <= {m.metric_id for m in ESG_CATALOG}
     assert "溫室氣體排放量" in pr["greenhouse_gas"]
+
+
+def test_contexts_from_chunk_lists_equal_search_and_join(spark, monkeypatch):
+    """A document's contexts from its own row equal search, join with the chunk table and grouping; long lists in pieces."""
+    from docmetrics.functions import sparse
+    rows = [(f"d{i}", "\n".join(f"word{(i * j) % 7} topic{j % 4} 排放量{j}" + (" x" * 900 if j % 5 == 0 else "") for j in range(i * 4)) or None) for i in range(9)]
+    docs = spark.createDataFrame(rows + [("t", "| a | b |\n| --- | --- |\n| topic1 | word3 |"), (None, "topic1 word1")], "document_id string, text string")
+    queries = _queries(spark, ["word1 topic1", "topic3", "排放量", "nothing shared qqq"])
+    got = {(r.document_id, r.query_id): r.context for r in K.document_contexts(C.chunk_lists(docs), queries, 2).collect()}
+    chunks = C.document_chunks(docs.where("document_id IS NOT NULL"))
+    hits = K.knn_sparse_text(chunks, queries, 2, scope="document")
+    want = {(r.document_id, r.query_id): r.context for r in X.retrieval_context(hits, chunks, group_cols=("document_id", "query_id")).collect()}
+    assert {key: v for key, v in got.items() if key[0] is not None} == want and (None, "q0") in got
+    lists = C.chunk_lists(docs).where("document_id = 'd8'").first()["chunks"]
+    import pyarrow as pa
+    payload = K._hashed_texts([("q0", "word1 topic1"), ("q1", "topic3")], 4096, True)
+    qm, hasher = sparse.QueryMatrix.from_payload(payload), sparse.TokenHasher(4096, True)
+    whole = [x for part in sparse.contexts_of_lists(pa.array([lists, [], lists[:3]]), qm, 2, hasher) for x in zip(*part)]
+    monkeypatch.setattr(sparse, "LIST_ROWS", 3)
+    pieces = [x for part in sparse.contexts_of_lists(pa.array([lists, [], lists[:3]]), qm, 2, hasher) for x in zip(*part)]
+    assert whole == pieces and len(whole) == 4

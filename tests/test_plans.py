@@ -27,6 +27,11 @@ def test_context_and_extraction_exchange_no_chunk_texts(spark):
         assert "CartesianProduct" not in plan, name
 
 
+def test_answers_per_document_need_no_exchange(spark):
+    plan = entry.queries()["document_answers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+
+
 def test_only_documents_with_candidates_are_scored(spark):
     from docmetrics.operators import extract as X
     from docmetrics.operators import chunk as C
