@@ -16,7 +16,8 @@ from docmetrics.llm.common import materialize, table
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; all of them if there is no label of class 0 to learn from
-    (no usable label at all, or class 1 only). With labels of class 0 only no document is accepted."""
+    (no usable label at all, or class 1 only). With labels of class 0 only no document is accepted. Null and empty
+    texts and rows without an id are scored like others; an empty table stays empty; further columns are kept."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     if isinstance(machine, float) and machine >= 0.5:  # a constant: 0.5 without labels, more with class 1 only
         return docs
@@ -24,7 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in several documents stay in the first one only; the others' texts and lengths change. Null text becomes empty."""
+    """Lines found in several documents stay in the first one only; the others' texts and lengths change. Null text
+    becomes empty; rows without an id keep all lines; an empty table stays empty; further columns are kept."""
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     new = {"text": F.col("kept"),
@@ -33,7 +35,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Repeated rows of one id are one document, of which one row stays. Texts without words (null, empty) are no
+    duplicates of one another; rows without an id all stay; an empty table stays empty; further columns are kept."""
     groups = ngram_join.ngram_jaccard_join(docs)
     others = groups.where("component_id != doc_id").select("doc_id")
     kept = docs.join(others, "doc_id", "left_anti")
@@ -44,12 +49,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A leak in a row without an id goes by its text; items without words are
+    in nothing; null and empty texts stay; without documents or items nothing changes; further columns are kept."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
+    """The pieces of all documents, placed in sequences: packing's columns, not those of documents. Null and empty
+    texts are the end token alone; a null id stays null; an empty table has no pieces."""
     return packing.pack_best_fit(docs)
 
 
