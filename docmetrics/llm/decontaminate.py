@@ -40,7 +40,6 @@ from docmetrics.llm.common import Slice, mix64, seeds, text_slices
 HASHES = 64
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 20_000
-RUN = 1 << 16  # shingles hashed at once
 _MULT = seeds(HASHES, salt=0xA11CE)
 
 
