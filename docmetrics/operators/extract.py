@@ -98,7 +98,12 @@ def kept_answers(parsed: DataFrame, require_value: bool = False) -> DataFrame:
     return out
 
 
-def rejected_answers(parsed: DataFrame) -> DataFrame:
+def rejected_answers(parsed: DataFrame, catalog=None) -> DataFrame:
+    """Answers that were skipped, with the reason; with a ``catalog`` also those of a metric that it does not hold, which
+    ``result_rows`` leaves out."""
+    if catalog is not None:
+        known = F.element_at(catalog_map(catalog), F.col("metric_id")).isNotNull()
+        parsed = parsed.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown metric"))))
     return parsed.filter(F.col("reason").isNotNull())
 
 

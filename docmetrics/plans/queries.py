@@ -426,7 +426,7 @@ def q_response_parse(spark, sf):
 
 
 def q_response_rejects(spark, sf):
-    return X.rejected_answers(_parsed(spark, sf)).select(
+    return X.rejected_answers(_parsed(spark, sf), ESG_CATALOG).select(
         "document_id", "response_id", "metric_id", "reason")
 
 

@@ -35,6 +35,28 @@ def test_keep_and_reject(spark):
         assert reasons.get(i) == reason
 
 
+def test_answers_of_unknown_metrics_are_rejected_with_a_reason(spark):
+    good = '{"value":"1","source":"s","confidence":0.5}'
+    rows = [("d", 0, "greenhouse_gas", good), ("d", 1, "no_such_metric", good), ("d", 2, None, good), ("d", 3, "no_such_metric", "null")]
+    p = X.parse_responses(spark.createDataFrame(rows, "document_id string, response_id int, metric_id string, response string"))
+    assert {r.response_id: r.reason for r in X.rejected_answers(p, X.ESG_CATALOG).collect()} == {
+        1: "unknown metric", 2: "unknown metric", 3: "not an object"}
+    assert X.result_rows(p).count() == 1
+
+
+def test_results_come_in_order(spark):
+    """Lists, not sets: documents in order, in each the catalogue's order, and the position says the same."""
+    good = '{"value":"%d","source":"s","confidence":0.5}'
+    metrics = ["risk_management", "greenhouse_gas", "compensation", "water_usage"]
+    rows = [(f"d{i % 7}", i, metrics[i * 3 % 4], good % i) for i in range(56)]
+    df = spark.createDataFrame(rows, "document_id string, response_id int, metric_id string, response string").repartition(5)
+    got = [(r.document_id, r.position, r.metric_id, r.response_id) for r in X.result_rows(X.parse_responses(df), ordered=True, keep_cols=("response_id",)).collect()]
+    place = {m.metric_id: i for i, m in enumerate(X.ESG_CATALOG)}
+    want = sorted(((d, place[m], i, m) for d, i, m, _ in rows))
+    assert [(d, m, i) for d, _, m, i in got] == [(d, m, i) for d, _, i, m in want]
+    assert [p for _, p, _, _ in got] == [1, 2, 3, 4, 5, 6, 7, 8] * 7
+
+
 def test_parsed_fields(spark):
     rows = {r.response_id: r for r in _parsed(spark).collect()}
     assert rows[0].trend == "" and rows[0].confidence == 0.9
