@@ -139,6 +139,12 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "prefix").mapInArrow(explode, "token long, rep long, n int, pos int")
 
 
+def _index_prefix(num: int, den: int):
+    """Whether a posting is in the short prefix that holds the first common shingle if its set is the smaller one:
+    ``2t/(1+t)`` of the smaller set must be shared, as the other one has no fewer."""
+    return F.expr(f"pos <= n - (2L * {num} * n + {num + den - 1}) div {num + den}")
+
+
 def _may_link(num: int, den: int):
     """Length, positional and parity filter of two postings (n, pos, ..) and (n2, pos2, ..) of one shingle."""
     both = F.col("n") + F.col("n2")
@@ -166,15 +172,17 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, few: bool, k: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the similarity. Members b are dealt by their pivot a, at most
-    about SALT_ROWS to a part; each part holds a's text once, before its members' texts."""
+    about SALT_ROWS to a part; each part holds a's text once, before its members' texts. With ``few`` pairs
+    (at most BROADCAST_IDS) the pairs go to the texts, which are then shuffled once only."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("parts"))
     text_of = lambda x: texts.select(F.col("doc_id").alias(x), "text")
-    heads = (parts.join(text_of("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                                                  F.lit(None).cast("long").alias("b"), "text"))
-    members = (pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-               .join(text_of("b"), "b").select("a", "part", "b", "text"))
+    sent = F.broadcast if few else lambda df: df
+    heads = (text_of("a").join(sent(parts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                                        F.lit(None).cast("long").alias("b"), "text"))
+    dealt_to = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "part", "b")
+    members = text_of("b").join(sent(dealt_to), "b").select("a", "part", "b", "text")
     rows = heads.unionByName(members)
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
@@ -208,21 +216,28 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeated := not again.isEmpty():
         sets = materialize(sets.join(again, "doc_id", "left").where("lo IS NULL OR stamp = lo").drop("lo").dropDuplicates(["doc_id"]), "ngram_sets")
     classes = materialize(sets.where("n > 0").groupBy("n", "digest").agg(
-        F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("cells", "doc_id").alias("cells"),
-        *(F.first(p).alias(p) for p in PARITY)), "ngram_classes")
+        F.min("doc_id").alias("rep"), F.min_by("cells", "doc_id").alias("cells"), *(F.first(p).alias(p) for p in PARITY)), "ngram_classes")
 
-    # Prefix shingles of two classes or more, with each one's length bucket: linked sets are at most one bucket apart.
+    # Prefix shingles of two classes or more, one of which has it in its index prefix, with each one's length bucket: linked
+    # sets are at most one bucket apart.
     step = math.log(den / num) + 1e-9 if num < den else 1.0
-    postings = _postings(classes)
-    shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    postings = _postings(sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"))
+    # A shingle of just two sets is kept only if they pass the length and the positional filter.
+    shared = (postings.groupBy("token").agg(F.count("*").alias("k"), F.bool_or(_index_prefix(num, den)).alias("index"), F.min("n").alias("lo"),
+                                            F.max("n").alias("hi"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("left"))
+              .where("k > 1 AND index").where((F.col("k") > 2) | ((den * F.col("lo") >= num * F.col("hi")) & ((num + den) * F.col("left") >= num * F.col("both"))))
+              .select("token"))
     postings = materialize(postings.join(shared, "token").join(classes.select("rep", *PARITY), "rep").withColumn("bucket", F.floor(F.log("n") / step).cast("int"))
                            .withColumn("half", F.floor(F.log("n") / step + 0.5).cast("int")), "ngram_postings")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram_ids")
-        few = ids.count() <= BROADCAST_IDS
-        texts = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "ngram_texts")
-        return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if repeated else texts
+    def verified(pairs: DataFrame) -> DataFrame:
+        few = pairs.count() <= BROADCAST_IDS
+        texts = docs
+        if repeated or not few:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+            texts = materialize(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if repeated else texts, "ngram_texts")
+        return _verify(pairs, texts, few, k, num, den)
 
     def star(bucket: str) -> DataFrame:
         pivots = (postings.groupBy("token", bucket).agg(F.min(F.struct("pos", "n", "rep", *PARITY)).alias("p"), F.count("*").alias("k"))
@@ -235,7 +250,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .withColumn("small", F.expr("row_number() OVER (PARTITION BY b ORDER BY k, a)")))
     pairs = stars.where((F.col("large") <= PIVOTS) | (F.col("small") <= PIVOTS)).select("a", "b")
     tried = materialize(_suffix_filter(pairs, classes, num, den), "ngram_pairs")
-    links = materialize(_verify(tried, texts_of(tried), k, num, den), "ngram_links")
+    links = materialize(verified(tried), "ngram_links")
     comps = components(links)
 
     # What is left: pairs of one shingle that are not in one component yet.
@@ -249,7 +264,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .where(_may_link(num, den)).select("a", F.col("rep").alias("b")).distinct())
     known = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = materialize(_suffix_filter(rest.join(known, ["a", "b"], "left_anti"), classes, num, den), "ngram_rest_pairs")
-    links = links.unionAll(_verify(rest, texts_of(rest), k, num, den))
+    links = links.unionAll(verified(rest))
 
     comps = components(links).withColumnRenamed("id", "rep")
     out = sets.select("doc_id", "n", "digest").join(classes.select("n", "digest", "rep"), ["n", "digest"], "left").join(comps, "rep", "left")
