@@ -53,6 +53,18 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def numbered(rows: DataFrame, kept, array: Column, index: str = "chunk_index", value: str = "text") -> DataFrame:
+    """(kept, index, value): the array's elements with their positions. For the inner explode Spark infers a filter on
+    the array, which it pushes below joins and exchanges: an array that Python makes would be made twice, once on all
+    rows. The outer one with a filter behind it gives the same rows."""
+    return rows.select(*kept, F.posexplode_outer(array).alias(index, value)).where(F.col(index).isNotNull())
+
+
+def _inlined(rows: DataFrame, kept, structs: Column, first: str) -> DataFrame:
+    """``inline`` in the same way; ``first`` is a field that is never null."""
+    return rows.select(*kept, F.inline_outer(structs)).where(F.col(first).isNotNull())
+
+
 def partition_chunks(chunks: DataFrame, key_cols=("document_id", "chunk_index")) -> DataFrame:
     """Hash-partition chunk rows on their key with a fixed partition count.
 
@@ -79,26 +91,20 @@ def chunk_words(docs: DataFrame, key_cols=("document_id",), text_col: str = "tex
                 limit: int = CHUNK_LIMIT, max_word: int | None = None) -> DataFrame:
     """TXT-1: whole text -> (keys, chunk_index INT, text)."""
     keys = _keys(key_cols)
-    return spread(docs.select(*keys, text_col)).select(
-        *keys,
-        F.posexplode(word_chunks_col(F.array(F.col(text_col)), limit, max_word))
-        .alias("chunk_index", "text"),
-    )
+    return numbered(spread(docs.select(*keys, text_col)), keys, word_chunks_col(F.array(F.col(text_col)), limit, max_word))
 
 
 def chunk_lines(docs: DataFrame, key_cols=("document_id",), text_col: str = "text",
                 limit: int = CHUNK_LIMIT) -> DataFrame:
     """TXT-2: line packing with section heads as hard breaks."""
     keys = _keys(key_cols)
-    return spread(docs.select(*keys, text_col)).select(
-        *keys, F.posexplode(line_chunks_col(F.col(text_col), limit))
-                       .alias("chunk_index", "text"))
+    return numbered(spread(docs.select(*keys, text_col)), keys, line_chunks_col(F.col(text_col), limit))
 
 
 def section_split(docs: DataFrame, key_cols=("document_id",), text_col: str = "text") -> DataFrame:
     """TXT-2 heads: every line with the number of section heads up to it."""
     keys = _keys(key_cols)
-    return spread(docs.select(*keys, text_col)).select(*keys, F.inline(sections_col(F.col(text_col))))
+    return _inlined(spread(docs.select(*keys, text_col)), keys, sections_col(F.col(text_col)), "line_no")
 
 
 # --- markdown elements and tables -----------------------------------------------------
@@ -110,7 +116,7 @@ def with_elements(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def markdown_elements(docs: DataFrame, key_cols=("document_id",), text_col: str = "text") -> DataFrame:
     keys = _keys(key_cols)
-    return with_elements(docs, text_col).select(*keys, F.inline("elements"))
+    return _inlined(with_elements(docs, text_col), keys, F.col("elements"), "element_index")
 
 
 def _lines(t: Column) -> Column:
@@ -163,8 +169,7 @@ def tables_text_col(elements: Column) -> Column:
 def parsed_tables(docs: DataFrame, key_cols=("document_id",), text_col: str = "text") -> DataFrame:
     """(keys, table_no INT from 1, element_index, text) for tables that parse."""
     keys = _keys(key_cols)
-    return (with_elements(docs, text_col)
-            .select(*keys, F.posexplode(parsed_tables_col(F.col("elements"))).alias("pos", "t"))
+    return (numbered(with_elements(docs, text_col), keys, parsed_tables_col(F.col("elements")), "pos", "t")
             .select(*keys, (F.col("pos") + 1).alias("table_no"),
                     F.col("t.element_index").alias("element_index"),
                     F.col("t.text").alias("text")))
@@ -233,11 +238,8 @@ def document_chunks(docs: DataFrame, key_cols=("document_id",), text_col: str =
     keys = _keys(key_cols)
     keep = list(keep_cols)
     lists = chunk_lists(docs, keys, text_col, limit, max_word, keep)
-    return lists.select(
-        *keys, *keep, "tables_found", "n_text",
-        F.size("chunks").alias("total_chunks"),
-        F.posexplode("chunks").alias("chunk_index", "text"),
-    ).select(
+    total = F.size("chunks").alias("total_chunks")
+    return numbered(lists, [*keys, *keep, "tables_found", "n_text", total], F.col("chunks")).select(
         *keys, "chunk_index",
         F.when(F.col("chunk_index") < F.col("n_text"), F.lit("text"))
         .otherwise(F.lit("table")).alias("source_kind"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmetrics.functions.text import CHUNK_LIMIT, word_chunks_col
-from docmetrics.operators.chunk import _keys, spread
+from docmetrics.operators.chunk import _keys, numbered, spread
 from docmetrics.session import materialized
 
 BLOCK_CHARS = 1 << 20
@@ -163,15 +163,16 @@ def chunk_long_words(docs: DataFrame, key_cols=("document_id",), text_col: str =
     keys = _keys(key_cols)
     rows = spread(docs.select(*keys, F.col(text_col).alias("text")))
     long = F.coalesce(F.length("text") > block_chars, F.lit(False))
-    short = rows.where(~long).select(*keys, F.posexplode(word_chunks_col(F.array("text"), limit)).alias("chunk_index", "text"))
-    blocks = materialized(rows.where(long).select(*keys, F.posexplode(_blocks_col(F.col("text"), block_chars)).alias("_block", "text")), "blocks")
+    short = numbered(rows.where(~long), keys, word_chunks_col(F.array("text"), limit))
+    blocks = materialized(numbered(rows.where(long), keys, _blocks_col(F.col("text"), block_chars), "_block"), "blocks")
     blocks = blocks.repartition(*keys, "_block")  # a file's blocks may be one split
     tables = blocks.select(*keys, "_block", _table_col(F.col("text"), limit).alias("_t")).select(*keys, "_block", F.col("_t.ends").alias("_ends"), F.col("_t.closes").alias("_closes"))
     entries = compose(tables, keys, limit).select(*(F.col(k).alias(f"of {k}") for k in (*keys, "_block")), "_open", "_no")
     same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"of {k}")) for k in (*keys, "_block")))
     opened = (blocks.join(entries, same)
               .select(*keys, "_block", "_no", _pieces_col(F.col("text"), F.col("_open"), limit).alias("_pieces"))
-              .select(*keys, "_block", "_no", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_i", "_piece"))
+              .select(*keys, "_block", "_no", F.size("_pieces").alias("_n"), F.posexplode_outer("_pieces").alias("_i", "_piece"))
+              .where("_i IS NOT NULL")
               .withColumn("chunk_index", F.col("_no") + F.col("_i")))
     inner = (F.col("_i") > 0) & (F.col("_i") < F.col("_n") - 1)
     whole = opened.where(inner).select(*keys, "chunk_index", F.col("_piece").alias("text"))

@@ -44,6 +44,18 @@ def test_only_documents_with_candidates_are_scored(spark):
     assert 0 < len(scored) < docs.count() / 2
 
 
+def test_chunks_are_made_once_and_behind_the_filter(spark):
+    """No filter on the chunk array is inferred, pushed below the join and the exchange, and so makes all chunks twice."""
+    from docmetrics.operators import chunk as C
+    from docmetrics.operators.idfilter import id_filter, may_be_in
+    docs = C.spread(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("CAST(doc_id AS STRING) AS document_id", "text"))
+    some = may_be_in(docs, id_filter(docs.where("document_id = '3'"), ["document_id"]), ["document_id"])
+    plan = C.document_chunks(some)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [elements_and_chunks") == 1
+    assert plan.index("ArrowEvalPython [elements_and_chunks") < plan.index("BroadcastHashJoin")
+    assert C.document_chunks(some).select("document_id").distinct().count() == 1
+
+
 def test_id_filter_holds_every_id_and_few_others(spark):
     from pyspark.sql import functions as F
     from docmetrics.operators.idfilter import id_filter, may_be_in
