@@ -2,9 +2,11 @@
 
 Reader (the method): a .warc.gz holds one gzip member per record. The reader inflates member after member
 with an incremental zlib object from a stream of small chunks, so it holds one record at a time; a record
-is its header lines, then exactly Content-Length bytes, then two line ends; the block digest, and for full
-responses the payload digest, are computed and compared. A damaged or cut record ends its file and is
-reported with status ``damaged``.
+is its header lines, then exactly Content-Length bytes, then two line ends; the block digest, and for records that
+hold their payload the payload digest, are computed and compared where the record gives them in an algorithm known here
+(SHA-1, SHA-256, MD5; base 32 or hex). A damaged or cut record ends its file and is reported with status ``damaged``. Records of
+other writers are read too: each gives a row with its type and record id, and null where it says nothing (a warcinfo
+or request record has no payload, an id that is no page of this writer no page_id).
 
 Writer: each task writes archives under the given shared folder (by pyarrow's file systems, so a URI of
 any of them), starts a new one after ``archive_bytes``, and returns what it wrote; that list is stored, and
@@ -51,7 +53,11 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(record: str) -> int | None:
-    n = uuid.UUID(record[10:-1]).int
+    """The page of a record id of this writer; None for any other id."""
+    try:
+        n = uuid.UUID(record[10:-1]).int if record.startswith("<urn:uuid:") else 0
+    except ValueError:
+        return None
     if n >> 64 << 64 != _SPACE:
         return None
     low = n & (2**64 - 1)
@@ -62,6 +68,27 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def digest_bytes(value: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest header; None if the algorithm or the form is not known."""
+    name, _, text = value.partition(":")
+    name = name.strip().lower().replace("-", "")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(name)
+    if size is None:
+        return None
+    text = text.strip()
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
+def agrees(value: str | None, data: bytes) -> bool:
+    """Whether data has the digest of the header; a missing or unknown one is not looked at."""
+    known = digest_bytes(value) if value else None
+    return known is None or hashlib.new(known[0], data, usedforsecurity=False).digest() == known[1]
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record, not compressed. With ``refers_to`` it is a revisit: the HTTP head without the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -138,22 +165,34 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         if data[size:] != b"\r\n\r\n":
             raise Damaged("a record shorter than its length")
         block = bytes(data[:size])
-        if headers.get("warc-block-digest", _sha1(block)) != _sha1(block):
+        if not agrees(headers.get("warc-block-digest"), block):
             raise Damaged("block digest")
         yield headers, block
 
 
 def page_row(headers: dict[str, str], block: bytes) -> tuple:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of one of the writer's records."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    kind = headers.get("warc-type", "")
-    digest = headers.get("warc-payload-digest", "")
-    if kind == "response" and digest != _sha1(payload):
-        raise Damaged("payload digest")
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-    refers = headers.get("warc-refers-to")
-    size = len(payload) if kind == "response" else int(http["content-length"])
-    return page_of(headers["warc-record-id"]), size, base64.b32decode(digest[5:]).hex(), kind, page_of(refers) if refers else None
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id) of any record, None where it says nothing.
+
+    The payload of a response is the body of its HTTP message, or the block if it is no HTTP; that of a resource or conversion
+    the block. A revisit has the size and digest that its headers give."""
+    kind, name, refers = headers.get("warc-type") or None, headers.get("warc-record-id"), headers.get("warc-refers-to")
+    given = headers.get("warc-payload-digest")
+    http = headers.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    head, _, body = block.partition(b"\r\n\r\n")
+    size = digest = None
+    if kind in ("response", "resource", "conversion"):
+        payload = body if http and kind == "response" else block
+        if not agrees(given, payload):
+            raise Damaged("payload digest")
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    elif kind == "revisit":
+        known = digest_bytes(given) if given else None
+        digest = known[1].hex() if known and known[0] == "sha1" else None
+        if http:
+            lines = (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])
+            length = {k.strip().lower(): v.strip() for k, _, v in lines}.get("content-length", "")
+            size = int(length) if length.isascii() and length.isdigit() else None
+    return page_of(name) if name else None, size, digest, kind, page_of(refers) if refers else None, name
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -196,8 +235,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, archiv
 
 def read_warc(archives: DataFrame, folder: str) -> DataFrame:
     """-> a row per record of the listed archives; status is ``ok``, or ``damaged`` at the end of a bad file."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status", "file"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "status", "file"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def read(batches):
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -209,13 +248,13 @@ def read_warc(archives: DataFrame, folder: str) -> DataFrame:
                         for headers, block in read_records(stream):
                             rows.append((*page_row(headers, block), "ok", name))
                     except Damaged as e:
-                        rows.append((None, None, None, None, None, f"damaged: {e}", name))
+                        rows.append((None, None, None, None, None, None, f"damaged: {e}", name))
                 for at in range(0, len(rows), 10_000):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 10_000]), kinds)], names=names)
 
     width = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return archives.select("file").repartition(width, "file").mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string, file string")
+        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, status string, file string")
 
 
 def warc_round_trip(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None,
