@@ -6,16 +6,16 @@ metadata (the stored character count, as a bin). The score is the logistic of
 ``w0 + sum(w_i x_i) + 1/2 sum_f ((sum_i v_if x_i)**2 - sum_i (v_if x_i)**2)``: all pairwise interactions of the
 features through ``FACTORS`` latent factors, in time linear in the number of features.
 
-The machine is fitted with AdaGrad on a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` documents,
-the first by a hash of their id, and at most ``SAMPLE_FEATURES`` feature values altogether (some 24 MB on the
-driver). Everything else covers all documents: scoring is one pass without a shuffle, with the weights
+The machine is fitted with AdaGrad on a bounded sample of labelled rows: at most ``sample_rows`` (id, label) pairs whose
+document is there, the first by a hash of the id, and at most ``sample_features`` feature values altogether (3 million are some 24 MB on the
+driver). Both are arguments. Of repeated rows of an id the one of smallest text hash is learned from. Everything else covers all documents: scoring is one pass without a shuffle, with the weights
 (fixed size, 2.4 MB) broadcast. Labels, language, source and id are never features.
 
 Defined results: null or empty text is scored by its statistics (no words); a null character count is the
 text's own length; rows with a null id are scored and never learned from; a document with several labels
 is learned from with each of them; labels that are null are skipped; without any label every score is 0.5,
 with labels of one class only it is that class's share with one pseudo-row per class. Rows are scored one
-by one, so repeated rows get equal scores. Further columns are returned untouched inside the struct ``doc``.
+by one, so repeated rows get equal scores; repeated labels of an id count once. Further columns are returned untouched inside the struct ``doc``.
 """
 
 from __future__ import annotations
@@ -136,12 +136,14 @@ def _chars(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
-          label_col: str = "quality") -> FactorisationMachine | float:
+          label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> FactorisationMachine | float:
     """The fitted machine, or a constant score where the labels hold fewer than two classes."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE_ROWS)  # bounded, so it may be broadcast
-    rows = _rows(docs, id_col, text_col, chars_col).select("id", "text", "chars").join(F.broadcast(sample), "id")
+    there = docs.select(F.col(id_col).cast("long").alias("id"))
+    sample = known.distinct().join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)  # bounded, so it may be broadcast
+    rows = _rows(docs, id_col, text_col, chars_col).select("id", F.struct("text", "chars").alias("row")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("id", "label", "row.text", "row.chars")
 
     def extract(batches):
         for batch in batches:
@@ -157,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     extracted = rows.mapInArrow(extract, "id long, label int, feature binary, value binary")
     for r in extracted.orderBy(F.xxhash64("id"), "id", "label").toLocalIterator():
         size += len(r["feature"]) // 4
-        if size > SAMPLE_FEATURES:
+        if size > sample_features:
             break
         got.append((np.frombuffer(r["feature"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]))
     ones = sum(r[2] for r in got)
