@@ -6,13 +6,14 @@ rows it has (with its row count as a weight a hot URL would outweigh all others)
 distinct URLs by a hash, and the first ``VERDICT_ROWS`` of each verdict. Features: lengths of URL, host and path, path depth, longest segment, digit ratio, entropy of
 the characters, counts of parameters, hyphens, signs and host labels, scheme, and suffix statistics:
 for the host's last label, its last two labels and the first path segment, the smoothed share of blocked
-URLs among all labelled URLs that have it, and their number. Everything is DataFrame expressions and
+URLs among all distinct labelled URLs that have it, and their number. A labelled URL's own verdict is left out of its
+statistics when the trees are fitted, as a URL that is judged has none in them either. Everything is DataFrame expressions and
 spark.ml; no Python runs on the executors.
 
-Scale: the sample is taken among the URLs whose hash is below a bound, set by an approximate count of
-distinct URLs so that about twice the sample is left to tell apart. One projection over the URLs, plus aggregations (partial, so a hot host is reduced before its
-shuffle) and equi-joins for the statistics; the joined tables hold only keys with labelled URLs, and Spark
-broadcasts them only if they are small, or else splits a hot key.
+Scale: the distinct labelled URLs are written once (partial aggregation, so a hot URL is one row per task); the
+sample is taken among those whose hash is below a bound that leaves about twice the sample. The statistics are aggregations of them,
+and equi-joins; the joined tables hold only keys with labelled URLs, and Spark broadcasts them only if they are small,
+or else splits a hot key.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no rule fits it. If the
 rules decide no URL at all the rest is allowed; if all decided URLs have one verdict, the rest gets it.
@@ -85,14 +86,13 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
-def _fitting_sample(decided: DataFrame, distinct: dict[str, int]) -> DataFrame:
-    """Every URL once: the first ``SAMPLE_ROWS`` by hash, and the first ``VERDICT_ROWS`` of each verdict."""
+def _fitting_sample(urls: DataFrame, distinct: dict[str, int]) -> DataFrame:
+    """Of distinct ruled URLs the first ``SAMPLE_ROWS`` by hash, and the first ``VERDICT_ROWS`` of each verdict."""
     place, size = F.xxhash64("url"), max(SAMPLE_ROWS, VERDICT_ROWS)
     below = {v: -(1 << 63) + (min(1 << 64, (1 << 65) * size // max(n, 1)) - 1) for v, n in distinct.items()}
-    near = reduce(lambda a, b: a | b, ((F.col("ruled") == v) & (place <= F.lit(bound)) for v, bound in below.items()))
-    urls = materialize(decided.where(near).select("url", "host", "path", *STAT_KEYS, "ruled").distinct(), "url_candidates")
+    near = urls.where(reduce(lambda a, b: a | b, ((F.col("ruled") == v) & (place <= F.lit(bound)) for v, bound in below.items())))
     first = lambda df, n: df.orderBy(place, "url").limit(n)
-    return reduce(DataFrame.unionByName, (first(urls.where(F.col("ruled") == v), VERDICT_ROWS) for v in distinct), first(urls, SAMPLE_ROWS)).distinct()
+    return reduce(DataFrame.unionByName, (first(near.where(F.col("ruled") == v), VERDICT_ROWS) for v in distinct), first(near, SAMPLE_ROWS)).distinct()
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
@@ -104,31 +104,34 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
 
     keyed = (rows.withColumn("suffix1", F.substring_index("host", ".", -1)).withColumn("suffix2", F.substring_index("host", ".", -2))
              .withColumn("segment", F.regexp_extract("path", "^/([^/]*)", 1)))
-    blocked = (F.col("ruled") == "block").cast("int")
     decided = keyed.where("ruled IS NOT NULL")
-    of = lambda v: F.approx_count_distinct(F.when(F.col("ruled") == v, F.col("url"))).alias(v)
-    totals = decided.agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked"), of("allow"), of("block")).first()
-    if not totals["n"] or totals["blocked"] in (0, totals["n"]):
-        rest = "block" if totals["n"] and totals["blocked"] else "allow"
+    blocked = (F.col("ruled") == "block").cast("int")
+    urls = materialize(decided.select("url", "host", "path", *STAT_KEYS, "ruled").distinct(), "url_ruled")
+    totals = urls.agg(F.count("*").alias("n"), F.coalesce(F.sum(blocked), F.lit(0)).alias("blocked")).first()
+    if totals["blocked"] in (0, totals["n"]):
+        rest = "block" if totals["blocked"] else "allow"
         return rows.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("allow_score"))
 
     prior = totals["blocked"] / totals["n"]
     plain = lexical_features(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))
     names = [*plain, *(f"{k}_{x}" for k in STAT_KEYS for x in ("blocked", "seen"))]
-    tables = [decided.groupBy(k).agg(((F.sum(blocked) + 4 * prior) / (F.count("*") + 4)).alias(f"{k}_blocked"),
-                                     F.log1p(F.count("*")).alias(f"{k}_seen")) for k in STAT_KEYS]
+    tables = [urls.groupBy(k).agg(F.sum(blocked).alias(f"{k}_b"), F.count("*").alias(f"{k}_n")) for k in STAT_KEYS]
 
-    def featured(df: DataFrame) -> DataFrame:
+    def featured(df: DataFrame, own: Column, own_blocked: Column) -> DataFrame:
+        """``own`` is 1 for URLs that are in the statistics, which then leave out that one."""
         df = df.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in plain.items()})
         df = reduce(lambda d, kt: d.join(kt[1], kt[0], "left"), zip(STAT_KEYS, tables), df)
-        return df.fillna(prior, [f"{k}_blocked" for k in STAT_KEYS]).fillna(0.0, [f"{k}_seen" for k in STAT_KEYS])
+        for k in STAT_KEYS:
+            n, b = (F.coalesce(f"{k}_{x}", F.lit(0)) - o for x, o in (("n", own), ("b", own_blocked)))
+            df = df.withColumns({f"{k}_blocked": (b + 4 * prior) / (n + 4), f"{k}_seen": F.log1p(n)})
+        return df
 
-    sample = _fitting_sample(decided, {v: totals[v] for v in ("allow", "block")}).select("url", "host", "path", *STAT_KEYS, (1 - blocked).alias("label"))
-    sample = materialize(featured(sample).select(*names, "label"), "url_sample")
+    sample = _fitting_sample(urls, {"allow": totals["n"] - totals["blocked"], "block": totals["blocked"]}).withColumn("label", 1 - blocked)
+    sample = materialize(featured(sample, F.lit(1), 1 - F.col("label")).select(*names, "label"), "url_sample")
     both = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(both.transform(sample))
 
-    judged = trees.transform(both.transform(featured(keyed.where("ruled IS NULL"))))
+    judged = trees.transform(both.transform(featured(keyed.where("ruled IS NULL"), F.lit(0), F.lit(0))))
     from pyspark.ml.functions import vector_to_array
 
     allow = vector_to_array("probability")[1]
