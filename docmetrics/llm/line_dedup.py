@@ -10,7 +10,8 @@ a shard's arrays once and answers the packed values that follow it, and what com
 list of dropped hashes per document. A hash that is in no shard lands on some place, where the fingerprint
 tells it apart (both halves equal: 2**-128 a pair).
 
-Scale: the shards hold at most about ``SHARD_KEYS`` hashes each (their number follows the count of
+Scale: a document's distinct hashes are packed where its text is read, one row per document, and counted and dealt to the shards
+from there: documents times the shards that their lines meet are shuffled, not lines. The shards hold at most about ``SHARD_KEYS`` hashes each (their number follows the count of
 repeated lines), so a task holds a few MB of arrays. Line counts are pre-aggregated before the shuffle. A
 line of a third of all documents is one key of one shard, whose probes are dealt over ``salt`` parts with a
 copy of that shard's arrays each. Each document's text is shuffled once, by its id.
@@ -98,23 +99,59 @@ class PerfectHash:
         return out
 
 
-def _line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, id): every document's distinct line hashes."""
+def _packed_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(id, key, hashes): the distinct line hashes of every row, packed where the text is whole; rows without any are left out."""
 
     def rows(batches):
         for batch in batches:
-            ids, parts = batch.column("id").to_pylist(), []
-            texts = batch.column("text")
-            for i, doc in enumerate(ids):
+            ids, keys, texts, out = batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), []
+            for i in range(len(ids)):
                 own = {h for _, h in _hashes(texts[i].as_py(), least) if h}
                 if own:
-                    parts.append((doc, own))
-            h = np.frombuffer(b"".join(b"".join(own) for _, own in parts), dtype=np.int64).reshape(-1, 2)
-            doc = np.repeat(np.array([d for d, _ in parts], dtype=np.int64), [len(own) for _, own in parts])
+                    out.append((ids[i], keys[i], b"".join(sorted(own))))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["id", "key", "hashes"])
+
+    return docs.mapInArrow(rows, "id long, key long, hashes binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes n x 2, row of the batch, id) of packed rows."""
+    blobs = batch.column("hashes").to_pylist()
+    row = np.repeat(np.arange(len(blobs)), [len(x) // 16 for x in blobs])
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), row, batch.column("id").to_numpy()[row] if len(blobs) else np.zeros(0, np.int64)
+
+
+def count_lines(packed: DataFrame) -> DataFrame:
+    """(h1, h2, docs, keep): in how many documents a line is, and the smallest id. Counted per batch before the
+    shuffle; only the lines of ids with several rows are made distinct first."""
+
+    def count(batches):
+        for batch in batches:
+            h, _, doc = _unpacked(batch)
+            order = np.lexsort((doc, h[:, 1], h[:, 0]))
+            h, doc = h[order], doc[order]
+            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)])) if len(h) else np.zeros(0, np.int64)
+            for at in range(0, len(cut), 100_000):
+                own = cut[at:at + 100_000]
+                n = np.diff(np.append(cut, len(h)))[at:at + 100_000]
+                yield pa.record_batch([pa.array(h[own, 0]), pa.array(h[own, 1]), pa.array(n), pa.array(doc[own])], names=["h1", "h2", "docs", "keep"])
+
+    def unpack(batches):
+        for batch in batches:
+            h, _, doc = _unpacked(batch)
             for at in range(0, len(h), 100_000):
                 yield pa.record_batch([pa.array(x[at:at + 100_000]) for x in (h[:, 0].copy(), h[:, 1].copy(), doc)], names=["h1", "h2", "id"])
 
-    return docs.mapInArrow(rows, "h1 long, h2 long, id long")
+    again = materialize(packed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "line_ids")
+    schema = "h1 long, h2 long, docs long, keep long"
+    if again.isEmpty():
+        parts = packed.mapInArrow(count, schema)
+    else:
+        apart = packed.join(again, "id", "left_semi").mapInArrow(unpack, "h1 long, h2 long, id long").distinct()
+        parts = packed.join(again, "id", "left_anti").select("id", "key", "hashes").mapInArrow(count, schema).unionByName(
+            apart.select("h1", "h2", F.lit(1).cast("long").alias("docs"), F.col("id").alias("keep")))
+    return parts.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.min("keep").alias("keep"))
 
 
 def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
@@ -156,25 +193,28 @@ class _Shard:
         return out
 
 
-def _probe(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
-    """(id, lost): each document's dropped hashes, packed."""
-    width = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
-    salt = -(-width // shards)
+def split_by_shard(packed: DataFrame, shards: int) -> DataFrame:
+    """Packed rows -> (id, key, shard, hashes): one row per row and shard that its lines meet."""
 
-    def pack(batches):
+    def split(batches):
         for batch in batches:
-            h = np.stack([batch.column("h1").to_numpy(), batch.column("h2").to_numpy()], axis=1)
-            doc = batch.column("id").to_numpy()
+            h, row, _ = _unpacked(batch)
             shard = h[:, 0] % shards
-            order = np.lexsort((shard, doc))
-            h, doc, shard = np.ascontiguousarray(h[order]), doc[order], shard[order]
-            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])])) if len(doc) else np.zeros(0, int)
-            to = np.append(cut[1:], len(doc))
-            yield pa.record_batch([pa.array(doc[cut], pa.int64()), pa.array(shard[cut].astype(np.int32)),
-                                   pa.array([h[a:b].tobytes() for a, b in zip(cut, to)], pa.binary())], names=["id", "shard", "hashes"])
-
-    packed = (lines.mapInArrow(pack, "id long, shard int, hashes binary")
-              .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int")))
+            order = np.lexsort((shard, row))
+            h, row, shard = np.ascontiguousarray(h[order]), row[order], shard[order]
+            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])) if len(row) else np.zeros(0, np.int64)
+            of = pa.array(row[cut])
+            yield pa.record_batch([batch.column("id").take(of), batch.column("key").take(of), pa.array(shard[cut].astype(np.int32)),
+                                   pa.array([h[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(row)))], pa.binary())], names=["id", "key", "shard", "hashes"])
+
+    return packed.mapInArrow(split, "id long, key long, shard int, hashes binary")
+
+
+def _probe(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
+    """(id, key, lost): each row's dropped hashes in a shard, packed."""
+    width = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    salt = -(-width // shards)
+    packed = split_by_shard(lines, shards).withColumn("part", F.pmod(F.xxhash64("id", "key"), F.lit(salt)).cast("int"))
     copies = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     dealt = (copies.unionByName(packed, allowMissingColumns=True).repartition(width, "shard", "part")
              .sortWithinPartitions("shard", "part", F.asc_nulls_first("id")))
@@ -182,8 +222,8 @@ def _probe(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
     def probe(batches):
         shard = None
         for batch in batches:
-            lost_of: list[tuple[int, bytes]] = []
-            ids, hashes = batch.column("id").to_pylist(), batch.column("hashes")
+            lost_of: list[tuple[int, int, bytes]] = []
+            ids, keys, hashes = batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("hashes")
             heads = [i for i, d in enumerate(ids) if d is None]
             for a, b in zip([-1, *heads], [*heads, len(ids)]):
                 if a >= 0:
@@ -198,27 +238,29 @@ def _probe(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
                 same = [x == name for x in batch.column("shard").slice(a + 1, b - a - 1).to_pylist()]
                 size = np.array([len(x) // 16 if ok else 0 for x, ok in zip(blobs, same)])
                 h = np.frombuffer(b"".join(x for x, ok in zip(blobs, same) if ok), np.int64).reshape(-1, 2)
-                doc = np.repeat(np.array(ids[a + 1:b], dtype=np.int64), size)
-                gone = shard.lost(h, doc)
+                row = np.repeat(np.arange(a + 1, b), size)
+                gone = shard.lost(h, np.array(ids[a + 1:b], dtype=np.int64)[row - a - 1])
                 if gone.any():
-                    h, doc = np.ascontiguousarray(h[gone]), doc[gone]
-                    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                    lost_of += [(int(doc[i]), h[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(doc)))]
-            yield pa.record_batch([pa.array([d for d, _ in lost_of], pa.int64()), pa.array([x for _, x in lost_of], pa.binary())], names=["id", "lost"])
+                    h, row = np.ascontiguousarray(h[gone]), row[gone]
+                    cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    lost_of += [(ids[row[i]], keys[row[i]], h[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(row)))]
+            cols = list(zip(*lost_of)) or [(), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["id", "key", "lost"])
 
-    return dealt.mapInArrow(probe, "id long, lost binary")
+    return dealt.mapInArrow(probe, "id long, key long, lost binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
     """-> doc (the input row but for the text, as a struct), id, kept (the text that stays), n_lines, n_dropped."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # the text is carried once
-    whole = docs.select(F.struct(*others).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = materialize(_line_rows(whole.select("id", "text").where("id IS NOT NULL"), least).distinct(), "lines")
-    repeated = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("id").alias("keep")).where("docs > 1"), "lines_repeated")
+    # Rows are told apart by id and text hash, so a repeated id costs no larger group than its texts' own lines.
+    whole = docs.select(F.struct(*others).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    lines = materialize(_packed_lines(whole.select("id", "key", "text").where("id IS NOT NULL"), least), "lines")
+    repeated = materialize(count_lines(lines).where("docs > 1"), "lines_repeated")
     shards = max(1, -(-repeated.count() // SHARD_KEYS))
     arrays = materialize(build_shards(repeated, shards), "line_shards")
-    lost = _probe(lines, arrays, shards).groupBy("id").agg(F.collect_list("lost").alias("lost"))
-    rows = whole.join(lost.hint("shuffle_hash"), "id", "left")
+    lost = _probe(lines, arrays, shards).groupBy("id", "key").agg(F.collect_set("lost").alias("lost"))  # equal rows have equal sets
+    rows = whole.join(lost.hint("shuffle_hash"), ["id", "key"], "left")
 
     def keep(batches):
         for batch in batches:
