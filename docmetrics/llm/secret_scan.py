@@ -12,9 +12,10 @@ Everything is DataFrame expressions. A match's place comes from the text between
 ``regexp_extract_all`` walk the same leftmost non-overlapping matches, so running sums of the lengths of
 gaps and matches are the spans, in code points, end exclusive.
 
-Scale: blobs are reduced by hash before and after the one shuffle of their texts (copies of one text, even a
-third of all rows, are one row per task); the join back to paths is an equi-join on the blob, whose hot key
-Spark splits; findings are one row per blob with its span list.
+Scale: the ledger is asked with hashes, before any text moves; of the ledger only rows of present blobs are grouped. The texts
+that it lacks are told apart by a bitmap of hash places (``idfilter``, of fixed size, broadcast) and shuffled once, each blob
+reduced per task before (copies of one text, even a third of all rows, are one row per task); the join back to paths is an
+equi-join on the blob, whose hot key Spark splits; findings are one row per blob with its span list.
 
 Defined results: null text is the empty text; it is a blob like others. Null paths or versions are carried.
 Repeated rows are returned each for itself. Overlapping findings of different kinds all stay, by start and
@@ -30,6 +31,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmetrics.llm.common import materialize
+from docmetrics.operators.idfilter import id_filter, may_be_in
 from docmetrics.session import scratch_dir
 
 
@@ -99,17 +102,22 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # texts are not carried to the join
     versions = docs.select(F.struct(*others).alias("doc"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
-    # Blobs that lack some active rule, each once, with the rules that they lack.
-    done = _ledger(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    # Hashes of the present blobs first: what the ledger knows of them, and which lack some active rule.
+    present = materialize(versions.select("blob").distinct(), "secret_blobs")
+    known = _ledger(spark, ledger).join(present, "blob", "left_semi")
+    done = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     active = F.array(*(F.lit(r.key) for r in rules))
     todo = F.array_except(active, F.coalesce("done", F.array().cast("array<string>")))
-    unseen = versions.select("blob", "text").dropDuplicates(["blob"]).join(done, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0)
+    lacking = materialize(present.join(done, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0), "secret_todo")
+    # Only their texts are shuffled, each blob's once; a run that knows all blobs shuffles hashes alone.
+    texts = may_be_in(versions.select("blob", "text"), id_filter(lacking, ["blob"]), ["blob"])
+    unseen = texts.dropDuplicates(["blob"]).join(lacking, "blob")
     found = F.concat(*(F.when(F.array_contains("todo", r.key), spans(F.col("text"), r)).otherwise(F.array().cast(FOUND)) for r in rules))
     unseen.select("blob", F.col("todo").alias("rules"), found.alias("found")).write.mode("append").parquet(ledger)
 
     # All findings of active rules, back to every path. A text's findings are one row.
     order = F.expr("map(" + ",".join(f"'{r.key}',{i}" for i, r in enumerate(rules)) + ")")
-    listed = (_ledger(spark, ledger).where(F.size("found") > 0).select("blob", F.explode("found").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
+    listed = (_ledger(spark, ledger).where(F.size("found") > 0).join(present, "blob", "left_semi").select("blob", F.explode("found").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
               .select("blob", F.struct("f.start", F.element_at(order, F.col("f.rule")).alias("no"), "f.end", "f.rule").alias("f"))
               .groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("f"))
               .select("blob", F.transform("f", lambda x: F.struct(x["rule"].alias("rule"), F.substring_index(x["rule"], "@", 1).alias("kind"),
