@@ -434,6 +434,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def foreign_archive():
+    """Records as other writers make them: every type, ids that are no UUID, digests in other forms or none."""
+    import base64
+
+    def rec(kind, block, content="application/http; msgtype=response", **headers):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Type: {content}",
+                 f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    body, http = b"<p>hello</p>\r\n\r\nmore", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    b32 = lambda algorithm, x: base64.b32encode(hashlib.new(algorithm, x).digest()).decode().rstrip("=")
+    return [rec("warcinfo", b"software: other\r\nformat: WARC File Format 1.0\r\n", "application/warc-fields", WARC_Record_ID="<urn:uuid:not-a-uuid>"),
+            rec("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "application/http; msgtype=request", WARC_Record_ID="<http://ids.example/7>"),
+            rec("response", http + body, WARC_Record_ID="<urn:uuid:11111111-2222-3333-4444-555555555555>"),  # no digest
+            rec("response", http + body, WARC_Record_ID="<urn:uuid:1>", WARC_Payload_Digest="sha256:" + b32("sha256", body), WARC_Block_Digest="md5:" + hashlib.md5(http + body).hexdigest()),
+            rec("response", http + body, WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest(), WARC_Block_Digest="xxh3:whatever"),  # no id
+            rec("response", b"answer", "text/dns", WARC_Record_ID="<urn:x>", WARC_Payload_Digest="sha1:" + b32("sha1", b"answer")),
+            rec("resource", b"file", "text/plain", WARC_Record_ID="<urn:y>"),
+            rec("revisit", http, WARC_Record_ID="<urn:z>", WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest="sha1:" + b32("sha1", body)),
+            rec("revisit", b"", "text/plain", WARC_Record_ID="<urn:w>", WARC_Payload_Digest="md5:" + hashlib.md5(body).hexdigest()),
+            rec("metadata", b"fetchTimeMs: 3\r\n", "application/warc-fields", WARC_Record_ID="<urn:m>"),
+            rec("conversion", b"text", "text/plain", WARC_Record_ID="<urn:c>"),
+            rec("continuation", b"tail", "application/octet-stream", WARC_Record_ID="<urn:k>")], hashlib.sha1(body).hexdigest(), len(body)
+
+
+def test_warc_reader_reads_archives_of_other_writers(spark, tmp_path):
+    records, digest, size = foreign_archive()
+    own = [warc.record(7, "http://a/", b"mine", None), warc.record(8, None, b"mine", 7)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.gzip_member(r) for r in [*records, *own]))
+    (tmp_path / "bad.warc.gz").write_bytes(warc.gzip_member(records[0]) + warc.gzip_member(records[3].replace(b"hello", b"hallo")))
+    got = warc.read_warc(spark.createDataFrame([("a.warc.gz",), ("bad.warc.gz",)], "file string"), str(tmp_path)).collect()
+    rows = [(r.record_type, r.payload_bytes, r.payload_digest, r.page_id, r.refers_to, r.record_id) for r in got if r.file == "a.warc.gz"]
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+    assert rows[:12] == [
+        ("warcinfo", None, None, None, None, "<urn:uuid:not-a-uuid>"), ("request", None, None, None, None, "<http://ids.example/7>"),
+        ("response", size, digest, None, None, "<urn:uuid:11111111-2222-3333-4444-555555555555>"), ("response", size, digest, None, None, "<urn:uuid:1>"),
+        ("response", size, digest, None, None, None), ("response", 6, sha(b"answer"), None, None, "<urn:x>"), ("resource", 4, sha(b"file"), None, None, "<urn:y>"),
+        ("revisit", None, digest, None, None, "<urn:z>"), ("revisit", None, None, None, None, "<urn:w>"), ("metadata", None, None, None, None, "<urn:m>"),
+        ("conversion", 4, sha(b"text"), None, None, "<urn:c>"), ("continuation", None, None, None, None, "<urn:k>")]
+    assert [r[:5] for r in rows[12:]] == [("response", 4, sha(b"mine"), 7, None), ("revisit", 4, sha(b"mine"), 8, 7)]
+    assert [(r.record_type, r.status) for r in got if r.file == "bad.warc.gz"] == [("warcinfo", "ok"), (None, "damaged: block digest")]
+
+
 def test_warc_reader_reports_damage():
     data = [warc.gzip_member(warc.record(i, "u", b"x" * 70_000, None)) for i in range(3)]
     read = lambda raw: list(warc.read_records(io.BytesIO(raw)))
@@ -444,13 +486,31 @@ def test_warc_reader_reports_damage():
             read(raw)
 
 
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_packing_ids_equal_the_plain_call(ordinary):
+    """Whole texts by the library's own call against word-wise ids, special strings in any place and case included."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = ordinary
+    texts = [*corpus(6), "hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|>", "<|EndOfText|> x <|endoftext", "end.<|endoftext|>!", "x" * 3_000_000 + " y",
+             "zz " * 700_000, "don't can't we'll o'clock 12.5 a.b.c a|b|c!!", "ﬁ ﬀ İstanbul ΟΔΟΣ ß ẞ", "\u00a0a\u00a0 b\u3000c"]
+    with open(packing.default_tokenizer()) as f:
+        words = packing.WordTokenizer(f.read(), ordinary)
+    assert words.direct
+    import pyarrow as pa
+    for _ in range(2):  # fresh words, then known ones
+        for t, ids in zip(texts, words.encode(pa.array(texts))):
+            assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, (t or "")[:40]
+        words._keep(np.flatnonzero(words.uses > 1))
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
-    texts = [*corpus(5), "don't stop. it's <|endoftext|> é İ x,y!a|b 'll 12.5 a.b.c", "   nbsp. x", "ΟΔΟΣ. ΟΔΟΣ"]
+    texts = [*corpus(5), "don't stop. it's <|endoftext|> é İ x,y!a|b 'll 12.5 a.b.c", "   nbsp. x", "ΟΔΟΣ. ΟΔΟΣ"]
     df = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece string").repartition(3)
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     size = 256
     rows = packing.pack_best_fit(df, size=size).collect()
     got = sorted(((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows))
@@ -538,3 +598,93 @@ def test_pipeline_without_both_classes_of_labels(spark, tmp_path, labels, kept):
     spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
     assert out.dtypes == docs.dtypes and out.count() == kept
+
+
+def test_quality_sample_is_drawn_among_the_documents_there(spark):
+    """Labels of absent documents take no places, repeated rows and labels count once."""
+    good, bad = "clear words in a good sentence of some length", "buy now !!! $$$ 000 | | |"
+    docs = spark.createDataFrame([(i, f"{good if i % 2 else bad} {i}") for i in range(400)] + [(1, f"{good} again")] * 50, "doc_id long, text string")
+    labels = spark.range(-300_000, 400).selectExpr("id AS doc_id", "CAST(pmod(id, 2) AS INT) AS quality")
+    labels = labels.unionAll(labels.where("doc_id >= 0")).withColumn("n", F.lit(1))
+    machine = quality.train(docs, labels, chars_col=None, sample_rows=200)
+    assert not isinstance(machine, float)
+    got = quality.score(docs, machine, chars_col=None).selectExpr("id % 2 AS label", "score > 0.5 AS up").groupBy("label", "up").count().collect()
+    assert sum(r["count"] for r in got if bool(r["label"]) == r["up"]) >= 0.95 * 450
+    assert isinstance(quality.train(docs, labels, chars_col=None, sample_rows=1), float)
+
+
+def test_url_statistics_leave_out_the_labelled_url_itself(spark, monkeypatch):
+    """A URL alone on its host says nothing about its own verdict when the trees are fitted."""
+    seen = []
+    monkeypatch.setattr(url_filter, "materialize", lambda df, name: seen.append((name, df)) or df)
+    rows = [(f"http://h{i}.com/x/{i}",) for i in range(60)] + [(f"http://one.example.com/en/{i}",) for i in range(60)] + [("http://h1.com/x/1",)] * 40
+    url_filter.judge_urls(spark.createDataFrame(rows, "url string")).count()
+    sample = dict(seen)["url_sample"]
+    assert sample.count() == 120  # a hot URL is one
+    lone = sample.where("suffix2_seen = 0").select("suffix2_blocked", "label").distinct().collect()
+    assert {(round(r["suffix2_blocked"], 6), r["label"]) for r in lone} == {(0.5, 1)}  # the prior, whatever the verdict
+    assert {round(r[0], 6) for r in sample.where("label = 0").select("suffix2_seen").distinct().collect()} == {round(np.log1p(59), 6)}
+
+
+def test_line_dedup_packs_each_document_once_per_shard(spark, docs):
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text").where("id IS NOT NULL")
+    packed = line_dedup._packed_lines(rows, 1)
+    n = rows.count()
+    assert packed.count() <= n
+    for shards in (1, 3, 8):
+        split = line_dedup.split_by_shard(packed, shards)
+        met = split.selectExpr("count(*) AS n", "count(DISTINCT id, key, shard) AS d", "sum(length(hashes)) AS b").first()
+        assert met["n"] <= n * shards and met["b"] == packed.selectExpr("sum(length(hashes))").first()[0]
+    assert line_dedup.split_by_shard(packed, 1).count() == packed.count()
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows of one id are one document when lines are counted, and each keeps its own lines."""
+    a, b = "a line that is long enough", "another line of that length"
+    rows = [(5, a)] * 30 + [(5, f"{a}\n{b}"), (5, b), (7, f"{b}\n{a}\nshort"), (9, b), (9, "only here, in two rows of nine"), (9, "only here, in two rows of nine"), (None, a)]
+    got = sorted((r["id"] or 0, r["kept"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, a, 0)] * 30 + [(5, f"{a}\n{b}", 0), (5, b, 0), (7, "short", 2), (9, "", 1),
+                          (9, "only here, in two rows of nine", 0), (9, "only here, in two rows of nine", 0), (0, a, 0)])
+
+
+def test_secret_scan_of_known_blobs_moves_no_text(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"token = abcdef{i % 5}0123456789 " * 50) for i in range(200)], "doc_id long, text string")
+    folder = str(tmp_path / "ledger")
+    first = {r["doc"]["doc_id"]: r["found"] for r in secret_scan.scan_secrets(docs, ledger=folder).collect()}
+    files = len(spark.read.parquet(folder).inputFiles())
+    lacking = []
+    real = secret_scan.id_filter
+    secret_scan.id_filter = lambda df, cols: lacking.append(df.count()) or real(df, cols)
+    try:
+        again = {r["doc"]["doc_id"]: r["found"] for r in secret_scan.scan_secrets(docs, ledger=folder).collect()}
+        more = docs.unionAll(spark.createDataFrame([(999, "AKIA" + "Z" * 20)], docs.schema))
+        third = secret_scan.scan_secrets(more, ledger=folder).collect()
+    finally:
+        secret_scan.id_filter = real
+    assert again == first and lacking == [0, 1] and len(third) == 201
+    assert spark.read.parquet(folder).count() == 6 and files >= 1
+    assert secret_scan.may_be_in(docs.withColumn("blob", F.sha2("text", 256)), real(docs.select(F.lit("x").alias("blob")).limit(0), ["blob"]), ["blob"]).count() == 0
+
+
+def test_texts_beyond_a_slice(spark):
+    """Texts longer than the slice that the shared helpers work on: found, scored and compared as wholes."""
+    from docmetrics.llm.common import SLICE_BYTES
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3_000)]
+    long = " ".join(rng.choice(vocab) for _ in range(SLICE_BYTES // 4))
+    assert len(long) > 1.1 * SLICE_BYTES
+    near = long.replace("w77 ", "z77 ", 40)
+    item = " ".join(f"item{i}" for i in range(20))
+    half = len(long) // 2
+    texts = ["short one", long, near, "short two", long[:half] + f" {item} " + long[half:], " ".join(rng.choice(vocab) for _ in range(SLICE_BYTES // 4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = as_dict(ngram_join.ngram_jaccard_join(df))
+    assert [got[i]["component_id"] for i in range(6)] == [0, 1, 1, 3, 1, 5]
+    assert [got[i]["n_shingles"] for i in range(6)] == [len(shingles(t, 5)) for t in texts]
+    leaks = decontaminate.find_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in leaks] == [(4, 7)]
+    machine = quality.FactorisationMachine()
+    machine.w[:] = np.random.default_rng(0).normal(0, 0.1, len(machine.w))
+    scores = {r["id"]: r["score"] for r in quality.score(df, machine, chars_col=None).collect()}
+    alone = {i: quality.score(df.where(F.col("doc_id") == i), machine, chars_col=None).first()["score"] for i in range(6)}
+    assert all(abs(scores[i] - alone[i]) < 1e-6 for i in range(6))
