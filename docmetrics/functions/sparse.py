@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 import regex
 
+from docmetrics.functions.text import text_runs
+
 # --- Fixed values -------------------------------------------------------------
 # Token cleaning: keep letters, digits and blanks (blanks separate words).
 _CLEAN = regex.compile(r"[^\p{L}\p{N} ]+")
@@ -32,10 +34,11 @@ class TokenHasher:
     character that is not a letter, digit or blank, lower-cased. A bucket is
     the first 32 bits of the token's md5 modulo ``dim``. Bigrams are found as
     pairs of adjacent non-blank code points with numpy; md5 runs once per
-    distinct word or bigram and is memoised per task (the memo is bounded).
+    distinct word or bigram and is memoised per task (the memo is bounded: a
+    corpus has new words without end, and four tasks and more share a machine).
     """
 
-    MAX_MEMO = 2_000_000
+    MAX_MEMO = 100_000
 
     def __init__(self, dim: int, char_ngrams: bool = True):
         self.dim = dim
@@ -52,7 +55,8 @@ class TokenHasher:
         return vals.tolist()
 
     def batch(self, texts: pa.Array):
-        """(row, bucket) of every token of a text column, as two int64 arrays."""
+        """(row, bucket) of every token of a text column, as two int64 arrays; the working arrays take some
+        hundred bytes for each of text, so callers give runs of texts (``count_runs``)."""
         cleaned = [_CLEAN.sub("", t).lower() if t else "" for t in texts.to_pylist()]
         # words
         words = [[w for w in c.split(" ") if w] for c in cleaned]
@@ -97,6 +101,12 @@ def bucket_counts(rows: np.ndarray, vals: np.ndarray, n: int, dim: int):
     return r, b, tf.astype(np.int64), norm2.astype(np.int64)
 
 
+def count_runs(texts: pa.Array, hasher: TokenHasher):
+    """(first row, rows, counts of ``bucket_counts``) of consecutive runs of a text column; rows count from the run's first."""
+    for at, to in text_runs(texts):
+        yield at, to - at, bucket_counts(*hasher.batch(texts.slice(at, to - at)), to - at, hasher.dim)
+
+
 class QueryMatrix:
     """Query term vectors by bucket (CSC): for bucket b, queries qidx[qptr[b]:qptr[b+1]].
 
@@ -234,7 +244,7 @@ class RunningTopK:
 
     def __init__(self, ids, k: int, key_cols):
         self.ids, self.k, self.key_cols = pa.array(ids, type=pa.string()), k, list(key_cols)
-        self.limit = 2 * k * len(ids) + 65_536
+        self.limit = 2 * k * len(ids) + 8_192
         self.parts: list[pa.Table] = []
         self.rows = 0
         self.kth = np.full(len(ids), -np.inf)  # a row that scores less is not among its query's best
@@ -270,20 +280,20 @@ def sparse_slices(batch: pa.RecordBatch, qm: QueryMatrix, hasher: TokenHasher, t
                   floor: np.ndarray | None = None):
     """(rows, queries, dot, score) of the positive scores of a batch, in bounded slices. With ``floor``
     (the queries' k-th scores so far, changed by the caller), only those that can be among the best k."""
-    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, qm.dim)
     qn = np.sqrt(qm.qnorm2)
-    cn = np.sqrt(norm2.astype(np.float64))
-    for lo, hi in row_slices(r, b, batch.num_rows, qm):
-        block = dot_block(r, b, tf, lo, hi, qm)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(block > 0, block / (qn[None, :] * cn[lo:hi, None]), 0.0)
-        keep = score > 0
-        if floor is not None:
-            keep &= score >= floor[None, :]
-            if len(score) > k:  # ties of the slice's k-th score stay: keys decide later
-                keep &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k][None, :]
-        rows, queries = np.nonzero(keep)
-        yield rows + lo, queries, block[rows, queries], score[rows, queries]
+    for first, n, (r, b, tf, norm2) in count_runs(batch.column(text_col), hasher):
+        cn = np.sqrt(norm2.astype(np.float64))
+        for lo, hi in row_slices(r, b, n, qm):
+            block = dot_block(r, b, tf, lo, hi, qm)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(block > 0, block / (qn[None, :] * cn[lo:hi, None]), 0.0)
+            keep = score > 0
+            if floor is not None:
+                keep &= score >= floor[None, :]
+                if len(score) > k:  # ties of the slice's k-th score stay: keys decide later
+                    keep &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k][None, :]
+            rows, queries = np.nonzero(keep)
+            yield rows + first + lo, queries, block[rows, queries], score[rows, queries]
 
 
 def score_batch(batch: pa.RecordBatch, qm: QueryMatrix, top: RunningTopK, hasher: TokenHasher,
@@ -315,9 +325,15 @@ LIST_ROWS = 10_000
 
 def contexts_of_lists(lists: pa.ListArray, qm: QueryMatrix, k: int, hasher: TokenHasher):
     """(rows, queries, contexts): per row and query the k best of the row's texts (score, then position), joined by
-    newlines; yielded once, after all texts were scored in bounded pieces."""
-    if not len(lists) or not qm.n:
-        return
+    newlines. A text may be in the context of every query, so they are made and yielded for runs of rows."""
+    if qm.n:
+        for at, to in text_runs(lists):
+            for rows, queries, texts in _contexts_of_run(lists.slice(at, to - at), qm, k, hasher):
+                yield rows + at, queries, texts
+
+
+def _contexts_of_run(lists: pa.ListArray, qm: QueryMatrix, k: int, hasher: TokenHasher):
+    """The same of some rows, after all their texts were scored in bounded pieces."""
     flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     row = np.repeat(np.arange(len(lists)), np.diff(ends))
     kept = [np.zeros((3, 0))]
@@ -337,14 +353,14 @@ def contexts_of_lists(lists: pa.ListArray, qm: QueryMatrix, k: int, hasher: Toke
 
 
 def term_rows(batch: pa.RecordBatch, key_cols, hasher: TokenHasher,
-              text_col: str = "text") -> pa.RecordBatch:
-    """One row per (chunk, non-zero bucket): keys, bucket, tf, norm2."""
-    r, b, tf, norm2 = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, hasher.dim)
-    take = pa.array(r)
-    arrays = [batch.column(c).take(take) for c in key_cols]
-    arrays += [pa.array(b, type=pa.int64()), pa.array(tf, type=pa.int64()),
-               pa.array(norm2[r], type=pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=[*key_cols, "bucket", "tf", "norm2"])
+              text_col: str = "text"):
+    """Batches with one row per (chunk, non-zero bucket): keys, bucket, tf, norm2; a batch per run of chunks."""
+    for first, _, (r, b, tf, norm2) in count_runs(batch.column(text_col), hasher):
+        take = pa.array(r + first)
+        arrays = [batch.column(c).take(take) for c in key_cols]
+        arrays += [pa.array(b, type=pa.int64()), pa.array(tf, type=pa.int64()),
+                   pa.array(norm2[r], type=pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*key_cols, "bucket", "tf", "norm2"])
 
 
 def dense_matrix(column: pa.Array, width: int):
@@ -428,6 +444,11 @@ def dense_score_batch(batch: pa.RecordBatch, vec_col: str, q: np.ndarray, metric
                       columns, scope_col: str | None = None, scopes: dict | None = None, norm_col: str | None = None) -> None:
     """Offer a batch of vectors to the task's running top k (score = minus the distance). With ``scopes``
     (scope value -> numbers of its queries), a vector meets the queries of its own scope only."""
+    for at in range(0, batch.num_rows, step := max(1, DENSE_CELLS // max(1, q.shape[1]))):
+        _dense_score_run(batch.slice(at, step), vec_col, q, metric, top, columns, scope_col, scopes, norm_col)
+
+
+def _dense_score_run(batch, vec_col, q, metric, top, columns, scope_col, scopes, norm_col) -> None:
     v, valid = dense_matrix(batch.column(vec_col), q.shape[1])
     norms = batch.column(norm_col).to_numpy(zero_copy_only=False) if norm_col else None
     if scope_col is None:
@@ -441,3 +462,43 @@ def dense_score_batch(batch: pa.RecordBatch, vec_col: str, q: np.ndarray, metric
         for r, j, dist in dense_slices(v[rows], q[of], metric, top.k, lambda of=of: top.kth[of], None if norms is None else norms[rows]):
             take = pa.array(rows[r])
             top.add(of[j], -dist, {c: batch.column(c).take(take) for c in columns})
+
+
+def dense_pairs_top_k(batch: pa.RecordBatch, vec_col: str, of_col: str, q: np.ndarray | None, width: int, metric: str, k: int, scope_col: str,
+                      keys, norm_col: str | None = None):
+    """Vectors that bring their queries, a list of (query_id, query): the partial top k per query and scope of each run of
+    rows, as batches (query_id, scope, keys, distance). ``query`` is a row of ``q``, or without it the vector itself."""
+    for at in range(0, batch.num_rows, step := max(1, DENSE_CELLS // max(1, width))):
+        run = batch.slice(at, step)
+        v, valid = dense_matrix(run.column(vec_col), width)
+        norms = run.column(norm_col).to_numpy(zero_copy_only=False) if norm_col else np.sqrt((v * v).sum(axis=1))
+        of = run.column(of_col)
+        row = np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy()))
+        flat = of.flatten()
+        ids, given = flat.field("query_id"), flat.field("query")
+        if q is None:
+            matrix, good = dense_matrix(given, width)
+            number = np.arange(len(flat))
+        else:
+            matrix, number = q, given.to_numpy(zero_copy_only=False)
+            good = np.isfinite(q).all(axis=1)[number]
+        pair = np.flatnonzero(valid[row] & good)
+        row, number = row[pair], number[pair]
+        qn, dist = np.sqrt((matrix * matrix).sum(axis=1)), np.empty(len(pair))
+        for lo in range(0, len(pair), step):
+            r, j = row[lo:lo + step], number[lo:lo + step]
+            if metric == "cosine":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    both = norms[r] * qn[j]
+                    dist[lo:lo + step] = np.where(both > 0, 1.0 - (v[r] * matrix[j]).sum(axis=1) / both, np.nan)
+            else:
+                diff = v[r] - matrix[j]
+                dist[lo:lo + step] = np.sqrt((diff * diff).sum(axis=1))
+        known = np.flatnonzero(~np.isnan(dist))
+        name = ids.dictionary_encode()
+        code = name.indices.to_numpy(zero_copy_only=False)[pair[known]]
+        group = sort_codes(run.column(scope_col))[row[known]] * (len(name.dictionary) + 1) + code
+        best = known[partial_top_k(group, -dist[known], [sort_codes(run.column(c))[row[known]] for c in keys], k)]
+        take = pa.array(row[best])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(pair[best])), *(run.column(c).take(take) for c in (scope_col, *keys)), pa.array(dist[best])],
+                                         names=["query_id", scope_col, *keys, "distance"])

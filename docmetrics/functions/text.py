@@ -13,7 +13,9 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,34 @@ def markdown_elements(text: str | None) -> list[tuple[int, str, str]]:
 
 # --- Arrow UDFs ------------------------------------------------------------------
 
+# Bytes of text that are Python objects at a time: a batch may hold 10,000 texts, whose words, counts and copies
+# are many times their size.
+SLICE_BYTES = 1 << 18
+
+
+def text_runs(column: pa.Array, limit: int | None = None):
+    """(first, to) of consecutive runs of about ``limit`` bytes of a column of texts or of lists of texts; a longer
+    row is a run of its own."""
+    limit = limit or SLICE_BYTES
+    if pa.types.is_list(column.type):
+        lens = pc.fill_null(pc.binary_length(column.flatten()), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        size = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])[ends]
+    else:
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield at, to
+        at, before = to, int(size[to - 1])
+
+
+def by_runs(make, column: pa.Array, kind: pa.DataType, *others: pa.Array) -> pa.Array:
+    """The array of ``make(values, ...)``, a list per call, for the rows of ``column`` (and ``others``), made run by run."""
+    parts = [pa.array(make(*(c.slice(a, b - a).to_pylist() for c in (column, *others))), type=kind) for a, b in text_runs(column)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+
 _STR_LIST = pa.list_(pa.string())
 
 
@@ -125,16 +155,8 @@ def _chunks_of(limit, max_word):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunk_texts(texts: pa.Array) -> pa.Array:
         # texts: array<string> per row; chunk each text, keep order, concatenate.
-        out = []
-        for item in texts.to_pylist():
-            if item is None:
-                out.append([])
-                continue
-            row: list[str] = []
-            for t in item:
-                row.extend(greedy_word_chunks(t, limit, max_word))
-            out.append(row)
-        return pa.array(out, type=_STR_LIST)
+        return by_runs(lambda items: [[c for t in item or () for c in greedy_word_chunks(t, limit, max_word)] for item in items],
+                       texts, _STR_LIST)
 
     return chunk_texts
 
@@ -148,7 +170,7 @@ def word_chunks_col(texts: Column, limit: int = CHUNK_LIMIT, max_word: int | Non
 def _lines_of(limit):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunk_lines(texts: pa.Array) -> pa.Array:
-        return pa.array([line_chunks(t, limit) for t in texts.to_pylist()], type=_STR_LIST)
+        return by_runs(lambda items: [line_chunks(t, limit) for t in items], texts, _STR_LIST)
 
     return chunk_lines
 
@@ -168,9 +190,8 @@ _SECTION_PA = pa.list_(pa.struct([("line_no", pa.int32()), ("section_no", pa.int
 
 @F.arrow_udf(_SECTION_TYPE)
 def _sections(texts: pa.Array) -> pa.Array:
-    rows = [[{"line_no": a, "section_no": b, "line": c} for a, b, c in section_numbers(t)]
-            for t in texts.to_pylist()]
-    return pa.array(rows, type=_SECTION_PA)
+    return by_runs(lambda items: [[{"line_no": a, "section_no": b, "line": c} for a, b, c in section_numbers(t)] for t in items],
+                   texts, _SECTION_PA)
 
 
 def sections_col(text: Column) -> Column:
@@ -188,9 +209,8 @@ _ELEMENT_PA = pa.list_(pa.struct([("element_index", pa.int32()), ("kind", pa.str
 
 @F.arrow_udf(ELEMENT_TYPE)
 def _elements(texts: pa.Array) -> pa.Array:
-    rows = [[{"element_index": i, "kind": k, "text": s} for i, k, s in markdown_elements(t)]
-            for t in texts.to_pylist()]
-    return pa.array(rows, type=_ELEMENT_PA)
+    return by_runs(lambda items: [[{"element_index": i, "kind": k, "text": s} for i, k, s in markdown_elements(t)] for t in items],
+                   texts, _ELEMENT_PA)
 
 
 def elements_col(text: Column) -> Column:
@@ -198,32 +218,35 @@ def elements_col(text: Column) -> Column:
 
 
 _DOC_TYPE = T.StructType([
-    T.StructField("elements", ELEMENT_TYPE),
+    T.StructField("tables", ELEMENT_TYPE),
     T.StructField("text_chunks", T.ArrayType(T.StringType())),
 ])
-_DOC_PA = pa.struct([("elements", _ELEMENT_PA), ("text_chunks", _STR_LIST)])
+_DOC_PA = pa.struct([("tables", _ELEMENT_PA), ("text_chunks", _STR_LIST)])
 
 
 @lru_cache(maxsize=None)
 def _doc_of(limit, max_word):
-    @F.arrow_udf(_DOC_TYPE)
-    def elements_and_chunks(texts: pa.Array) -> pa.Array:
+    def split(items):
         rows = []
-        for t in texts.to_pylist():
+        for t in items:
             el = markdown_elements(t)
             chunks: list[str] = []
             for _, kind, body in el:
                 if kind == "text":
                     chunks.extend(greedy_word_chunks(body, limit, max_word))
-            rows.append({"elements": [{"element_index": i, "kind": k, "text": b} for i, k, b in el],
+            rows.append({"tables": [{"element_index": i, "kind": k, "text": b} for i, k, b in el if k == "table"],
                          "text_chunks": chunks})
-        return pa.array(rows, type=_DOC_PA)
+        return rows
+
+    @F.arrow_udf(_DOC_TYPE)
+    def tables_and_chunks(texts: pa.Array) -> pa.Array:
+        return by_runs(split, texts, _DOC_PA)
 
-    return elements_and_chunks
+    return tables_and_chunks
 
 
-def elements_and_chunks_col(text: Column, limit: int = CHUNK_LIMIT,
-                            max_word: int | None = None) -> Column:
-    """STRUCT<elements, text_chunks>: one Python pass gives the elements and the
-    chunks of every text element (in element order)."""
+def tables_and_chunks_col(text: Column, limit: int = CHUNK_LIMIT,
+                          max_word: int | None = None) -> Column:
+    """STRUCT<tables, text_chunks>: one Python pass gives the table elements and the chunks of every text element
+    (in element order), whose text is not sent back a second time."""
     return _doc_of(limit, max_word)(text)

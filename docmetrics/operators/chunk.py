@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from docmetrics.functions.text import (
     CHUNK_LIMIT,
     TABLE_SEPARATOR,
-    elements_and_chunks_col,
     elements_col,
     line_chunks_col,
     sections_col,
+    tables_and_chunks_col,
     word_chunks_col,
 )
 
@@ -211,12 +211,12 @@ def chunk_lists(docs: DataFrame, key_cols=("document_id",), text_col: str = "tex
     where the first ``n_text`` chunks are text and the others table chunks."""
     keys = _keys(key_cols)
     keep = list(keep_cols)
-    # One Python pass: elements and the chunks of the text elements. Tables are
-    # verbalised in the JVM from the elements; only that (usually empty) text
+    # One Python pass: table elements and the chunks of the text elements. Tables are
+    # verbalised in the JVM; only that (usually empty) text
     # goes back to Python for chunking.
     el = spread(docs.select(*keys, *keep, text_col)).select(
-        *keys, *keep, elements_and_chunks_col(F.col(text_col), limit, max_word).alias("_d"))
-    elements = F.col("_d.elements")
+        *keys, *keep, tables_and_chunks_col(F.col(text_col), limit, max_word).alias("_d"))
+    elements = F.col("_d.tables")
     staged = el.select(
         *keys, *keep,
         F.col("_d.text_chunks").alias("text_chunks"),

@@ -80,7 +80,7 @@ def hash_embed(chunks: DataFrame, key_cols=("document_id", "chunk_index"), text_
     def count(batches):
         hasher = TokenHasher(dim, char_ngrams)
         for batch in batches:
-            yield term_rows(batch, keys, hasher, text_col)
+            yield from term_rows(batch, keys, hasher, text_col)
 
     return src.mapInArrow(count, schema)
 

@@ -2,7 +2,7 @@
 
 ``embedder(list[str]) -> list[list[float]]`` and ``completer(list[str]) ->
 list[str]`` are called on batches of ``batch_size`` rows inside tasks
-(``mapInPandas``), so a model is loaded once per task, not per row, and the
+(``mapInArrow``), so a model is loaded once per task, not per row, and the
 work scales with the number of partitions. A failing batch fails its task
 (and is retried by Spark); a bad answer string is handled later by
 ``parse_responses``.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -21,9 +21,15 @@ DEFAULT_BATCH = 32   # rows per model call
 # ------------------------------------------------------------------------------------
 
 
-def _batches(pdf: pd.DataFrame, size: int):
-    for i in range(0, len(pdf), size):
-        yield pdf.iloc[i:i + size]
+def _batches(batches, size: int):
+    """The rows of Arrow batches in parts of ``size``: no more texts than one call takes are Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
+
+
+def _with(part: pa.RecordBatch, values: list, schema: T.StructType, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(values, kind)], names=schema.names)
 
 
 def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
@@ -32,15 +38,14 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
     """Adds ``out_col`` ARRAY<FLOAT> from the embedder; other columns pass through."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
-    def run(frames):
-        for pdf in frames:
-            for part in _batches(pdf, batch_size):
-                vecs = embedder([t if t is not None else "" for t in part[text_col].tolist()])
-                if len(vecs) != len(part):
-                    raise ValueError("embedder returned a different number of vectors")
-                yield part.assign(**{out_col: [list(map(float, v)) for v in vecs]})
+    def run(batches):
+        for part in _batches(batches, batch_size):
+            vecs = embedder([t if t is not None else "" for t in part.column(text_col).to_pylist()])
+            if len(vecs) != part.num_rows:
+                raise ValueError("embedder returned a different number of vectors")
+            yield _with(part, [list(map(float, v)) for v in vecs], schema, pa.list_(pa.float32()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def complete_with(df: DataFrame, completer: Callable[[list[str]], list[str]],
@@ -49,12 +54,11 @@ def complete_with(df: DataFrame, completer: Callable[[list[str]], list[str]],
     """Adds ``out_col`` STRING with the completer's answer to each prompt."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
-    def run(frames):
-        for pdf in frames:
-            for part in _batches(pdf, batch_size):
-                out = completer(part[prompt_col].tolist())
-                if len(out) != len(part):
-                    raise ValueError("completer returned a different number of answers")
-                yield part.assign(**{out_col: [None if x is None else str(x) for x in out]})
+    def run(batches):
+        for part in _batches(batches, batch_size):
+            out = completer(part.column(prompt_col).to_pylist())
+            if len(out) != part.num_rows:
+                raise ValueError("completer returned a different number of answers")
+            yield _with(part, [None if x is None else str(x) for x in out], schema, pa.string())
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

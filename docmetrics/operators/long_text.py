@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmetrics.functions.text import CHUNK_LIMIT, word_chunks_col
+from docmetrics.functions.text import CHUNK_LIMIT, by_runs, text_runs, word_chunks_col
 from docmetrics.operators.chunk import _keys, numbered, spread
 from docmetrics.session import materialized
 
@@ -107,28 +107,34 @@ def block_pieces(text: str, open_size: int, limit: int = CHUNK_LIMIT) -> list[st
 
 # --- columns and operator --------------------------------------------------------------------
 
-_TABLE_TYPE = T.StructType([T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("closes", T.ArrayType(T.IntegerType()))])
-_TABLE_PA = pa.struct([("ends", pa.list_(pa.int32())), ("closes", pa.list_(pa.int32()))])
-
-
 def _blocks_col(text: Column, size: int) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([cut_blocks(t, size) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return by_runs(lambda items: [cut_blocks(t, size) for t in items], texts, pa.list_(pa.string()))
     return cut(text)
 
 
-def _table_col(text: Column, limit: int) -> Column:
-    @F.arrow_udf(_TABLE_TYPE)
-    def table(texts: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("ends", "closes"), block_table(t, limit))) for t in texts.to_pylist()], _TABLE_PA)
-    return table(text)
+def block_tables(blocks: DataFrame, keys: list[str], limit: int = CHUNK_LIMIT) -> DataFrame:
+    """(keys, _block, text) -> (keys, _block, _ends, _closes). A table may be as large as its block, so a batch's tables
+    are made and given out for runs of blocks."""
+    kept = [*keys, "_block"]
+    schema = T.StructType([*(blocks.schema[c] for c in kept), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("_ends", "_closes"))])
+
+    def table(batches):
+        for batch in batches:
+            for at, to in text_runs(batch.column("text")):
+                run = batch.slice(at, to - at)
+                ends, closes = zip(*(block_table(t, limit) for t in run.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(run.column(c) for c in kept), pa.array(ends, pa.list_(pa.int32())), pa.array(closes, pa.list_(pa.int32()))],
+                                                 names=[f.name for f in schema])
+
+    return blocks.select(*kept, "text").mapInArrow(table, schema)
 
 
 def _pieces_col(text: Column, open_size: Column, limit: int) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array([block_pieces(t, n, limit) for t, n in zip(texts.to_pylist(), sizes.to_pylist())], pa.list_(pa.string()))
+        return by_runs(lambda items, open_: [block_pieces(t, n, limit) for t, n in zip(items, open_)], texts, pa.list_(pa.string()), sizes)
     return pieces(text, open_size)
 
 
@@ -166,8 +172,7 @@ def chunk_long_words(docs: DataFrame, key_cols=("document_id",), text_col: str =
     short = numbered(rows.where(~long), keys, word_chunks_col(F.array("text"), limit))
     blocks = materialized(numbered(rows.where(long), keys, _blocks_col(F.col("text"), block_chars), "_block"), "blocks")
     blocks = blocks.repartition(*keys, "_block")  # a file's blocks may be one split
-    tables = blocks.select(*keys, "_block", _table_col(F.col("text"), limit).alias("_t")).select(*keys, "_block", F.col("_t.ends").alias("_ends"), F.col("_t.closes").alias("_closes"))
-    entries = compose(tables, keys, limit).select(*(F.col(k).alias(f"of {k}") for k in (*keys, "_block")), "_open", "_no")
+    entries = compose(block_tables(blocks, keys, limit), keys, limit).select(*(F.col(k).alias(f"of {k}") for k in (*keys, "_block")), "_open", "_no")
     same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"of {k}")) for k in (*keys, "_block")))
     opened = (blocks.join(entries, same)
               .select(*keys, "_block", "_no", _pieces_col(F.col("text"), F.col("_open"), limit).alias("_pieces"))
