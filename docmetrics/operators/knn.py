@@ -24,17 +24,22 @@ from docmetrics.functions.sparse import (
     QueryMatrix,
     RunningTopK,
     TokenHasher,
-    bucket_counts,
     contexts_of_lists,
+    count_runs,
+    dense_pairs_top_k,
     dense_score_batch,
     score_batch,
     score_batch_per_document,
 )
+from docmetrics.operators.idfilter import id_filter, may_be_in
+from docmetrics.session import materialized
 
 # Query vectors (or query texts) in one broadcast block: 50 MB at 1,536 wide.
 MAX_BROADCAST_QUERIES = 4_096
 # The same for the sparse form, in (query, bucket) rows.
 MAX_BROADCAST_TERMS = 500_000
+# Query numbers that one row of a scope's queries holds.
+SCOPE_QUERIES = 256
 # Longer query texts are hashed by Spark, not on the driver.
 MAX_QUERY_TEXT = 16_384
 
@@ -91,8 +96,12 @@ def _hashed_texts(rows: list, dim: int, char_ngrams: bool):
     ws = re.compile(r"[ \t\n\x0b\f\r]+")
     texts = [None if r[1] is None else ws.sub(" ", r[1]) for r in rows]
     hasher = TokenHasher(dim, char_ngrams)
-    r, b, tf, _ = bucket_counts(*hasher.batch(pa.array(texts, type=pa.string())), len(rows), dim)
-    return QueryMatrix.payload([rows[i][0] for i in r.tolist()], b, tf, dim)
+    at, b, tf = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, _, (r, bucket, n, _) in count_runs(pa.array(texts, type=pa.string()), hasher):
+        at += (r + first).tolist()
+        b.append(bucket)
+        tf.append(n)
+    return QueryMatrix.payload([rows[i][0] for i in at], np.concatenate(b), np.concatenate(tf), dim)
 
 
 def knn_sparse_text(chunks: DataFrame, queries: DataFrame, k: int = 3,
@@ -235,7 +244,7 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     With ``scope_col`` (JN-6) each query only sees vectors with the same value of that column: the kernel
     scores a scope's rows against that scope's queries. Equal rows of a query id (with its scope)
     are one query; different vectors of one id raise. Queries beyond ``max_broadcast`` are scored in several blocks, one scan
-    of the vectors each. Vectors whose width differs from the queries', with NULL/NaN elements, or
+    of the vectors each; with ``scope_col``, they are joined to the vectors of their scope, in one scan. Vectors whose width differs from the queries', with NULL/NaN elements, or
     with a zero norm under cosine get no distance and drop out. Equal vectors have equal distances, so
     ties go by key. ``norm_col`` names a column that holds the vectors' norms, which are then not computed.
     Output: query_id, [scope_col], keys, rank, distance, score (= 1 - distance).
@@ -243,6 +252,9 @@ def knn_dense(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str =
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     ids = ["query_id"] + ([scope_col] if scope_col else [])
+    if scope_col and queries.select("query_id").limit(max_broadcast + 1).count() > max_broadcast:
+        return _knn_dense_joined(vectors, queries.select(*ids, F.col(query_vec_col).alias("qvec")), k, metric, [c for c in key_cols if c not in ids], vec_col,
+                                 scope_col, max_broadcast, norm_col)
     parts = [_knn_dense_block(vectors, rows, k, metric, [c for c in key_cols if c not in ids], vec_col, scope_col, norm_col)
              for rows in _dense_blocks(queries.select(*ids, query_vec_col), max_broadcast, len(ids))]
     return reduce(DataFrame.unionByName, parts)
@@ -281,6 +293,54 @@ def _knn_dense_block(vectors, rows, k, metric, keys, vec_col, scope_col, norm_co
             .select(*part, *keys, "rank", "distance", (F.lit(1.0) - F.col("distance")).alias("score")))
 
 
+def _knn_dense_joined(vectors, queries, k, metric, keys, vec_col, scope_col, bound, norm_col=None):
+    """Many queries, each of one scope: every vector meets its scope's queries by a join, so the work is one scan of
+    the vectors and the pairs of equal scope, however many scopes have queries. Up to ``bound`` distinct query vectors
+    are broadcast and the join brings their numbers; with more, it brings the vectors, a row per pair. Vectors of scopes
+    without a query are dropped before the join (``idfilter``)."""
+    ids = ["query_id", scope_col]
+    kind = queries.schema["qvec"].dataType
+    known = [r[0] for r in queries.select("qvec").distinct().limit(bound + 1).collect()]
+    if numbered := len(known) <= bound:
+        numbers = vectors.sparkSession.createDataFrame(list(enumerate(known)), T.StructType([T.StructField("query", T.IntegerType()), T.StructField("_v", kind)]))
+        rows = queries.join(F.broadcast(numbers), F.col("qvec").eqNullSafe(F.col("_v"))).select(*ids, "query").dropDuplicates()
+        none = F.col("query").isin([i for i, v in enumerate(known) if v is None])
+    else:
+        rows = queries.withColumnRenamed("qvec", "query").dropDuplicates()
+        none = F.col("query").isNull()
+    rows = materialized(rows, "scoped_queries")
+    if not rows.groupBy(*ids).count().where("count > 1").isEmpty():
+        raise ValueError("a query id is given with several vectors")
+    rows = rows.where(~none & F.col(scope_col).isNotNull())
+    widths = {len(v) for v in known if v is not None} if numbered else {r[0] for r in rows.select(F.size("query")).distinct().limit(2).collect()}
+    if len(widths) > 1:
+        raise ValueError("query vectors differ in width")
+    width = widths.pop() if widths else 0
+    one = F.struct("query_id", "query")
+    if numbered:  # about SCOPE_QUERIES to a row, so no row grows with its scope's queries
+        parts = rows.groupBy(scope_col).agg(F.ceil(F.count("*") / F.lit(SCOPE_QUERIES)).alias("_parts"))
+        given = (rows.join(parts, scope_col).groupBy(scope_col, F.pmod(F.xxhash64("query_id"), F.col("_parts")).alias("_part"))
+                 .agg(F.collect_list(one).alias("_of")).drop("_part"))
+        matrix = np.array([[np.nan if x is None else x for x in (v if v is not None else [None] * width)] for v in known], dtype=np.float64).reshape(len(known), width)
+    else:
+        given, matrix = rows.select(scope_col, F.array(one).alias("_of")), None
+    bc = vectors.sparkSession.sparkContext.broadcast(matrix)
+    columns = [scope_col, *keys]
+    some = vectors.select(*columns, vec_col, *([norm_col] if norm_col else []))
+    if vectors.schema[scope_col].dataType == queries.schema[scope_col].dataType:
+        some = may_be_in(some, id_filter(rows, [scope_col]), [scope_col])
+    schema = T.StructType([T.StructField("query_id", T.StringType()), *(vectors.schema[c] for c in columns), T.StructField("distance", T.DoubleType())])
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from dense_pairs_top_k(batch, vec_col, "_of", bc.value, width, metric, k, scope_col, keys, norm_col)
+
+    partial = some.join(given, scope_col).mapInArrow(score, schema)
+    return (top_k(partial, ids, [F.col("distance").asc()] + [F.col(c) for c in keys], k)
+            .select(*ids, *keys, "rank", "distance", (F.lit(1.0) - F.col("distance")).alias("score")))
+
+
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding",
               digits: int | None = 6) -> DataFrame:
     """Mean vector per group: (group_col, qvec ARRAY<DOUBLE>).

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmetrics.functions.sparse import TokenHasher, bucket_counts
+from docmetrics.functions.sparse import TokenHasher, count_runs
+from docmetrics.operators.idfilter import id_filter, may_be_in
 from docmetrics.operators.knn import knn_dense
 
 KEYS = ["document_id", "chunk_index"]
@@ -32,7 +33,7 @@ BLOCK_CHUNKS = 256
 # Hits that are broadcast to the fetch of their texts; more are joined by shuffle.
 MAX_BROADCAST_HITS = 100_000
 # Cells of the dense block that one slice of a batch may take.
-CELLS = 4_000_000
+CELLS = 500_000
 
 
 STORE_SCHEMA = ("document_id string, chunk_index int, text string, metadata map<string,string>, embedding array<float>, "
@@ -51,8 +52,8 @@ def bucket_weights(chunks: DataFrame, dim: int = DENSE_DIM, char_ngrams: bool =
     def count(batches):
         hasher, df, rows = TokenHasher(dim, char_ngrams), np.zeros(dim, np.int64), 0
         for batch in batches:
-            _, b, _, _ = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, dim)
-            df += np.bincount(b, minlength=dim)
+            for _, _, (_, b, _, _) in count_runs(batch.column(text_col), hasher):
+                df += np.bincount(b, minlength=dim)
             rows += batch.num_rows
         yield pa.record_batch([pa.array(np.arange(-1, dim)), pa.array(np.concatenate([[rows], df]))], names=["bucket", "df"])
 
@@ -84,11 +85,11 @@ def dense_vectors(chunks: DataFrame, dim: int = DENSE_DIM, weights: np.ndarray |
     def embed(batches):
         hasher, w = TokenHasher(dim, char_ngrams), bc.value
         step = max(1, CELLS // dim)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                r, b, tf, _ = bucket_counts(*hasher.batch(batch.column(text_col)), batch.num_rows, dim)
-                x = np.zeros((batch.num_rows, dim))
+        pieces = (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step))
+        for piece in pieces:
+            for first, n, (r, b, tf, _) in count_runs(piece.column(text_col), hasher):
+                batch = piece.slice(first, n)
+                x = np.zeros((n, dim))
                 x[r, b] = tf if w is None else tf * w[b]
                 norm = np.sqrt((x * x).sum(axis=1))
                 none = norm == 0
@@ -157,15 +158,19 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
     hits = knn_dense(scanned.select(*KEYS, "embedding", "norm"), queries, k, metric, key_cols=KEYS, norm_col="norm",
                      scope_col="document_id" if scope == "document" else None)
     hits = hits.select("query_id", *KEYS, "rank", "distance", "score")
-    return fetch_hits(spark, path, hits, parts, max_hits=k * queries.count()) if fetch else hits
+    return fetch_hits(spark, path, hits, parts, max_hits=k * queries.count(), documents=within) if fetch else hits
 
 
-def fetch_hits(spark: SparkSession, path: str, hits: DataFrame, parts: int = PARTS, max_hits: int | None = None) -> DataFrame:
+def fetch_hits(spark: SparkSession, path: str, hits: DataFrame, parts: int = PARTS, max_hits: int | None = None,
+               documents: DataFrame | None = None) -> DataFrame:
     """``hits`` with the text and metadata of their rows (D9); a hit whose row is gone drops out.
 
-    The hits meet the table on (part, document, chunk): folders without hits are pruned at run time."""
+    The hits meet the table on (part, document, chunk): folders without hits are pruned at run time. ``documents``
+    (document_id), if known, are those that can have hits: where hits are too many to be broadcast, no others' texts are shuffled."""
     table = spark.read.schema(STORE_SCHEMA).parquet(path).select("part", *KEYS, "text", "metadata")
     wanted = hits.withColumn("part", part_col(F.col("document_id"), parts)).where(F.col("rank") >= 1)
     if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
         wanted = F.broadcast(wanted)
+    elif documents is not None:
+        table = may_be_in(table, id_filter(documents, ["document_id"]), ["document_id"])
     return table.join(wanted, ["part", *KEYS]).select("query_id", *KEYS, "rank", "distance", "score", "text", "metadata")

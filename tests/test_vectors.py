@@ -265,3 +265,51 @@ def test_chunks_without_an_id_are_refused(spark):
     known, rejected = identified(df)
     assert [tuple(r) for r in C.partition_chunks(known).collect()] == [("a", 0, "x")]
     assert [(r.text, r.reason) for r in rejected.collect()] == [("y", "document_id is null")]
+
+
+def test_many_scoped_queries_need_one_scan(spark, monkeypatch):
+    """More queries than one block holds meet their scope's vectors by one join: same rows, one pass, whatever their vectors."""
+    from docmetrics.operators import knn
+    rng = np.random.default_rng(4)
+    rows = [(i % 9 if i % 11 else None, i, rng.normal(size=6).astype(np.float32).tolist() if i % 13 else None) for i in range(300)] + [(1, 300, [0.0] * 6)]
+    vdf = spark.createDataFrame(rows, "document_id int, chunk_index int, embedding array<float>")
+    few = [rng.normal(size=6).tolist() for _ in range(3)]
+    few[2][1] = None
+    for queries in ([(f"q{j}", d, few[j]) for d in range(12) for j in range(3)], [(f"q{j}", d, rng.normal(size=6).tolist()) for d in range(12) for j in range(3)]):
+        qdf = spark.createDataFrame(queries + queries[:2] + [("c", None, few[0]), ("n", 3, None)], "query_id string, document_id int, qvec array<double>")
+        for metric in ("cosine", "l2"):
+            want = sorted(map(tuple, K.knn_dense(vdf, qdf, 4, metric, scope_col="document_id").collect()))
+            monkeypatch.setattr(knn, "SCOPE_QUERIES", 2)
+            out = K.knn_dense(vdf, qdf, 4, metric, scope_col="document_id", max_broadcast=5)
+            assert sorted(map(tuple, out.collect())) == want and want
+            assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    other = spark.createDataFrame([("q", 0, [1.0] * 6), ("q", 0, [2.0] * 6)] * 4, "query_id string, document_id int, qvec array<double>")
+    with pytest.raises(ValueError, match="several vectors"):
+        K.knn_dense(vdf, other, 3, scope_col="document_id", max_broadcast=5)
+
+
+def test_kernels_work_on_runs_of_a_batch(monkeypatch):
+    """Working arrays are those of a run of texts, not of a batch, with the rows of the whole batch."""
+    from docmetrics.functions import sparse, text
+    batch = pa.record_batch([pa.array(range(400)), pa.array([None if i % 7 == 3 else t for i, t in enumerate(_texts())])], names=["key", "text"])
+    whole = pa.Table.from_batches(sparse.term_rows(batch, ["key"], sparse.TokenHasher(512)))
+    seen = []
+    monkeypatch.setattr(text, "SLICE_BYTES", 500)
+    hashed = sparse.TokenHasher.batch
+    monkeypatch.setattr(sparse.TokenHasher, "batch", lambda self, texts: seen.append(texts.nbytes) or hashed(self, texts))
+    parts = list(sparse.term_rows(batch, ["key"], sparse.TokenHasher(512)))
+    assert pa.Table.from_batches(parts).equals(whole) and len(parts) > 20 and max(seen) < 1_500
+    assert sparse.TokenHasher.MAX_MEMO <= 100_000
+
+
+def test_lists_are_made_run_by_run(monkeypatch):
+    from docmetrics.functions import text
+    monkeypatch.setattr(text, "SLICE_BYTES", 10)
+    texts = pa.array(["a b", None, "", "c" * 30, "d", "e"])
+    assert list(text.text_runs(texts)) == [(0, 3), (3, 4), (4, 6)]
+    lists = pa.array([["a b", None], None, [], ["c" * 30, "d"], ["e"]])
+    assert list(text.text_runs(lists)) == [(0, 3), (3, 4), (4, 5)] and list(text.text_runs(lists.slice(3))) == [(0, 1), (1, 2)]
+    calls = []
+    got = text.by_runs(lambda items: calls.append(len(items)) or [[t] for t in items], texts, pa.list_(pa.string()))
+    assert calls == [3, 1, 2] and got.to_pylist() == [[t] for t in texts.to_pylist()]
+    assert text.by_runs(lambda items: items, texts.slice(0, 0), pa.string()).to_pylist() == []
