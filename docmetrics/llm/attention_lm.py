@@ -13,7 +13,7 @@ at the start). Windows of all texts of a slice go through the layer together; wh
 The base is a unigram: sum over words and end of log10((c + 1) / (N + V + 1)), from counts over all learning documents.
 
 Scale: counts of words and subwords cover all learning documents, added up in each task before the shuffle. The weights are fitted
-on at most ``SAMPLE_WINDOWS`` windows (parameter) of at most ``SAMPLE_DOCS`` documents, some ``SAMPLE_OF_DOC`` of each, drawn by hash. The ``HEAVY`` most
+on all windows of all learning documents, in rounds: tasks train copies on their own documents, and the copies' mean starts the next round. The ``HEAVY`` most
 frequent words are broadcast with their counts (their number is bounded, whatever the vocabulary); the others are looked
 up by an equi-join of (document, word) rows, where no word can be hot, as the hot ones are not in it. Words are keyed by 64-bit hashes
 (a pair of words collides with 2**-64). Documents are scored in one pass whose result is written to the shared folder. Texts beyond ``PIECE`` characters are taken
@@ -22,7 +22,7 @@ in pieces cut at blanks, so the working arrays stay bounded but for the text's o
 Defined results: null and empty texts are the end alone; a null id is not held out and is never learned from; repeated rows are
 scored each and count each; without any learning document N and V are 0 and all classes are equally likely; words beyond
 ``LONG_WORD`` characters are encoded in parts; an empty table gives an empty result; further columns are not looked at. A model
-score is a sum of single-precision terms: equal texts agree to about 6 digits.
+score is a sum of single-precision terms: equal texts agree to about 6 digits. The weights depend on how the input is split over tasks.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ GROUPS, MEMBERS, SHARED = 24, 24, 16  # half the groups for subwords that begin
 CLASSES = GROUPS * MEMBERS
 INPUTS = 1024  # subwords with an embedding of their own, by frequency; the others share one per class
 WIDTH, KEY, HIDDEN = 32, 16, 32
-SAMPLE_DOCS, SAMPLE_OF_DOC, SAMPLE_WINDOWS = 4_000, 16, 40_000
-EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 300, 128, 6e-3
+ROUNDS = ((1, 1.0), (1, 1.0), (2, 0.8), (4, 0.5), (4, 0.25), (4, 0.1))  # sixteenths of the documents, and the rate they are learned at
+LEAST_STEPS, BATCH, RATE, WARM = 300, 256, 6e-3, 20
+BUFFER, SLOTS = 20_000, 16
 HEAVY = 1 << 17
 MEMO = 400_000  # distinct words whose subwords a worker keeps
 PIECE = 1 << 21
@@ -434,57 +435,107 @@ class Attention:
         d["emb"][sorted_[head]] = np.add.reduceat(ge.reshape(-1, WIDTH)[order], head)
         return d
 
-    def fit(self, x: np.ndarray, target: np.ndarray, classes: Classes) -> Attention:
-        if not len(x):
-            return self
-        rng, t = np.random.default_rng(9), 0
-        seen = (np.bincount(classes.of[target[target >= 0]], minlength=CLASSES) + 1.0).reshape(GROUPS, MEMBERS)
+    def start_from(self, seen: np.ndarray) -> None:
+        """Biases that give every class its share of ``seen`` (how often each class came)."""
+        seen = (seen + 1.0).reshape(GROUPS, MEMBERS)
         self.p["group_bias"] = np.log(seen.sum(axis=1) / seen.sum()).astype(np.float32)
         self.p["member_bias"] = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
-        mean, square = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
-        batches = -(-len(x) // BATCH)
-        epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
-        steps = epochs * batches
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), BATCH):
-                some = order[at:at + BATCH]
-                t += 1
-                rate = RATE * min(1.0, t / 50) * (1 - 0.95 * t / steps)
-                for n, g in self.gradients(x[some], target[some], classes).items():
-                    mean[n] += 0.1 * (g - mean[n])
-                    square[n] += 0.01 * (g * g - square[n])
-                    self.p[n] -= np.float32(rate) * (mean[n] / (1 - 0.9**t)) / (np.sqrt(square[n] / (1 - 0.99**t)) + np.float32(1e-8))
-                self.fold()
+        self.fold()
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.p.values()])
+
+    def set_flat(self, weights: np.ndarray) -> Attention:
+        at = 0
+        for n, w in self.p.items():
+            self.p[n] = weights[at:at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+        self.fold()
         return self
 
 
-def sample_windows(docs: DataFrame, learning: int, classes, definition, most: int = SAMPLE_WINDOWS, of_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """``docs`` (learn, text) -> windows to fit on: of about ``of_docs`` documents drawn by hash, ``SAMPLE_OF_DOC`` of each, the first ``most`` by hash."""
-    parts = 1 << 20
-    share = min(parts, -(-parts * of_docs // max(1, learning)))
-    drawn = docs.where("learn").where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share).select("text")
+class Adam:
+    """Passes over windows that change a model's weights."""
 
-    def cut(batches):
-        words = _worker(definition)
-        for batch in batches:
-            for _, ids, bounds, _ in _texts(batch.column("text"), words):
-                x, target, doc = windows(ids, bounds, classes.value)
-                lot = np.random.default_rng(len(ids)).permutation(len(x))
-                lot = lot[np.argsort(doc[lot], kind="stable")]
-                start = np.searchsorted(doc[lot], doc[lot])
-                pick = lot[np.arange(len(lot)) - start < SAMPLE_OF_DOC]
-                yield pa.record_batch([pa.array([r.tobytes() for r in x[pick]], pa.binary()), pa.array([r.tobytes() for r in target[pick]], pa.binary())],
-                                      names=["x", "target"])
+    def __init__(self, model: Attention, rate: float):
+        self.model, self.rate, self.t, self.rng = model, rate, 0, np.random.default_rng(9)
+        self.mean, self.square = ({n: np.zeros_like(w) for n, w in model.p.items()} for _ in range(2))
 
-    got = drawn.mapInArrow(cut, "x binary, target binary").orderBy(F.xxhash64("x", "target")).limit(most).collect()  # bounded: most
-    return (np.frombuffer(b"".join(r["x"] for r in got), np.int16).reshape(-1, 2 * STEP),
-            np.frombuffer(b"".join(r["target"] for r in got), np.int32).reshape(-1, STEP))
+    def learn(self, x: np.ndarray, target: np.ndarray, classes: Classes, passes: int = 1) -> None:
+        p = self.model.p
+        for _ in range(passes):
+            order = self.rng.permutation(len(x))
+            for at in range(0, len(x), BATCH):
+                some = order[at:at + BATCH]
+                self.t += 1
+                rate = self.rate * min(1.0, self.t / WARM)
+                for n, g in self.model.gradients(x[some], target[some], classes).items():
+                    self.mean[n] += 0.1 * (g - self.mean[n])
+                    self.square[n] += 0.01 * (g * g - self.square[n])
+                    p[n] -= np.float32(rate) * (self.mean[n] / (1 - 0.9**self.t)) / (np.sqrt(self.square[n] / (1 - 0.99**self.t)) + np.float32(1e-8))
+                self.model.fold()
+
+
+def fit_corpus(docs: DataFrame, seen: np.ndarray, classes, definition, most: int | None = None) -> Attention:
+    """``docs`` (id, learn, text) -> the model, fitted on all windows of all documents learned from.
+
+    The documents are dealt to ``ROUNDS`` by hash, each to one. In a round every task trains a copy of the weights on the windows of
+    its documents; the mean of the copies, weighted by windows, starts the next round. A task holds ``BUFFER`` windows at most (and
+    those of one text); one with few takes them several times. Only weights are shuffled, in ``SLOTS`` parts, and one mean reaches
+    the driver. ``most`` bounds the windows of a task and round; None, the default, takes all."""
+    spark, model = docs.sparkSession, Attention()
+    if most == 0:
+        return model
+    model.start_from(seen)
+    deal, done = F.pmod(F.xxhash64("id", "text"), F.lit(sum(parts for parts, _ in ROUNDS))), 0
+    for parts, factor in ROUNDS:
+        least = LEAST_STEPS * parts // sum(parts for parts, _ in ROUNDS)
+        start = spark.sparkContext.broadcast(model.flat())
+
+        def train(batches, start=start, factor=factor, least=least):
+            words, own = _worker(definition), Attention().set_flat(start.value)
+            adam, held, n, size = Adam(own, RATE * factor), [], 0, 0
+
+            def learn(last):
+                x, target = (np.concatenate(part) for part in zip(*held))
+                adam.learn(x, target, classes.value, max(1, -(-(least - adam.t) // -(-len(x) // BATCH))) if last else 1)
+
+            for batch in batches:
+                for _, ids, bounds, _ in _texts(batch.column("text"), words):
+                    x, target, _ = windows(ids, bounds, classes.value)
+                    if most is not None:
+                        x, target = x[:max(0, most - n)], target[:max(0, most - n)]
+                    held.append((x, target))
+                    n, size = n + len(x), size + len(x)
+                    if size >= BUFFER:
+                        learn(False)
+                        held, size = [], 0
+            if size:
+                learn(True)
+            if n:
+                slots = [w.tobytes() for w in np.array_split(own.flat(), SLOTS)]
+                yield pa.record_batch([pa.array(range(SLOTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLOTS, pa.int32()), pa.array([n] * SLOTS, pa.int64()),
+                                       pa.array(slots, pa.binary())], names=["slot", "part", "n", "w"])
+
+        def mean(copies: pa.Table) -> pa.Table:
+            copies = copies.sort_by("part")
+            total, n = 0.0, copies["n"].to_numpy()
+            for w, of in zip(copies["w"], n):
+                total = total + of * np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            return pa.table({"slot": copies["slot"][:1], "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+        dealt = docs.where("learn").where((deal >= done) & (deal < done + parts)).select("text")
+        got = dealt.mapInArrow(train, "slot int, part int, n long, w binary").groupBy("slot").applyInArrow(mean, "slot int, w binary").collect()  # SLOTS rows
+        if got:
+            model.set_flat(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slot"])]))
+        done += parts
+    return model
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None,
-                most_windows: int = SAMPLE_WINDOWS, heavy: int = HEAVY) -> DataFrame:
-    """-> id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of ``docs``."""
+                most_windows: int | None = None, heavy: int = HEAVY) -> DataFrame:
+    """-> id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of ``docs``. ``most_windows`` bounds what a
+    task learns from in a round, for trial runs; by default all is learned from."""
     spark: SparkSession = docs.sparkSession
     ranks = tokenizer_text(spark, vocabulary or default_vocabulary())
     pattern = pattern or default_pattern()
@@ -505,7 +556,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tally[r["key"]] = r["n_learn"]
     classes = Classes(tally, encoder.starts)
     shared = spark.sparkContext.broadcast(classes)
-    model = Attention().fit(*sample_windows(rows.select("learn", "text"), learning, shared, definition, most_windows), classes)
+    seen = np.bincount(classes.of, np.append(tally, learning), minlength=CLASSES)
+    model = fit_corpus(rows.select("id", "learn", "text"), seen, shared, definition, most_windows)
     state = spark.sparkContext.broadcast((model, classes, keys, uses))
 
     def apply(batches):

@@ -335,3 +335,21 @@ def test_lm_of_empty_tables_and_tables_without_learning_documents(spark):
     alone = next(i for i in range(100) if held(i))
     got = attention_lm.score_texts(spark.createDataFrame([(alone, "one two")], "doc_id long, text string")).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"]) == (3, 0, 0, 0.0) and got["score"] < 0
+
+
+def test_lm_learns_from_every_window_of_a_document(spark, words):
+    """No window is left out: another word anywhere in a long text, or in a document more, gives other weights."""
+    with open(attention_lm.default_vocabulary()) as f:
+        definition = spark.sparkContext.broadcast((f.read(), attention_lm.default_pattern(), 11))
+    classes = spark.sparkContext.broadcast(attention_lm.Classes(np.zeros(words.size, np.int64), words.starts))
+
+    def fitted(*texts):
+        docs = spark.createDataFrame([(1, t, True) for t in texts] + [(2, "never learned", False)], "id long, text string, learn boolean").coalesce(1)
+        return attention_lm.fit_corpus(docs, np.zeros(attention_lm.CLASSES), classes, definition).flat()
+
+    text = ["alpha", "beta"] * 3_000
+    whole = fitted(" ".join(text))
+    assert (whole == fitted(" ".join(text))).all()
+    for at in (0, 3_111, 5_999):
+        assert (whole != fitted(" ".join([*text[:at], "gamma", *text[at + 1:]]))).any()
+    assert (whole != fitted(" ".join(text), None)).any()
