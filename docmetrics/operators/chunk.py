@@ -22,6 +22,7 @@ from docmetrics.functions.text import (
     elements_and_chunks_col,
     word_chunks_col,
 )
+from docmetrics.session import bound_batches
 
 
 def _keys(key_cols) -> list[str]:
@@ -38,8 +39,10 @@ def spread(docs: DataFrame) -> DataFrame:
 
     A large corpus arrives in many file splits and is left alone; a few big
     row groups (one file per table in tests) would otherwise run the
-    per-document Python work on a handful of tasks.
+    per-document Python work on a handful of tasks. Whatever the input, the
+    session's Arrow batches are bounded in bytes (``bound_batches``).
     """
+    bound_batches(docs.sparkSession)
     if docs.isStreaming:
         return docs
     # An input that already shuffles has its parallelism set; asking such a

@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 20
+
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -62,6 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches that go to Python workers hold about ``BATCH_BYTES``, if the session does not say otherwise. Spark's
+    64 MB would be 10,000 documents, which a worker holds as input, as result and as what waits to be read; a
+    chunking stage has two workers a core."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

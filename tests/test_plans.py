@@ -110,3 +110,29 @@ def test_map_only_work_does_not_shuffle_chunks(spark):
     for name in ("metric_candidates", "value_normalize", "hash_embed"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan, name
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from docmetrics.operators.chunk import spread
+    from docmetrics.session import BATCH_BYTES, BATCH_CONF
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["bytes"])
+
+    def largest(rows: int, chars: int) -> int:
+        docs = spark.range(rows).coalesce(1).selectExpr("id", f"repeat('a', {chars}) AS text")
+        spread(docs)  # every operator on documents begins with it
+        return max(r[0] for r in docs.mapInArrow(sizes, "bytes long").collect())
+
+    own = spark.conf.get(BATCH_CONF, None)
+    try:
+        spark.conf.unset(BATCH_CONF)
+        assert largest(4_000, 2_000) < 2 * BATCH_BYTES    # 8 MB of texts: was one batch
+        assert largest(40, 200_000) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_CONF, "4m")                  # the session's own setting stays
+        assert 2 * BATCH_BYTES < largest(4_000, 2_000) < 5 * BATCH_BYTES
+    finally:
+        spark.conf.unset(BATCH_CONF) if own is None else spark.conf.set(BATCH_CONF, own)
