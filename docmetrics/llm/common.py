@@ -3,7 +3,7 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. All texts of an Arrow batch are hashed
 together: a word's 64-bit hash is a polynomial over its bytes, taken as a difference of running sums, so
 there is no Python loop over words. Texts are taken in slices of about ``SLICE_BYTES`` so that the
-working arrays stay a few tens of MB whatever the batch holds (one longer text is a slice of its own).
+working arrays stay about ten MB whatever the batch holds (one longer text is a slice of its own).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docmetrics.session import scratch_dir
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 
 

@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmetrics.llm.common import materialize, text_slices
+from docmetrics.session import bound_batches
 
 SIZE = 2048
 END_ID = 0
 WORD_MEMO = 300_000  # distinct words whose ids a worker keeps; beyond that it forgets those met once
 WORDS = 500  # words encoded in one call
-SLICE = 1 << 20  # bytes of text taken at once
+SLICE = 1 << 18  # bytes of text taken at once
 CUT = b".,!|"  # a sign that always begins a new pre-token after a letter
 PART_ROWS = 50_000  # pieces of one length numbered in one part, about
 
@@ -67,17 +68,21 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
-        self.tok, self.text_only, self.ordinary = Tokenizer.from_str(definition), Tokenizer.from_str(definition), ordinary
-        self.text_only.encode_special_tokens = True
+        self.tok, self.ordinary = Tokenizer.from_str(definition), ordinary
         added = self.tok.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.lower = [t.lower() for t in self.special]
         between = [i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.between = between[0] if between else None
         probe = [w for w in ("a", "the", "zq", "information", "xkjqwvzzz") if not any(t in w for t in self.lower)]
-        self.direct = all([t.id for t in self.tok.model.tokenize(w)] == self.text_only.encode(w, add_special_tokens=False).ids for w in probe)
+        self.direct = all([t.id for t in self.tok.model.tokenize(w)] == self._library(True).encode(w, add_special_tokens=False).ids for w in probe)
         self._keep(np.zeros(0, np.int64))
 
+    def _library(self, ordinary: bool):
+        """The one tokenizer (some 50 MB in every worker); with ``ordinary``, strings of special tokens are text like any other."""
+        self.tok.encode_special_tokens = ordinary
+        return self.tok
+
     def _keep(self, numbers: np.ndarray) -> None:
         """Forget all words but these."""
         if not len(numbers):
@@ -105,10 +110,10 @@ class WordTokenizer:
         for at in range(0, len(rest), WORDS):
             own = rest[at:at + WORDS]
             if self.between is None or any(t in words[i] for i in own for t in self.lower):
-                got = [e.ids for e in self.text_only.encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
+                got = [e.ids for e in self._library(True).encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
             else:
                 sep = self.tok.id_to_token(self.between)
-                ids = self.tok.encode_batch_fast([sep.join([words[i] for i in own])], add_special_tokens=False)[0].ids
+                ids = self._library(False).encode_batch_fast([sep.join([words[i] for i in own])], add_special_tokens=False)[0].ids
                 cut = [-1, *(j for j, x in enumerate(ids) if x == self.between), len(ids)]
                 got = [ids[a + 1:b] for a, b in zip(cut, cut[1:])]
             for i, ids in zip(own, got):
@@ -125,7 +130,7 @@ class WordTokenizer:
             for t in self.special:
                 marked |= pc.fill_null(pc.match_substring(column, t), False).to_numpy(zero_copy_only=False)
             if marked.any():
-                whole = {i: np.array(self.tok.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(marked).tolist()}
+                whole = {i: np.array(self._library(False).encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(marked).tolist()}
                 column = pc.if_else(pa.array(marked), pa.scalar("", column.type), column)
         for i, ids in enumerate(self._encode(column)):
             yield whole.get(i, ids)
@@ -265,6 +270,7 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """-> a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``ordinary``: strings of special
     tokens are ordinary text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     tokenizer = tokenizer_text(spark, tokenizer_path or default_tokenizer())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(tokenized_pieces(rows, tokenizer, size, ordinary), "pieces")

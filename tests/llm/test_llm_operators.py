@@ -688,3 +688,46 @@ def test_texts_beyond_a_slice(spark):
     scores = {r["id"]: r["score"] for r in quality.score(df, machine, chars_col=None).collect()}
     alone = {i: quality.score(df.where(F.col("doc_id") == i), machine, chars_col=None).first()["score"] for i in range(6)}
     assert all(abs(scores[i] - alone[i]) < 1e-6 for i in range(6))
+
+
+def test_pipeline_steps_bound_batches_and_working_arrays(spark):
+    """A worker's memory does not follow the input: batches of about 1 MB, working arrays of a slice, one tokenizer."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import tokenizers
+
+    from docmetrics.session import BATCH_BYTES, BATCH_CONF
+
+    docs = spark.createDataFrame([(1, "one two three", 13), (2, "four five", 9)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(1, "six seven eight nine ten")], "item_id long, text string")
+    steps = [lambda: quality.score(docs, 0.5), lambda: line_dedup.dedup_lines(docs), lambda: ngram_join.ngram_jaccard_join(docs),
+             lambda: decontaminate.drop_leaks(docs, items), lambda: packing.pack_best_fit(docs)]
+    own = spark.conf.get(BATCH_CONF, None)
+    try:
+        for step in steps:
+            spark.conf.unset(BATCH_CONF)
+            step()
+            assert spark.conf.get(BATCH_CONF, None) == str(BATCH_BYTES)
+    finally:
+        spark.conf.unset(BATCH_CONF) if own is None else spark.conf.set(BATCH_CONF, own)
+
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(150)) for i in range(4_000)])  # some 4 MB
+    next(text_slices(texts)).word_hashes()  # the powers are made once
+    tracemalloc.start()
+    try:
+        hashes = np.concatenate([s.word_hashes() for s in text_slices(texts)])
+        peak = tracemalloc.get_traced_memory()[1] - 2 * hashes.nbytes
+    finally:
+        tracemalloc.stop()
+    assert len(hashes) == 600_000 and peak < 16 << 20  # slices of 1 MB took 40 MB and more
+
+    definition = open(packing.default_tokenizer()).read()
+    marked = ["plain words", "hello <|endoftext|> world", "x<|endoftext|>", "Grüße, 東京 <|endoftext|>"]
+    want = tokenizers.Tokenizer.from_str(definition)
+    for ordinary in (False, True):
+        tok = packing.WordTokenizer(definition, ordinary)
+        assert sum(isinstance(x, tokenizers.Tokenizer) for x in vars(tok).values()) == 1
+        want.encode_special_tokens = ordinary
+        for _ in range(2):  # either way of reading special tokens leaves the other as it was
+            assert [ids.tolist() for ids in tok.encode(pa.array(marked))] == [want.encode(t, add_special_tokens=False).ids for t in marked]
