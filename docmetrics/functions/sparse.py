@@ -256,6 +256,16 @@ class RunningTopK:
             if self.rows > self.limit:
                 self._settle()
 
+    def offer(self, batch: pa.RecordBatch, rows: np.ndarray, query: np.ndarray, score: np.ndarray, columns, **own: np.ndarray) -> None:
+        """``add`` rows of a batch with its ``columns`` and the pairs' ``own``. Ties (of copies) can make these any number of pairs:
+        then only the best k of each query go on, before a text is taken once for every pair."""
+        if len(rows) > self.k * len(self.ids):
+            some, at = np.unique(rows, return_inverse=True)
+            best = partial_top_k(query, score, [sort_codes(batch.column(c).take(pa.array(some)))[at] for c in self.key_cols], self.k)
+            rows, query, score, own = rows[best], query[best], score[best], {n: x[best] for n, x in own.items()}
+        take = pa.array(rows)
+        self.add(query, score, {c: batch.column(c).take(take) for c in columns} | {n: pa.array(x) for n, x in own.items()})
+
     def _settle(self) -> None:
         t = pa.concat_tables(self.parts).combine_chunks()
         query, score = t["_q"].to_numpy(), t["_s"].to_numpy()
@@ -300,9 +310,7 @@ def score_batch(batch: pa.RecordBatch, qm: QueryMatrix, top: RunningTopK, hasher
                 text_col: str = "text", carry_cols=()) -> None:
     """Offer a batch of chunks to the task's running top k."""
     for rows, queries, dot, score in sparse_slices(batch, qm, hasher, text_col, top.k, top.kth):
-        take = pa.array(rows)
-        top.add(queries, score, {c: batch.column(c).take(take) for c in (*top.key_cols, *carry_cols)}
-                | {"dot": pa.array(dot)})
+        top.offer(batch, rows, queries, score, (*top.key_cols, *carry_cols), dot=dot)
 
 
 def score_batch_per_document(batch: pa.RecordBatch, key_cols, qm: QueryMatrix, k: int, hasher: TokenHasher,
@@ -460,8 +468,7 @@ def _dense_score_run(batch, vec_col, q, metric, top, columns, scope_col, scopes,
                   for i, value in enumerate(coded.dictionary.to_pylist()) if value in scopes]
     for rows, of in groups:
         for r, j, dist in dense_slices(v[rows], q[of], metric, top.k, lambda of=of: top.kth[of], None if norms is None else norms[rows]):
-            take = pa.array(rows[r])
-            top.add(of[j], -dist, {c: batch.column(c).take(take) for c in columns})
+            top.offer(batch, rows[r], of[j], -dist, columns)
 
 
 def dense_pairs_top_k(batch: pa.RecordBatch, vec_col: str, of_col: str, q: np.ndarray | None, width: int, metric: str, k: int, scope_col: str,

@@ -313,3 +313,29 @@ def test_lists_are_made_run_by_run(monkeypatch):
     got = text.by_runs(lambda items: calls.append(len(items)) or [[t] for t in items], texts, pa.list_(pa.string()))
     assert calls == [3, 1, 2] and got.to_pylist() == [[t] for t in texts.to_pylist()]
     assert text.by_runs(lambda items: items, texts.slice(0, 0), pa.string()).to_pylist() == []
+
+
+def test_copies_in_a_batch_offer_k_rows_a_query(monkeypatch):
+    """Equal chunks tie for every query; no more than k of them a query have their columns taken, and keys decide which."""
+    from docmetrics.functions import sparse
+    offered = []
+    add = sparse.RunningTopK.add
+    monkeypatch.setattr(sparse.RunningTopK, "add", lambda self, query, score, columns: offered.append(len(query)) or add(self, query, score, columns))
+    n, names = 300, [f"q{i:02d}" for i in range(40)]
+    keys = [f"d{(i * 7) % n:03d}" for i in range(n)]
+    batch = pa.record_batch([pa.array(keys), pa.array(["same words in all chunks"] * n), pa.array([[1.0, 2.0]] * n, pa.list_(pa.float32()))], names=["key", "text", "vec"])
+    hasher = sparse.TokenHasher(512)
+    at, bucket, tf, _ = sparse.bucket_counts(*hasher.batch(pa.array(["words"] * len(names))), len(names), 512)
+    qm = sparse.QueryMatrix.from_payload(sparse.QueryMatrix.payload([names[i] for i in at], bucket, tf, 512))
+    top = sparse.RunningTopK(qm.ids, 3, ["key"])
+    sparse.score_batch(batch, qm, top, hasher, carry_cols=("text",))
+    got = pa.Table.from_batches(list(top.batches(("key", "text", "dot"), "score"))).to_pylist()
+    assert [(r["query_id"], r["key"]) for r in got] == [(q, f"d{i:03d}") for q in names for i in range(3)]
+    assert {r["text"] for r in got} == {"same words in all chunks"} and len({r["dot"] for r in got}) == 1
+    assert sum(offered) <= 3 * len(names)
+    offered.clear()
+    top = sparse.RunningTopK(names, 3, ["key"])
+    sparse.dense_score_batch(batch, "vec", np.ones((len(names), 2)), "cosine", top, ["key"])
+    got = pa.Table.from_batches(list(top.batches(["key"], "distance", np.negative))).to_pylist()
+    assert [(r["query_id"], r["key"]) for r in got] == [(q, f"d{i:03d}") for q in names for i in range(3)]
+    assert sum(offered) <= 3 * len(names)
