@@ -28,6 +28,7 @@ score is a sum of single-precision terms: equal texts agree to about 6 digits. T
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmetrics.llm.common import materialize, signed, text_slices
+from docmetrics.llm.common import materialize, run_hashes, seeds, signed, text_slices
 from docmetrics.llm.packing import tokenizer_text
 
 STEP = 16
@@ -54,7 +55,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SLICE = 1 << 21
 LONG_WORD = 1_000
 CALL = 500  # words encoded in one call
-CHUNK = 256  # windows taken through the layer at once
+RUN = 1 << 19  # subwords whose windows are made at once
+CHUNK = 512  # windows taken through the layer at once
 TOP = 40.0  # scores are cut here, so exp needs no maximum taken off
 LN10 = float(np.log(10))
 
@@ -173,14 +175,6 @@ def _groups(column: pa.Array):
         yield column.slice(at), np.arange(at, len(column))
 
 
-def _coded(column: pa.Array, words: Subwords):
-    """Per slice: (slice, row of each of its texts, distinct word hashes, which of them each word is, how often each, their numbers)."""
-    for texts, rows in _groups(column):
-        for s in text_slices(texts, SLICE):
-            own, first, which, n = np.unique(s.word_hashes(), return_index=True, return_inverse=True, return_counts=True)
-            yield s, rows[s.first:s.first + s.n], own, which, n, words.numbers(s, own, first)
-
-
 def _texts(column: pa.Array, words: Subwords):
     """(rows, their subwords, bounds of each row's, words): whole texts, those of a slice together; ``words`` lists
     (place in rows of each word, distinct hashes, which of them each word is)."""
@@ -200,18 +194,82 @@ def _texts(column: pa.Array, words: Subwords):
             yield rows[:1], ids, np.array([0, len(ids)]), seen
 
 
+# --- the subwords of the documents ---
+
+
+def keep_heap() -> None:
+    """Has glibc keep freed memory below some 32 MB for the next arrays (its bounds follow the largest block freed; see M_MMAP_THRESHOLD in
+    mallopt(3)). Otherwise the arrays of each batch of windows are given back and their pages come anew, at a third of the time."""
+    np.empty(1 << 24, np.uint8)
+
+
+def encode_texts(docs: DataFrame, definition) -> DataFrame:
+    """``docs`` (id, learn, text and others) -> the columns but the text, ``deal`` (which sixteenth of the learning they are in), and ``ids``:
+    their subwords, two bytes each, or four where the vocabulary needs it."""
+    dealt = docs.withColumn("deal", F.pmod(F.xxhash64("id", "text"), F.lit(sum(parts for parts, _ in ROUNDS))))
+    kept = [c for c in dealt.columns if c != "text"]
+
+    def encode(batches):
+        words = _worker(definition)
+        for batch in batches:
+            for row, ids, bounds, _ in _texts(batch.column("text"), words):
+                packed = ids.astype(_width(words.size))
+                ends = pa.py_buffer((bounds * packed.itemsize).astype(np.int32))
+                own = batch.take(pa.array(row))
+                yield pa.record_batch([*(own.column(c) for c in kept), pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(packed)])],
+                                      names=[*kept, "ids"])
+
+    return dealt.mapInArrow(encode, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(kept).schema), "ids binary"]))
+
+
+def _width(size: int):
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def _runs(column: pa.Array, size: int):
+    """(rows, their subwords, bounds of each row's): whole texts, those of up to ``RUN`` subwords together."""
+    packed = np.dtype(_width(size))
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // packed.itemsize
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, packed, len(data) // packed.itemsize if data is not None else 0) if data else np.zeros(0, packed)
+    at = 0
+    while at < len(column):
+        to = min(len(column), max(at + 1, int(np.searchsorted(off, off[at] + RUN, side="right")) - 1))
+        yield np.arange(at, to), ids[off[at]:off[to]], (off[at:to + 1] - off[at]).astype(np.int64)
+        at = to
+
+
+def word_keys(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each word, its 64-bit key): a word begins at a subword that begins with a blank, and has the same subwords wherever it is."""
+    head = np.flatnonzero(np.take(starts, ids))
+    tail = np.append(head[1:], len(ids))  # a text begins with a word, so a word never runs into the next text
+    codes = _codes(len(starts))
+    key, at = np.empty(len(head), np.uint64), 0
+    while at < len(head):
+        to = max(at + 1, int(np.searchsorted(tail, head[at] + RUN, side="right")))
+        first, last = head[at], tail[to - 1]
+        key[at:to] = run_hashes(np.take(codes, ids[first:last]), head[at:to] - first, tail[at:to] - first)
+        at = to
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(head, bounds))), key
+
+
+@lru_cache(2)
+def _codes(size: int) -> np.ndarray:
+    return seeds(size, salt=0x1D5)
+
+
 # --- corpus counts ---
 
 WORD, SUBWORD, DOCUMENT = 0, 1, 2
 
 
-def count_corpus(docs: DataFrame, definition) -> DataFrame:
-    """``docs`` (learn, text) -> (kind, key, n, n_learn): words by hash (n over all documents, n_learn over those learned
+def count_corpus(docs: DataFrame, starts) -> DataFrame:
+    """``docs`` (learn, ids) -> (kind, key, n, n_learn): words by key (n over all documents, n_learn over those learned
     from), subwords and documents (both over those learned from)."""
 
     def count(batches):
-        words, key, tally, learned = _worker(definition), [], [], 0
-        ids = np.zeros(words.size, np.int64)
+        key, tally, learned, size = [], [], 0, len(starts.value)
+        used = np.zeros(size, np.int64)
 
         def merged():
             k, at = np.unique(np.concatenate(key), return_inverse=True)
@@ -227,12 +285,12 @@ def count_corpus(docs: DataFrame, definition) -> DataFrame:
         for batch in batches:
             learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
             learned += int(learn.sum())
-            for s, row, own, which, n, number in _coded(batch.column("text"), words):
-                taken = np.bincount(which[learn[row][s.word_doc]], minlength=len(own))
-                flat, to = words.of(number)
-                ids += np.bincount(flat, np.repeat(taken, np.diff(to, prepend=0)), minlength=words.size).astype(np.int64)
-                key.append(signed(own))
-                tally.append(np.stack([n, taken], axis=1))
+            for row, ids, bounds in _runs(batch.column("ids"), size):
+                of, found = word_keys(ids, bounds, starts.value)
+                own, which, n = np.unique(signed(found), return_inverse=True, return_counts=True)
+                key.append(own)
+                tally.append(np.stack([n, np.bincount(which[learn[row][of]], minlength=len(own))], axis=1))
+                used += np.bincount(ids[np.repeat(learn[row], np.diff(bounds))], minlength=size)
             if sum(map(len, key)) > 1_500_000:
                 k, both = merged()
                 key, tally = [k], [both]
@@ -241,8 +299,8 @@ def count_corpus(docs: DataFrame, definition) -> DataFrame:
                     key, tally = [], []
         if key:
             yield from rows(WORD, *merged())
-        used = np.flatnonzero(ids)
-        yield from rows(SUBWORD, used, np.stack([ids[used]] * 2, axis=1))
+        k = np.flatnonzero(used)
+        yield from rows(SUBWORD, k, np.stack([used[k]] * 2, axis=1))
         yield from rows(DOCUMENT, np.zeros(1, np.int64), np.full((1, 2), learned))
 
     parts = docs.mapInArrow(count, "kind int, key long, n long, n_learn long")
@@ -317,6 +375,15 @@ def _cut(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, TOP, out=x) if x.max() > TOP else x
 
 
+def _by_value(of: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of ``of``, the sum of the rows of each)."""
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    pairs = np.complex64 if rows.dtype == np.float32 else np.complex128  # two columns are added at a time
+    return of[head], np.add.reduceat(np.take(rows, order, axis=0).view(pairs), head).view(rows.dtype)
+
+
 class Attention:
     """embedding + position -> one head of causal attention -> rectified hidden layer -> classes."""
 
@@ -332,7 +399,7 @@ class Attention:
         self.fold()
 
     def fold(self) -> None:
-        """The projections of every embedding and position, so that scoring only looks them up and adds."""
+        """The projections of every embedding and position, so that a place only looks them up and adds; the output's two levels side by side."""
         p = self.p
         self.eq, self.ek, self.ev, self.er = (p["emb"] @ p[x] for x in "qkvr")
         self.eq /= np.float32(KEY**0.5)
@@ -340,100 +407,105 @@ class Attention:
         self.pr = p["pos"][STEP:] @ p["r"] + p["b"]
         self.none = np.zeros(INPUTS + 2, np.float32)
         self.none[INPUTS + 1] = -1e9
+        self.both = np.concatenate([np.broadcast_to(p["group"], (GROUPS, HIDDEN, GROUPS)), p["member"]], axis=2)
 
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(queries, keys, values, attention, hidden layer) of some windows."""
+        none = x == INPUTS + 1
+        x = x.astype(np.intp)
         own = x[:, STEP:]
         q, k, v, h = (np.take(t, i, axis=0) for t, i in ((self.eq, own), (self.ek, x), (self.ev, x), (self.er, own)))
         q += self.pq
         k += self.pk
         h += self.pr
-        a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        a = np.matmul(q, k.transpose(0, 2, 1))
         a += self.later
-        if (x == INPUTS + 1).any():
-            a += np.take(self.none, x)[:, None, :]
+        if none.any():
+            some = np.flatnonzero(none.any(axis=1))
+            a[some] += np.take(self.none, x[some])[:, None, :]
         _cut(a)
         np.exp(a, out=a)
-        a /= np.einsum("ijk->ij", a)[:, :, None]
+        a *= (1 / (a.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, a.dtype))).reshape(-1, STEP, 1)
         h += np.matmul(a, v)
-        return q, k, v, a, np.maximum(h, 0, out=h)
+        h *= h > 0
+        return q, k, v, a, h
 
     def log_probabilities(self, x: np.ndarray, target: np.ndarray, classes: Classes) -> np.ndarray:
         """The log10 probability of each window's targets, added up."""
         total = np.zeros(len(x))
         for at in range(0, len(x), CHUNK):
             aim = target[at:at + CHUNK].ravel()
-            out = self.outcome(self.attend(x[at:at + CHUNK])[4], classes.of[aim], classes)[0]
-            total[at:at + CHUNK] = np.where(aim >= 0, out / LN10 + classes.share[aim], 0).reshape(-1, STEP).sum(axis=1)
+            out = self.outcome(self.attend(x[at:at + CHUNK])[4], np.take(classes.of, aim), classes)[0]
+            total[at:at + CHUNK] = np.where(aim >= 0, out / LN10 + np.take(classes.share, aim), 0).reshape(-1, STEP) @ np.ones(STEP)
         return total
 
     def outcome(self, h: np.ndarray, aim: np.ndarray, classes: Classes):
-        """(ln of the probability of class ``aim`` at every place; for the gradients the softmax over groups and its
-        sums, groups and members aimed at, the places ordered by group, and per group its run of them and the softmax over its classes)."""
-        p, h, ones = self.p, h.reshape(-1, HIDDEN), np.ones(max(GROUPS, MEMBERS), h.dtype)
-        group, member = np.divmod(aim, MEMBERS)
-        g = h @ p["group"]
-        g += p["group_bias"] + classes.empty_group
-        np.exp(_cut(g), out=g)
-        norm = g @ ones[:GROUPS]
+        """(ln of the probability of class ``aim`` at every place; for the gradients the places ordered by group, the bounds of the groups, and
+        in this order the hidden layer, exp of the scores of all groups and of the members of the group aimed at, side by side, the sums of both,
+        and where in these the aims are)."""
+        group, member = np.divmod(aim, np.int16(MEMBERS))
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        sorted_h, sorted_member, rows = h[order], member[order], np.arange(len(aim))
-        hit, sums, parts = np.empty(len(aim), h.dtype), np.empty(len(aim), h.dtype), []
-        bias = p["member_bias"] + classes.empty
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        group, member = np.take(group, order), np.take(member, order)
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        h = np.take(h.reshape(-1, HIDDEN), order, axis=0)
+        bias = np.concatenate([np.broadcast_to(self.p["group_bias"] + classes.empty_group, (GROUPS, GROUPS)), self.p["member_bias"] + classes.empty], axis=1)
+        out = np.empty((len(aim), GROUPS + MEMBERS), h.dtype)
+        for a, b, weights, own in zip(bounds, bounds[1:], self.both, bias):
             if b > a:
-                m = sorted_h[a:b] @ p["member"][i]
-                m += bias[i]
-                np.exp(_cut(m), out=m)
-                np.matmul(m, ones[:MEMBERS], out=sums[a:b])
-                hit[a:b] = m[rows[:b - a], sorted_member[a:b]]
-                parts.append((i, a, b, m))
-        ln = np.log(g[rows, group] / norm)
-        ln[order] += np.log(hit / sums)
-        return ln, g, norm, group, sorted_member, order, sums, parts
+                run = out[a:b]
+                np.matmul(h[a:b], weights, out=run)
+                run += own
+        np.exp(_cut(out), out=out)
+        sums = (out.reshape(-1, MEMBERS) @ np.ones(MEMBERS, h.dtype)).reshape(-1, 2)
+        at = (np.arange(len(aim)) * (GROUPS + MEMBERS))[:, None] + np.stack([group, member + np.int16(GROUPS)], axis=1)
+        ln = np.empty(len(aim), h.dtype)
+        ln[order] = np.log(np.take(out, at) / sums) @ np.ones(2, h.dtype)
+        return ln, order, bounds, h, out, sums, at
 
     def gradients(self, x: np.ndarray, target: np.ndarray, classes: Classes) -> dict[str, np.ndarray]:
-        """Of the mean negative log likelihood of the classes."""
+        """Of the mean negative log likelihood of the classes. Those of the projections are added up per embedding and per position first,
+        then go through the weights."""
         p = self.p
         q, k, v, a, h = self.attend(x)
         aim = target.ravel()
-        scale = ((aim >= 0) / max(1, (aim >= 0).sum())).astype(np.float32)
-        _, g, norm, group, member, order, sums, parts = self.outcome(h, classes.of[aim], classes)
-        flat, rows = h.reshape(-1, HIDDEN), np.arange(len(aim))
-        g /= norm[:, None]
-        g[rows, group] -= 1
-        g *= scale[:, None]
-        d = {"group": flat.T @ g, "group_bias": g.sum(axis=0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
-        gh = g @ p["group"].T
-        for i, a_, b_, m in parts:
-            own = order[a_:b_]
-            m /= sums[a_:b_, None]
-            m[np.arange(len(own)), member[a_:b_]] -= 1
-            m *= scale[own, None]
-            d["member"][i], d["member_bias"][i] = flat[own].T @ m, m.sum(axis=0)
-            gh[own] += m @ p["member"][i].T
-        gh = (gh * (flat > 0)).reshape(h.shape)
+        _, order, bounds, flat, g, sums, at = self.outcome(h, np.take(classes.of, aim), classes)
+        scale = ((aim >= 0) / max(1, (aim >= 0).sum())).astype(np.float32)[order][:, None]
+        g.reshape(-1, 2, MEMBERS)[...] *= (scale / sums)[:, :, None]
+        g.reshape(-1)[at] -= scale
+        gh, both, bias, ones = np.empty_like(flat), np.zeros_like(self.both), np.zeros((GROUPS, GROUPS + MEMBERS), g.dtype), np.ones(len(aim), g.dtype)
+        for a_, b_, weights, to, to_bias in zip(bounds, bounds[1:], self.both, both, bias):
+            if b_ > a_:
+                run = g[a_:b_]
+                np.matmul(run, weights.T, out=gh[a_:b_])
+                np.matmul(flat[a_:b_].T, run, out=to)
+                np.matmul(ones[a_:b_], run, out=to_bias)
+        gh *= flat > 0
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        gh = np.take(gh, back, axis=0).reshape(h.shape)
+        gkv, gqr = np.empty((len(x), 2 * STEP, KEY + HIDDEN), g.dtype), np.empty((len(x), STEP, KEY + HIDDEN), g.dtype)
+        np.matmul(a.transpose(0, 2, 1), gh, out=gkv[:, :, KEY:])
         ga = np.matmul(gh, v.transpose(0, 2, 1))
-        gv = np.matmul(a.transpose(0, 2, 1), gh)
-        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
-        gq = np.matmul(gs, k) / np.float32(KEY**0.5)
-        gk = np.matmul(gs.transpose(0, 2, 1), q)
-        plain = p["emb"][x]
-        e = plain + p["pos"]
-        own, plain, e = e[:, STEP:].reshape(-1, WIDTH), plain.reshape(-1, WIDTH), e.reshape(-1, WIDTH)
-        gq, gh, gk, gv = gq.reshape(-1, KEY), gh.reshape(-1, HIDDEN), gk.reshape(-1, KEY), gv.reshape(-1, HIDDEN)
-        d |= {"q": own.T @ gq, "r": own.T @ gh, "b": gh.sum(axis=0), "k": e.T @ gk, "v": plain.T @ gv}
-        ge = (gk @ p["k"].T).reshape(len(x), 2 * STEP, WIDTH)
-        ge[:, STEP:] += (gq @ p["q"].T + gh @ p["r"].T).reshape(len(x), STEP, WIDTH)
-        d["pos"] = ge.sum(axis=0)
-        ge += (gv @ p["v"].T).reshape(ge.shape)
-        d["emb"] = np.zeros_like(p["emb"])
-        order = np.argsort(x.ravel(), kind="stable")
-        sorted_ = x.ravel()[order]
-        head = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        d["emb"][sorted_[head]] = np.add.reduceat(ge.reshape(-1, WIDTH)[order], head)
-        return d
+        ga -= np.einsum("ijk,ijk->ij", ga, a)[:, :, None]
+        ga *= a
+        np.matmul(ga.transpose(0, 2, 1), q, out=gkv[:, :, :KEY])
+        np.matmul(ga, k, out=gqr[:, :, :KEY])
+        gqr[:, :, KEY:] = gh
+        kv, qr, root = np.concatenate([p["k"], p["v"]], axis=1), np.concatenate([p["q"], p["r"]], axis=1), np.float32(KEY**0.5)
+        by_place = ones[:len(x)] @ gkv.reshape(len(x), -1), ones[:len(x)] @ gqr.reshape(len(x), -1)
+        at_k, at_qr = by_place[0].reshape(2 * STEP, -1)[:, :KEY], by_place[1].reshape(STEP, -1)
+        at_qr[:, :KEY] /= root
+        d = {"pos": at_k @ p["k"].T, "emb": np.zeros_like(p["emb"])}
+        d["pos"][STEP:] += at_qr @ qr.T
+        ids, parts = _by_value(x.ravel(), gkv.reshape(-1, KEY + HIDDEN))
+        d["emb"][ids] = parts @ kv.T
+        at_kv = p["emb"][ids].T @ parts
+        ids, parts = _by_value(x[:, STEP:].ravel(), gqr.reshape(-1, KEY + HIDDEN))
+        parts[:, :KEY] /= root
+        d["emb"][ids] += parts @ qr.T
+        at_qr_ = p["emb"][ids].T @ parts + p["pos"][STEP:].T @ at_qr
+        d |= {"k": at_kv[:, :KEY] + p["pos"].T @ at_k, "v": at_kv[:, KEY:], "q": at_qr_[:, :KEY], "r": at_qr_[:, KEY:], "b": at_qr[:, KEY:].sum(axis=0)}
+        return d | {"group": both[:, :, :GROUPS].sum(axis=0), "group_bias": bias[:, :GROUPS].sum(axis=0), "member": both[:, :, GROUPS:], "member_bias": bias[:, GROUPS:]}
 
     def start_from(self, seen: np.ndarray) -> None:
         """Biases that give every class its share of ``seen`` (how often each class came)."""
@@ -446,9 +518,10 @@ class Attention:
         return np.concatenate([w.ravel() for w in self.p.values()])
 
     def set_flat(self, weights: np.ndarray) -> Attention:
+        """The weights become views of ``weights``."""
         at = 0
         for n, w in self.p.items():
-            self.p[n] = weights[at:at + w.size].reshape(w.shape).astype(np.float32)
+            self.p[n] = weights[at:at + w.size].reshape(w.shape).astype(np.float32, copy=False)
             at += w.size
         self.fold()
         return self
@@ -458,42 +531,47 @@ class Adam:
     """Passes over windows that change a model's weights."""
 
     def __init__(self, model: Attention, rate: float):
-        self.model, self.rate, self.t, self.rng = model, rate, 0, np.random.default_rng(9)
-        self.mean, self.square = ({n: np.zeros_like(w) for n, w in model.p.items()} for _ in range(2))
+        self.model, self.rate, self.t, self.rng, self.weights = model, rate, 0, np.random.default_rng(9), model.flat()
+        model.set_flat(self.weights)
+        self.mean, self.square = np.zeros_like(self.weights), np.zeros_like(self.weights)
 
     def learn(self, x: np.ndarray, target: np.ndarray, classes: Classes, passes: int = 1) -> None:
-        p = self.model.p
         for _ in range(passes):
             order = self.rng.permutation(len(x))
             for at in range(0, len(x), BATCH):
                 some = order[at:at + BATCH]
                 self.t += 1
                 rate = self.rate * min(1.0, self.t / WARM)
-                for n, g in self.model.gradients(x[some], target[some], classes).items():
-                    self.mean[n] += 0.1 * (g - self.mean[n])
-                    self.square[n] += 0.01 * (g * g - self.square[n])
-                    p[n] -= np.float32(rate) * (self.mean[n] / (1 - 0.9**self.t)) / (np.sqrt(self.square[n] / (1 - 0.99**self.t)) + np.float32(1e-8))
+                d = self.model.gradients(x[some], target[some], classes)
+                g = np.concatenate([d[n].ravel() for n in self.model.p])
+                self.mean += np.float32(0.1) * (g - self.mean)
+                self.square += np.float32(0.01) * (g * g - self.square)
+                step = np.sqrt(self.square / np.float32(1 - 0.99**self.t))
+                step += np.float32(1e-8)
+                self.weights -= np.float32(rate / (1 - 0.9**self.t)) * self.mean / step
                 self.model.fold()
 
 
 def fit_corpus(docs: DataFrame, seen: np.ndarray, classes, definition, most: int | None = None) -> Attention:
-    """``docs`` (id, learn, text) -> the model, fitted on all windows of all documents learned from.
+    """``docs`` (id, learn, text), or what ``encode_texts`` makes of it -> the model, fitted on all windows of all documents learned from.
 
     The documents are dealt to ``ROUNDS`` by hash, each to one. In a round every task trains a copy of the weights on the windows of
     its documents; the mean of the copies, weighted by windows, starts the next round. A task holds ``BUFFER`` windows at most (and
-    those of one text); one with few takes them several times. Only weights are shuffled, in ``SLOTS`` parts, and one mean reaches
+    those of one run); one with few takes them several times. Only weights are shuffled, in ``SLOTS`` parts, and one mean reaches
     the driver. ``most`` bounds the windows of a task and round; None, the default, takes all."""
-    spark, model = docs.sparkSession, Attention()
+    spark, model, done = docs.sparkSession, Attention(), 0
     if most == 0:
         return model
     model.start_from(seen)
-    deal, done = F.pmod(F.xxhash64("id", "text"), F.lit(sum(parts for parts, _ in ROUNDS))), 0
+    if "ids" not in docs.columns:
+        docs = encode_texts(docs, definition)
     for parts, factor in ROUNDS:
         least = LEAST_STEPS * parts // sum(parts for parts, _ in ROUNDS)
         start = spark.sparkContext.broadcast(model.flat())
 
         def train(batches, start=start, factor=factor, least=least):
-            words, own = _worker(definition), Attention().set_flat(start.value)
+            keep_heap()
+            own = Attention().set_flat(start.value)
             adam, held, n, size = Adam(own, RATE * factor), [], 0, 0
 
             def learn(last):
@@ -501,7 +579,7 @@ def fit_corpus(docs: DataFrame, seen: np.ndarray, classes, definition, most: int
                 adam.learn(x, target, classes.value, max(1, -(-(least - adam.t) // -(-len(x) // BATCH))) if last else 1)
 
             for batch in batches:
-                for _, ids, bounds, _ in _texts(batch.column("text"), words):
+                for _, ids, bounds in _runs(batch.column("ids"), len(classes.value.of) - 1):
                     x, target, _ = windows(ids, bounds, classes.value)
                     if most is not None:
                         x, target = x[:max(0, most - n)], target[:max(0, most - n)]
@@ -524,7 +602,7 @@ def fit_corpus(docs: DataFrame, seen: np.ndarray, classes, definition, most: int
                 total = total + of * np.frombuffer(w.as_py(), np.float32).astype(np.float64)
             return pa.table({"slot": copies["slot"][:1], "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-        dealt = docs.where("learn").where((deal >= done) & (deal < done + parts)).select("text")
+        dealt = docs.where("learn").where((F.col("deal") >= done) & (F.col("deal") < done + parts)).select("ids")
         got = dealt.mapInArrow(train, "slot int, part int, n long, w binary").groupBy("slot").applyInArrow(mean, "slot int, w binary").collect()  # SLOTS rows
         if got:
             model.set_flat(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slot"])]))
@@ -543,56 +621,58 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = held_out(F.col(id_col))
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), (~out & F.col(id_col).isNotNull()).alias("learn"), F.col(text_col).alias("text"))
 
-    counts = materialize(count_corpus(rows.select("learn", "text"), definition), "lm_counts")
+    encoder = Subwords(ranks, pattern)
+    starts = spark.sparkContext.broadcast(encoder.starts)
+    coded = materialize(encode_texts(rows, definition), "lm_subwords")
+    counts = materialize(count_corpus(coded.select("learn", "ids"), starts), "lm_counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n", "n_learn")
     known = words.agg(F.sum("n_learn").alias("n"), F.count_if(F.col("n_learn") > 0).alias("v")).first()
     learning = (counts.where(F.col("kind") == DOCUMENT).agg(F.sum("n_learn")).first()[0] or 0)
     all_tokens, distinct = (known["n"] or 0) + learning, known["v"] + (learning > 0)
     keys, uses, least = heavy_words(words, heavy)
 
-    encoder = Subwords(ranks, pattern)
     tally = np.zeros(encoder.size, np.int64)
     for r in counts.where(F.col("kind") == SUBWORD).select("key", "n_learn").collect():  # one row per subword of the vocabulary
         tally[r["key"]] = r["n_learn"]
     classes = Classes(tally, encoder.starts)
     shared = spark.sparkContext.broadcast(classes)
     seen = np.bincount(classes.of, np.append(tally, learning), minlength=CLASSES)
-    model = fit_corpus(rows.select("id", "learn", "text"), seen, shared, definition, most_windows)
+    model = fit_corpus(coded.select("learn", "deal", "ids"), seen, shared, definition, most_windows)
     state = spark.sparkContext.broadcast((model, classes, keys, uses))
 
     def apply(batches):
-        encode, (model, classes, keys, uses) = _worker(definition), state.value
+        keep_heap()
+        begins, (model, classes, keys, uses) = starts.value, state.value
         gain, number = np.log10(uses + 1.0), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for row, ids, bounds, seen in _texts(batch.column("text"), encode):
+            for row, ids, bounds in _runs(batch.column("ids"), len(begins)):
                 x, target, doc = windows(ids, bounds, classes)
                 score = np.bincount(doc, model.log_probabilities(x, target, classes), minlength=len(row))
-                n, have, base = np.ones(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row))
-                rare_doc, rare_key = [], []
-                for of, own, which in seen:
-                    at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                    hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                    if len(keys):
-                        base += np.bincount(of, np.where(hit, gain[at], 0)[which], minlength=len(row))
-                        have += np.bincount(of[(hit & (uses[at] > 0))[which]], minlength=len(row))
-                    n += np.bincount(of, minlength=len(row))
-                    some = ~hit[which]
-                    rare_doc.append(of[some])
-                    rare_key.append(own[which[some]])
-                pair, times = np.unique(np.stack([np.concatenate(rare_doc).astype(np.uint64), np.concatenate(rare_key)], axis=1), axis=0, return_counts=True) \
-                    if sum(map(len, rare_doc)) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-                to = pa.array(np.searchsorted(pair[:, 0], np.arange(len(row) + 1, dtype=np.uint64)).astype(np.int32))
+                of, key = word_keys(ids, bounds, begins)
+                own, which = np.unique(key, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                hit = (keys[at] == own)[which] if len(keys) else np.zeros(len(key), bool)
+                n, have, base = np.bincount(of, minlength=len(row)) + 1, np.zeros(len(row), np.int64), np.zeros(len(row))
+                if len(keys):
+                    base = np.bincount(of, np.where(hit, gain[at][which], 0), minlength=len(row))
+                    have = np.bincount(of[hit & (uses[at] > 0)[which]], minlength=len(row))
+                rare_doc, rare_key = of[~hit], key[~hit]
+                order = np.lexsort((rare_key, rare_doc))
+                rare_doc, rare_key = rare_doc[order], rare_key[order]
+                first = np.flatnonzero(np.append(True, (rare_doc[1:] != rare_doc[:-1]) | (rare_key[1:] != rare_key[:-1]))[:len(order)])
+                times = np.diff(first, append=len(order))
+                to = pa.array(np.searchsorted(rare_doc[first], np.arange(len(row) + 1)).astype(np.int32))
                 own = batch.take(pa.array(row))
                 yield pa.record_batch([
                     pa.array((part << 40) + number + np.arange(len(row), dtype=np.int64)), own.column("id"), own.column("held_out"), pa.array(n), pa.array(have),
-                    pa.array(base), pa.array(score), pa.ListArray.from_arrays(to, pa.array(signed(pair[:, 1].copy()))),
+                    pa.array(base), pa.array(score), pa.ListArray.from_arrays(to, pa.array(signed(rare_key[first]))),
                     pa.ListArray.from_arrays(to, pa.array(times.astype(np.int32)))],
                     names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
                 number += len(row)
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = materialize(rows.select("id", "held_out", "text").mapInArrow(
+    scored = materialize(coded.select("id", "held_out", "ids").mapInArrow(
         apply, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "lm_scored")
     asked = scored.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "key")
     rest = words.where((F.col("n") <= least) & (F.col("n_learn") > 0)).select("key", "n_learn")

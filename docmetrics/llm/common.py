@@ -65,6 +65,16 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of ``values``."""
+    n = len(values)
+    run = np.zeros(n + 1, dtype=_U)
+    np.cumsum(values * _power("up", _MULT, n + 1)[:n], out=run[1:])
+    down = _power("down", pow(_MULT, -1, 2**64), n + 1)
+    h = (run[end] - run[start]) * down[start]
+    return mix64(h + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
 class Slice:
     """A run of consecutive texts of a batch: its bytes (``raw``, and lower-cased), and the place and text
     of every word.
@@ -97,12 +107,7 @@ class Slice:
         self.bounds = np.searchsorted(self.word_doc, np.arange(self.n + 1))
 
     def word_hashes(self) -> np.ndarray:
-        n = len(self.bytes)
-        run = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_BYTE[self.bytes] * _power("up", _MULT, n + 1)[:n], out=run[1:])
-        down = _power("down", pow(_MULT, -1, 2**64), n + 1)
-        h = (run[self.end] - run[self.start]) * down[self.start]
-        return mix64(h + (self.end - self.start).astype(_U) * _U(0x9E3779B97F4A7C15))
+        return run_hashes(_BYTE[self.bytes], self.start, self.end)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word shingles in order, and the bounds of each text's run. A text of 1 to k-1

@@ -353,3 +353,50 @@ def test_lm_learns_from_every_window_of_a_document(spark, words):
     for at in (0, 3_111, 5_999):
         assert (whole != fitted(" ".join([*text[:at], "gamma", *text[at + 1:]]))).any()
     assert (whole != fitted(" ".join(text), None)).any()
+
+
+def test_lm_texts_are_encoded_once(spark, lm_docs, monkeypatch):
+    """Counting, the rounds of learning and scoring read the subwords that one pass over the texts has written."""
+    read, fit, count = [], attention_lm.fit_corpus, attention_lm.count_corpus
+    encode = attention_lm.encode_texts
+    monkeypatch.setattr(attention_lm, "encode_texts", lambda docs, *a: read.append("texts") or encode(docs, *a))
+    monkeypatch.setattr(attention_lm, "count_corpus", lambda docs, *a: read.append(docs.columns) or count(docs, *a))
+    monkeypatch.setattr(attention_lm, "fit_corpus", lambda docs, *a: read.append(docs.columns) or fit(docs, *a))
+    out = attention_lm.score_texts(lm_docs, most_windows=20)
+    assert read == ["texts", ["learn", "ids"], ["learn", "deal", "ids"]] and out.count() == len(lm_rows())
+
+
+def test_lm_stored_subwords_are_those_of_the_texts_and_words_have_one_key(spark, words, monkeypatch):
+    """Runs of any length hold all subwords, also of a slice of a batch; a word has the same key wherever it is, and no other word has it."""
+    texts = ["one two one", None, "", "TWO zwei\u00a0drei " + "y" * 2_500 + " two", "zwei\u00a0drei\tzwei", " " + "two\n" * 300]
+    with open(attention_lm.default_vocabulary()) as f:
+        definition = spark.sparkContext.broadcast((f.read(), attention_lm.default_pattern(), 12))
+    docs = spark.createDataFrame([(i, i != 4, t) for i, t in enumerate(texts)], "id long, learn boolean, text string").coalesce(1)
+    stored = attention_lm.encode_texts(docs, definition).orderBy("id").toArrow()
+    assert stored.column_names == ["id", "learn", "deal", "ids"] and stored["learn"].to_pylist() == [True] * 4 + [False, True]
+    column = stored["ids"].combine_chunks()
+    want = [[i for t in tokens(x)[:-1] for i in words._one(t.decode())] for x in texts]
+    for run in (1, 100, 1 << 19):
+        monkeypatch.setattr(attention_lm, "RUN", run)
+        for part in (0, 2, 5):
+            got = [(part + r, ids[a:b].tolist()) for rows, ids, bounds in attention_lm._runs(column.slice(part), words.size) for r, a, b in zip(rows, bounds, bounds[1:])]
+            assert got == [*enumerate(want)][part:]
+        seen = {}
+        for rows, ids, bounds in attention_lm._runs(column, words.size):
+            of, keys = attention_lm.word_keys(ids, bounds, words.starts)
+            for r, key in zip(rows[of].tolist(), keys.tolist()):
+                seen.setdefault(r, []).append(key)
+        pairs = {(k, t) for r, x in enumerate(texts) for k, t in zip(seen.get(r, []), tokens(x)[:-1], strict=True)}
+        assert len(pairs) == len({k for k, _ in pairs}) == len({t for _, t in pairs}) == 5
+
+
+def test_lm_steps_of_one_window_and_of_many_equal_sums_of_their_parts(words):
+    """The gradient of some windows is the mean of that of each, weighted by its targets, also where an embedding comes once or in all."""
+    classes = attention_lm.Classes(np.random.default_rng(0).integers(0, 50, words.size), words.starts)
+    model = attention_lm.Attention()
+    rng = np.random.default_rng(7)
+    x, target, _ = attention_lm.windows(np.append(rng.integers(0, 3_000, 80), [5] * 20).astype(np.int32), np.array([0, 25, 60, 60, 100]), classes)
+    whole, n = model.gradients(x, target, classes), (target >= 0).sum(axis=1)
+    each = [model.gradients(x[i:i + 1], target[i:i + 1], classes) for i in range(len(x))]
+    for name, g in whole.items():
+        assert np.allclose(g, sum(m * e[name] for m, e in zip(n, each)) / n.sum(), atol=1e-5), name
