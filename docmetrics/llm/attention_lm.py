@@ -12,10 +12,11 @@ at the start). Windows of all texts of a slice go through the layer together; wh
 
 The base is a unigram: sum over words and end of log10((c + 1) / (N + V + 1)), from counts over all learning documents.
 
-Scale: counts of words and subwords cover all learning documents, added up in each task before the shuffle. The weights are fitted
+Scale: one pass over the texts writes their subwords to the shared folder; all else reads these. Counts of words and subwords cover all
+learning documents, added up in each task before the shuffle. The weights are fitted
 on all windows of all learning documents, in rounds: tasks train copies on their own documents, and the copies' mean starts the next round. The ``HEAVY`` most
 frequent words are broadcast with their counts (their number is bounded, whatever the vocabulary); the others are looked
-up by an equi-join of (document, word) rows, where no word can be hot, as the hot ones are not in it. Words are keyed by 64-bit hashes
+up by an equi-join of (document, word) rows, where no word can be hot, as the hot ones are not in it. Words are keyed by 64-bit hashes of their subwords
 (a pair of words collides with 2**-64). Documents are scored in one pass whose result is written to the shared folder. Texts beyond ``PIECE`` characters are taken
 in pieces cut at blanks, so the working arrays stay bounded but for the text's own subwords.
 
@@ -228,10 +229,10 @@ def _width(size: int):
 
 def _runs(column: pa.Array, size: int):
     """(rows, their subwords, bounds of each row's): whole texts, those of up to ``RUN`` subwords together."""
-    packed = np.dtype(_width(size))
+    packed, column = np.dtype(_width(size)), column.cast(pa.binary())
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // packed.itemsize
     data = column.buffers()[2]
-    ids = np.frombuffer(data, packed, len(data) // packed.itemsize if data is not None else 0) if data else np.zeros(0, packed)
+    ids = np.frombuffer(data, packed, len(data) // packed.itemsize) if data else np.zeros(0, packed)
     at = 0
     while at < len(column):
         to = min(len(column), max(at + 1, int(np.searchsorted(off, off[at] + RUN, side="right")) - 1))
